@@ -51,3 +51,8 @@ def word_count(text: Column) -> Column:
 
 def crc32_of(text: Column) -> Column:
     return F.crc32(text.cast("binary")).cast("long")
+
+
+def small_batches(spark: SparkSession, rows: int = 500) -> None:
+    """Arrow batches of few rows, since texts may be long; what a Python worker holds stays small."""
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))

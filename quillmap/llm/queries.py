@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, mixing, sharding
+from . import exact_dedup, license_scan, mixing, ngram_join, packing, personal_data, quality_classifier, quality_rules, sharding, substring_dedup
 
 MODULES = {
+    "op1_packing": packing,
+    "op2_quality_classifier": quality_classifier,
+    "op3_ngram_join": ngram_join,
+    "op4_quality_rules": quality_rules,
+    "op5_substring_dedup": substring_dedup,
+    "op6_license_scan": license_scan,
     "op7_mixing": mixing,
     "op8_sharding": sharding,
+    "op9_personal_data": personal_data,
     "op10_exact_dedup": exact_dedup,
 }
 
