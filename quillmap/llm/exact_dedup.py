@@ -60,6 +60,19 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     )
 
 
+def drop_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The rows of docs that stay, with all their columns."""
+    found = exact_dedup(docs, id_col, text_col, digest_all=True)
+    gone = checkpoint(found.filter("not kept").select(F.col("doc_id").alias("gone_id"), F.col("text_sha256").alias("gone_sha"), F.col("doc_id").eqNullSafe(F.col("keep_id")).alias("repeated")))
+    sha = F.sha2(squeeze(as_text(F.col(text_col))).cast("binary"), 256)
+    others = gone.filter("not repeated").dropDuplicates()
+    left = docs.join(others, F.col(id_col).eqNullSafe(F.col("gone_id")) & (sha == F.col("gone_sha")), "left_anti")
+    if gone.filter("repeated").isEmpty():
+        return left
+    name = "_digest_of_the_text"
+    return left.withColumn(name, sha).dropDuplicates([id_col, name]).drop(name)
+
+
 def query(spark, sf_dir: str) -> DataFrame:
     return exact_dedup(read_documents(spark, sf_dir), digest_all=True)
 

@@ -12,7 +12,7 @@ K = 4
 #: Diagonals at most this far apart are one match with insertions or deletions.
 NEAR = 3
 #: Share of a template's words that a verified span covers.
-COVERED = 0.6
+COVERED = 0.7
 #: Phrases that decide alone, with their labels. Fixed values.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
 #: License notices in their public wording, with their labels. Fixed values.
@@ -61,7 +61,8 @@ def template_positions(spark: SparkSession, templates: list[tuple[str, str]]) ->
 
 def diagonal_votes(docs: DataFrame, templates: list[tuple[str, str]]) -> DataFrame:
     """docs: (doc_id, text_hash, words). Verified and unverified matches: (doc_id, text_hash, label, first, last, covered, t_words)."""
-    grams = docs.withColumn("grams", kgrams("words")).select("doc_id", "text_hash", F.posexplode("grams").alias("pos", "gram"))
+    # the outer form: of the plain one Catalyst would infer a filter and push it, with its lambda, below the words
+    grams = docs.withColumn("grams", kgrams("words")).select("doc_id", "text_hash", F.posexplode_outer("grams").alias("pos", "gram"))
     hits = grams.join(F.broadcast(template_positions(docs.sparkSession, templates)), "gram")
     lines = hits.groupBy("doc_id", "text_hash", "template", "label", "t_words", (F.col("pos") - F.col("tpos")).alias("diagonal")).agg(F.collect_set("tpos").alias("at"), F.min("pos").alias("first"), F.max("pos").alias("last"))
     own = Window.partitionBy("doc_id", "text_hash", "template").orderBy("diagonal")

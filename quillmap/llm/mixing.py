@@ -102,7 +102,7 @@ def copies_by_size(cells: DataFrame, targets: DataFrame, tilts: DataFrame) -> Da
 
 
 def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, rate, copies, taken (copies * size).
+    """One row per input row: doc_id, text_hash, size, source_size, target, rate, copies, taken (copies * size).
 
     size is the number of words. Every source is mixed to its target (see source_targets) with
     the rates of `balance`, rounded by `copies_by_size`. Which documents of one size get the
@@ -115,7 +115,7 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     has target 0; rows with a null or repeated doc_id are further documents; an empty table
     gives no rows; further columns are ignored.
     """
-    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(as_text(F.col(text_col))).alias("size")))
+    rows = checkpoint(docs.select(F.col(id_col).alias("doc_id"), F.col(source_col).cast("string").alias("source"), word_count(as_text(F.col(text_col))).alias("size"), F.xxhash64(as_text(F.col(text_col))).alias("text_hash")))
     rows = rows.withColumn("part", F.pmod(F.xxhash64("doc_id"), F.lit(SALT)).cast("int"))
     parts = checkpoint(rows.groupBy("source", "size", "part").agg(F.count("*").alias("n")))
     cells = checkpoint(parts.groupBy("source", "size").agg(F.sum("n").alias("n")))
@@ -132,7 +132,18 @@ def mix_sources(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     rank = F.row_number().over(Window.partitionBy("source", "size", "part").orderBy(F.xxhash64("doc_id"), "doc_id"))
     joined = rows.withColumn("rank", rank).join(dealt, F.col("source").eqNullSafe(F.col("in_source")) & (F.col("size") == F.col("in_size")) & (F.col("part") == F.col("in_part")))
     copies_ = (F.col("each") + F.when(F.col("rank") <= F.col("further"), 1).otherwise(0)).cast("long")
-    return joined.select("doc_id", "size", F.col("words").alias("source_size"), "target", "rate", copies_.alias("copies"), (copies_ * F.col("size")).alias("taken"))
+    return joined.select("doc_id", "text_hash", "size", F.col("words").alias("source_size"), "target", "rate", copies_.alias("copies"), (copies_ * F.col("size")).alias("taken"))
+
+
+def take_mix(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
+    """The rows of docs, with all their columns, each as many times as the mix takes it."""
+    mix = mix_sources(docs, id_col, text_col, source_col).filter("copies > 0").groupBy("doc_id", "text_hash").agg(F.sum("copies").alias("times"), F.count("*").alias("rows"))
+    mix = checkpoint(mix.toDF("mix_id", "mix_hash", "mix_times", "mix_rows"))
+    hashed = docs.withColumn("mix_key", F.xxhash64(as_text(F.col(text_col))))
+    if not mix.filter("mix_rows > 1").isEmpty():
+        hashed = hashed.dropDuplicates([id_col, "mix_key"])
+    taken = hashed.join(mix, F.col(id_col).eqNullSafe(F.col("mix_id")) & (F.col("mix_key") == F.col("mix_hash")))
+    return taken.withColumn("mix_times", F.explode(F.sequence(F.lit(1), F.col("mix_times").cast("int")))).select(*docs.columns)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

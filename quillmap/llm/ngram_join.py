@@ -94,7 +94,7 @@ def segment_keys(u: np.ndarray, p: int) -> np.ndarray:
 
 
 def signature_table(docs: DataFrame, k: int, p: int) -> DataFrame:
-    """docs: (doc_id, text). Per row doc_id, n_shingles, set_hash (null without words) and keys."""
+    """docs: (doc_id, text_hash, text). Per row doc_id, text_hash, n_shingles, set_hash (null without words) and keys."""
 
     def sign(batches):
         hashes = WordHashes()
@@ -105,9 +105,9 @@ def signature_table(docs: DataFrame, k: int, p: int) -> DataFrame:
                 n.append(len(u))
                 names.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
                 keys.append(segment_keys(u, p).view(np.int64) if len(u) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "n_shingles": n, "set_hash": names, "keys": keys})
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": n, "set_hash": names, "keys": keys})
 
-    return docs.mapInPandas(sign, "doc_id long, n_shingles long, set_hash binary, keys array<long>")
+    return docs.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, keys array<long>")
 
 
 def tree_links(blocks: DataFrame, k: int, p: int) -> DataFrame:
@@ -142,7 +142,7 @@ def tree_links(blocks: DataFrame, k: int, p: int) -> DataFrame:
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """One row per input row: doc_id, n_shingles, component_id (the smallest doc_id that links reach).
+    """One row per input row: doc_id, text_hash, n_shingles, component_id (the smallest doc_id that links reach).
 
     Documents link when 100 * overlap >= percent * union of their sets of k-word shingles (ASCII
     case folded). The steps, none of which drops a pair that links:
@@ -165,7 +165,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
-    table = checkpoint(signature_table(source, k, percent))
+    table = checkpoint(signature_table(source.withColumn("text_hash", F.xxhash64("text")), k, percent))
     usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
     nodes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     keys = nodes.select("node", F.explode("keys").alias("key"))
@@ -188,8 +188,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     named = names.join(joined, "node", "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "node").alias("component_id"))
     alone = F.when(F.col("set_hash").isNull(), F.col("doc_id"))
-    out = table.select("doc_id", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("of"), "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id"))
+    out = table.select("doc_id", "text_hash", "n_shingles", "set_hash").join(named, F.col("set_hash") == F.col("of"), "left")
+    return out.select("doc_id", "text_hash", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component_id", alone)).alias("component_id"))
+
+
+def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of docs, with all their columns, that are the smallest doc_id of their group; rows without doc_id stay."""
+    found = near_duplicates(docs, id_col, text_col, k, percent)
+    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
+    return docs.join(gone, (F.col(id_col) == F.col("gone_id")) & (F.xxhash64(as_text(F.col(text_col))) == F.col("gone_hash")), "left_anti")
 
 
 def across_blocks(members: DataFrame, joined: DataFrame, with_text, k: int, p: int) -> DataFrame:

@@ -166,20 +166,31 @@ def quality_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", t
     rows without doc_id are scored and not learned from; without enough labels every score is
     0.5; an empty table gives no rows; further columns are ignored.
     """
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
+    rated = source.select("doc_id", scorer(source, labels)("text").alias("score"))
+    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+
+
+def scorer(docs: DataFrame, labels: DataFrame):
+    """A column function from text to score, trained on docs: (doc_id, text) and labels: (doc_id, quality)."""
     spark = docs.sparkSession
     small_batches(spark)
-    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
-    model = spark.sparkContext.broadcast(train(source, labels))
+    model = spark.sparkContext.broadcast(train(docs, labels))
 
-    def rate(batches):
-        for batch in batches:
-            s = np.full(len(batch), 0.5)
-            if model.value and len(batch):
-                s = score(model.value, np.array([features(t) for t in batch["text"]]))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "score": s})
+    @F.pandas_udf("double")
+    def rate(text: pd.Series) -> pd.Series:
+        if not model.value or not len(text):
+            return pd.Series(np.full(len(text), 0.5))
+        return pd.Series(score(model.value, np.array([features(t) for t in text])))
 
-    rated = source.mapInPandas(rate, "doc_id long, score double")
-    return rated.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= threshold).cast("int").alias("predicted"))
+    return rate
+
+
+def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
+    """The rows of docs, with all their columns, whose score reaches the threshold."""
+    text = as_text(F.col(text_col))
+    rate = scorer(docs.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text")), labels)
+    return docs.filter(rate(text) >= threshold)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -63,7 +63,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     n_lines = F.size("lines")
     df = df.select(
         "doc_id", "lang", "source", "n_words", F.when(F.col("n_words") > 0, F.col("n_flat") - F.col("n_words") + 1).otherwise(0).cast("long").alias("word_chars"), "n_symbols",
-        (n_lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), n_lines.alias("n_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_marks", "n_capitals",
+        (n_lines - F.size(F.array_distinct("lines"))).cast("long").alias("n_dup_lines"), n_lines.alias("n_lines"), F.coalesce(covered, F.lit(0)).cast("long").alias("n_repeat_words"), "n_marks", "n_capitals", "n_flat",
     )
     return df.select(
         "doc_id", "lang", "source", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
