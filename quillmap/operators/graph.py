@@ -35,7 +35,7 @@ def belongs_to(segments: DataFrame, videos: DataFrame) -> DataFrame:
 def explained_in(mentions: DataFrame, concepts: DataFrame, segments: DataFrame) -> DataFrame:
     """(concept, segment_id, video_id) where both ends exist; the global unit is no segment."""
     edges = mentions.filter(F.col("segment_id") != GLOBAL).select(F.col("name").alias("concept"), "segment_id", "video_id").distinct()
-    return edges.join(concepts.select(F.col("name").alias("concept")).distinct(), "concept", "left_semi").join(segments.select("segment_id").distinct(), "segment_id", "left_semi")
+    return edges.join(concepts.select(F.col("name").alias("concept")).distinct(), "concept", "left_semi").join(segments.select("segment_id").distinct(), "segment_id", "left_semi").select("concept", "segment_id", "video_id")
 
 
 def concept_edges(relationships: DataFrame, concepts: DataFrame) -> DataFrame:
@@ -52,7 +52,7 @@ def example_nodes(examples: DataFrame) -> DataFrame:
 
 
 def illustrates(nodes: DataFrame, concepts: DataFrame) -> DataFrame:
-    return nodes.select("example_id", F.col("illustrates").alias("concept")).join(concepts.select(F.col("name").alias("concept")).distinct(), "concept", "left_semi")
+    return nodes.select("example_id", F.col("illustrates").alias("concept")).join(concepts.select(F.col("name").alias("concept")).distinct(), "concept", "left_semi").select("example_id", "concept")
 
 
 def build_graph(videos: DataFrame, segments: DataFrame, concepts: DataFrame, mentions: DataFrame, relationships: DataFrame, examples: DataFrame) -> dict[str, DataFrame]:

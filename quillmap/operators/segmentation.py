@@ -10,21 +10,22 @@ from ..functions.text import segment_id
 from ..functions.vector import cosine
 from ..schemas import SEGMENTS
 
-VIDEO = Window.partitionBy("video_id")
+def by_video():
+    return Window.partitionBy("video_id")
 
 
 def consecutive_similarity(vectors: DataFrame) -> DataFrame:
     """vectors: (video_id, sent_idx, embedding). (video_id, idx, sim) of each sentence with the one after it."""
-    after = F.lead("embedding").over(VIDEO.orderBy("sent_idx"))
+    after = F.lead("embedding").over(by_video().orderBy("sent_idx"))
     pairs = vectors.withColumn("after", after).filter(F.col("after").isNotNull())
     return pairs.select("video_id", F.col("sent_idx").alias("idx"), cosine(F.col("embedding"), F.col("after")).alias("sim"))
 
 
 def smooth(value: str, window: int, order: str = "idx") -> Column:
     """Moving average whose edges repeat the first and the last value; the value itself if there are no more than `window`."""
-    own = VIDEO.orderBy(order)
+    own = by_video().orderBy(order)
     whole = own.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    first, last, n = F.first(value).over(whole), F.last(value).over(whole), F.count(value).over(VIDEO)
+    first, last, n = F.first(value).over(whole), F.last(value).over(whole), F.count(value).over(by_video())
     if window <= 1:
         return F.col(value)
     terms = []
@@ -44,16 +45,16 @@ def similarity_curve(vectors: DataFrame, window: int = 3) -> DataFrame:
 
 def local_minima(curve: DataFrame) -> DataFrame:
     """Points below both neighbours; in a video without any, the first of its lowest."""
-    own = VIDEO.orderBy("idx")
+    own = by_video().orderBy("idx")
     v = F.col("smoothed")
     low = F.coalesce((v < F.lag("smoothed").over(own)) & (v < F.lead("smoothed").over(own)), F.lit(False))
-    marked = curve.withColumn("low", low).withColumn("lows", F.sum(F.col("low").cast("int")).over(VIDEO)).withColumn("lowest", F.min_by("idx", F.struct("smoothed", "idx")).over(VIDEO))
+    marked = curve.withColumn("low", low).withColumn("lows", F.sum(F.col("low").cast("int")).over(by_video())).withColumn("lowest", F.min_by("idx", F.struct("smoothed", "idx")).over(by_video()))
     return marked.filter(F.col("low") | ((F.col("lows") == 0) & (F.col("idx") == F.col("lowest")))).drop("low", "lows", "lowest")
 
 
 def depth_scores(curve: DataFrame, reach: int = 5) -> DataFrame:
     """Adds depth: how far a point lies below the highest on each side, on average."""
-    own = VIDEO.orderBy("idx")
+    own = by_video().orderBy("idx")
     peak = lambda a, b: F.max("smoothed").over(own.rowsBetween(a, b))
     return curve.withColumn("depth", (peak(-reach, 0) - F.col("smoothed") + peak(0, reach) - F.col("smoothed")) / 2)
 
@@ -79,7 +80,7 @@ def split_long(boundaries: DataFrame, sentences: DataFrame, max_s: float) -> Dat
     points = boundaries.select("video_id", (F.col("idx") + 1).alias("p"))
     ends = sentences.groupBy("video_id").agg(F.count("*").alias("n"))
     everything = points.unionByName(ends.select("video_id", F.lit(0).cast("long").alias("p"))).unionByName(ends.select("video_id", F.col("n").alias("p"))).distinct()
-    own = VIDEO.orderBy("p")
+    own = by_video().orderBy("p")
     stretches = everything.withColumn("q", F.lead("p").over(own)).filter("q is not null and q > p")
     s = sentences.select("video_id", "sent_idx", "start", "end")
     timed = stretches.join(s.select("video_id", F.col("sent_idx").alias("p"), "start"), ["video_id", "p"]).join(s.select("video_id", (F.col("sent_idx") + 1).alias("q"), "end"), ["video_id", "q"])
@@ -90,7 +91,7 @@ def split_long(boundaries: DataFrame, sentences: DataFrame, max_s: float) -> Dat
 
 def find_boundaries(curve: DataFrame, sentences: DataFrame, min_s: float = 30.0, max_s: float = 1200.0) -> DataFrame:
     """(video_id, idx): a segment ends with the sentence idx. Videos with fewer than three similarities have none."""
-    enough = curve.withColumn("n", F.count("*").over(VIDEO)).filter("n >= 3").drop("n")
+    enough = curve.withColumn("n", F.count("*").over(by_video())).filter("n >= 3").drop("n")
     candidates = local_minima(depth_scores(enough)).select("video_id", "idx", "depth")
     split = split_long(greedy_boundaries(candidates, sentences, min_s), sentences.join(enough.select("video_id").distinct(), "video_id", "left_semi"), max_s)
     return split
@@ -99,11 +100,11 @@ def find_boundaries(curve: DataFrame, sentences: DataFrame, min_s: float = 30.0,
 def build_segments(sentences: DataFrame, boundaries: DataFrame) -> DataFrame:
     """SEGMENTS from sentences and the last sentence of each segment; a video without boundaries is one segment."""
     marks = boundaries.select("video_id", F.col("idx").alias("sent_idx"), F.lit(1).alias("mark")).distinct()
-    own = VIDEO.orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
+    own = by_video().orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
     numbered = sentences.join(marks, ["video_id", "sent_idx"], "left").withColumn("no", (F.coalesce(F.sum("mark").over(own), F.lit(0)) + 1).cast("int"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "text", "start", "end", "confidence"))), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), x["confidence"].alias("confidence")))
     grouped = numbered.groupBy("video_id", F.col("no").alias("seg_no")).agg(F.min_by("start", "sent_idx").alias("start"), F.max_by("end", "sent_idx").alias("end"), parts.alias("sentences"), F.count("*").alias("n"), F.max(F.count("*")).over(Window.partitionBy("video_id")).alias("most"))
-    alone = (F.sum("n").over(VIDEO) <= 1)
+    alone = (F.sum("n").over(by_video()) <= 1)
     text = F.array_join(F.transform("sentences", lambda x: x["text"]), " ")
     title = F.when(alone, F.lit("Full transcript")).otherwise(F.concat(F.lit("Segment "), F.col("seg_no")))
     return grouped.select(segment_id(F.col("video_id"), F.col("seg_no")).alias("segment_id"), "video_id", "seg_no", title.alias("title"), "start", "end", text.alias("transcript"), "sentences")

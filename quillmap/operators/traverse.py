@@ -7,6 +7,8 @@ from pyspark.sql import functions as F
 
 from .iteration import cut
 
+#: Rounds after which what was gathered so far is written, so plans don't grow without end.
+FLAT = 16
 
 def reach(edges: DataFrame, target: str, max_depth: int = 10, with_target: bool = False) -> DataFrame:
     """edges: (src, dst). (name, depth) of what can be reached in 1 to max_depth steps; with_target adds the target at depth 0.
@@ -14,19 +16,17 @@ def reach(edges: DataFrame, target: str, max_depth: int = 10, with_target: bool
     Without it the target itself appears if it lies on a cycle. Each round joins the new nodes
     only, so work follows the edges seen, not the paths.
     """
-    steps = edges.select("src", "dst").distinct()
+    steps = cut(edges.select("src", "dst").distinct())
     if with_target:
-        seen = cut(edges.sparkSession.createDataFrame([(target, 0)], "name string, depth int"))
-        new = seen
+        new, depth = edges.sparkSession.createDataFrame([(target, 0)], "name string, depth int"), 0
     else:
-        new = cut(steps.filter(F.col("src") == target).select(F.col("dst").alias("name"), F.lit(1).alias("depth")).distinct())
-        seen = new
-    while True:
-        depth = new.agg(F.max("depth")).first()[0]
-        if depth is None or depth >= max_depth:
-            return seen
-        new = cut(steps.join(new, steps.src == new.name).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth + 1)))
-        seen = cut(seen.unionByName(new))
+        new, depth = cut(steps.filter(F.col("src") == target).select(F.col("dst").alias("name"), F.lit(1).alias("depth")).distinct()), 1
+    seen = new
+    while depth < max_depth and not new.isEmpty():
+        depth += 1
+        new = cut(steps.join(new, steps.src == new.name).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)))
+        seen = seen.unionByName(new) if depth % FLAT else cut(seen.unionByName(new))
+    return seen
 
 
 def prerequisites(edges: DataFrame, target: str, max_depth: int = 10, concepts: DataFrame | None = None, locations: DataFrame | None = None) -> DataFrame:
@@ -61,18 +61,20 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     edges: src needs dst. Each round frees the nodes all of whose prerequisites are placed.
     """
-    left = cut(nodes.select("name").distinct())
-    needs = cut(induced(edges.filter("src <> dst"), left).select("src", "dst").distinct())
-    selfish = cut(induced(edges.filter("src = dst"), left).select("src").distinct())
+    left = nodes.select("name").distinct()
+    needs = cut(induced(edges, left).select("src", "dst").distinct())
     placed, level = None, 0
     while True:
-        free = cut(left.join(needs.select(F.col("src").alias("name")), "name", "left_anti").join(selfish.select(F.col("src").alias("name")), "name", "left_anti").withColumn("level", F.lit(level)))
-        placed = free if placed is None else cut(placed.unionByName(free))
-        if free.isEmpty():
+        waiting = needs.join(left.withColumnRenamed("name", "dst"), "dst", "left_semi").select(F.col("src").alias("name")).distinct().withColumn("waits", F.lit(True))
+        state = cut(left.join(waiting, "name", "left"))
+        free, left = state.filter("waits is null").select("name", F.lit(level).alias("level")), state.filter("waits").select("name")
+        placed = free if placed is None else placed.unionByName(free)
+        n = state.agg(F.count("*").alias("n"), F.count("waits").alias("waiting")).first()
+        if n["waiting"] in (0, n["n"]):
             return placed.unionByName(left.withColumn("level", F.lit(None).cast("int")))
-        left = cut(left.join(free, "name", "left_anti"))
-        needs = cut(needs.join(free.select(F.col("name").alias("dst")), "dst", "left_anti"))
         level += 1
+        if level % FLAT == 0:
+            placed = cut(placed)
 
 
 def topo_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
