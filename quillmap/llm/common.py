@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import os
 import tempfile
 
@@ -56,3 +57,9 @@ def crc32_of(text: Column) -> Column:
 def small_batches(spark: SparkSession, rows: int = 500) -> None:
     """Arrow batches of few rows, since texts may be long; what a Python worker holds stays small."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+
+
+def release(spark: SparkSession) -> None:
+    """Has the JVM collect what isn't referenced, so Spark drops shuffle files and checkpoints of steps that are over. Changes no result."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()

@@ -2,14 +2,16 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, checkpoint, read_documents, small_batches
+from .common import as_text, checkpoint, read_documents, release, small_batches
 from .components import components
 from .signature_tree import join_group
 
@@ -18,7 +20,7 @@ BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
 #: Documents of a split cluster, about, that every block of it also gets.
 PIVOTS = 64
 #: Times that segments are drawn anew while some are empty.
-DRAWS = 8
+DRAWS = 24
 
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -67,17 +69,17 @@ def segment_keys(u: np.ndarray, p: int) -> np.ndarray:
     """Keys of which two sets with 100 * overlap >= p * union have one in common.
 
     Such sets differ in at most d = (100 - p) / (100 + p) * (their sizes together) elements, so of
-    d + 1 segments of the hash space at least one holds the same elements in both. The number of
-    segments depends on the class of sizes; a set makes keys for its class and the next. Where
-    that leaves segments empty, which are no keys, further ones come from a new draw.
+    d + 1 + e segments of the hash space at least 1 + e hold the same elements in both. Empty
+    segments make no keys; if one of the two sets has at most e of them, a segment that both hold
+    is not empty. A set with more of them makes further keys with a new draw of the segments, and
+    so on; the pair meets in the first draw in which either has few enough. The number of segments
+    depends on the class of sizes; a set makes keys for its class and the next.
     """
     starts = class_starts(p, len(u))
     own = int(np.searchsorted(starts, len(u), side="right")) - 1
     keys = []
     for c in (own, own + 1):
-        first = int(starts[c]) if c < len(starts) else int(starts[-1]) * 100 // p + 1
-        largest = first * 100 // p
-        m = 2 * largest * (100 - p) // (100 + p) + 1
+        m, empty = segments(int(starts[c]), p)
         v = u
         for draw in range(DRAWS + 1):
             if draw == DRAWS:
@@ -86,13 +88,24 @@ def segment_keys(u: np.ndarray, p: int) -> np.ndarray:
             at = ((v >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
             begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
             sums = np.add.reduceat(mix(v), begins)
-            keys.append(mix(sums + at[begins] * A + np.uint64(c * 1000 + draw) * C))
-            if len(begins) == m:
+            keys.append(mix(sums + at[begins] * A + np.uint64((c * 1000 + draw) * int(C) % 2**64)))
+            if m - len(begins) <= empty:
                 break
             v = np.sort(mix(v + B))
     return np.concatenate(keys)
 
 
+@functools.cache
+def segments(first: int, p: int) -> tuple[int, int]:
+    """Number of segments for the class of sizes that begins with `first`, and how many of them may be empty: about one and a half times as many as a set of middling size leaves."""
+    largest = first * 100 // p
+    d = 2 * largest * (100 - p) // (100 + p)
+    empty = 0
+    for _ in range(4 if d else 0):
+        empty = math.ceil(1.5 * (d + 1 + empty) * math.exp(-0.8 * largest / (d + 1 + empty)))
+    return d + 1 + empty, empty
+
+
 def signature_table(docs: DataFrame, k: int, p: int) -> DataFrame:
     """docs: (doc_id, text_hash, text). Per row doc_id, text_hash, n_shingles, set_hash (null without words) and keys."""
 
@@ -170,7 +183,12 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     nodes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
     keys = nodes.select("node", F.explode("keys").alias("key"))
     stars = keys.withColumn("pivot", F.min("node").over(Window.partitionBy("key"))).filter("node <> pivot")
-    clusters = components(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    stars = checkpoint(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
+    table = checkpoint(table.drop("keys"))
+    usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
+    del nodes, keys
+    release(table.sparkSession)
+    clusters = components(stars)
 
     sized = clusters.join(usable.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
     weights = sized.groupBy("component").agg(F.sum("n").alias("n_all"), F.count("*").alias("docs"))
