@@ -19,6 +19,8 @@ from .signature_tree import join_group
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
 #: Documents of a split cluster, about, that every block of it also gets.
 PIVOTS = 64
+#: Rows of (doc_id, set_hash) at most that are broadcast, some 10 MB; more are shuffled.
+BROADCAST_ROWS = 200_000
 #: Times that segments are drawn anew while some are empty.
 DRAWS = 24
 
@@ -97,12 +99,13 @@ def segment_keys(u: np.ndarray, p: int) -> np.ndarray:
 
 @functools.cache
 def segments(first: int, p: int) -> tuple[int, int]:
-    """Number of segments for the class of sizes that begins with `first`, and how many of them may be empty: about one and a half times as many as a set of middling size leaves."""
-    largest = first * 100 // p
+    """Number of segments for the class of sizes that begins with `first`, and how many of them may be empty: as many as its smallest sets leave, and two deviations more."""
+    largest, least = first * 100 // p, first * p // 100
     d = 2 * largest * (100 - p) // (100 + p)
     empty = 0
-    for _ in range(4 if d else 0):
-        empty = math.ceil(1.5 * (d + 1 + empty) * math.exp(-0.8 * largest / (d + 1 + empty)))
+    for _ in range(5 if d else 0):
+        mean = (d + 1 + empty) * math.exp(-least / (d + 1 + empty))
+        empty = math.ceil(mean + 2 * math.sqrt(mean))
     return d + 1 + empty, empty
 
 
@@ -160,7 +163,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     Documents link when 100 * overlap >= percent * union of their sets of k-word shingles (ASCII
     case folded). The steps, none of which drops a pair that links:
 
-    1. Rows with equal sets become one node, by partial aggregation, so copies cost nothing later.
+    1. Rows with equal sets become one node, so copies cost nothing later.
     2. Each node makes segment keys (see segment_keys); nodes with a key in common with a smaller
        one get an edge to the smallest. Components of these edges are the clusters in which all
        links lie. A key's rows are streamed, not gathered.
@@ -180,13 +183,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     table = checkpoint(signature_table(source.withColumn("text_hash", F.xxhash64("text")), k, percent))
     usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    nodes = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"), F.first("keys").alias("keys"))
-    keys = nodes.select("node", F.explode("keys").alias("key"))
+    names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
+    copies = checkpoint(usable.select("doc_id", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "set_hash").distinct())
+    n = copies.count()
+    first = usable.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, ["doc_id", "set_hash"], "left_anti") if n else usable
+    keys = first.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
     stars = keys.withColumn("pivot", F.min("node").over(Window.partitionBy("key"))).filter("node <> pivot")
     stars = checkpoint(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     table = checkpoint(table.drop("keys"))
     usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    del nodes, keys
+    del first, keys
     release(table.sparkSession)
     clusters = components(stars)
 
