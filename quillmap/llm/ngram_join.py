@@ -2,9 +2,7 @@
 
 from __future__ import annotations
 
-import functools
 import hashlib
-import math
 
 import numpy as np
 import pandas as pd
@@ -21,8 +19,8 @@ BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
 PIVOTS = 64
 #: Rows of (doc_id, set_hash) at most that are broadcast, some 10 MB; more are shuffled.
 BROADCAST_ROWS = 200_000
-#: Times that segments are drawn anew while some are empty.
-DRAWS = 24
+#: Bits of a hash that name its slot, by which frequent shingles are counted.
+SLOT_BITS = 22
 
 A, B, C = (np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -59,68 +57,61 @@ def shingles(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(s))
 
 
-def class_starts(p: int, most: int) -> np.ndarray:
-    """First sizes of size classes, so that a set's partners of p percent are in its own class or a neighbouring one."""
-    starts = [1]
-    while starts[-1] <= most:
-        starts.append(starts[-1] * 100 // p + 1)
-    return np.array(starts)
+def slots_of(u: np.ndarray) -> np.ndarray:
+    return (u >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
 
-def segment_keys(u: np.ndarray, p: int) -> np.ndarray:
-    """Keys of which two sets with 100 * overlap >= p * union have one in common.
+def frequent_slots(docs: DataFrame, k: int) -> tuple[np.ndarray, np.ndarray]:
+    """docs: (text). Slots of the hash space that many documents use, and how many uses are known of each.
 
-    Such sets differ in at most d = (100 - p) / (100 + p) * (their sizes together) elements, so of
-    d + 1 + e segments of the hash space at least 1 + e hold the same elements in both. Empty
-    segments make no keys; if one of the two sets has at most e of them, a segment that both hold
-    is not empty. A set with more of them makes further keys with a new draw of the segments, and
-    so on; the pair meets in the first draw in which either has few enough. The number of segments
-    depends on the class of sizes; a set makes keys for its class and the next.
+    Each partition counts the shingles of all its texts by slot and reports the slots that stand
+    far above its mean. The result orders shingles and drops none, so any counts are right; there
+    are at most 2**SLOT_BITS slots, which bounds what reaches the driver.
     """
-    starts = class_starts(p, len(u))
-    own = int(np.searchsorted(starts, len(u), side="right")) - 1
-    keys = []
-    for c in (own, own + 1):
-        m, empty = segments(int(starts[c]), p)
-        v = u
-        for draw in range(DRAWS + 1):
-            if draw == DRAWS:
-                keys.append(mix(np.array([c * 1000 + 999], np.uint64)))
-                break
-            at = ((v >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
-            begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
-            sums = np.add.reduceat(mix(v), begins)
-            keys.append(mix(sums + at[begins] * A + np.uint64((c * 1000 + draw) * int(C) % 2**64)))
-            if m - len(begins) <= empty:
-                break
-            v = np.sort(mix(v + B))
-    return np.concatenate(keys)
-
-
-@functools.cache
-def segments(first: int, p: int) -> tuple[int, int]:
-    """Number of segments for the class of sizes that begins with `first`, and how many of them may be empty: as many as its smallest sets leave, and two deviations more."""
-    largest, least = first * 100 // p, first * p // 100
-    d = 2 * largest * (100 - p) // (100 + p)
-    empty = 0
-    for _ in range(5 if d else 0):
-        mean = (d + 1 + empty) * math.exp(-least / (d + 1 + empty))
-        empty = math.ceil(mean + 2 * math.sqrt(mean))
-    return d + 1 + empty, empty
+
+    def count(batches):
+        hashes, uses = WordHashes(), np.zeros(2**SLOT_BITS, np.int32)
+        for batch in batches:
+            for text in batch["text"]:
+                uses[slots_of(shingles(text, k, hashes))] += 1
+        mean = uses.mean()
+        hot = np.flatnonzero(uses > mean + 6 * np.sqrt(mean) + 4)
+        yield pd.DataFrame({"slot": hot, "n": uses[hot].astype(np.int64)})
+
+    found = docs.select("text").mapInPandas(count, "slot long, n long").groupBy("slot").agg(F.sum("n").alias("n")).toPandas().sort_values("slot")
+    return found["slot"].to_numpy(np.int64), found["n"].to_numpy(np.int64)
+
+
+def prefix_keys(u: np.ndarray, p: int, slots: np.ndarray, uses: np.ndarray) -> np.ndarray:
+    """Elements of u of which two sets with 100 * overlap >= p * union have one in common.
+
+    Such sets share at least p percent of either, so in any one order of all elements their first
+    n - ceil(p * n / 100) + 1 elements meet. The order puts elements of frequent slots last.
+    """
+    size = len(u) - -(-p * len(u) // 100) + 1
+    if len(slots):
+        mine = slots_of(u)
+        at = np.minimum(np.searchsorted(slots, mine), len(slots) - 1)
+        n = np.where(slots[at] == mine, uses[at], 0)
+        if n.any():
+            return u[np.lexsort((u, n))[:size]]
+    return u[:size]
 
 
 def signature_table(docs: DataFrame, k: int, p: int) -> DataFrame:
     """docs: (doc_id, text_hash, text). Per row doc_id, text_hash, n_shingles, set_hash (null without words) and keys."""
+    frequent = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, k))
 
     def sign(batches):
         hashes = WordHashes()
+        slots, uses = frequent.value
         for batch in batches:
             n, names, keys = [], [], []
             for text in batch["text"]:
                 u = shingles(text, k, hashes)
                 n.append(len(u))
                 names.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                keys.append(segment_keys(u, p).view(np.int64) if len(u) else np.zeros(0, np.int64))
+                keys.append(prefix_keys(u, p, slots, uses).view(np.int64) if len(u) else np.zeros(0, np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": n, "set_hash": names, "keys": keys})
 
     return docs.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, keys array<long>")
@@ -164,8 +155,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     case folded). The steps, none of which drops a pair that links:
 
     1. Rows with equal sets become one node, so copies cost nothing later.
-    2. Each node makes segment keys (see segment_keys); nodes with a key in common with a smaller
-       one get an edge to the smallest. Components of these edges are the clusters in which all
+    2. Each node's keys are its first shingles in one order of all, rare ones first (see
+       prefix_keys); nodes with a key in common with a smaller one get an edge to the smallest. Components of these edges are the clusters in which all
        links lie. A key's rows are streamed, not gathered.
     3. A cluster's texts meet in one task, which builds a signature tree and traverses it against
        itself; node pairs are pruned when their bitmaps and sizes allow no sufficient overlap, or
@@ -192,7 +183,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     stars = checkpoint(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
     table = checkpoint(table.drop("keys"))
     usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    del first, keys
+    del first, keys, names
     release(table.sparkSession)
     clusters = components(stars)
 
@@ -204,6 +195,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     placed = members.select("node", F.col("component").alias("cluster"), F.explode(F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node"), F.col("every")) == 0), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))))).alias("block"))
     with_text = lambda df: df.join(source.withColumnRenamed("doc_id", "node"), "node")
     links = checkpoint(tree_links(with_text(placed.withColumn("label", F.col("node"))), k, percent))
+    release(table.sparkSession)
     joined = components(links)
     if not weights.filter("blocks > 1").isEmpty():
         links = links.unionByName(across_blocks(members.filter("blocks > 1"), joined, with_text, k, percent))
