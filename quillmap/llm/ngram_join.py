@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import functools
 import hashlib
+import math
 
 import numpy as np
 import pandas as pd
@@ -19,6 +21,10 @@ BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
 PIVOTS = 64
 #: Rows of (doc_id, set_hash) at most that are broadcast, some 10 MB; more are shuffled.
 BROADCAST_ROWS = 200_000
+#: Times that segments are drawn anew while too many are empty.
+DRAWS = 24
+#: Percent from which on sets are keyed by segments, below by prefixes: the higher, the more elements a segment has.
+SEGMENTS_FROM = 85
 #: Bits of a hash that name its slot, by which frequent shingles are counted.
 SLOT_BITS = 22
 
@@ -57,6 +63,56 @@ def shingles(text: str, k: int, hashes: WordHashes) -> np.ndarray:
     return np.unique(mix(s))
 
 
+def class_starts(p: int, most: int) -> np.ndarray:
+    """First sizes of size classes, so that a set's partners of p percent are in its own class or a neighbouring one."""
+    starts = [1]
+    while starts[-1] <= most:
+        starts.append(starts[-1] * 100 // p + 1)
+    return np.array(starts)
+
+
+def segment_keys(u: np.ndarray, p: int) -> np.ndarray:
+    """Keys of which two sets with 100 * overlap >= p * union have one in common.
+
+    Such sets differ in at most d = (100 - p) / (100 + p) * (their sizes together) elements, so of
+    d + 1 + e segments of the hash space at least 1 + e hold the same elements in both. Empty
+    segments make no keys; if one of the two sets has at most e of them, a segment that both hold
+    is not empty. A set with more of them makes further keys with a new draw of the segments, and
+    so on; the pair meets in the first draw in which either has few enough. The number of segments
+    depends on the class of sizes; a set makes keys for its class and the next.
+    """
+    starts = class_starts(p, len(u))
+    own = int(np.searchsorted(starts, len(u), side="right")) - 1
+    keys = []
+    for c in (own, own + 1):
+        m, empty = segments(int(starts[c]), p)
+        v = u
+        for draw in range(DRAWS + 1):
+            if draw == DRAWS:
+                keys.append(mix(np.array([c * 1000 + 999], np.uint64)))
+                break
+            at = ((v >> np.uint64(32)) * np.uint64(m)) >> np.uint64(32)
+            begins = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+            sums = np.add.reduceat(mix(v), begins)
+            keys.append(mix(sums + at[begins] * A + np.uint64((c * 1000 + draw) * int(C) % 2**64)))
+            if m - len(begins) <= empty:
+                break
+            v = np.sort(mix(v + B))
+    return np.concatenate(keys)
+
+
+@functools.cache
+def segments(first: int, p: int) -> tuple[int, int]:
+    """Number of segments for the class of sizes that begins with `first`, and how many of them may be empty: as many as its smallest sets leave, and two deviations more."""
+    largest, least = first * 100 // p, first * p // 100
+    d = 2 * largest * (100 - p) // (100 + p)
+    empty = 0
+    for _ in range(5 if d else 0):
+        mean = (d + 1 + empty) * math.exp(-least / (d + 1 + empty))
+        empty = math.ceil(mean + 2 * math.sqrt(mean))
+    return d + 1 + empty, empty
+
+
 def slots_of(u: np.ndarray) -> np.ndarray:
     return (u >> np.uint64(64 - SLOT_BITS)).astype(np.int64)
 
@@ -100,7 +156,9 @@ def prefix_keys(u: np.ndarray, p: int, slots: np.ndarray, uses: np.ndarray) -> n
 
 def signature_table(docs: DataFrame, k: int, p: int) -> DataFrame:
     """docs: (doc_id, text_hash, text). Per row doc_id, text_hash, n_shingles, set_hash (null without words) and keys."""
-    frequent = docs.sparkSession.sparkContext.broadcast(frequent_slots(docs, k))
+    by_segments = p >= SEGMENTS_FROM
+    none = np.zeros(0, np.int64)
+    frequent = docs.sparkSession.sparkContext.broadcast((none, none) if by_segments else frequent_slots(docs, k))
 
     def sign(batches):
         hashes = WordHashes()
@@ -111,7 +169,8 @@ def signature_table(docs: DataFrame, k: int, p: int) -> DataFrame:
                 u = shingles(text, k, hashes)
                 n.append(len(u))
                 names.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                keys.append(prefix_keys(u, p, slots, uses).view(np.int64) if len(u) else np.zeros(0, np.int64))
+                own = u if not len(u) else segment_keys(u, p) if by_segments else prefix_keys(u, p, slots, uses)
+                keys.append(own.view(np.int64))
             yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": n, "set_hash": names, "keys": keys})
 
     return docs.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, keys array<long>")
@@ -155,7 +214,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     case folded). The steps, none of which drops a pair that links:
 
     1. Rows with equal sets become one node, so copies cost nothing later.
-    2. Each node's keys are its first shingles in one order of all, rare ones first (see
+    2. Each node's keys are hashes of segments of its set (see segment_keys) or, below
+       SEGMENTS_FROM percent, its first shingles in one order of all, rare ones first (see
        prefix_keys); nodes with a key in common with a smaller one get an edge to the smallest. Components of these edges are the clusters in which all
        links lie. A key's rows are streamed, not gathered.
     3. A cluster's texts meet in one task, which builds a signature tree and traverses it against
