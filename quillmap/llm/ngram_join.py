@@ -13,13 +13,13 @@ from pyspark.sql import functions as F
 
 from .common import as_text, checkpoint, read_documents, release, small_batches
 from .components import components
-from .signature_tree import join_group
+from .signature_tree import bitmap, join_group, may_join, width_for
 
 #: Shingles and documents that one task takes from a cluster at a time; larger clusters are split into blocks.
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
 #: Documents of a split cluster, about, that every block of it also gets.
 PIVOTS = 64
-#: Rows of (doc_id, set_hash) at most that are broadcast, some 10 MB; more are shuffled.
+#: Rows of (doc_id, text_hash) at most that are broadcast, some 10 MB; more are shuffled.
 BROADCAST_ROWS = 200_000
 #: Times that segments are drawn anew while some are empty.
 DRAWS = 24
@@ -109,21 +109,74 @@ def segments(first: int, p: int) -> tuple[int, int]:
     return d + 1 + empty, empty
 
 
-def signature_table(docs: DataFrame, k: int, p: int) -> DataFrame:
-    """docs: (doc_id, text_hash, text). Per row doc_id, text_hash, n_shingles, set_hash (null without words) and keys."""
+def signature_table(docs: DataFrame, k: int) -> DataFrame:
+    """docs: (doc_id, text_hash, text). Per row doc_id, text_hash, n_shingles, set_hash (null without words) and marks, the set's bitmap."""
 
     def sign(batches):
         hashes = WordHashes()
         for batch in batches:
-            n, names, keys = [], [], []
-            for text in batch["text"]:
-                u = shingles(text, k, hashes)
-                n.append(len(u))
-                names.append(hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None)
-                keys.append(segment_keys(u, p).view(np.int64) if len(u) else np.zeros(0, np.int64))
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": n, "set_hash": names, "keys": keys})
+            sets = [shingles(text, k, hashes) for text in batch["text"]]
+            names = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None for u in sets]
+            marks = [bitmap(u, width_for(len(u))).tobytes() for u in sets]
+            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": [len(u) for u in sets], "set_hash": names, "marks": marks})
 
-    return docs.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, keys array<long>")
+    return docs.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, marks binary")
+
+
+def key_table(nodes: DataFrame, k: int, p: int) -> DataFrame:
+    """nodes: (node, text). Rows (node, key)."""
+
+    def sign(batches):
+        hashes = WordHashes()
+        for batch in batches:
+            sets = [shingles(text, k, hashes) for text in batch["text"]]
+            yield pd.DataFrame({"node": batch["node"], "keys": [segment_keys(u, p).view(np.int64) if len(u) else np.zeros(0, np.int64) for u in sets]})
+
+    return nodes.mapInPandas(sign, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+
+
+def buckets_of(keys: DataFrame) -> DataFrame:
+    """Rows (bucket, n, node) of keys that several nodes have. Keys that the same nodes have make one bucket; n is its size."""
+    of_key = Window.partitionBy("key")
+    wide = keys.select("node", F.min("node").over(of_key).alias("pivot"), F.count("*").over(of_key).alias("n"), F.bit_xor(F.xxhash64("node")).over(of_key).alias("members"))
+    return wide.filter("n > 1").select(F.xxhash64("pivot", "n", "members").alias("bucket"), "n", "node").distinct()
+
+
+def bucket_links(buckets: DataFrame, signed: DataFrame, p: int) -> DataFrame:
+    """Links (a, b) among nodes whose bitmaps and sizes allow a link: per bucket a spanning forest of them, found by a signature tree.
+
+    signed: (node, n_shingles, marks). A bucket above BLOCK_DOCS is dealt into parts, and each pair
+    of parts meets in a task of its own.
+    """
+
+    def links(batches):
+        key, rows = None, []
+
+        def done():
+            ids, sizes, maps = zip(*rows)
+            labels = may_join(np.array(ids, np.int64), np.array(sizes, np.int64), maps, p)
+            return [(i, int(x)) for i, x in zip(ids, labels) if i != x]
+
+        def frame(found):
+            return pd.DataFrame({"a": [f[0] for f in found], "b": [f[1] for f in found]}, dtype="int64")
+
+        for batch in batches:
+            found = []
+            for *at, node, n, marks in zip(batch["bucket"], batch["low"], batch["high"], batch["node"], batch["n_shingles"], batch["marks"]):
+                if at != key:
+                    if len(rows) > 1:
+                        found += done()
+                    key, rows = at, []
+                rows.append((node, n, marks))
+            yield frame(found)
+        if len(rows) > 1:
+            yield frame(done())
+
+    parts = F.when(F.col("n") > BLOCK_DOCS, F.ceil(F.col("n") * 2 / BLOCK_DOCS)).otherwise(1).cast("long")
+    dealt = buckets.withColumn("parts", parts).withColumn("part", F.pmod(F.xxhash64("node"), F.col("parts")))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("parts") - 1)))
+    placed = dealt.select("bucket", F.least("part", "other").alias("low"), F.greatest("part", "other").alias("high"), "node").join(signed, "node")
+    return placed.repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "node").mapInPandas(links, "a long, b long").distinct()
 
 
 def tree_links(blocks: DataFrame, k: int, p: int) -> DataFrame:
@@ -164,13 +217,15 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     case folded). The steps, none of which drops a pair that links:
 
     1. Rows with equal sets become one node, so copies cost nothing later.
-    2. Each node makes segment keys (see segment_keys); nodes with a key in common with a smaller
-       one get an edge to the smallest. Components of these edges are the clusters in which all
-       links lie. A key's rows are streamed, not gathered.
-    3. A cluster's texts meet in one task, which builds a signature tree and traverses it against
+    2. Each node makes segment keys (see segment_keys); nodes that link have one in common. The
+       nodes of a key form a bucket; a key's rows are streamed, not gathered.
+    3. A bucket's bitmaps, without texts, build a signature tree, which is traversed against
        itself; node pairs are pruned when their bitmaps and sizes allow no sufficient overlap, or
-       when all their sets are joined already. Sets are compared exactly in the leaves.
-    4. A cluster above BLOCK_SHINGLES or BLOCK_DOCS is split into blocks that share some pivots.
+       when all their sets are joined already. The components of what remains are the clusters in
+       which all links lie.
+    4. A cluster's texts meet in one task, which builds a tree of them in the same way and compares
+       sets exactly in the leaves.
+    5. A cluster above BLOCK_SHINGLES or BLOCK_DOCS is split into blocks that share some pivots.
        What isn't joined to its largest component after that is compared with every block. So
        a large group of near copies costs as its size, and only what stays apart costs more.
 
@@ -181,20 +236,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
-    table = checkpoint(signature_table(source.withColumn("text_hash", F.xxhash64("text")), k, percent))
+    hashed = source.withColumn("text_hash", F.xxhash64("text"))
+    with_text = lambda df: df.join(source.withColumnRenamed("doc_id", "node"), "node")
+    table = checkpoint(signature_table(hashed, k))
     usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
     names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    copies = checkpoint(usable.select("doc_id", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "set_hash").distinct())
+    copies = checkpoint(usable.select("doc_id", "text_hash", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "text_hash").distinct())
     n = copies.count()
-    first = usable.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, ["doc_id", "set_hash"], "left_anti") if n else usable
-    keys = first.select(F.col("doc_id").alias("node"), F.explode("keys").alias("key"))
-    stars = keys.withColumn("pivot", F.min("node").over(Window.partitionBy("key"))).filter("node <> pivot")
-    stars = checkpoint(stars.select(F.col("pivot").alias("a"), F.col("node").alias("b")).distinct())
-    table = checkpoint(table.drop("keys"))
-    usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    del first, keys, names
+    first = hashed.filter("doc_id IS NOT NULL")
+    if n:
+        first = first.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, ["doc_id", "text_hash"], "left_anti")
+    buckets = checkpoint(buckets_of(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent)))
     release(table.sparkSession)
-    clusters = components(stars)
+    signed = usable.select(F.col("doc_id").alias("node"), "n_shingles", "marks")
+    edges = checkpoint(bucket_links(buckets, signed, percent))
+    del buckets
+    release(table.sparkSession)
+    clusters = components(edges)
 
     sized = clusters.join(usable.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
     weights = sized.groupBy("component").agg(F.sum("n").alias("n_all"), F.count("*").alias("docs"))
@@ -202,7 +260,6 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     weights = checkpoint(weights.select("component", split.alias("blocks"), F.ceil(F.col("docs") / PIVOTS).cast("long").alias("every")))
     members = checkpoint(clusters.join(weights, "component"))
     placed = members.select("node", F.col("component").alias("cluster"), F.explode(F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node"), F.col("every")) == 0), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))))).alias("block"))
-    with_text = lambda df: df.join(source.withColumnRenamed("doc_id", "node"), "node")
     links = checkpoint(tree_links(with_text(placed.withColumn("label", F.col("node"))), k, percent))
     release(table.sparkSession)
     joined = components(links)

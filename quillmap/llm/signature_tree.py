@@ -6,29 +6,38 @@ import numpy as np
 
 #: Sets in a leaf, children of a node, and bounds of the bitmaps' width.
 LEAF, FAN = 32, 8
-NARROW, WIDE = 256, 32768
+NARROW, WIDE = 64, 32768
+
+
+def width_for(n: float) -> int:
+    """Bits of a bitmap for n elements: a power of two, at least 1.5 each within the bounds."""
+    return int(2 ** np.ceil(np.log2(np.clip(1.5 * n, NARROW, WIDE))))
+
+
+def bitmap(s: np.ndarray, width: int) -> np.ndarray:
+    marks = np.zeros(width, np.uint8)
+    marks[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
+    return np.packbits(marks)
+
+
+def folded(marks: bytes, width: int) -> np.ndarray:
+    """A bitmap at a smaller width."""
+    return np.bitwise_or.reduce(np.frombuffer(marks, np.uint8).reshape(-1, width // 8))
 
 
 class SignatureTree:
     """Nodes hold the OR of their sets' bitmaps, the range of set sizes, and the most elements that a set's bitmap doesn't tell apart.
 
-    Sets are ordered by their smallest hash, so similar ones stand together.
+    Sets that are alike should stand together. Without the sets themselves, pairs that the bitmaps
+    allow are joined.
     """
 
-    def __init__(self, sets: list[np.ndarray]):
+    def __init__(self, n: np.ndarray, bits: np.ndarray, sets: list[np.ndarray] | None = None):
         self.sets = sets
-        n = np.array([len(s) for s in sets], np.int64)
-        width = int(2 ** np.ceil(np.log2(np.clip(4 * np.median(n), NARROW, WIDE))))
-        bits = np.zeros((len(sets), width // 8), np.uint8)
-        for row, s in zip(bits, sets):
-            marks = np.zeros(width, np.uint8)
-            marks[(s >> np.uint64(20)) & np.uint64(width - 1)] = 1
-            row[:] = np.packbits(marks)
-        bits = bits.view(np.uint64)
         slack = n - np.bitwise_count(bits).sum(1).astype(np.int64)
         self.leaf = (bits, n, slack)
         self.levels = []
-        low, high = np.arange(0, len(sets), LEAF), np.minimum(np.arange(LEAF, len(sets) + LEAF, LEAF), len(sets))
+        low, high = np.arange(0, len(n), LEAF), np.minimum(np.arange(LEAF, len(n) + LEAF, LEAF), len(n))
         below, step = (bits, n, n, slack), LEAF
         while True:
             at = np.arange(0, len(below[1]), step)
@@ -37,7 +46,7 @@ class SignatureTree:
             if len(at) == 1:
                 break
             step = FAN
-            low, high = low[::FAN], np.r_[low[FAN::FAN], len(sets)]
+            low, high = low[::FAN], np.r_[low[FAN::FAN], len(n)]
 
     def may_link(self, level: int, i: int, j: int, p: int) -> bool:
         """Whether the greatest overlap that the two nodes allow is enough for any pair of theirs."""
@@ -77,7 +86,7 @@ class SignatureTree:
             open_ = np.triu(open_, 1)
         for x, y in zip(*np.nonzero(open_)):
             x, y = left.start + x, right.start + y
-            if labels[x] != labels[y] and linked(self.sets[x], self.sets[y], p):
+            if labels[x] != labels[y] and (self.sets is None or linked(self.sets[x], self.sets[y], p)):
                 old, new = max(labels[x], labels[y]), min(labels[x], labels[y])
                 labels[labels == old] = new
 
@@ -93,6 +102,19 @@ def join_group(ids: np.ndarray, sets: list[np.ndarray], p: int, labels: np.ndarr
     """Label of each set: the smallest label that it reaches by links within the group; at first its own id, or what is given."""
     order = sorted(range(len(sets)), key=lambda k: (int(sets[k][0]), len(sets[k])))
     start = (ids if labels is None else labels)[order]
+    n = np.array([len(sets[k]) for k in order], np.int64)
+    width = width_for(2.5 * np.median(n))
+    bits = np.stack([bitmap(sets[k], width) for k in order]).view(np.uint64)
     out = np.empty(len(sets), np.int64)
-    out[order] = SignatureTree([sets[k] for k in order]).components(p, start.astype(np.int64))
+    out[order] = SignatureTree(n, bits, [sets[k] for k in order]).components(p, start.astype(np.int64))
+    return out
+
+
+def may_join(ids: np.ndarray, sizes: np.ndarray, maps: list[bytes], p: int) -> np.ndarray:
+    """Label of each bitmap: the smallest id that it reaches by pairs whose bitmaps and sizes allow a link."""
+    order = sorted(range(len(maps)), key=lambda k: maps[k])
+    width = 8 * min(map(len, maps))
+    bits = np.stack([folded(maps[k], width) for k in order]).view(np.uint64)
+    out = np.empty(len(maps), np.int64)
+    out[order] = SignatureTree(sizes[order], bits).components(p, ids[order].astype(np.int64))
     return out
