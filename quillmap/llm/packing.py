@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import base64
 import functools
+import os
 import zlib
 
 import numpy as np
@@ -31,7 +32,7 @@ def tokenizer_path() -> str:
 
 @functools.cache
 def tokenizer(path: str):
-    """Byte-level BPE from a file of ranks; it gives the ids of the vocabulary's JSON form, special strings being ordinary text."""
+    """Byte-level BPE from a file of ranks; it gives the ids of the vocabulary's JSON form, special strings being ordinary text. For all texts see encoder()."""
     import public_tokenizers
     import tiktoken
 
@@ -40,16 +41,41 @@ def tokenizer(path: str):
     return tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
 
 
+@functools.cache
+def encoder(path: str):
+    """text -> ids (array of uint32) of the vocabulary's JSON form, which lies beside the file of ranks, in the default setting of `tokenizers`.
+
+    The ranks give the same ids sooner, since every entry of the vocabulary is what its merges make of
+    its bytes. What they don't know goes to the JSON form: texts with a special string, which is one
+    id there, and texts on whose long runs of white space the pattern exceeds its stack in `tiktoken`.
+    """
+    from tokenizers import Tokenizer
+
+    whole = Tokenizer.from_file(os.path.splitext(path)[0] + ".json")
+    special = [t.content for t in whole.get_added_tokens_decoder().values()]
+    fast = tokenizer(path).encode_to_numpy
+
+    def encode(text: str) -> np.ndarray:
+        if not any(s in text for s in special):
+            try:
+                return fast(text, disallowed_special=())
+            except ValueError:
+                pass
+        return np.array(whole.encode(text, add_special_tokens=False).ids, np.uint32)
+
+    return encode
+
+
 def pieces_of(docs: DataFrame, path: str, window: int, with_ids: bool) -> DataFrame:
     """docs: (doc_id, text). Full windows of each document and what is left: (doc_id, start, length, doc_tokens, ids or ids_crc32)."""
 
     def cut(batches):
-        encode = tokenizer(path).encode_to_numpy
+        encode = encoder(path)
         for batch in batches:
             out = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids" if with_ids else "ids_crc32": []}
             payload = list(out.values())[-1]
             for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(encode(text, disallowed_special=()).astype("<u4"), np.uint32(END)).astype("<u4")
+                ids = np.append(encode(text).astype("<u4"), np.uint32(END)).astype("<u4")
                 for start in range(0, len(ids), window):
                     piece = ids[start : start + window]
                     out["doc_id"].append(doc_id)

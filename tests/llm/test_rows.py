@@ -146,6 +146,21 @@ def test_ids_are_those_of_the_vocabulary(texts):
         assert t.encode(text, add_special_tokens=False).ids == own.encode_to_numpy(text, disallowed_special=()).tolist()
 
 
+def test_special_strings_and_long_white_space_give_the_ids_of_the_vocabulary(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    rows = [(0, "one <|endoftext|> two"), (1, "a" + " " * 1_100_000 + "b"), (2, "<|endoftext|>"), (3, "<|endof text|>")]
+    ids = {i: [*encode(t, add_special_tokens=False).ids, packing.END] for i, t in rows}
+    assert ids[0] == [505, 220, 50256, 734, packing.END] and len(ids[1]) > 1_100_000
+    got = {}
+    for r in sorted(packing.pack(spark.createDataFrame(rows, "doc_id long, text string")).collect(), key=lambda r: r.start):
+        assert r.doc_tokens == len(ids[r.doc_id]) and r.start == len(got.setdefault(r.doc_id, []))
+        got[r.doc_id] += r.ids
+    assert got == ids
+
+
 def test_packing_is_whole_and_tight(small, texts):
     assert check_pack(packing.pack(small).collect(), {k: [t] for k, t in texts.items()}) < 0.03
 
