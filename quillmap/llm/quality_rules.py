@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame, Window
@@ -17,15 +18,13 @@ LEAST = 1e-3
 MIN_ROWS = 100
 #: Width of the fence beyond the quartiles, in interquartile ranges.
 FENCE = 3.0
-#: Per measure: the least distance of the fence from its quartile, and whether low values fail too.
-MEASURES = {
-    "symbols_per_word": (0.15, False),
-    "marks_per_word": (0.30, False),
-    "capitals_per_char": (0.05, False),
-    "dup_line_share": (0.25, False),
-    "repeat_share": (0.20, False),
-    "chars_per_word": (1.50, True),
-}
+#: Quantile that is the cutoff where the quartiles say nothing; its complement for low values.
+TOP = 0.99
+#: Per measure: whether low values fail too.
+MEASURES = {"symbols_per_word": False, "marks_per_word": False, "capitals_per_char": False, "dup_line_share": False, "repeat_share": False, "chars_per_word": True}
+#: Measures that are 0 in most texts. Their cutoffs come from the rows that are within the fences of all others.
+SPARSE = ("symbols_per_word", "dup_line_share", "repeat_share")
+GRADED = tuple(m for m in MEASURES if m not in SPARSE)
 
 
 def text_measures(text: Column) -> dict[str, Column]:
@@ -73,62 +72,85 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
     )
 
 
-def sketch(rows: DataFrame) -> DataFrame:
-    """Quantile sketch of every measure per (lang, source): counts per bucket of logarithmic width.
+def sketch(rows: DataFrame, measures: tuple[str, ...] = tuple(MEASURES)) -> DataFrame:
+    """Quantile sketch of some measures per (lang, source): counts per bucket of logarithmic width.
 
     Sketches merge by adding counts, in any order and with the same result, and any quantile
     read from one is within ACCURACY of the true value.
     """
     gamma = math.log((1 + ACCURACY) / (1 - ACCURACY))
-    values = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in MEASURES])).alias("x"))
+    values = rows.select("lang", "source", F.explode(F.array(*[F.struct(F.lit(m).alias("measure"), F.col(m).alias("v")) for m in measures])).alias("x"))
     bucket = F.when(F.col("x.v") > LEAST, F.ceil(F.log(F.col("x.v") / LEAST) / gamma)).otherwise(0).cast("int")
     return values.groupBy("lang", "source", F.col("x.measure").alias("measure"), bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
 def quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
-    """Per key and measure, its rows and the quartiles of its sketch."""
+    """Per key and measure, its rows, the quartiles of its sketch, and the outer quantiles."""
     gamma = (1 + ACCURACY) / (1 - ACCURACY)
     own = Window.partitionBy(*keys, "measure")
     ranked = merged.withColumn("upto", F.sum("n").over(own.orderBy("bucket").rowsBetween(Window.unboundedPreceding, 0))).withColumn("rows", F.sum("n").over(own))
     value = F.when(F.col("bucket") > 0, F.lit(LEAST) * F.pow(F.lit(gamma), F.col("bucket")) * (2 / (1 + gamma))).otherwise(0.0)
     at = lambda q: F.min(F.when(F.col("upto") >= q * F.col("rows"), value))
-    return ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"))
+    return ranked.groupBy(*keys, "measure").agg(F.max("rows").alias("rows"), at(0.25).alias("q1"), at(0.75).alias("q3"), at(1 - TOP).alias("bottom"), at(TOP).alias("top"))
 
 
-def fences(sketches: DataFrame) -> DataFrame:
-    """One row per (lang, source): low_<measure> and high_<measure>. Small groups take the sketch merged over their language, or over everything."""
+def fences(sketches: DataFrame, measures: tuple[str, ...]) -> DataFrame:
+    """One row per (lang, source): low_<measure> and high_<measure>. Small groups take the sketch merged over their language, or over everything.
+
+    Cutoffs are moved out by the width of a bucket, and are LEAST or more, so that values which the sketch can't tell apart fare alike.
+    """
     sketches = checkpoint(sketches)
     merged = lambda *keys: sketches.groupBy(*keys, "measure", "bucket").agg(F.sum("n").alias("n"))
+    marks = ("q1", "q3", "bottom", "top")
     own, lang, all_ = quartiles(sketches, ["lang", "source"]), quartiles(merged("lang"), ["lang"]), quartiles(merged(), [])
-    lang = lang.select(F.col("lang").alias("of_lang"), F.col("measure").alias("lang_measure"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", "q1", "q3")])
-    all_ = all_.select(F.col("measure").alias("all_measure"), *[F.col(c).alias(f"all_{c}") for c in ("q1", "q3")])
+    lang = lang.select(F.col("lang").alias("of_lang"), F.col("measure").alias("lang_measure"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", *marks)])
+    all_ = all_.select(F.col("measure").alias("all_measure"), *[F.col(c).alias(f"all_{c}") for c in marks])
     near = own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("lang_measure"))).join(F.broadcast(all_), F.col("measure") == F.col("all_measure"))
     pick = lambda q: F.when(F.col("rows") >= MIN_ROWS, F.col(q)).when(F.col("lang_rows") >= MIN_ROWS, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    near = near.select("lang", "source", "measure", pick("q1").alias("q1"), pick("q3").alias("q3"))
+    near = near.select("lang", "source", "measure", *[pick(q).alias(q) for q in marks])
+    width = (1 + ACCURACY) / (1 - ACCURACY)
+    spread = F.col("q3") - F.col("q1")
+    upper, lower = F.col("q3") + FENCE * spread, F.col("q1") - FENCE * spread
+    high = F.when(F.col("measure").isin(*SPARSE), F.greatest(upper, F.col("top"))).otherwise(F.when(spread > 0, upper).otherwise(F.col("top")))
+    low = F.when(spread > 0, lower).otherwise(F.col("bottom"))
     return near.groupBy("lang", "source").agg(
-        *[F.max(F.when(F.col("measure") == m, F.col("q3") + F.greatest(F.lit(slack), FENCE * (F.col("q3") - F.col("q1"))))).alias(f"high_{m}") for m, (slack, _) in MEASURES.items()],
-        *[F.max(F.when(F.col("measure") == m, F.col("q1") - F.greatest(F.lit(slack), FENCE * (F.col("q3") - F.col("q1"))))).alias(f"low_{m}") for m, (slack, both) in MEASURES.items() if both],
+        *[F.max(F.when(F.col("measure") == m, F.greatest(F.lit(LEAST), high * width))).alias(f"high_{m}") for m in measures],
+        *[F.max(F.when(F.col("measure") == m, low / width)).alias(f"low_{m}") for m in measures if MEASURES[m]],
     )
 
 
+def with_limits(rows: DataFrame, limits: DataFrame) -> DataFrame:
+    limits = limits.withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
+    return rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left").drop("of_lang", "of_source")
+
+
+def beyond(measure: str) -> Column:
+    high = F.col(measure) > F.col(f"high_{measure}")
+    return F.coalesce(high | (F.col(measure) < F.col(f"low_{measure}")) if MEASURES[measure] else high, F.lit(False))
+
+
 def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
     """One row per input row: doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, kept, failed (the names of the measures beyond their fence).
 
     Base rule: fewer than 50 words, or over half of the words in 3-word windows that occur
     twice. All other cutoffs come from the corpus: rows that pass the base rule feed one
     quantile sketch per language, source and measure, and a row is kept if no measure is beyond
-    its group's outer fence (FENCE interquartile ranges from the quartile). Sketching is a
-    partial aggregation, so a hot source costs no more than others.
+    its group's cutoff. That is the outer fence (FENCE interquartile ranges from the quartile).
+    For a measure that is 0 in most texts it is the quantile TOP if that is larger, taken over
+    the group's rows within the fences of the other measures, so that a share of bad texts
+    doesn't set it. Sketching is a partial aggregation, so a hot source costs no more than others.
 
     Defined cases: null text counts as empty and fails the base rule; null languages and
     sources are groups of their own; a group in which no row passes the base rule has no fence
     and nothing to keep; repeated rows are judged alike; further columns are ignored.
     """
     rows = checkpoint(measured(docs, **columns))
-    limits = fences(sketch(rows.filter(~F.col("base_failed")))).withColumnsRenamed({"lang": "of_lang", "source": "of_source"})
-    joined = rows.join(limits, F.col("lang").eqNullSafe(F.col("of_lang")) & F.col("source").eqNullSafe(F.col("of_source")), "left")
-    beyond = [F.when((F.col(m) > F.col(f"high_{m}")) | ((F.col(m) < F.col(f"low_{m}")) if both else F.lit(False)), F.lit(m)) for m, (_, both) in MEASURES.items()]
-    failed = F.array_compact(F.array(*beyond))
+    passing = rows.filter(~F.col("base_failed"))
+    graded = checkpoint(fences(sketch(passing, GRADED), GRADED))
+    within = with_limits(passing, graded).filter(~functools.reduce(Column.__or__, map(beyond, GRADED)))
+    sparse = fences(sketch(within, SPARSE), SPARSE)
+    joined = with_limits(with_limits(rows, graded), sparse)
+    failed = F.array_compact(F.array(*[F.when(beyond(m), F.lit(m)) for m in MEASURES]))
     return joined.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", (~F.col("base_failed") & (F.size(failed) == 0)).alias("kept"), F.concat_ws(",", failed).alias("failed"))
 
 

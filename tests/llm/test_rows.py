@@ -218,6 +218,24 @@ def test_rules_of_messy_rows(messy):
     assert sorted(map(rule_row, got)) == sorted(measures(t or "") for _, t, *_ in messy_rows())
 
 
+def test_cutoffs_follow_the_group_where_quartiles_are_equal(spark):
+    import random
+
+    r = random.Random(5)
+    line = lambda: " ".join("".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(3, 8))) for _ in range(5))
+
+    def text(copies, signs):
+        lines = [line() for _ in range(25 - copies)]
+        return "\n".join([*lines, *lines[:copies]]) + " #" * signs
+
+    rows = [(k, text(0, 0), "en", "plain") for k in range(298)] + [(298, text(4, 0), "en", "plain"), (299, text(0, 12), "en", "plain")]
+    rows += [(300 + k, text(4 * (k % 10 == 0), 0), "en", "listing") for k in range(300)]
+    got = {x.doc_id: x for x in quality_rules.quality_rules(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")).collect()}
+    assert "dup_line_share" in got[298].failed and "repeat_share" in got[298].failed and "symbols_per_word" in got[299].failed
+    assert not any({"dup_line_share", "repeat_share", "symbols_per_word"} & set(got[k].failed.split(",")) for k in range(300, 600))
+    assert sum(got[k].kept for k in range(298)) > 280
+
+
 def test_sketches_merge_and_hold_their_accuracy(spark):
     r = np.random.default_rng(0)
     rows = [("en", "ab"[k % 2], *[float(x)] * len(quality_rules.MEASURES)) for k, x in enumerate(r.lognormal(0, 1, 4000))]
