@@ -14,8 +14,8 @@ from .common import as_text, checkpoint, read_documents, squeeze
 ACCURACY = 0.02
 #: Values below this share the lowest bucket.
 LEAST = 1e-3
-#: A group with fewer rows takes the merged sketch of its language, or else of the whole table.
-MIN_ROWS = 100
+#: Rows with which a group's quantiles weigh as much as those of its language, and a language's as much as those of the whole table.
+EVEN_ROWS = 100
 #: Width of the fence beyond the quartiles, in interquartile ranges.
 FENCE = 3.0
 #: Quantile that is the cutoff where the quartiles say nothing; its complement for low values.
@@ -95,7 +95,7 @@ def quartiles(merged: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def fences(sketches: DataFrame, measures: tuple[str, ...]) -> DataFrame:
-    """One row per (lang, source): low_<measure> and high_<measure>. Small groups take the sketch merged over their language, or over everything.
+    """One row per (lang, source): low_<measure> and high_<measure>. A group's quantiles are blended with those of its language, and these with those of everything, by weights that grow smoothly with the rows.
 
     Cutoffs are moved out by the width of a bucket, and are LEAST or more, so that values which the sketch can't tell apart fare alike.
     """
@@ -106,8 +106,9 @@ def fences(sketches: DataFrame, measures: tuple[str, ...]) -> DataFrame:
     lang = lang.select(F.col("lang").alias("of_lang"), F.col("measure").alias("lang_measure"), *[F.col(c).alias(f"lang_{c}") for c in ("rows", *marks)])
     all_ = all_.select(F.col("measure").alias("all_measure"), *[F.col(c).alias(f"all_{c}") for c in marks])
     near = own.join(lang, F.col("lang").eqNullSafe(F.col("of_lang")) & (F.col("measure") == F.col("lang_measure"))).join(F.broadcast(all_), F.col("measure") == F.col("all_measure"))
-    pick = lambda q: F.when(F.col("rows") >= MIN_ROWS, F.col(q)).when(F.col("lang_rows") >= MIN_ROWS, F.col(f"lang_{q}")).otherwise(F.col(f"all_{q}"))
-    near = near.select("lang", "source", "measure", *[pick(q).alias(q) for q in marks])
+    weight = lambda rows: F.col(rows) / (F.col(rows) + EVEN_ROWS)
+    blend = lambda w, a, b: w * a + (1 - w) * b
+    near = near.select("lang", "source", "measure", *[blend(weight("rows"), F.col(q), blend(weight("lang_rows"), F.col(f"lang_{q}"), F.col(f"all_{q}"))).alias(q) for q in marks])
     width = (1 + ACCURACY) / (1 - ACCURACY)
     spread = F.col("q3") - F.col("q1")
     upper, lower = F.col("q3") + FENCE * spread, F.col("q1") - FENCE * spread

@@ -236,6 +236,16 @@ def test_cutoffs_follow_the_group_where_quartiles_are_equal(spark):
     assert sum(got[k].kept for k in range(298)) > 280
 
 
+def test_cutoffs_change_smoothly_with_the_rows_of_a_group(spark):
+    def high(n):
+        rows = [("en", "small", *[0.1 + 0.01 * (k % 10)] * 6) for k in range(n)] + [("en", "large", *[1 + 0.1 * (k % 10)] * 6) for k in range(1000)]
+        df = spark.createDataFrame(rows, "lang string, source string, " + ", ".join(f"{m} double" for m in quality_rules.MEASURES))
+        return quality_rules.fences(quality_rules.sketch(df), tuple(quality_rules.MEASURES)).filter("source = 'small'").first().high_marks_per_word
+
+    few, below, at, many = high(10), high(99), high(100), high(3000)
+    assert below == pytest.approx(at, rel=0.02) and few > at > many
+
+
 def test_sketches_merge_and_hold_their_accuracy(spark):
     r = np.random.default_rng(0)
     rows = [("en", "ab"[k % 2], *[float(x)] * len(quality_rules.MEASURES)) for k, x in enumerate(r.lognormal(0, 1, 4000))]
