@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from quillmap.llm.exact_dedup import drop_copies
 from quillmap.llm.mixing import take_mix
 from quillmap.llm.ngram_join import keep_first
-from quillmap.llm.packing import pack
+from quillmap.llm.packing import pack, with_digests
 from quillmap.llm.quality_classifier import keep_good
 
 
@@ -36,8 +36,8 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents with their places in sequences."""
-    return pack(docs, with_ids=False)
+    """Pieces of documents, their token ids and digests of these, with their places in sequences."""
+    return with_digests(pack(docs))
 
 
 STAGES = [

@@ -218,8 +218,18 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     return placed.select("doc_id", "start", "length", "doc_tokens", payload, F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
 
 
+def with_digests(packed: DataFrame) -> DataFrame:
+    """Rows of pack(), with ids_crc32 of their ids (as four bytes each, the lowest first)."""
+
+    @F.pandas_udf("long")
+    def digest(ids: pd.Series) -> pd.Series:
+        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
+
+    return packed.select("doc_id", "start", "length", "doc_tokens", "ids", digest("ids").alias("ids_crc32"), "sequence_id", "offset")
+
+
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(read_documents(spark, sf_dir), with_ids=False)
+    return with_digests(pack(read_documents(spark, sf_dir))).drop("ids")
 
 
 SQL = None

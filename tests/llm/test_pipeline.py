@@ -1,6 +1,8 @@
 import re
+import zlib
 
 import corpus_pipeline
+from quillmap.llm import packing
 from quillmap.llm import queries as llm_queries
 
 from .conftest import messy_rows
@@ -35,6 +37,14 @@ def test_run_leaves_no_copies_before_mixing(spark):
     assert sorted(out.select(*key).collect()) == sorted(again.select(*key).collect())
 
 
+def test_packing_gives_ids_and_their_digests(spark, small):
+    rows = corpus_pipeline.packing(spark, small, SMALL).collect()
+    assert rows and all(len(r.ids) == r.length and zlib.crc32(b"".join(i.to_bytes(4, "little") for i in r.ids)) == r.ids_crc32 for r in rows)
+    key = ["doc_id", "start", "length", "doc_tokens", "ids_crc32", "sequence_id", "offset"]
+    got = llm_queries.queries()["op1_packing"](spark, SMALL)
+    assert got.columns == key and sorted(got.collect()) == sorted(packing.pack(small, with_ids=False).select(*key).collect())
+
+
 def test_one_query_for_each_operator():
     names = list(llm_queries.queries())
     assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
