@@ -13,6 +13,7 @@ TYPE_ALIASES = {
 }
 #: A concept whose name or definition has one of these isn't about the subject. Fixed values.
 NOISE = ["patreon", "sponsor", "subscribe", "community support", "crowdfunding", "merchandise", "donation", "channel", "playlist", "click here", "like and subscribe", "notification bell"]
+#: Ranks and marks of importances, and endings of audio files. Fixed values.
 IMPORTANCE_RANK = {"core": 3, "supporting": 2, "mentioned": 1}
 IMPORTANCE_ICON = {"core": "*", "supporting": "o", "mentioned": "-"}
 AUDIO_SUFFIXES = [".wav", ".mp3", ".m4a", ".flac", ".ogg"]

@@ -1,16 +1,67 @@
-"""Cuts the lineage of loops."""
+"""State of loops, and numbering of rows, in the folder that driver and executors share."""
 
 from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir. Only a session on one machine may leave it unset; it gets a temporary one."""
+    context = spark.sparkContext
+    at = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if at:
+        return at
+    if not context.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return os.path.join(tempfile.gettempdir(), "quillmap-checkpoints")
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """A reliable checkpoint in the session's folder, so lost executors don't lose a loop's state."""
+    """A reliable checkpoint in the shared folder, so lost executors don't lose what was computed. Spark's cleaner removes it if it is on."""
     context = df.sparkSession.sparkContext
     if context.getCheckpointDir() is None:
-        context.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillmap-checkpoints"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint()
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
+
+
+class Steps:
+    """States of a loop, each written as Parquet in the shared folder and read again; all are removed at the end of the block.
+
+    A checkpoint keeps the planner's estimate of what made it, and estimates of joins multiply, so in
+    a loop they grow without bound; files have their real size. What outlives the block is cut().
+    """
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.at, self.n = spark, f"{shared_folder(spark)}/steps-{uuid.uuid4().hex}", 0
+
+    def __enter__(self) -> Steps:
+        return self
+
+    def __exit__(self, *error) -> None:
+        remove(self.spark, self.at)
+
+    def keep(self, df: DataFrame) -> DataFrame:
+        self.n += 1
+        path = f"{self.at}/{self.n}"
+        df.write.parquet(path)
+        return self.spark.read.schema(df.schema).parquet(path)
+
+
+def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
+    """Adds n, the place of each row in an order over all rows, from 0. Ranges are numbered by themselves, after the rows of the ranges before."""
+    parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranged = cut(df.repartitionByRange(parts, *order).withColumn("_range", F.spark_partition_id()))
+    sizes = ranged.groupBy("_range").agg(F.count("*").alias("_rows"))
+    before = F.coalesce(F.sum("_rows").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))  # one row per range
+    inside = F.row_number().over(Window.partitionBy("_range").orderBy(*order)) - 1
+    return ranged.withColumn("_inside", inside).join(sizes.select("_range", before.alias("_before")), "_range").withColumn("n", F.col("_before") + F.col("_inside")).drop("_range", "_inside", "_before")

@@ -57,12 +57,16 @@ def video_segments(video_id: str, segments: DataFrame) -> DataFrame:
     return out
 
 
-def segment_at(times: DataFrame, segments: DataFrame) -> DataFrame:
-    """times: (video_id, t). The first segment with start <= t < end, at most one per time."""
-    s = segments.select("video_id", "segment_id", "start", "end")
-    hit = times.join(s, "video_id").filter((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
-    first = F.row_number().over(Window.partitionBy("video_id", "t").orderBy("start", "segment_id"))
-    return hit.withColumn("rank", first).filter("rank = 1").select("video_id", "t", "segment_id")
+def segment_at(times: DataFrame, segments: DataFrame, slot: float = 60.0) -> DataFrame:
+    """times: (video_id, t). The first segment with start <= t < end, one row per time that has one.
+
+    Times and segments meet by video and by slots of `slot` seconds, so a time is compared with the
+    segments about it only and a long video isn't one key.
+    """
+    at = lambda c: F.floor(F.col(c) / slot)
+    s = segments.filter("start < end").select("video_id", "segment_id", "start", "end", F.explode(F.sequence(at("start"), at("end"))).alias("slot"))
+    hit = times.select("video_id", "t", at("t").alias("slot")).join(s, ["video_id", "slot"]).filter((F.col("start") <= F.col("t")) & (F.col("t") < F.col("end")))
+    return hit.groupBy("video_id", "t").agg(F.min_by("segment_id", F.struct("start", "segment_id")).alias("segment_id"))
 
 
 def timeline(segments: DataFrame) -> DataFrame:

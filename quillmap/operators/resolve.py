@@ -2,30 +2,56 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import math
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.picks import best_definition, best_importance, first_by
 from ..functions.text import normalize_name
-from ..functions.vector import cosine
+from ..functions.vector import FLOOR
+from .iteration import numbered
 from .traverse import components
 
+#: Vectors in a block; two blocks meet in a task.
+BLOCK_ROWS = 2048
+
 
 def similar_pairs(vectors: DataFrame, threshold: float = 0.75, blocks: int = 0) -> DataFrame:
     """vectors: (idx, embedding). (idx_a, idx_b, sim) of all pairs idx_a < idx_b with cosine >= threshold, exactly.
 
-    Every pair is looked at, as the definition asks; rows are dealt into blocks and each pair of
-    blocks meets in one group, so no side is broadcast whatever its size. blocks=0 takes one
-    block per 4096 rows.
+    Every pair is looked at, as the definition asks. Rows are dealt into blocks of BLOCK_ROWS at
+    most on average, as many at least as keep all cores busy, and each pair of blocks meets in one
+    group, where the vectors, brought to length 1, are multiplied as matrices. No side is
+    broadcast whatever its size. Rows without a vector have no pairs.
     """
-    n = blocks or max(1, -(-vectors.count() // 4096))
+    spark = vectors.sparkSession
+    rows = vectors.filter("embedding IS NOT NULL").select("idx", "embedding")
+    n = blocks or max(-(-rows.count() // BLOCK_ROWS), math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
     block = F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")
-    rows = vectors.select("idx", "embedding", block.alias("block"))
-    left = rows.withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1)))).select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), F.col("idx").alias("i"), F.col("embedding").alias("x"), F.col("block").alias("bi"))
-    right = left.select("p", "q", F.col("i").alias("j"), F.col("x").alias("y"), F.col("bi").alias("bj"))
-    inside = (F.col("p") == F.col("q")) | (F.col("bi") != F.col("bj"))
-    pairs = left.join(right, ["p", "q"]).filter((F.col("i") < F.col("j")) & inside)
-    return pairs.select(F.col("i").alias("idx_a"), F.col("j").alias("idx_b"), cosine(F.col("x"), F.col("y")).alias("sim")).filter(F.col("sim") >= threshold)
+    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    dealt = dealt.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "idx", "embedding")
+    kind = dealt.schema["idx"].dataType.simpleString()
+
+    def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
+        p, q = key
+        unit = np.array(pdf["embedding"].tolist(), np.float64)
+        unit /= np.maximum(np.sqrt((unit * unit).sum(1)), FLOOR)[:, None]
+        idx, first = pdf["idx"].to_numpy(), (pdf["block"] == p).to_numpy()
+        left, right = np.flatnonzero(first), np.flatnonzero(first if p == q else ~first)
+        out = []
+        for k in range(0, len(left), 256):
+            sim = unit[left[k : k + 256]] @ unit[right].T
+            at = np.nonzero(sim >= threshold)
+            out.append(pd.DataFrame({"i": idx[left[k : k + 256]][at[0]], "j": idx[right][at[1]], "sim": sim[at]}))
+        found = pd.concat(out) if out else pd.DataFrame({"i": idx[:0], "j": idx[:0], "sim": np.zeros(0)})
+        if p == q:
+            found = found[found["i"] < found["j"]]
+        return pd.DataFrame({"idx_a": found[["i", "j"]].min(axis=1), "idx_b": found[["i", "j"]].max(axis=1), "sim": found["sim"]})
+
+    return dealt.groupBy("p", "q").applyInPandas(compare, f"idx_a {kind}, idx_b {kind}, sim double")
 
 
 def alias_pairs(concepts: DataFrame) -> DataFrame:
@@ -41,8 +67,7 @@ def candidate_pairs(concepts: DataFrame, vectors: DataFrame, threshold: float =
 
 def batched(pairs: DataFrame, size: int = 10) -> DataFrame:
     """Numbers pairs for questions of `size` each: (idx_a, idx_b, batch_no, pair_index). The pairs of one question list are numbered in order."""
-    n = F.row_number().over(Window.orderBy("idx_a", "idx_b")) - 1
-    return pairs.select("idx_a", "idx_b", n.alias("n")).select("idx_a", "idx_b", F.floor(F.col("n") / size).alias("batch_no"), (F.col("n") % size).alias("pair_index"))
+    return numbered(pairs.select("idx_a", "idx_b"), "idx_a", "idx_b").select("idx_a", "idx_b", F.floor(F.col("n") / size).alias("batch_no"), (F.col("n") % size).alias("pair_index"))
 
 
 def with_verdicts(batches: DataFrame, answers: DataFrame) -> DataFrame:

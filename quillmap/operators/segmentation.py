@@ -103,7 +103,7 @@ def build_segments(sentences: DataFrame, boundaries: DataFrame) -> DataFrame:
     own = by_video().orderBy("sent_idx").rowsBetween(Window.unboundedPreceding, -1)
     numbered = sentences.join(marks, ["video_id", "sent_idx"], "left").withColumn("no", (F.coalesce(F.sum("mark").over(own), F.lit(0)) + 1).cast("int"))
     parts = F.transform(F.sort_array(F.collect_list(F.struct("sent_idx", "text", "start", "end", "confidence"))), lambda x: F.struct(x["text"].alias("text"), x["start"].alias("start"), x["end"].alias("end"), x["confidence"].alias("confidence")))
-    grouped = numbered.groupBy("video_id", F.col("no").alias("seg_no")).agg(F.min_by("start", "sent_idx").alias("start"), F.max_by("end", "sent_idx").alias("end"), parts.alias("sentences"), F.count("*").alias("n"), F.max(F.count("*")).over(Window.partitionBy("video_id")).alias("most"))
+    grouped = numbered.groupBy("video_id", F.col("no").alias("seg_no")).agg(F.min_by("start", "sent_idx").alias("start"), F.max_by("end", "sent_idx").alias("end"), parts.alias("sentences"), F.count("*").alias("n"))
     alone = (F.sum("n").over(by_video()) <= 1)
     text = F.array_join(F.transform("sentences", lambda x: x["text"]), " ")
     title = F.when(alone, F.lit("Full transcript")).otherwise(F.concat(F.lit("Segment "), F.col("seg_no")))

@@ -5,28 +5,30 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .iteration import cut
+from .iteration import Steps, cut
 
 #: Rounds after which what was gathered so far is written, so plans don't grow without end.
 FLAT = 16
 
+
 def reach(edges: DataFrame, target: str, max_depth: int = 10, with_target: bool = False) -> DataFrame:
     """edges: (src, dst). (name, depth) of what can be reached in 1 to max_depth steps; with_target adds the target at depth 0.
 
     Without it the target itself appears if it lies on a cycle. Each round joins the new nodes
     only, so work follows the edges seen, not the paths.
     """
-    steps = cut(edges.select("src", "dst").distinct())
-    if with_target:
-        new, depth = edges.sparkSession.createDataFrame([(target, 0)], "name string, depth int"), 0
-    else:
-        new, depth = cut(steps.filter(F.col("src") == target).select(F.col("dst").alias("name"), F.lit(1).alias("depth")).distinct()), 1
-    seen = new
-    while depth < max_depth and not new.isEmpty():
-        depth += 1
-        new = cut(steps.join(new, steps.src == new.name).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)))
-        seen = seen.unionByName(new) if depth % FLAT else cut(seen.unionByName(new))
-    return seen
+    with Steps(edges.sparkSession) as steps:
+        ways = steps.keep(edges.select("src", "dst").distinct())
+        if with_target:
+            new, depth = steps.keep(edges.sparkSession.createDataFrame([(target, 0)], "name string, depth int")), 0
+        else:
+            new, depth = steps.keep(ways.filter(F.col("src") == target).select(F.col("dst").alias("name"), F.lit(1).alias("depth")).distinct()), 1
+        seen = new
+        while depth < max_depth and not new.isEmpty():
+            depth += 1
+            new = steps.keep(ways.join(new, ways.src == new.name).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)))
+            seen = seen.unionByName(new) if depth % FLAT else steps.keep(seen.unionByName(new))
+        return cut(seen)
 
 
 def prerequisites(edges: DataFrame, target: str, max_depth: int = 10, concepts: DataFrame | None = None, locations: DataFrame | None = None) -> DataFrame:
@@ -61,20 +63,21 @@ def topo_levels(edges: DataFrame, nodes: DataFrame) -> DataFrame:
 
     edges: src needs dst. Each round frees the nodes all of whose prerequisites are placed.
     """
-    left = nodes.select("name").distinct()
-    needs = cut(induced(edges, left).select("src", "dst").distinct())
-    placed, level = None, 0
-    while True:
-        waiting = needs.join(left.withColumnRenamed("name", "dst"), "dst", "left_semi").select(F.col("src").alias("name")).distinct().withColumn("waits", F.lit(True))
-        state = cut(left.join(waiting, "name", "left"))
-        free, left = state.filter("waits is null").select("name", F.lit(level).alias("level")), state.filter("waits").select("name")
-        placed = free if placed is None else placed.unionByName(free)
-        n = state.agg(F.count("*").alias("n"), F.count("waits").alias("waiting")).first()
-        if n["waiting"] in (0, n["n"]):
-            return placed.unionByName(left.withColumn("level", F.lit(None).cast("int")))
-        level += 1
-        if level % FLAT == 0:
-            placed = cut(placed)
+    with Steps(edges.sparkSession) as steps:
+        left = steps.keep(nodes.select("name").distinct())
+        needs = steps.keep(induced(edges, left).select("src", "dst").distinct())
+        placed, level = None, 0
+        while True:
+            waiting = needs.join(left.withColumnRenamed("name", "dst"), "dst", "left_semi").select(F.col("src").alias("name")).distinct().withColumn("waits", F.lit(True))
+            state = steps.keep(left.join(waiting, "name", "left"))
+            free, left = state.filter("waits is null").select("name", F.lit(level).alias("level")), state.filter("waits").select("name")
+            placed = free if placed is None else placed.unionByName(free)
+            n = state.agg(F.count("*").alias("n"), F.count("waits").alias("waiting")).first()
+            if n["waiting"] in (0, n["n"]):
+                return cut(placed.unionByName(left.withColumn("level", F.lit(None).cast("int"))))
+            level += 1
+            if level % FLAT == 0:
+                placed = steps.keep(placed)
 
 
 def topo_order(edges: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -100,15 +103,39 @@ def learning_path(edges: DataFrame, target: str, known: list[str] = (), max_dept
     return steps, header
 
 
+def connected(edges: DataFrame) -> DataFrame:
+    """edges: (a, b) of any type with an order. (node, component), one row per node that has an edge to another: the smallest node connected to it.
+
+    Randomised contraction: in each round every node goes to the one of itself and its neighbours
+    that has the least hash, hashes being drawn anew, and edges are redrawn between what is left. That
+    halves a chain and leaves at most 2/3 of the nodes of any graph, on average, so rounds grow with
+    the logarithm of the nodes and all rounds together cost about as much as the first three. The
+    ways of a node are then followed in one plan. Least hashes are partial aggregations and look-ups
+    are joins that AQE can split, so a hub never meets in one task.
+    """
+    with Steps(edges.sparkSession) as steps:
+        left = steps.keep(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        rounds = []
+        while not left.isEmpty():
+            drawn = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("to"))
+            both = left.union(left.select("b", "a"))
+            moves = steps.keep(both.groupBy("a").agg(F.min(drawn("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", drawn("a"))["to"].alias("to")))
+            left = steps.keep(
+                left.join(moves.toDF("a", "from"), "a").join(moves.toDF("b", "to"), "b").filter("from <> to")
+                .select(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).distinct()
+            )
+            rounds.append(moves)
+        if not rounds:
+            return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
+        found = rounds[0]
+        for moves in rounds[1:]:
+            found = found.join(moves.toDF("to", "then"), "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+        found = steps.keep(found)
+        names = found.groupBy("to").agg(F.min("node").alias("component"))
+        return cut(found.join(names, "to").select("node", "component"))
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
-    """edges: (a, b); nodes: (id). (id, component): the smallest id that is connected. Minimum labels spread, with jumps to the label's label."""
-    both = cut(edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct())
-    labels = cut(nodes.select("id").distinct().withColumn("component", F.col("id")))
-    while True:
-        near = both.join(labels, both.b == labels.id).groupBy("a").agg(F.min("component").alias("near"))
-        hooked = labels.join(near, labels.id == near.a, "left").select("id", F.col("component").alias("was"), F.least("component", F.coalesce("near", "component")).alias("component"))
-        up = hooked.select(F.col("id").alias("up_id"), F.col("component").alias("up"))
-        moved = cut(hooked.join(up, F.col("component") == F.col("up_id"), "left").select("id", "was", F.coalesce("up", "component").alias("component")))
-        labels = moved.select("id", "component")
-        if moved.filter("was <> component").isEmpty():
-            return labels
+    """edges: (a, b); nodes: (id). (id, component): the smallest id that is connected."""
+    found = connected(edges.select("a", "b"))
+    return nodes.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

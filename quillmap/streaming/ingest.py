@@ -1,26 +1,47 @@
-"""New transcripts as a stream: each batch is upserted by key, so a repeated batch changes nothing."""
+"""New transcripts as a stream: sentences come out as if all words of a video had come at once."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..operators.graph import upsert
 from ..operators.sentences import group_sentences
 from ..schemas import SENTENCES, WORDS
 
+#: Folders that the videos are dealt over, by hash.
+PARTS = 64
+
 
 def stream_words(spark: SparkSession, path: str) -> DataFrame:
     return spark.readStream.schema(WORDS).parquet(path)
 
 
 def ingest(words: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Sentences of newly arrived words, kept at `table` in generations: a batch writes the next one from the one before."""
+    """Keeps words and sentences of what arrives under `table`; read_sentences() gives the sentences.
+
+    A batch adds its words, and the sentences anew of those videos that it touches, from all of their
+    words so far; of a word that comes again, the later one holds. Both go to folders of the batch's
+    own, so a repeated batch overwrites itself, and nothing of other videos is written again. Words
+    are dealt by video over PARTS folders, of which a batch reads those of its videos.
+    """
     spark = words.sparkSession
+    part = F.pmod(F.xxhash64("video_id"), F.lit(PARTS)).cast("int")
 
     def one(batch: DataFrame, number: int) -> None:
-        before = spark.createDataFrame([], SENTENCES) if number == 0 else spark.read.schema(SENTENCES).parquet(f"{table}/{number - 1}")
-        after = upsert(before, group_sentences(batch), ["video_id", "sent_idx"], ["text", "start", "end", "confidence"])
-        after.write.mode("overwrite").parquet(f"{table}/{number}")
+        batch.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{table}/words/batch={number}")
+        parts = [r[0] for r in batch.select(part).distinct().collect()]  # PARTS at most
+        kept = spark.read.option("basePath", f"{table}/words").schema(f"{WORDS}, batch long, part int").parquet(f"{table}/words").filter((F.col("batch") <= number) & F.col("part").isin(parts))
+        mine = kept.join(batch.select("video_id").distinct(), "video_id", "left_semi")
+        last = F.row_number().over(Window.partitionBy("video_id", "pos").orderBy(F.col("batch").desc()))
+        whole = mine.withColumn("last", last).filter("last = 1").select(*batch.columns)
+        group_sentences(whole).write.mode("overwrite").parquet(f"{table}/sentences/batch={number}")
 
     return words.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
+def read_sentences(spark: SparkSession, table: str) -> DataFrame:
+    """The sentences of each video from the last batch that touched it."""
+    every = spark.read.option("basePath", f"{table}/sentences").schema(f"{SENTENCES}, batch long").parquet(f"{table}/sentences")
+    last = every.groupBy("video_id").agg(F.max("batch").alias("batch"))
+    return every.join(last, ["video_id", "batch"], "left_semi").drop("batch")

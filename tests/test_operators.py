@@ -267,11 +267,96 @@ def test_source_lists(spark, tmp_path):
     assert [r[2] for r in rows(sources.gather_sources(part("b", "a"), part("a"), most=2))] == ["b", "a"]
 
 
-def test_stream_is_idempotent(spark, tmp_path):
-    from quillmap.streaming.ingest import ingest, stream_words
+def stream_in(spark, at, batches):
+    """Sentences after each batch of words arrived."""
+    from quillmap.streaming.ingest import ingest, read_sentences, stream_words
+
+    seen = []
+    for words in batches:
+        spark.createDataFrame(words, WORDS).coalesce(1).write.mode("append").parquet(str(at / "in"))
+        ingest(stream_words(spark, str(at / "in")), str(at / "table"), str(at / "marks")).awaitTermination()
+        seen.append(rows(read_sentences(spark, str(at / "table")), "video_id", "sent_idx"))
+    return seen
 
-    words = spark.createDataFrame([("v", 0, "a", 0.0, 0.1, 1.0), ("v", 1, "b.", 0.2, 0.3, 1.0)], WORDS)
-    for k in range(2):
-        words.write.mode("append").parquet(str(tmp_path / "in"))
-        ingest(stream_words(spark, str(tmp_path / "in")), str(tmp_path / "table"), str(tmp_path / "marks")).awaitTermination()
-    assert rows(spark.read.parquet(str(tmp_path / "table" / "1")).select("text")) == [("a b.",)]
+
+def test_stream_is_idempotent(spark, tmp_path):
+    words = [("v", 0, "a", 0.0, 0.1, 1.0), ("v", 1, "b.", 0.2, 0.3, 1.0)]
+    once, twice = stream_in(spark, tmp_path, [words, words])
+    assert once == twice == [("v", 0, "a b.", 0.0, 0.3, 1.0)]
+
+
+def test_stream_gives_the_sentences_of_one_batch(spark, tmp_path):
+    r = random.Random(12)
+    words, at = [], {v: 0.0 for v in "uvw"}
+    for pos in range(120):
+        for v in at:
+            at[v] += r.choice([0.3, 0.3, 2.0])
+            words.append((v, pos, r.choice(["one", "two", "three."]), round(at[v], 1), round(at[v] + 0.2, 1), 1.0))
+    cuts = [0, 17, 40, 200, len(words)]
+    late = [w for w in words if w[0] != "w"]
+    batches = [late[a:b] for a, b in zip(cuts, cuts[1:])] + [[w for w in words if w[0] == "w"]]
+    want = rows(sentences.group_sentences(spark.createDataFrame(words, WORDS)), "video_id", "sent_idx")
+    assert stream_in(spark, tmp_path, batches)[-1] == want and len(want) > 60
+
+
+def estimate_bits(df):
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()
+
+
+def test_components_of_a_long_chain(spark):
+    n = 10_000
+    chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    found = traverse.connected(chain)
+    assert rows(found.agg(F.count("*"), F.max("component"))) == [(n + 1, 0)]
+    assert estimate_bits(found) < 200
+
+
+def test_components_agree_with_a_loop(spark):
+    r = random.Random(8)
+    edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(400, k) for k in range(401, 440)] + [(500, 500), (None, 3)]
+    label = list(range(501))
+    for _ in range(500):
+        for a, b in edges:
+            if a is not None:
+                label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(edges, "a long, b long")
+    got = rows(traverse.components(df, spark.range(501)), "id")
+    assert got == list(enumerate(label))
+    assert traverse.connected(df.limit(0)).isEmpty()
+
+
+def test_topological_levels_of_a_long_chain(spark):
+    edges = spark.range(25).select(F.format_string("n%02d", F.col("id") + 1).alias("src"), F.format_string("n%02d", "id").alias("dst"))
+    got = traverse.topo_levels(edges, edges.select(F.col("src").alias("name")).union(edges.select("dst")))
+    assert rows(got, "name") == [(f"n{k:02d}", k) for k in range(26)] and estimate_bits(got) < 400
+
+
+def test_similar_pairs_agree_with_a_loop(spark):
+    import numpy as np
+
+    r = np.random.default_rng(4)
+    x = r.normal(size=(90, 6)).astype(np.float32)
+    x[7] = 0
+    unit = x.astype(float) / np.maximum(np.linalg.norm(x.astype(float), axis=1), 1e-10)[:, None]
+    want = {(i, j) for i in range(90) for j in range(i + 1, 90) if unit[i] @ unit[j] >= 0.5}
+    df = spark.createDataFrame([(k, v.tolist()) for k, v in enumerate(x)] + [(95, None)], "idx long, embedding array<float>")
+    for blocks in (0, 1, 7):
+        got = rows(resolve.similar_pairs(df, 0.5, blocks))
+        assert len(got) == len(want) and {g[:2] for g in got} == want
+        assert all(abs(g[2] - unit[g[0]] @ unit[g[1]]) < 1e-9 for g in got)
+    assert resolve.similar_pairs(df.limit(0), 0.5).isEmpty()
+
+
+def test_questions_are_numbered_in_order(spark):
+    pairs = [(k // 7, k % 7 + 100) for k in range(63)]
+    got = rows(resolve.batched(spark.createDataFrame(pairs, "idx_a long, idx_b long").repartition(5)), "idx_a", "idx_b")
+    assert got == [(*p, k // 10, k % 10) for k, p in enumerate(pairs)]
+
+
+def test_times_find_their_segment(spark):
+    r = random.Random(3)
+    segs = [(v, f"{v}{k}", float(s := r.randint(0, 400)), s + float(r.choice([0, 1, 60, 61, 300]))) for v in "ab" for k in range(30)]
+    times = [(v, float(t)) for v in "abc" for t in range(0, 700, 3)]
+    want = sorted((v, t, min((s[2], s[1]) for s in hit)[1]) for v, t in times if (hit := [s for s in segs if s[0] == v and s[2] <= t < s[3]]))
+    got = read_api.segment_at(spark.createDataFrame(times, "video_id string, t double"), spark.createDataFrame(segs, "video_id string, segment_id string, start double, end double"))
+    assert rows(got, "video_id", "t") == want
