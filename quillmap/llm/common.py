@@ -2,13 +2,15 @@
 
 from __future__ import annotations
 
-import gc
-import os
-import tempfile
+import atexit
+import functools
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iteration import cut, remove, shared_folder
+
 #: ASCII white space, as every word rule of this subpackage understands it.
 WHITE = r"[\x20\x09-\x0D]"
 
@@ -21,14 +23,43 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """Cuts the lineage with a reliable checkpoint in the folder that the session names.
 
     The files go when the frame is no longer referenced, if the session has
-    `spark.cleaner.referenceTracking.cleanCheckpoints` on. Only where no folder is
-    configured (tests on one machine) a local one is made.
+    `spark.cleaner.referenceTracking.cleanCheckpoints` on.
     """
+    return cut(df)
+
+
+#: Folders that stored() wrote and nothing has removed.
+KEPT: list[tuple[SparkSession, str]] = []
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written as Parquet in the shared folder and read again: smaller than a checkpoint, columns are read as needed, and the planner knows the real size. For what a returned frame still reads; removed by discard(), or when the process ends."""
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or os.path.join(tempfile.gettempdir(), "quillmap-checkpoints"))
-    return df.checkpoint()
+    path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    KEPT.append((spark, path))
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+@atexit.register
+def discard(since: int = 0) -> None:
+    """Removes what was stored after the first `since` folders; no frame that reads them may be used any more."""
+    while len(KEPT) > since:
+        spark, path = KEPT.pop()
+        if spark.sparkContext._jsc is not None:  # the session may have been stopped
+            remove(spark, path)
+
+
+def in_slices(f=None, *, rows: int = 500):
+    """Makes a function of Arrow batches see at most `rows` rows at a time, so what a worker holds stays small. Spark itself ends batches at 64 MB."""
+    if f is None:
+        return functools.partial(in_slices, rows=rows)
+
+    @functools.wraps(f)
+    def sliced(batches):
+        return f(b.slice(k, rows) for b in batches for k in range(0, b.num_rows, rows))
+
+    return sliced
 
 
 def shuffle_partitions(spark: SparkSession) -> int:
@@ -54,12 +85,6 @@ def crc32_of(text: Column) -> Column:
     return F.crc32(text.cast("binary")).cast("long")
 
 
-def small_batches(spark: SparkSession, rows: int = 500) -> None:
-    """Arrow batches of few rows, since texts may be long; what a Python worker holds stays small."""
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
-
-
-def release(spark: SparkSession) -> None:
-    """Has the JVM collect what isn't referenced, so Spark drops shuffle files and checkpoints of steps that are over. Changes no result."""
-    gc.collect()
-    spark.sparkContext._jvm.System.gc()
+def as_rows(docs: DataFrame) -> DataFrame:
+    """docs with each whole row as the one column `row`, so that further columns can be added whatever names the row has."""
+    return docs.select(F.struct("*").alias("row"))

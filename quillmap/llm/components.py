@@ -3,41 +3,10 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from .common import checkpoint
+from ..operators.traverse import connected
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """edges: (a, b) of longs. One row per node that has an edge: node, component (its smallest node).
-
-    Each round hooks every node to the smallest of itself and its neighbours, then contracts the
-    edges to the hooks. Minima are partial aggregations and look-ups are joins that AQE can
-    split, so a hub never meets in one task; nothing but a count of edges reaches the driver.
-    """
-    own = edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    left = checkpoint(own)
-    labels = None
-    while True:
-        both = left.unionByName(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        hooks = checkpoint(both.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("hook")))
-        if labels is None:
-            labels = hooks.toDF("node", "component")
-        else:
-            h = hooks.toDF("component", "hook")
-            labels = checkpoint(labels.join(h, "component", "left").select("node", F.coalesce("hook", "component").alias("component")))
-        from_, to = hooks.toDF("a", "a2"), hooks.toDF("b", "b2")
-        moved = left.join(from_, "a").select("a2", "b").join(to, "b").filter("a2 <> b2").select(F.least("a2", "b2").alias("a"), F.greatest("a2", "b2").alias("b")).distinct()
-        left = checkpoint(moved)
-        if left.isEmpty():
-            return _flat(labels)
-
-
-def _flat(labels: DataFrame) -> DataFrame:
-    """A hook may itself be hooked in the round that has no edge left after it; follows hooks until they end."""
-    while True:
-        up = labels.toDF("component", "higher")
-        nearer = checkpoint(labels.join(up, "component", "left").select("node", F.coalesce("higher", "component").alias("component"), (F.col("higher") != F.col("component")).alias("moved")))
-        labels = nearer.select("node", "component")
-        if nearer.filter("moved").isEmpty():
-            return labels
+    """edges: (a, b) of longs. One row per node that has an edge to another: node, component (its smallest node). Rounds grow with the logarithm of the nodes; see connected()."""
+    return connected(edges.select("a", "b"))

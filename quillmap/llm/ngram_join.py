@@ -8,10 +8,11 @@ import math
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import as_text, checkpoint, read_documents, release, small_batches
+from .common import as_rows, as_text, checkpoint, in_slices, read_documents, stored
 from .components import components
 from .signature_tree import bitmap, join_group, may_join, width_for
 
@@ -19,8 +20,6 @@ from .signature_tree import bitmap, join_group, may_join, width_for
 BLOCK_SHINGLES, BLOCK_DOCS = 2_000_000, 8192
 #: Documents of a split cluster, about, that every block of it also gets.
 PIVOTS = 64
-#: Rows of (doc_id, text_hash) at most that are broadcast, some 10 MB; more are shuffled.
-BROADCAST_ROWS = 200_000
 #: Times that segments are drawn anew while some are empty.
 DRAWS = 24
 
@@ -112,34 +111,45 @@ def segments(first: int, p: int) -> tuple[int, int]:
 def signature_table(docs: DataFrame, k: int) -> DataFrame:
     """docs: (doc_id, text_hash, text). Per row doc_id, text_hash, n_shingles, set_hash (null without words) and marks, the set's bitmap."""
 
+    @in_slices
     def sign(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(text, k, hashes) for text in batch["text"]]
+            sets = [shingles(text, k, hashes) for text in batch.column("text").to_pylist()]
             names = [hashlib.blake2b(u.tobytes(), digest_size=16).digest() if len(u) else None for u in sets]
             marks = [bitmap(u, width_for(len(u))).tobytes() for u in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"].astype("Int64"), "text_hash": batch["text_hash"], "n_shingles": [len(u) for u in sets], "set_hash": names, "marks": marks})
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("text_hash"), pa.array([len(u) for u in sets], pa.int64()), pa.array(names, pa.binary()), pa.array(marks, pa.binary())], names=["doc_id", "text_hash", "n_shingles", "set_hash", "marks"])
 
-    return docs.mapInPandas(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, marks binary")
+    return docs.mapInArrow(sign, "doc_id long, text_hash long, n_shingles long, set_hash binary, marks binary")
 
 
 def key_table(nodes: DataFrame, k: int, p: int) -> DataFrame:
     """nodes: (node, text). Rows (node, key)."""
 
+    @in_slices(rows=200)
     def sign(batches):
         hashes = WordHashes()
         for batch in batches:
-            sets = [shingles(text, k, hashes) for text in batch["text"]]
-            yield pd.DataFrame({"node": batch["node"], "keys": [segment_keys(u, p).view(np.int64) if len(u) else np.zeros(0, np.int64) for u in sets]})
+            sets = [shingles(text, k, hashes) for text in batch.column("text").to_pylist()]
+            keys = [segment_keys(u, p).view(np.int64) if len(u) else np.zeros(0, np.int64) for u in sets]
+            of = np.repeat(batch.column("node").to_numpy(), [len(x) for x in keys])
+            yield pa.RecordBatch.from_arrays([pa.array(of, pa.int64()), pa.array(np.concatenate(keys), pa.int64())], names=["node", "key"])
 
-    return nodes.mapInPandas(sign, "node long, keys array<long>").select("node", F.explode("keys").alias("key"))
+    return nodes.mapInArrow(sign, "node long, key long")
 
 
 def buckets_of(keys: DataFrame) -> DataFrame:
-    """Rows (bucket, n, node) of keys that several nodes have. Keys that the same nodes have make one bucket; n is its size."""
-    of_key = Window.partitionBy("key")
-    wide = keys.select("node", F.min("node").over(of_key).alias("pivot"), F.count("*").over(of_key).alias("n"), F.bit_xor(F.xxhash64("node")).over(of_key).alias("members"))
-    return wide.filter("n > 1").select(F.xxhash64("pivot", "n", "members").alias("bucket"), "n", "node").distinct()
+    """Rows (bucket, n, node) of keys that several nodes have. Keys that the same nodes have make one bucket; n is its size.
+
+    Keys are counted first, by partial aggregation, and nearly all have one node; only the others'
+    rows are looked at again, for which the keys are made a second time rather than kept. A key of
+    many nodes never meets in one task: counts and minima combine before the shuffle, and rows find
+    theirs by joins that AQE can split, or that are broadcast if the files are small.
+    """
+    frequent = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
+    rows = stored(keys.join(frequent, "key", "left_semi"), "key-rows")
+    sizes = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"))
+    return rows.join(sizes, "key").select(F.xxhash64("pivot", "n", "members").alias("bucket"), "n", "node").distinct()
 
 
 def bucket_links(buckets: DataFrame, signed: DataFrame, p: int) -> DataFrame:
@@ -234,34 +244,26 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     with nothing and have a null component; rows with one doc_id are judged by their own texts;
     an empty table gives no rows; further columns are ignored.
     """
-    small_batches(docs.sparkSession)
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
-    with_text = lambda df: df.join(source.withColumnRenamed("doc_id", "node"), "node")
+    with_text = lambda df: source.withColumnRenamed("doc_id", "node").join(stored(df, "blocks"), "node")
     table = checkpoint(signature_table(hashed, k))
     usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
     names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    copies = checkpoint(usable.select("doc_id", "text_hash", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "text_hash").distinct())
-    n = copies.count()
-    first = hashed.filter("doc_id IS NOT NULL")
-    if n:
-        first = first.join(F.broadcast(copies) if n <= BROADCAST_ROWS else copies, ["doc_id", "text_hash"], "left_anti")
-    buckets = checkpoint(buckets_of(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent)))
-    release(table.sparkSession)
+    copies = stored(usable.select("doc_id", "text_hash", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "text_hash").distinct(), "copies")
+    first = hashed.filter("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
+    buckets = stored(buckets_of(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent)), "buckets")
     signed = usable.select(F.col("doc_id").alias("node"), "n_shingles", "marks")
-    edges = checkpoint(bucket_links(buckets, signed, percent))
-    del buckets
-    release(table.sparkSession)
+    edges = stored(bucket_links(buckets, signed, percent), "edges")
     clusters = components(edges)
 
     sized = clusters.join(usable.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
     weights = sized.groupBy("component").agg(F.sum("n").alias("n_all"), F.count("*").alias("docs"))
     split = F.ceil(F.greatest(F.col("n_all") / BLOCK_SHINGLES, F.col("docs") / BLOCK_DOCS)).cast("long")
-    weights = checkpoint(weights.select("component", split.alias("blocks"), F.ceil(F.col("docs") / PIVOTS).cast("long").alias("every")))
-    members = checkpoint(clusters.join(weights, "component"))
+    weights = stored(weights.select("component", split.alias("blocks"), F.ceil(F.col("docs") / PIVOTS).cast("long").alias("every")), "weights")
+    members = stored(clusters.join(weights, "component"), "members")
     placed = members.select("node", F.col("component").alias("cluster"), F.explode(F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node"), F.col("every")) == 0), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))))).alias("block"))
-    links = checkpoint(tree_links(with_text(placed.withColumn("label", F.col("node"))), k, percent))
-    release(table.sparkSession)
+    links = stored(tree_links(with_text(placed.withColumn("label", F.col("node"))), k, percent), "links")
     joined = components(links)
     if not weights.filter("blocks > 1").isEmpty():
         links = links.unionByName(across_blocks(members.filter("blocks > 1"), joined, with_text, k, percent))
@@ -275,15 +277,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of docs, with all their columns, that are the smallest doc_id of their group; rows without doc_id stay."""
+    """The rows of docs, with all their columns, that are the smallest doc_id of their group. Groups are those of near_duplicates, for the defined cases too: texts without words and rows without doc_id stay, and so do repeated rows of a doc_id that stays. Any names of further columns may be given."""
     found = near_duplicates(docs, id_col, text_col, k, percent)
-    gone = found.filter("component_id <> doc_id").select(F.col("doc_id").alias("gone_id"), F.col("text_hash").alias("gone_hash")).distinct()
-    return docs.join(gone, (F.col(id_col) == F.col("gone_id")) & (F.xxhash64(as_text(F.col(text_col))) == F.col("gone_hash")), "left_anti")
+    gone = stored(found.filter("component_id <> doc_id").select("doc_id", "text_hash").distinct(), "near-copies")
+    rows = as_rows(docs).withColumns({"doc_id": F.col("row")[id_col].cast("long"), "text_hash": F.xxhash64(as_text(F.col("row")[text_col]))})
+    return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
 def across_blocks(members: DataFrame, joined: DataFrame, with_text, k: int, p: int) -> DataFrame:
     """Further links in split clusters: what is outside of a cluster's largest component, in blocks of its own, against every block."""
-    state = checkpoint(members.join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", F.col("component").alias("cluster"), "blocks", F.coalesce("label", "node").alias("label")))
+    state = stored(members.join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", F.col("component").alias("cluster"), "blocks", F.coalesce("label", "node").alias("label")), "state")
     largest = state.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     state = state.join(largest, "cluster")
     rest = state.filter("label <> largest")
@@ -293,7 +296,7 @@ def across_blocks(members: DataFrame, joined: DataFrame, with_text, k: int, p: i
     asking = rest.join(parts, "cluster").select("cluster", "node", "label", part.alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     asked = state.join(parts, "cluster").select("cluster", "node", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("b"))
     blocks = asking.unionByName(asked).distinct().select("cluster", "node", "label", name("r", "b").alias("block"))
-    return checkpoint(tree_links(with_text(blocks), k, p))
+    return stored(tree_links(with_text(blocks), k, p), "links")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
