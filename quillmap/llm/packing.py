@@ -9,19 +9,21 @@ import zlib
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType
 
-from .common import as_text, checkpoint, read_documents, small_batches
+from .common import as_text, checkpoint, in_slices, read_documents, stored
 
 #: Tokens per sequence, and the id that ends each document.
 WINDOW, END = 2048, 1
 #: Most pieces in a pattern that the solver counts; deeper ones only arise from residuals.
 DEPTH = 4
-#: Multiplicative steps of the solver.
-STEPS = 300
-#: Parts that the pieces of one length are dealt over, to number them.
-PARTS = 256
+#: Multiplicative steps of the solver, over all patterns and over the chosen ones.
+BROAD, STEPS = 30, 300
+COLUMNS = ["doc_id", "start", "length", "doc_tokens", "ids", "task", "rank"]
 
 
 def tokenizer_path() -> str:
@@ -66,56 +68,78 @@ def encoder(path: str):
     return encode
 
 
-def pieces_of(docs: DataFrame, path: str, window: int, with_ids: bool) -> DataFrame:
-    """docs: (doc_id, text). Full windows of each document and what is left: (doc_id, start, length, doc_tokens, ids or ids_crc32)."""
+def piece_table(docs: DataFrame, path: str, window: int) -> DataFrame:
+    """docs: (doc_id, text). Full windows of each document and what is left: (doc_id, start, length, doc_tokens, ids, task, rank).
 
+    task is the number of the task that cut the piece, rank its place among that task's pieces of its length.
+    """
+
+    @in_slices
     def cut(batches):
-        encode = encoder(path)
+        encode, task, seen = encoder(path), TaskContext.get().partitionId(), [0] * (window + 1)
         for batch in batches:
-            out = {"doc_id": [], "start": [], "length": [], "doc_tokens": [], "ids" if with_ids else "ids_crc32": []}
-            payload = list(out.values())[-1]
-            for doc_id, text in zip(batch["doc_id"], batch["text"]):
-                ids = np.append(encode(text).astype("<u4"), np.uint32(END)).astype("<u4")
-                for start in range(0, len(ids), window):
-                    piece = ids[start : start + window]
-                    out["doc_id"].append(doc_id)
-                    out["start"].append(start)
-                    out["length"].append(len(piece))
-                    out["doc_tokens"].append(len(ids))
-                    payload.append(piece.astype("int32") if with_ids else zlib.crc32(piece.tobytes()))
-            frame = pd.DataFrame(out)
-            frame["doc_id"] = frame["doc_id"].astype("Int64")
-            yield frame
-
-    small_batches(docs.sparkSession)
-    return docs.mapInPandas(cut, f"doc_id long, start long, length long, doc_tokens long, {'ids array<int>' if with_ids else 'ids_crc32 long'}")
+            texts = [np.append(encode(t), np.uint32(END)) for t in batch.column("text").to_pylist()]
+            tokens = np.array([len(t) for t in texts], np.int64)
+            pieces = -(-tokens // window)
+            of = np.repeat(np.arange(len(texts)), pieces)
+            start = (np.arange(len(of)) - (np.cumsum(pieces) - pieces)[of]) * window
+            length = np.minimum(window, tokens[of] - start)
+            rank = []
+            for n in length.tolist():
+                rank.append(seen[n])
+                seen[n] += 1
+            flat = np.concatenate(texts).astype(np.int32)
+            ids = pa.ListArray.from_arrays(pa.array(np.r_[0, np.cumsum(length)].astype(np.int32)), pa.array(flat))
+            doc_id = batch.column("doc_id").take(pa.array(of))
+            yield pa.RecordBatch.from_arrays([doc_id, pa.array(start), pa.array(length), pa.array(tokens[of]), ids, pa.array(np.full(len(of), task, np.int32)), pa.array(rank, pa.int64())], names=COLUMNS)
+
+    return docs.mapInArrow(cut, "doc_id long, start long, length long, doc_tokens long, ids array<int>, task int, rank long")
 
 
 def patterns(lengths: np.ndarray, window: int) -> np.ndarray:
-    """Combinations of up to DEPTH present lengths that fill the window exactly, zeros where shorter: one length, equal or graded parts of the rest."""
+    """Combinations of present lengths that fill the window exactly, zeros where shorter: all pairs and triples, and of the fours, whose number has no use, one length with equal or graded parts of the rest."""
+    lengths = lengths[(lengths > 0) & (lengths < window)]
     have = np.zeros(window + 1, bool)
     have[lengths] = True
-    found = set()
+    found = []
+    for a in [0, *lengths.tolist()]:  # the smallest of three, or none
+        b = lengths[(lengths >= a) & (2 * lengths <= window - a)]
+        b = b[have[window - a - b]]
+        found.append(np.c_[window - a - b, b, np.full(len(b), a), np.zeros(len(b), np.int64)])
     for a in lengths.tolist():
-        rest = window - a
-        for depth in range(1, DEPTH):
-            for share in (1, 2, 4):  # the second part is so many times the others
-                other = rest // (share + depth - 1)
-                split = [other] * (depth - 1)
-                combo = [a, rest - sum(split), *split]
-                if min(combo) > 0 and have[combo].all():
-                    found.add(tuple(sorted(combo, reverse=True)))
-    return np.array([c + (0,) * (DEPTH - len(c)) for c in sorted(found)], dtype=np.int64).reshape(-1, DEPTH)
+        for share in (1, 2, 4):  # the second part is so many times the others
+            other = (window - a) // (share + 2)
+            combo = [a, window - a - 2 * other, other, other]
+            if other and have[combo].all():
+                found.append(np.array([sorted(combo, reverse=True)]))
+    return np.unique(np.concatenate(found), axis=0).astype(np.int64)
 
 
 def solve(combos: np.ndarray, histogram: np.ndarray) -> np.ndarray:
-    """Repeat counts x >= 0 that minimise |A x - histogram|, A having the patterns as columns, by multiplicative steps."""
+    """Repeat counts x >= 0 that minimise |A x - histogram|, A having the patterns as columns.
+
+    Multiplicative steps over all patterns first. As there are many more patterns than lengths, an
+    optimum needs no more patterns than lengths; so the ones with the largest counts and each length's
+    best are solved again by themselves, which gives counts that survive rounding.
+    """
+    x = _multiplicative(combos, histogram, BROAD)
+    order = np.argsort(-x, kind="stable")
+    chosen = np.zeros(len(combos), bool)
+    chosen[order[: 2 * len(histogram)]] = True
+    for place in range(DEPTH):  # the first in order that has a length is its best
+        chosen[order[np.unique(combos[order, place], return_index=True)[1]]] = True
+    out = np.zeros(len(combos))
+    out[chosen] = _multiplicative(combos[chosen], histogram, STEPS)
+    return out
+
+
+def _multiplicative(combos: np.ndarray, histogram: np.ndarray, steps: int) -> np.ndarray:
     weight = (combos > 0).astype(float)
     h = histogram.astype(float)
     h[0] = 0
     pull = (h[combos] * weight).sum(1)
     x = pull / np.maximum(pull.sum(), 1) * h.sum() / 2
-    for _ in range(STEPS):
+    for _ in range(steps):
         used = np.bincount(combos.ravel(), (x[:, None] * weight).ravel(), len(h))
         x *= pull / np.maximum((used[combos] * weight).sum(1), 1e-12)
     return x
@@ -178,27 +202,31 @@ def slots(plan: list[tuple[int, tuple[int, ...]]]) -> dict[str, np.ndarray]:
     return {"length": table[:, 0], "rank": rank, "sequence": table[:, 2], "offset": table[:, 3]}
 
 
-def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, with_ids: bool = True) -> DataFrame:
-    """One row per piece: doc_id, start, length, doc_tokens, ids (or ids_crc32), sequence_id, offset.
+def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path: str | None = None, window: int = WINDOW, ids: bool = True, digests: bool = False) -> DataFrame:
+    """One row per piece: doc_id, start, length, doc_tokens, ids, ids_crc32 (where asked for), sequence_id, offset.
 
-    Each document is tokenised once, ended by END and cut into full windows and a rest. The
-    histogram of piece lengths (at most `window` bars) goes to the driver, which enumerates
-    shallow combinations that fill a window, solves their repeat counts by non-negative least
-    squares, rounds, and packs the residual pieces greedily. Workers look up a piece's place by
-    its length and its rank among the pieces of that length; ranks come from counts per length
-    and part, so no length meets in one task. The plan's size is bounded by the window too.
+    Each document is tokenised once, ended by END and cut into full windows and a rest. The pieces
+    are written to the shared folder with their ids. The histogram of piece lengths (at most
+    `window` bars) goes to the driver, which enumerates shallow combinations that fill a window,
+    solves their repeat counts by non-negative least squares, rounds, and packs the residual
+    pieces greedily. Workers look up a piece's place by its length and its rank among the pieces of
+    that length: those of earlier tasks, a sum over one row per task and length, and those before
+    it in its own. So no length meets in one task, and pieces aren't sorted or shuffled by length.
+    The plan's size is bounded by the window too.
+
+    digests adds ids_crc32, of the ids as four bytes each, the lowest first; ids=False leaves the
+    ids out of the result.
 
     Sequences hold pieces gaplessly from offset 0; only the last ones of the greedy stage have
-    padding at their end. Defined cases: null text counts as empty and gives the one id END;
-    rows with a null or repeated doc_id are packed like others; an empty table gives no rows;
-    further columns are ignored.
+    padding at their end. Defined cases: null text counts as empty and gives the one id END; a very
+    long text is cut like others, and its ids are those of `tokenizers`; rows with a null or
+    repeated doc_id are packed like others, equal ones in the order in which they are read; an
+    empty table gives no rows; further columns are ignored, whatever their names.
     """
     spark = docs.sparkSession
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
-    pieces = checkpoint(pieces_of(source, path or tokenizer_path(), window, with_ids))
-    part = F.pmod(F.xxhash64("doc_id", "start"), F.lit(PARTS)).cast("int")
-    pieces = pieces.withColumn("part", part)
-    counts = checkpoint(pieces.groupBy("length", "part").agg(F.count("*").alias("n")))
+    pieces = stored(piece_table(source, path or tokenizer_path(), window), "pieces")
+    counts = checkpoint(pieces.groupBy("task", "length").agg(F.count("*").alias("n")))
     histogram = np.zeros(window + 1, dtype=np.int64)
     for r in counts.groupBy("length").agg(F.sum("n").alias("n")).collect():
         histogram[r["length"]] = r["n"]
@@ -210,26 +238,25 @@ def pack(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
         key = np.searchsorted(t["length"] * (1 << 48) + t["rank"], length.to_numpy() * (1 << 48) + rank.to_numpy(), side="right") - 1
         return pd.DataFrame({"sequence_id": t["sequence"][key] + rank.to_numpy() - t["rank"][key], "offset": t["offset"][key]})
 
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    payload = "ids" if with_ids else "ids_crc32"
-    rank = F.row_number().over(Window.partitionBy("length", "part").orderBy("doc_id", "start")) - 1
-    ranked = pieces.withColumn("rank", rank).join(counts.select("length", "part", before.alias("before")), ["length", "part"])
-    placed = ranked.withColumn("at", look_up("length", (F.col("before") + F.col("rank")).cast("long")))
-    return placed.select("doc_id", "start", "length", "doc_tokens", payload, F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
-
-
-def with_digests(packed: DataFrame) -> DataFrame:
-    """Rows of pack(), with ids_crc32 of their ids (as four bytes each, the lowest first)."""
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("length").orderBy("task").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    payload = ["ids"] * ids + ["ids_crc32"] * digests
+    if digests:
+        pieces = pieces.withColumn("ids_crc32", digest("ids"))
+    ranked = pieces.select("doc_id", "start", "length", "doc_tokens", *payload, "task", "rank").join(counts.select("task", "length", before.alias("before")), ["task", "length"])
+    placed = ranked.withColumn("at", look_up("length", F.col("before") + F.col("rank")))
+    return placed.select("doc_id", "start", "length", "doc_tokens", *payload, F.col("at.sequence_id").alias("sequence_id"), F.col("at.offset").alias("offset"))
 
-    @F.pandas_udf("long")
-    def digest(ids: pd.Series) -> pd.Series:
-        return pd.Series([zlib.crc32(np.asarray(x, "<u4").tobytes()) for x in ids], dtype="int64")
 
-    return packed.select("doc_id", "start", "length", "doc_tokens", "ids", digest("ids").alias("ids_crc32"), "sequence_id", "offset")
+@F.arrow_udf(LongType())
+def digest(ids: pa.Array) -> pa.Array:
+    """CRC-32 of a list of ids, four bytes each, the lowest first."""
+    raw = memoryview(ids.flatten().to_numpy().astype("<u4").tobytes())
+    ends = np.cumsum(ids.value_lengths().to_numpy()) * 4
+    return pa.array([zlib.crc32(raw[a:b]) for a, b in zip([0, *ends.tolist()], ends.tolist())], pa.int64())
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return with_digests(pack(read_documents(spark, sf_dir))).drop("ids")
+    return pack(read_documents(spark, sf_dir), ids=False, digests=True)
 
 
 SQL = None
