@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import as_text, checkpoint, crc32_of, read_documents, shuffle_partitions
+from .common import as_text, checkpoint, crc32_of, read_documents, shuffle_partitions, stored
 
 
 def balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -15,12 +15,13 @@ def balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
     those totals (one row per partition) give each row its global first byte. Shard k takes
     the rows whose first byte lies in the k-th equal part of all bytes, so shards are
     contiguous in the order of doc_id and differ by one document at most. No step gathers
-    more than one range of narrow rows; the totals have a row per partition, which bounds
-    the broadcast.
+    more than one range of narrow rows; the totals have a row per partition and are written, so
+    that Spark broadcasts them by their real size or, beyond its bound, joins by partition.
 
     size is the UTF-8 length plus 1. Defined cases: null text has size 1; rows with a null
     doc_id come first; rows of one doc_id are ordered by text hash, and identical rows are
-    interchangeable; an empty table gives no rows; further columns are ignored.
+    interchangeable; a very long text is one row of its shard, which it may fill beyond the equal
+    part; an empty table gives no rows; further columns are ignored.
     """
     text = as_text(F.col(text_col))
     rows = docs.select(F.col(id_col).alias("doc_id"), (F.octet_length(text) + F.lit(1)).cast("long").alias("size"), crc32_of(text).alias("text_crc32"), F.xxhash64(text).alias("tie"))
@@ -29,18 +30,19 @@ def balanced_shards(docs: DataFrame, n_shards: int = 8, id_col: str = "doc_id",
 
     earlier = Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     totals = ranged.groupBy("part").agg(F.sum("size").alias("bytes"))
-    totals = totals.select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"), F.sum("bytes").over(Window.partitionBy()).alias("total"))
+    totals = stored(totals.select("part", F.coalesce(F.sum("bytes").over(earlier), F.lit(0)).alias("base"), F.sum("bytes").over(Window.partitionBy()).alias("total")), "totals")
     inside = Window.partitionBy("part").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
     placed = (
         ranged.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-        .join(F.broadcast(totals), "part")
+        .join(totals, "part")
         .withColumn("start_byte", F.col("base") + F.col("before"))
         .withColumn("shard", F.expr(f"cast(least({n_shards - 1}, start_byte * {n_shards} div total) as int)"))
     )
     counts = placed.groupBy("shard", "part").agg(F.count("*").alias("n"))
     counts = counts.select("shard", "part", F.coalesce(F.sum("n").over(Window.partitionBy("shard").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("slot_base"))
+    counts = stored(counts, "counts")
     slot = F.row_number().over(Window.partitionBy("part", "shard").orderBy(*order)) - 1
-    return placed.withColumn("rank", slot).join(F.broadcast(counts), ["shard", "part"]).select("doc_id", "size", "text_crc32", "start_byte", "shard", (F.col("slot_base") + F.col("rank")).cast("long").alias("slot"))
+    return placed.withColumn("rank", slot).join(counts, ["shard", "part"]).select("doc_id", "size", "text_crc32", "start_byte", "shard", (F.col("slot_base") + F.col("rank")).cast("long").alias("slot"))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
