@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import as_text, read_documents
+from .license_templates import TEMPLATES
 
 #: Words per k-gram.
 K = 4
@@ -15,27 +16,6 @@ NEAR = 3
 COVERED = 0.7
 #: Phrases that decide alone, with their labels. Fixed values.
 PHRASES = {"mit license": "mit", "apache license": "apache", "general public license": "gpl"}
-#: License notices in their public wording, with their labels. Fixed values.
-TEMPLATES = [
-    ("apache", "Licensed under the Apache License, Version 2.0"),
-    ("apache", "Licensed under the Apache License, Version 2.0 (the License); you may not use this file except in compliance with the License. You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0"),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met"),
-    ("cc-by", "This work is licensed under a Creative Commons Attribution 4.0 International License"),
-    ("cc-by", "Licensed under CC BY 4.0"),
-    ("cc-by-nc", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License"),
-    ("cc-by-nc", "Licensed under CC BY-NC 4.0"),
-    ("cc-by-sa", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License"),
-    ("cc-by-sa", "Licensed under CC BY-SA 4.0"),
-    ("gpl", "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    ("gpl", "This work is licensed under the GNU General Public License, version 3"),
-    ("isc", "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files, to deal in the Software without restriction"),
-    ("mit", "Released under the MIT License"),
-    ("mpl", "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0"),
-    ("proprietary", "All rights reserved. No part of this publication may be reproduced"),
-    ("unlicense", "This is free and unencumbered software released into the public domain"),
-]
-
 #: Everything in ASCII but digits and letters parts words.
 APART = "".join(chr(c) for c in range(128) if not chr(c).isalnum())
 
@@ -82,12 +62,15 @@ def license_scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     (position in the text less position in the template), diagonals within NEAR merge into one
     band, and a band counts as a license if it covers COVERED of the template's words within a
     span of at most twice the template's length. spans has (label, first word, word after the
-    last) of the verified ones. score is 1 with a phrase, else the largest share covered.
+    last) of the verified ones. score is 1 with a phrase, else the largest share covered. As
+    whole licenses and their opening sentences are templates of their own, cut texts are found too.
 
-    Only hits are shuffled, by document; a document's votes for one diagonal combine before.
+    Only hits are shuffled, by document; a document's votes for one diagonal combine before. The
+    broadcast has a row for each word of the templates.
     Defined cases: null text counts as empty and scores 0; without phrases first_word and
-    last_word are null; repeated rows get equal results; rows without doc_id are matched by
-    their text alone; an empty table gives no rows; further columns are ignored.
+    last_word are null; very long texts are matched whole; repeated rows get equal results; rows
+    without doc_id are matched by their text alone; an empty table gives no rows; further columns
+    are ignored, whatever their names.
     """
     base = docs.select(F.col(id_col).alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     parts = base.select("doc_id", F.xxhash64("text").alias("text_hash"), words_of(F.col("text")).alias("words"), F.lower("text").contains("license").alias("named"))
