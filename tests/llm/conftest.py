@@ -3,7 +3,7 @@ import random
 import pytest
 
 #: Further columns whose names operators use themselves.
-CLASHING = ["size", "score", "kept", "n", "words", "part", "text_hash", "component_id", "keep_id", "rank", "label", "spans", "norm", "copies"]
+CLASHING = ["size", "score", "kept", "n", "words", "part", "text_hash", "component_id", "keep_id", "rank", "label", "spans", "norm", "copies", "row", "gone_id", "gone_sha", "gone_hash", "repeated", "sha", "mix_id", "mix_hash", "mix_key", "mix_times", "times", "rows", "draw", "node", "key", "bucket", "doc", "hits", "run", "digest", "x", "quality", "task", "ids", "found", "flat"]
 
 
 def prose(r, n):

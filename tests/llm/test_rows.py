@@ -1,11 +1,15 @@
+import json
+import math
+import random
 import re
 import zlib
 
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
-from quillmap.llm import license_scan, mixing, packing, personal_data, quality_classifier, quality_rules, sharding
+from quillmap.llm import license_scan, license_templates, mixing, packing, personal_data, quality_classifier, quality_rules, sharding
 
 from .conftest import messy_rows
 
@@ -111,13 +115,13 @@ def test_tilt_solves_the_dual(spark):
 
 
 def check_pack(pieces, texts, window=2048):
-    encode = packing.tokenizer(packing.tokenizer_path()).encode_ordinary
+    encode = vocabulary()
     left = {}
     for r in pieces:
         left.setdefault(r.doc_id, []).append((r.start, tuple(r.ids)))
         assert r.length == len(r.ids)
     for doc_id, want in texts.items():
-        ids = [tuple([*encode(t), 1]) for t in want]
+        ids = [tuple([*encode(t, add_special_tokens=False).ids, 1]) for t in want]
         cut = sorted((k, x[k : k + window]) for x in ids for k in range(0, len(x), window))
         assert sorted(left[doc_id]) == cut
     seqs = {}
@@ -134,23 +138,22 @@ def check_pack(pieces, texts, window=2048):
     return padding / sum(r.length for r in pieces)
 
 
-def test_ids_are_those_of_the_vocabulary(texts):
+def vocabulary():
     import public_tokenizers
     from tokenizers import Tokenizer
 
-    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
-    sample = [*list(texts.values())[:60], "<|endoftext|> a  b\n\n c", "", "日本語 ñ é", "x" * 3000]
-    own = packing.tokenizer(packing.tokenizer_path())
-    for text in sample:
-        assert t.encode(text, add_special_tokens=False).ids == own.encode_to_numpy(text, disallowed_special=()).tolist()
+    return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
 
 
-def test_special_strings_and_long_white_space_give_the_ids_of_the_vocabulary(spark):
-    import public_tokenizers
-    from tokenizers import Tokenizer
+def test_ids_are_those_of_the_vocabulary(spark):
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.01/documents.parquet").select("text").collect()]
+    own, encode = packing.encoder(packing.tokenizer_path()), vocabulary()
+    for text in [*texts, "<|endoftext|> a  b\n\n c", "", "日本語 ñ é", "x" * 3000, "a\u00a0\u2003 b", "\ud7ff \U0001f600\u200d", "it's  we'LL\t\r\n 12345 !?"]:
+        assert encode(text, add_special_tokens=False).ids == own(text).tolist()
+
 
-    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+def test_special_strings_and_long_white_space_give_the_ids_of_the_vocabulary(spark):
+    encode = vocabulary()
     rows = [(0, "one <|endoftext|> two"), (1, "a" + " " * 1_100_000 + "b"), (2, "<|endoftext|>"), (3, "<|endof text|>")]
     ids = {i: [*encode(t, add_special_tokens=False).ids, packing.END] for i, t in rows}
     assert ids[0] == [505, 220, 50256, 734, packing.END] and len(ids[1]) > 1_100_000
@@ -171,11 +174,28 @@ def test_packing_of_messy_rows(messy):
         want.setdefault(doc_id, []).append(text or "")
     pieces = packing.pack(messy).collect()
     check_pack(pieces, want)
-    sums = packing.pack(messy, with_ids=False).collect()
+    sums = packing.pack(messy, ids=False, digests=True).collect()
     key = lambda r: (r.doc_id is None, r.doc_id or 0, r.start, r.length)
     assert sorted((*key(r), r.ids_crc32) for r in sums) == sorted((*key(r), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in pieces)
 
 
+def test_patterns_are_all_pairs_and_triples():
+    have = np.array([1, 2, 3, 5, 8, 13, 40])
+    want = {(a, b, c) for a in have for b in have for c in [0, *have] if a >= b >= c and a + b + c == 21}
+    got = packing.patterns(np.append(have, 21), 21)
+    assert {tuple(x[:3]) for x in got if not x[3]} == want and all(x.sum() == 21 and set(x) <= {0, *have} for x in got)
+
+
+def test_counts_solve_least_squares():
+    h = np.zeros(101, np.int64)
+    h[[30, 70, 20, 50, 60]] = [500, 500, 300, 400, 150]  # 70 + 30, 50 + 50, 60 + 20 + 20 and others fill the window
+    combos = packing.patterns(np.flatnonzero(h), 100)
+    x = packing.solve(combos, h)
+    used = np.bincount(combos.ravel(), np.repeat(x, packing.DEPTH), 101)
+    used[0] = 0
+    assert (x >= 0).all() and np.abs(used - h).max() < 5
+
+
 def test_plans_use_each_piece_once():
     r = np.random.default_rng(1)
     for n in (0, 5, 500, 200_000):
@@ -213,6 +233,49 @@ def test_rules_agree_with_brute_force(small, texts):
         assert not (r.kept and r.base_failed) and r.kept == (not r.base_failed and r.failed == "")
 
 
+def quantile_cutoffs(rows, measures):
+    """Cutoffs of each (lang, source) from rows (lang, source, {measure: value}), as quality_rules defines them, by plain lists."""
+    gamma = (1 + quality_rules.ACCURACY) / (1 - quality_rules.ACCURACY)
+    least = quality_rules.LEAST
+
+    def marks(values):
+        buckets = sorted(max(0, math.ceil(math.log(v / least) / math.log(gamma))) if v > least else 0 for v in values)
+        at = lambda q: buckets[max(0, math.ceil(q * len(buckets) - 1e-9) - 1)]
+        return [least * gamma**b * 2 / (1 + gamma) if b else 0.0 for b in map(at, (0.25, 0.75, 1 - quality_rules.TOP, quality_rules.TOP))]
+
+    out = {}
+    for lang, source in {(r[0], r[1]) for r in rows}:
+        for m in measures:
+            own, of_lang, all_ = ([r[2][m] for r in rows if f(r)] for f in (lambda r: r[:2] == (lang, source), lambda r: r[0] == lang, lambda r: True))
+            w, v = len(own) / (len(own) + quality_rules.EVEN_ROWS), len(of_lang) / (len(of_lang) + quality_rules.EVEN_ROWS)
+            q1, q3, bottom, top = (w * a + (1 - w) * (v * b + (1 - v) * c) for a, b, c in zip(marks(own), marks(of_lang), marks(all_)))
+            upper, spread = q3 + 3 * (q3 - q1), q3 - q1
+            high = max(upper, top) if m in quality_rules.SPARSE else upper if spread > 0 else top
+            low = (q1 - 3 * spread if spread > 0 else bottom) / gamma if quality_rules.MEASURES[m] else -1.0
+            out[lang, source, m] = (low, max(least, high * gamma))
+    return out
+
+
+def test_kept_agrees_with_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = {}
+    for r in docs.collect():
+        n_words, chars, symbols, dup, repeat, base = measures(r.text or "")
+        flat = " ".join(WORD.findall(r.text or ""))
+        lines = sum(bool(WORD.search(x)) for x in (r.text or "").split("\n"))
+        n = max(1, n_words)
+        own = {"symbols_per_word": symbols / n, "marks_per_word": len(re.findall(r"[\x21-\x40\x5B-\x60\x7B-\x7E]", flat)) / n, "capitals_per_char": len(re.findall("[A-Z]", flat)) / max(1, len(flat)), "dup_line_share": dup / max(1, lines), "repeat_share": repeat / n, "chars_per_word": chars / n}
+        rows[r.doc_id] = (r.lang, r.source, own, base)
+    passing = [r for r in rows.values() if not r[3]]
+    outside = lambda r, cut, of: {m for m in of if (r[0], r[1], m) in cut and not cut[r[0], r[1], m][0] <= r[2][m] <= cut[r[0], r[1], m][1]}
+    graded = quantile_cutoffs(passing, quality_rules.GRADED)
+    sparse = quantile_cutoffs([r for r in passing if not outside(r, graded, quality_rules.GRADED)], quality_rules.SPARSE)
+    failed = {i: outside(r, graded, quality_rules.GRADED) | outside(r, sparse, quality_rules.SPARSE) for i, r in rows.items()}
+    got = {r.doc_id: r for r in quality_rules.quality_rules(docs).collect()}
+    assert {i: set(filter(None, r.failed.split(","))) for i, r in got.items()} == failed
+    assert {i for i, r in got.items() if r.kept} == {i for i, r in rows.items() if not r[3] and not failed[i]}
+
+
 def test_rules_of_messy_rows(messy):
     got = quality_rules.quality_rules(messy).collect()
     assert sorted(map(rule_row, got)) == sorted(measures(t or "") for _, t, *_ in messy_rows())
@@ -290,6 +353,69 @@ def test_license_texts_are_found_with_insertions(spark):
     assert got[4].n_base == 3 and got[4].score == 1.0 and got[3].score < 0.5 and got[1].score > 0.7
 
 
+def license_votes(text, templates):
+    """Labels, spans and the largest share by diagonal voting, from lists of words."""
+    words_of = lambda t: re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", t.lower())
+    w, spans, best = words_of(text), set(), 0.0
+    k = license_scan.K
+    at = {}
+    for i in range(len(w) - k + 1):
+        at.setdefault(tuple(w[i : i + k]), []).append(i)
+    for label, template in templates:
+        t = words_of(template)
+        hits = sorted((i - j, i, j) for j in range(len(t) - k + 1) for i in at.get(tuple(t[j : j + k]), []))
+        bands = []
+        for hit in hits:
+            if not bands or hit[0] - bands[-1][-1][0] > license_scan.NEAR:
+                bands.append([])
+            bands[-1].append(hit)
+        for band in bands:
+            share = min(1.0, len({j + d for _, _, j in band for d in range(k)}) / len(t))
+            first, last = min(i for _, i, _ in band), max(i for _, i, _ in band) + k
+            best = max(best, share)
+            if share >= license_scan.COVERED and last - first <= 2 * len(t):
+                spans.add((label, first, last))
+    return sorted(spans), best
+
+
+def license_documents():
+    """Whole licenses as they are, cut, reworded and with insertions, within prose; and prose alone."""
+    r = random.Random(31)
+    prose = lambda n: [r.choice("this work is one of those that the people of our land have used and may copy in any way without permission or notice license software".split()) for _ in range(n)]
+    rows, labels = [], {}
+    for label, text in license_templates.WHOLE:
+        for change in ("none", "cut", "reworded", "inserted"):
+            w = text.split()
+            if change == "cut":
+                w = w[: len(w) * 4 // 5]
+            elif change == "reworded":
+                w = [x if r.random() > 0.03 else r.choice(prose(1)) for x in w]
+            elif change == "inserted":
+                w = [y for x in w for y in ([x] if r.random() > 0.02 else [x, *prose(1)])]
+            labels[len(rows)] = label
+            rows.append((len(rows), " ".join(prose(r.randint(0, 80)) + w + prose(r.randint(0, 80)))))
+    return rows + [(1000 + i, " ".join(prose(300))) for i in range(40)], labels
+
+
+def test_license_votes_agree_with_brute_force(spark):
+    rows, labels = license_documents()
+    rows += [(2000, "The MIT License and the Apache License. Licensed under CC BY 4.0"), (2001, ""), (2002, None)]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    for i, text in rows:
+        spans, best = license_votes(text or "", license_scan.TEMPLATES)
+        base = license_base(text or "")[4]
+        assert [(x["label"], x["first"], x["last"]) for x in json.loads(got[i].spans)] == spans
+        assert got[i].labels == ",".join(sorted({x[0] for x in spans} | set(filter(None, base.split(",")))))
+        assert got[i].score == (1.0 if base else pytest.approx(best))
+
+
+def test_whole_licenses_are_found_where_cut_or_reworded(spark):
+    rows, labels = license_documents()
+    got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(label in got[i] for i, label in labels.items()) >= 0.9 * len(labels)
+    assert all(got[i] == {""} for i in got if i >= 1000)
+
+
 # personal data
 
 
@@ -331,24 +457,69 @@ def test_forward_backward_agrees_with_all_segmentations():
     window = [m.span() for m in personal_data.TOKEN.finditer(text)]
     spans = personal_data.candidates(text, window)
     r = np.random.default_rng(0)
-    w = r.normal(0, 0.5, (len(personal_data.KINDS), len(next(iter(spans.values())))))
+    out = personal_data.OUTSIDE
+    w = (r.normal(0, 0.5, (out, len(next(iter(spans.values()))))), r.normal(0, 0.5, (out + 1, out + 1)))
     ways = []
     for cuts in itertools.product([0, 1], repeat=3):
         ends = [k + 1 for k, c in enumerate(cuts) if c] + [4]
         parts = list(zip([0, *ends], ends))
-        kinds = [[*range(5), None] if j - i == 1 else [*range(5)] for i, j in parts]
+        kinds = [range(out + 1) if j - i == 1 else range(out) for i, j in parts]
         ways += [list(zip(parts, ks)) for ks in itertools.product(*kinds)]
-    score = np.array([sum(w[k] @ spans[p] for p, k in way if k is not None) for way in ways])
+    follows = lambda way: list(zip([out, *[k for _, k in way]], [k for _, k in way]))
+    score = np.array([sum(w[0][k] @ spans[p] for p, k in way if k != out) + sum(w[1][f] for f in follows(way)) for way in ways])
     p = np.exp(score - score.max())
     p /= p.sum()
-    want = np.zeros_like(w)
+    want = np.zeros_like(w[0]), np.zeros_like(w[1])
     for way, q in zip(ways, p):
         for part, k in way:
-            if k is not None:
-                want[k] -= q * spans[part]
-    assert np.allclose(personal_data.gradient(spans, [], w, 4), want)
+            if k != out:
+                want[0][k] -= q * spans[part]
+        for f in follows(way):
+            want[1][f] -= q
+    got = personal_data.gradient(spans, [], w, 4)
+    want[1][out, out] += 4  # what is observed: nothing but tokens outside
+    assert np.allclose(got[0], want[0]) and np.allclose(got[1], want[1])
+    gold = [(1, 3, "phone")]
+    more = personal_data.gradient(spans, gold, w, 4)
+    assert np.allclose((more[0] - got[0])[personal_data.KINDS.index("phone")], spans[1, 3]) and (more[1] - got[1]).sum() == pytest.approx(-1)
     best = ways[int(score.argmax())]
-    assert personal_data.decode(text, window, w) == [(personal_data.KINDS[k], *personal_data.trimmed(text, window[i][0], window[j - 1][1])) for (i, j), k in best if k is not None]
+    assert personal_data.decode(text, window, w) == [(personal_data.KINDS[k], *personal_data.trimmed(text, window[i][0], window[j - 1][1])) for (i, j), k in best if k != out]
+
+
+def private_texts(r):
+    """Sentences with personal data, in wordings and forms other than the training's: (kind, span, text)."""
+    d = lambda n: "".join(r.choice("0123456789") for _ in range(n))
+    name = lambda: r.choice(["maria", "otto", "j.smith", "Wei_Chen", "support", "info-desk", "anna.k"])
+    some = lambda of, n: "".join(r.choice(of) for _ in range(n))
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    wrap = lambda x: r.choice(["Please note {} for later.", "It was sent to ({}) on Monday.", "{}", "see <{}>, thanks", "Contact: {}; then wait", "das ist {} gewesen"]).format(x)
+    for _ in range(60):
+        x = f"{name()}{r.choice(['', '+news', d(2)])}@{r.choice(['mail', 'corp', 'uni-x'])}.{r.choice(['co.uk', 'de', 'io', 'museum'])}"
+        yield "email", x, wrap(x)
+        x = ".".join(str(r.randint(0, 255)) for _ in range(4))
+        yield "ip", x, wrap(x + r.choice(["", ":8080", "/24"]))
+        x = r.choice([d(16), f"{d(4)} {d(4)} {d(4)} {d(4)}", f"{d(4)}-{d(4)}-{d(4)}-{d(4)}", d(15)])
+        yield "card", x, wrap("card " + x if not x.startswith(("978", "979")) else "card 4" + x[1:])
+        x = r.choice([f"+{d(2)} {d(3)} {d(4)} {d(3)}", f"+1-{d(3)}-{d(3)}-{d(4)}", f"+{d(2)} ({d(2)}) {d(8)}", f"+{d(12)}"])
+        yield "phone", x, wrap(x)
+        x = r.choice([some(letters, 28), some(letters + "0123456789", 22), some("0123456789abcdef", 48), some(letters + "0123456789-_", 36), some("abcdefghijklmnopqrstuvwxyz", 16)])
+        yield "secret", x, r.choice(["export DB_PASSWORD={}", "my api key: {}, keep it", 'set "clientSecret" : "{}"', "auth_token={}", "the passwd = {} was leaked"]).format(x)
+
+
+def test_recall_on_other_forms_than_those_of_training():
+    weights, found, kinds = personal_data.trained(), {}, {}
+    for kind, x, text in private_texts(random.Random(77)):
+        kinds[kind] = kinds.get(kind, 0) + 1
+        digits = lambda t: re.sub(r"[^A-Za-z0-9]", "", t)
+        spans = {(k, digits(text[a:b])) for k, a, b in personal_data.all_spans(text, weights)[1]}
+        found[kind] = found.get(kind, 0) + (any(k == kind and len(s) >= 0.9 * len(digits(x)) for k, s in spans))
+    assert all(found[k] >= 0.9 * n for k, n in kinds.items()), (found, kinds)
+
+
+def test_clean_texts_are_left_alone(texts):
+    weights = personal_data.trained()
+    clean = ["Call 911 at 10:30:00 on 2021-03-04.", "The key to success: patience and a secret of 12 words.", "Keys are 256 bits long: see https://example.org/key/management", "The password policy (section 4.2.1) requires 12 characters.", "ISBN 978-3-16-148410-0 is a book", "between 1,000,000 and 2,500,000 people", "the tokenizer and the keyboard were unremarkable", "On page 12345678 of 99999999 it says 3.14159265358979", "token: a small thing", "ratio = 0.75, step = 12"]
+    assert [personal_data.all_spans(t, weights)[1] for t in clean] == [[] for _ in clean]
 
 
 def test_personal_data_of_messy_rows(messy):
@@ -370,16 +541,59 @@ def test_held_out_accuracy(spark):
     assert (seen["predicted"] == seen["quality"]).mean() > 0.9
 
 
+def test_scores_dont_depend_on_held_out_or_unscored_columns(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{sf}/documents.parquet"), spark.read.parquet(f"{sf}/labels.parquet")
+    turned = labels.withColumn("quality", F.when(quality_classifier.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    other = docs.withColumns({"lang": F.lit("xx"), "source": F.lit(None).cast("string")})
+    scores = lambda d, x: {r.doc_id: r.score for r in quality_classifier.quality_scores(d, x).collect()}
+    assert scores(docs, labels) == pytest.approx(scores(other, turned), abs=1e-6)
+
+
+def test_scores_agree_with_a_model_fitted_in_one_place(spark):
+    """The sums over all unlabelled texts and the scores, against numpy over the whole small table."""
+    docs, labels = spark.read.parquet(f"{SMALL}/documents.parquet"), spark.read.parquet(f"{SMALL}/labels.parquet")
+    measured = quality_classifier.feature_table(docs.select("doc_id", "text"))
+    model = quality_classifier.train(measured, labels)
+    known = {r.doc_id for r in labels.collect() if r.quality is not None}
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    unl = np.array([quality_classifier.features(t) for i, t in texts.items() if i not in known and zlib.crc32(str(i).encode()) % 4 != 2])
+    assert np.allclose(model["mean"], unl.mean(0)) and np.allclose(model["scale"], np.maximum(unl.std(0), 1e-3))
+    want = {i: float(quality_classifier.score(model, np.array([quality_classifier.features(t)]))[0]) for i, t in texts.items()}
+    got = {r.doc_id: r.score for r in quality_classifier.quality_scores(docs, labels).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+
+
 def test_prior_and_risk_on_known_mixture():
     r = np.random.default_rng(0)
     pos, unl = r.normal(0, 1, (2000, 3)), np.r_[r.normal(0, 1, (2100, 3)), r.normal(4, 1, (900, 3))]
-    prior = quality_classifier.class_prior(pos, unl)
+    x = np.c_[unl, np.ones(len(unl))]
+    prior = quality_classifier.class_prior(pos, lambda ws: [quality_classifier.newton_sums(x, 0.0, np.full(len(x), 1 / len(x)), w) for w in ws])
     assert abs(prior - 0.7) < 0.1  # a linear classifier sees the plateau a little too low
     model = quality_classifier.fit_pu(pos, unl, prior) | {"mean": np.zeros(3), "scale": np.ones(3), "slope": 1.0, "shift": 0.0}
     s = quality_classifier.score(model, np.r_[r.normal(0, 1, (500, 3)), r.normal(4, 1, (500, 3))])
     assert (s[:500] > 0.5).mean() > 0.95 and (s[500:] < 0.5).mean() > 0.95
 
 
+def test_gradient_is_that_of_the_risk():
+    r = np.random.default_rng(5)
+    x, is_pos = r.normal(0, 1, (40, 3)), np.arange(40) < 15
+    theta = [r.normal(0, 1, (3, 4)), r.normal(0, 1, 4), r.normal(0, 1, 4), r.normal(0, 1, 1)]
+    for prior in (0.3, 0.95):
+        risk, grads = quality_classifier.risk_and_gradient(theta, x, is_pos, prior)
+        s = 1 / (1 + np.exp(-(np.tanh(x @ theta[0] + theta[1]) @ theta[2] + theta[3])))
+        negative = s[~is_pos].mean() - prior * s[is_pos].mean()
+        assert risk == pytest.approx(prior * (1 - s[is_pos]).mean() + max(0, negative))
+        for k, t in enumerate(theta):
+            for at in np.ndindex(t.shape):
+                moved = [u.copy() for u in theta]
+                moved[k][at] += 1e-6
+                s2 = 1 / (1 + np.exp(-(np.tanh(x @ moved[0] + moved[1]) @ moved[2] + moved[3])))
+                n2 = s2[~is_pos].mean() - prior * s2[is_pos].mean()
+                change = (prior * (1 - s2[is_pos]).mean() + n2) - (prior * (1 - s[is_pos]).mean() + negative) if negative >= 0 else negative - n2
+                assert grads[k][at] == pytest.approx(change / 1e-6, abs=1e-4)
+
+
 def test_classifier_of_messy_rows_and_few_labels(spark, messy):
     rows = len(messy_rows())
     none = spark.createDataFrame([(None, 1, 0), (0, None, 0), (33, 0, 0)], "doc_id long, quality int, toxic int")
