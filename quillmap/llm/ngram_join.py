@@ -12,6 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iteration import Steps
 from .common import as_rows, as_text, checkpoint, in_slices, read_documents, stored
 from .components import components
 from .signature_tree import bitmap, join_group, may_join, width_for
@@ -142,9 +143,9 @@ def buckets_of(keys: DataFrame) -> DataFrame:
     """Rows (bucket, n, node) of keys that several nodes have. Keys that the same nodes have make one bucket; n is its size.
 
     Keys are counted first, by partial aggregation, and nearly all have one node; only the others'
-    rows are looked at again, for which the keys are made a second time rather than kept. A key of
-    many nodes never meets in one task: counts and minima combine before the shuffle, and rows find
-    theirs by joins that AQE can split, or that are broadcast if the files are small.
+    rows are looked at again. A key of many nodes never meets in one task: counts and minima combine
+    before the shuffle, and rows find theirs by joins that AQE can split, or that are broadcast if
+    the files are small.
     """
     frequent = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
     rows = stored(keys.join(frequent, "key", "left_semi"), "key-rows")
@@ -252,7 +253,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     copies = stored(usable.select("doc_id", "text_hash", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "text_hash").distinct(), "copies")
     first = hashed.filter("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
-    buckets = stored(buckets_of(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent)), "buckets")
+    with Steps(docs.sparkSession) as steps:
+        keys = steps.keep(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent))
+        buckets = stored(buckets_of(keys), "buckets")
     signed = usable.select(F.col("doc_id").alias("node"), "n_shingles", "marks")
     edges = stored(bucket_links(buckets, signed, percent), "edges")
     clusters = components(edges)
