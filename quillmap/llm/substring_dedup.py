@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .common import as_text, in_slices, read_documents, stored
 
 #: A boundary stands where the gear hash of the last 8 bytes is the least within some stretch of so many bytes; so chunks have half of that on average. Monotonous text is cut after so many bytes each.
-STRETCH = 80
+STRETCH = 80#: Bytes that a passage can go on beside its repeated chunks: a stretch, and what its first hash looks back.
+REACH = STRETCH + 8
 #: Words that a repeated passage has at least.
 RUN_WORDS = 50
 
@@ -94,8 +95,8 @@ class Text:
     """A text's chunks and words, and how it goes on beside a chunk pair.
 
     ways(k, left) are word starts before the pair's first chunk, from the nearest on, or word ends after
-    its second one, with hashes of the text between. They go as far as a passage may that another text
-    has too and that holds no other chunk pair before or after this one.
+    its second one, with hashes of the text between. They go REACH bytes: if two texts agree farther, a
+    whole stretch that they share has a boundary there, and the chunks up to it are repeated too.
     """
 
     def __init__(self, text: str):
@@ -115,13 +116,11 @@ class Text:
         digest = lambda a, b: xxhash.xxh3_64_intdigest(self.raw[a:b])
         if left:
             b = int(self.begins[k])
-            low = int(self.begins[max(0, k - 1)]) - STRETCH - 8
-            words = np.arange(np.searchsorted(self.starts, low), np.searchsorted(self.starts, b))[::-1]
+            words = np.arange(np.searchsorted(self.starts, b - REACH), np.searchsorted(self.starts, b))[::-1]
             hashes = [digest(a, b) for a in self.starts[words].tolist()]
         else:
             e = int(self.ends[k + 1])
-            high = int(self.ends[min(len(self.ends) - 1, k + 2)]) + STRETCH + 8
-            words = np.arange(np.searchsorted(self.stops, e, side="right"), np.searchsorted(self.stops, high, side="right"))
+            words = np.arange(np.searchsorted(self.stops, e, side="right"), np.searchsorted(self.stops, e + REACH, side="right"))
             hashes = [digest(e, z) for z in self.stops[words].tolist()]
         return words, np.array(hashes, np.uint64).view(np.int64)
 
@@ -209,8 +208,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     source = source.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
     table = stored(digest_table(source), "digests")
-    several = lambda df, *keys: df.groupBy(*keys).agg(F.min("doc").alias("one"), F.max("doc").alias("other"), F.min("doc_id").alias("keep_id")).filter("one <> other")
-    shared = several(table.select("doc", "doc_id", F.explode("digests").alias("digest")), "digest").select("digest", "keep_id")
+    several = lambda df, keys, *more: df.groupBy(*keys).agg(F.min("doc").alias("one"), F.max("doc").alias("other"), *more).filter("one <> other")
+    shared = several(table.select("doc", "doc_id", F.explode("digests").alias("digest")), ["digest"], F.min("doc_id").alias("keep_id")).select("digest", "keep_id")
     hits = stored(table.select("doc", F.posexplode("digests").alias("k", "digest")).join(shared, "digest").distinct(), "hits")
     place = Window.partitionBy("doc").orderBy("k")  # of one text
     edges = hits.withColumn("run", F.col("k") - F.row_number().over(place)).groupBy("doc", "run").agg(F.min_by("digest", "k").alias("first"), F.max_by("digest", "k").alias("last"))
@@ -219,7 +218,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     per_doc = marked.groupBy("doc").agg(F.collect_list(F.struct("k", "keep_id", "l", "r")).alias("hits"))
     runs = stored(run_table(source.join(per_doc, "doc"), run_words).dropDuplicates(["doc", "run"]), "runs")
 
-    ways = several(runs.select("doc", "doc_id", F.explode(F.arrays_zip("anchor", "way")).alias("z")).select("doc", "doc_id", "z.*"), "anchor", "way").select("anchor", "way")
+    ways = several(runs.select("doc", F.explode(F.arrays_zip("anchor", "way")).alias("z")).select("doc", "z.*"), ["anchor", "way"]).select("anchor", "way")
     side = lambda name, anchor: runs.select("doc", "run", F.lit(name).alias("side"), F.col(anchor).alias("anchor"), F.posexplode(f"{name}_hash").alias("j", "way"))
     gone_on = side("left", "first").unionByName(side("right", "last")).join(ways, ["anchor", "way"], "left_semi").groupBy("doc", "run")
     reach = gone_on.agg(F.max(F.when(F.col("side") == "left", F.col("j"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("j"))).alias("r"))
