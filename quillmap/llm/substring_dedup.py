@@ -96,7 +96,8 @@ class Text:
 
     ways(k, left) are word starts before the pair's first chunk, from the nearest on, or word ends after
     its second one, with hashes of the text between. They go REACH bytes: if two texts agree farther, a
-    whole stretch that they share has a boundary there, and the chunks up to it are repeated too.
+    whole stretch that they share has a boundary there, and the chunks up to it are repeated too. Beside
+    a chunk that was cut for its length, as in monotonous text, they go one stretch farther.
     """
 
     def __init__(self, text: str):
@@ -116,11 +117,13 @@ class Text:
         digest = lambda a, b: xxhash.xxh3_64_intdigest(self.raw[a:b])
         if left:
             b = int(self.begins[k])
-            words = np.arange(np.searchsorted(self.starts, b - REACH), np.searchsorted(self.starts, b))[::-1]
+            far = REACH + STRETCH * (k > 0 and b - int(self.begins[k - 1]) >= STRETCH)
+            words = np.arange(np.searchsorted(self.starts, b - far), np.searchsorted(self.starts, b))[::-1]
             hashes = [digest(a, b) for a in self.starts[words].tolist()]
         else:
             e = int(self.ends[k + 1])
-            words = np.arange(np.searchsorted(self.stops, e, side="right"), np.searchsorted(self.stops, e + REACH, side="right"))
+            far = REACH + STRETCH * (k + 2 < len(self.ends) and int(self.ends[k + 2]) - e >= STRETCH)
+            words = np.arange(np.searchsorted(self.stops, e, side="right"), np.searchsorted(self.stops, e + far, side="right"))
             hashes = [digest(e, z) for z in self.stops[words].tolist()]
         return words, np.array(hashes, np.uint64).view(np.int64)
 
