@@ -28,6 +28,16 @@ def graph_page(concepts: DataFrame, edges: DataFrame, skip: int = 0, limit: int
     return nodes, induced(edges, nodes)
 
 
+def concept_defaults(concepts: DataFrame) -> DataFrame:
+    """Nulls as they are told: no aliases, empty texts."""
+    return concepts.withColumns({"aliases": F.coalesce("aliases", F.array().cast("array<string>"))} | {c: F.coalesce(c, F.lit("")) for c in ("type", "definition", "importance")})
+
+
+def segment_defaults(segments: DataFrame) -> DataFrame:
+    """Nulls as they are told: an empty title, times of 0."""
+    return segments.withColumns({"title": F.coalesce("title", F.lit(""))} | {c: F.coalesce(c, F.lit(0.0)) for c in ("start", "end")})
+
+
 def concept_relations(edges: DataFrame, name: str) -> DataFrame:
     """(other, type, evidence) of edges from and to the concept, without their direction."""
     out = edges.filter(F.col("src") == name).select(F.col("dst").alias("other"), "type", "evidence")

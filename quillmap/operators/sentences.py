@@ -31,3 +31,8 @@ def group_sentences(words: DataFrame, max_words: int = 50, pause: float = 1.0) -
     )
     index = F.row_number().over(Window.partitionBy("video_id").orderBy("first")) - 1
     return sentences.select("video_id", index.cast("long").alias("sent_idx"), "text", "start", "end", "confidence")
+
+
+def durations(sentences: DataFrame) -> DataFrame:
+    """(video_id, duration): where each video's last sentence ends."""
+    return sentences.groupBy("video_id").agg(F.max_by("end", "sent_idx").alias("duration"))

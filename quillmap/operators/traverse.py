@@ -41,6 +41,16 @@ def prerequisites(edges: DataFrame, target: str, max_depth: int = 10, concepts:
     return out if locations is None else out.join(first_locations(locations), "name", "left")
 
 
+def by_depth(found: DataFrame) -> DataFrame:
+    """The nearest prerequisites first, ties by name."""
+    return found.orderBy("depth", "name")
+
+
+def depth_summary(found: DataFrame) -> DataFrame:
+    """One row: how many prerequisites there are and their greatest depth, 0 without any."""
+    return found.agg(F.count("*").alias("prerequisites"), F.coalesce(F.max("depth"), F.lit(0)).alias("max_depth"))
+
+
 def concept_locations(explained_in: DataFrame, segments: DataFrame, belongs_to: DataFrame, videos: DataFrame) -> DataFrame:
     """(name, segment_id, video_id, start, end) for whole paths from a concept to a video only."""
     path = explained_in.select(F.col("concept").alias("name"), "segment_id").distinct().join(segments.select("segment_id", "start", "end"), "segment_id").join(belongs_to, "segment_id")

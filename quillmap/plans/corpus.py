@@ -57,6 +57,12 @@ VIEWS = {
         SELECT concat('e', event_id) AS example_id, concat('s', event_id % 97) AS segment_id, concat(event_type, ' by ', user_id) AS description, user_id AS concept_id FROM {events}""",
     "illustrates": """
         SELECT example_id, name AS concept FROM {examples} e JOIN {concepts} c ON c.id = e.concept_id""",
+    "responses": """
+        SELECT concat('v', o_custkey) AS video_id, concat('s', o_orderkey) AS segment_id, 'concepts' AS kind, CASE WHEN o_orderkey % 7 = 0 THEN '[]' ELSE
+               concat('[{{"name":"c', o_orderkey % 50, '","type":"model"}},{{"name":"d', o_orderkey % 11, '","definition":"told","importance":"core"}}]') END AS body FROM {orders}
+        UNION ALL SELECT concat('v', o_custkey), concat('s', o_orderkey), 'relationships', concat('[{{"from_concept":"c', o_orderkey % 50, '","to_concept":"d', o_orderkey % 11, '"', CASE WHEN o_orderkey % 2 = 0 THEN ',"type":"extends"' ELSE '' END, '}}]') FROM {orders}
+        UNION ALL SELECT concat('v', o_custkey), concat('s', o_orderkey), 'metadata', CASE WHEN o_orderkey % 3 = 0 THEN '{{"examples":[]}}' ELSE concat('{{"title":"About ', o_orderkey, '","examples":[{{"description":"e', o_orderkey % 5, '"}}]}}') END FROM {orders}
+        UNION ALL SELECT concat('v', c_custkey), 'global', 'global', '[{{"from_concept":"c1","to_concept":"d1","evidence":"across"}}]' FROM {customer}""",
     "sentence_vectors": """
         SELECT concat('v', label) AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sent_idx, vec_id, embedding FROM {embeddings}""",
     "sentences": """

@@ -56,6 +56,10 @@ first_place AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name OR
 DEPENDS = "dep AS (SELECT src, dst FROM concept_edges WHERE type = 'DEPENDS_ON')"
 
 
+#: The elements of each response that is a list, with their places.
+ANSWERED = "answered AS (SELECT video_id, segment_id, kind, unnest(range(len(a))) AS pos, unnest(a) AS c FROM (SELECT *, body::JSON::JSON[] AS a FROM responses WHERE kind <> 'metadata') r)"
+
+
 def reach(most: int, edges: str = "dep", back: int = 1, first: int = 1) -> str:
     goal = f"(SELECT name FROM concepts WHERE id = (SELECT count(*) - {back} FROM part))"
     start = f"SELECT dst AS name, 1 AS depth FROM {edges} WHERE src = {goal}" if first else f"SELECT {goal} AS name, 0 AS depth"
@@ -136,6 +140,20 @@ def oracle_sql() -> dict[str, str]:
         "json_fence_parse": "SELECT event_id, (props->>'k')::INT AS k FROM events",
         "json_defaults": f"""SELECT p_partkey, pos::INT AS pos, c->>'name' AS name, coalesce(c->>'type', 'definition') AS type, coalesce(c->>'definition', '') AS definition, coalesce(c->>'importance', 'mentioned') AS importance, coalesce(c->>'$.aliases[0]', '') AS aliases
             FROM (SELECT p_partkey, unnest([0, 1]) AS pos, unnest([j->0, j->1]) AS c FROM (SELECT p_partkey, {body}::JSON AS j FROM part) a) b""",
+        "extract_concepts": _with("responses", ANSWERED) + """ SELECT video_id, segment_id, pos::INT AS pos, c->>'name' AS name, coalesce(c->>'type', 'definition') AS type, coalesce(c->>'definition', '') AS definition, coalesce(c->>'importance', 'mentioned') AS importance, 0 AS n_aliases
+            FROM answered WHERE kind = 'concepts'""",
+        "extract_relationships": _with("responses", ANSWERED) + """ SELECT video_id, segment_id, pos::INT AS pos, c->>'from_concept' AS from_concept, c->>'to_concept' AS to_concept, coalesce(c->>'type', 'depends_on') AS type, coalesce(c->>'evidence', '') AS evidence
+            FROM answered WHERE kind = 'relationships' AND segment_id IN (SELECT segment_id FROM answered WHERE kind = 'concepts')""",
+        "extract_metadata": _with("responses segments") + """ SELECT s.segment_id, coalesce(body::JSON->>'title', s.title) AS title, CASE WHEN json_array_length(body::JSON->'examples') > 0 THEN concat(body::JSON->>'$.examples[0].description', '/') END AS example
+            FROM segments s JOIN responses r ON r.segment_id = s.segment_id AND kind = 'metadata'""",
+        "global_relationships": _with("responses", ANSWERED) + """ SELECT video_id, 'global' AS segment_id, pos::INT AS pos, c->>'from_concept' AS from_concept, c->>'to_concept' AS to_concept, coalesce(c->>'type', 'depends_on') AS type, coalesce(c->>'evidence', '') AS evidence
+            FROM answered WHERE kind = 'global' AND video_id IN (SELECT video_id FROM answered WHERE kind = 'concepts' GROUP BY video_id HAVING count(DISTINCT c->>'name') >= 2)""",
+        "concept_defaults": _with("concepts") + """ SELECT name, CASE WHEN id % 3 <> 0 THEN type ELSE '' END AS type, CASE WHEN id % 4 <> 0 THEN definition ELSE '' END AS definition, CASE WHEN id % 5 <> 0 THEN importance ELSE '' END AS importance, CASE WHEN id % 2 = 0 THEN 1 ELSE 0 END AS n_aliases FROM concepts""",
+        "segment_defaults": _with("segments") + """ SELECT segment_id, CASE WHEN seg_no % 3 <> 0 THEN title ELSE '' END AS title, CASE WHEN seg_no % 4 <> 0 THEN t0 ELSE 0.0 END AS start_s, CASE WHEN seg_no % 5 <> 0 THEN t1 ELSE 0.0 END AS end_s FROM segments""",
+        "video_durations": _with("sentences") + " SELECT video_id, arg_max(t1, sent_idx) AS duration FROM sentences GROUP BY video_id",
+        "prerequisites_summary": _with("concept_edges", DEPENDS, reach(10)) + " SELECT count(*) AS prerequisites, coalesce(max(depth), 0) AS max_depth FROM near",
+        "link_counts": _with("mentions", REGISTERED, MERGED) + """ SELECT (SELECT count(DISTINCT name) FROM mentions) AS total, (SELECT count(*) FROM merged) AS resolved, count(*) AS edges
+            FROM (SELECT DISTINCT c.name, segment_id, video_id FROM (SELECT name, unnest(list_concat([name], aliases)) AS called FROM merged) c JOIN mentions m ON m.name = c.called) e""",
         "unique_concepts": _with("mentions") + f" SELECT video_id, name, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases, (list(type ORDER BY seg_no, pos))[1] AS type, {BEST_DEF.format(o='seg_no, pos')} AS definition, {BEST_IMP.format(o='seg_no, pos')} AS importance FROM mentions GROUP BY video_id, name",
         "relationship_dedup": _with("relationships") + f""", t AS (SELECT *, {TURNED} AS turned FROM relationships), d AS (SELECT video_id, seg_no, segment_id, pos, CASE WHEN turned THEN to_concept ELSE from_concept END AS from_concept, CASE WHEN turned THEN from_concept ELSE to_concept END AS to_concept, type, evidence FROM t)
             SELECT segment_id, pos, from_concept, to_concept, type, evidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg_no, from_concept, to_concept, type ORDER BY pos) AS nth FROM d) x WHERE nth = 1""",

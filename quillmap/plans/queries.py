@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import responses, text
 from ..functions.picks import best_definition, best_importance
 from ..functions.vector import cosine
-from ..operators import graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse
+from ..operators import extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse
 from ..sources import documents as sources
 from .corpus import mentions, view, words
 
@@ -242,6 +242,34 @@ def json_defaults(spark, d):
     return c.select("p_partkey", "pos", "c.name", "c.type", "c.definition", "c.importance", F.array_join("c.aliases", "|").alias("aliases"))
 
 
+def _answers(spark, d):
+    return view(spark, d, "responses"), view(spark, d, "segments")
+
+
+@query
+def extract_concepts(spark, d):
+    return extraction.extract_mentions(*_answers(spark, d)).select("video_id", "segment_id", "pos", "name", "type", "definition", "importance", F.size("aliases").alias("n_aliases"))
+
+
+@query
+def extract_relationships(spark, d):
+    r, s = _answers(spark, d)
+    return extraction.extract_relationships(r, s, extraction.extract_mentions(r, s)).select("video_id", "segment_id", "pos", "from_concept", "to_concept", "type", "evidence")
+
+
+@query
+def extract_metadata(spark, d):
+    titled, examples, _ = extraction.extract_metadata(*_answers(spark, d))
+    told = examples.select("segment_id", F.concat_ws("/", "description", "illustrates").alias("example"))
+    return titled.select("segment_id", "title").join(told, "segment_id", "left")
+
+
+@query
+def global_relationships(spark, d):
+    r, s = _answers(spark, d)
+    return extraction.global_relationships(r, extraction.extract_mentions(r, s)).select("video_id", "segment_id", "pos", "from_concept", "to_concept", "type", "evidence")
+
+
 # knowledge
 
 
@@ -376,6 +404,24 @@ def interval_lookup(spark, d):
     return read_api.segment_at(times, view(spark, d, "segments"))
 
 
+@query
+def concept_defaults(spark, d):
+    c = view(spark, d, "concepts").withColumns({c: F.when(F.col("id") % k != 0, F.col(c)) for c, k in (("type", 3), ("definition", 4), ("importance", 5))}).withColumn("aliases", F.when(F.col("id") % 2 == 0, F.array("type")))
+    return read_api.concept_defaults(c).select("name", "type", "definition", "importance", F.size("aliases").alias("n_aliases"))
+
+
+@query
+def segment_defaults(spark, d):
+    s = view(spark, d, "segments")
+    none = s.withColumns({"title": F.when(F.col("seg_no") % 3 != 0, F.col("title")), "start": F.when(F.col("seg_no") % 4 != 0, F.col("start")), "end": F.when(F.col("seg_no") % 5 != 0, F.col("end"))})
+    return read_api.segment_defaults(none).select("segment_id", "title", F.col("start").alias("start_s"), F.col("end").alias("end_s"))
+
+
+@query
+def video_durations(spark, d):
+    return sentences.durations(view(spark, d, "sentences"))
+
+
 @query
 def timeline(spark, d):
     out = read_api.timeline(view(spark, d, "segments"))
@@ -417,6 +463,11 @@ def prerequisites_bounded(spark, d):
     return traverse.prerequisites(_depends(spark, d), _target(spark, d), 4).select("name", "depth")
 
 
+@query
+def prerequisites_summary(spark, d):
+    return traverse.depth_summary(traverse.prerequisites(_depends(spark, d), _target(spark, d), 10))
+
+
 @query
 def prereq_cyclic(spark, d):
     return traverse.prerequisites(view(spark, d, "cyclic_edges"), _target(spark, d, 100), 20).select("name", "depth")
@@ -493,5 +544,12 @@ def cross_links(spark, d):
     return resolve.link_across(merged, seen, 2)[0]
 
 
+@query
+def link_counts(spark, d):
+    merged = resolve.apply_merges(_concepts(spark, d), _verdicts(spark, d))
+    first, seen = resolve.concept_appearances(mentions(spark, d))
+    return resolve.link_across(merged, seen, 2)[1].crossJoin(first.agg(F.count("*").alias("total"))).select("total", "resolved", "edges")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return dict(REGISTRY)
