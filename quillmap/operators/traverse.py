@@ -118,7 +118,8 @@ def connected(edges: DataFrame) -> DataFrame:
 
     Randomised contraction: in each round every node goes to the one of itself and its neighbours
     that has the least hash, hashes being drawn anew, and edges are redrawn between what is left. That
-    halves a chain and leaves at most 2/3 of the nodes of any graph, on average, so rounds grow with
+    halves a chain and leaves at most 2/3 of the nodes of any graph, on average (the first round goes by
+    the nodes themselves, which ends stars about their smallest node at once), so rounds grow with
     the logarithm of the nodes and all rounds together cost about as much as the first three. The
     ways of a node are then followed in one plan. Least hashes are partial aggregations and look-ups
     are joins that AQE can split, so a hub never meets in one task.
@@ -127,7 +128,7 @@ def connected(edges: DataFrame) -> DataFrame:
         left = steps.keep(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         rounds = []
         while not left.isEmpty():
-            drawn = lambda c: F.struct(F.xxhash64(c, F.lit(len(rounds))).alias("h"), F.col(c).alias("to"))
+            drawn = lambda c: F.struct((F.xxhash64(c, F.lit(len(rounds))) if rounds else F.lit(0).cast("long")).alias("h"), F.col(c).alias("to"))
             both = left.union(left.select("b", "a"))
             moves = steps.keep(both.groupBy("a").agg(F.min(drawn("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", drawn("a"))["to"].alias("to")))
             left = steps.keep(
