@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from .common import as_text, in_slices, read_documents, stored
 
 #: A boundary stands where the gear hash of the last 8 bytes is the least within some stretch of so many bytes; so chunks have half of that on average. Monotonous text is cut after so many bytes each.
-STRETCH = 80#: Bytes that a passage can go on beside its repeated chunks: a stretch, and what its first hash looks back.
+STRETCH = 80
+#: Bytes that a passage can go on beside its repeated chunks: a stretch, and what its first hash looks back.
 REACH = STRETCH + 8
 #: Words that a repeated passage has at least.
 RUN_WORDS = 50
