@@ -97,8 +97,11 @@ class Text:
 
     ways(k, left) are word starts before the pair's first chunk, from the nearest on, or word ends after
     its second one, with hashes of the text between. They go REACH bytes: if two texts agree farther, a
-    whole stretch that they share has a boundary there, and the chunks up to it are repeated too. Beside
-    a chunk that was cut for its length, as in monotonous text, they go one stretch farther.
+    whole stretch that they share has a boundary there, and the chunks up to it are repeated too. That
+    holds if the pair is as long as REACH. A shorter one leaves room for a stretch that spans it and begins
+    or ends where the texts differ, which may give one of them a boundary more beside the pair; then ways
+    go REACH bytes from the next boundary. They also do beside a chunk that was cut for its length, as in
+    monotonous text.
     """
 
     def __init__(self, text: str):
@@ -116,14 +119,17 @@ class Text:
         import xxhash
 
         digest = lambda a, b: xxhash.xxh3_64_intdigest(self.raw[a:b])
+        short = self.ends[k + 1] - self.begins[k] < REACH
         if left:
             b = int(self.begins[k])
-            far = REACH + STRETCH * (k > 0 and b - int(self.begins[k - 1]) >= STRETCH)
+            beside = b - int(self.begins[max(0, k - 1)])
+            far = REACH + beside * (short or beside >= STRETCH)
             words = np.arange(np.searchsorted(self.starts, b - far), np.searchsorted(self.starts, b))[::-1]
             hashes = [digest(a, b) for a in self.starts[words].tolist()]
         else:
             e = int(self.ends[k + 1])
-            far = REACH + STRETCH * (k + 2 < len(self.ends) and int(self.ends[k + 2]) - e >= STRETCH)
+            beside = int(self.ends[min(len(self.ends) - 1, k + 2)]) - e
+            far = REACH + beside * (short or beside >= STRETCH)
             words = np.arange(np.searchsorted(self.stops, e, side="right"), np.searchsorted(self.stops, e + far, side="right"))
             hashes = [digest(e, z) for z in self.stops[words].tolist()]
         return words, np.array(hashes, np.uint64).view(np.int64)
