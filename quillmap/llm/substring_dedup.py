@@ -7,6 +7,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.iteration import Steps
 from .common import as_text, in_slices, read_documents, stored
 
 #: A boundary stands where the gear hash of the last 8 bytes is the least within some stretch of so many bytes; so chunks have half of that on average. Monotonous text is cut after so many bytes each.
@@ -217,16 +218,18 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     source = source.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
-    table = stored(digest_table(source), "digests")
     several = lambda df, keys, *more: df.groupBy(*keys).agg(F.min("doc").alias("one"), F.max("doc").alias("other"), *more).filter("one <> other")
-    shared = several(table.select("doc", "doc_id", F.explode("digests").alias("digest")), ["digest"], F.min("doc_id").alias("keep_id")).select("digest", "keep_id")
-    hits = stored(table.select("doc", F.posexplode("digests").alias("k", "digest")).join(shared, "digest").distinct(), "hits")
-    place = Window.partitionBy("doc").orderBy("k")  # of one text
-    edges = hits.withColumn("run", F.col("k") - F.row_number().over(place)).groupBy("doc", "run").agg(F.min_by("digest", "k").alias("first"), F.max_by("digest", "k").alias("last"))
-    anchors = lambda side: stored(edges.select(F.col(side).alias("digest")).distinct(), side)
-    marked = hits.join(anchors("first").withColumn("l", F.lit(True)), "digest", "left").join(anchors("last").withColumn("r", F.lit(True)), "digest", "left")
-    per_doc = marked.groupBy("doc").agg(F.collect_list(F.struct("k", "keep_id", "l", "r")).alias("hits"))
-    runs = stored(run_table(source.join(per_doc, "doc"), run_words).dropDuplicates(["doc", "run"]), "runs")
+    with Steps(docs.sparkSession) as steps:
+        with Steps(docs.sparkSession) as before:
+            table = before.keep(digest_table(source))
+            shared = several(table.select("doc", "doc_id", F.explode("digests").alias("digest")), ["digest"], F.min("doc_id").alias("keep_id")).select("digest", "keep_id")
+            hits = steps.keep(table.select("doc", F.posexplode("digests").alias("k", "digest")).join(shared, "digest").distinct())
+        place = Window.partitionBy("doc").orderBy("k")  # of one text
+        edges = hits.withColumn("run", F.col("k") - F.row_number().over(place)).groupBy("doc", "run").agg(F.min_by("digest", "k").alias("first"), F.max_by("digest", "k").alias("last"))
+        anchors = lambda side: steps.keep(edges.select(F.col(side).alias("digest")).distinct())
+        marked = hits.join(anchors("first").withColumn("l", F.lit(True)), "digest", "left").join(anchors("last").withColumn("r", F.lit(True)), "digest", "left")
+        per_doc = marked.groupBy("doc").agg(F.collect_list(F.struct("k", "keep_id", "l", "r")).alias("hits"))
+        runs = stored(run_table(source.join(per_doc, "doc"), run_words).dropDuplicates(["doc", "run"]), "runs")
 
     ways = several(runs.select("doc", F.explode(F.arrays_zip("anchor", "way")).alias("z")).select("doc", "z.*"), ["anchor", "way"]).select("anchor", "way")
     side = lambda name, anchor: runs.select("doc", "run", F.lit(name).alias("side"), F.col(anchor).alias("anchor"), F.posexplode(f"{name}_hash").alias("j", "way"))
