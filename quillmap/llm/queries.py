@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import exact_dedup, license_scan, mixing, ngram_join, packing, personal_data, quality_classifier, quality_rules, sharding, substring_dedup
+from . import centroid_clustering, exact_dedup, license_scan, mixing, ngram_join, packing, periodic_runs, personal_data, quality_classifier, quality_rules, sharding, substring_dedup, url_filter
 
 MODULES = {
     "op1_packing": packing,
@@ -15,6 +15,9 @@ MODULES = {
     "op8_sharding": sharding,
     "op9_personal_data": personal_data,
     "op10_exact_dedup": exact_dedup,
+    "op11_periodic_runs": periodic_runs,
+    "op12_centroid_clustering": centroid_clustering,
+    "op13_url_filter": url_filter,
 }
 
 

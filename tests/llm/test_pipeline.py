@@ -73,7 +73,7 @@ def test_packing_gives_ids_and_their_digests(spark, small):
 
 def test_one_query_for_each_operator():
     names = list(llm_queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
 
 
 def test_queries_return_their_columns_for_every_document(spark, small, texts):
@@ -81,6 +81,7 @@ def test_queries_return_their_columns_for_every_document(spark, small, texts):
         "op2": "doc_id held_out score predicted", "op3": "doc_id n_shingles component_id", "op4": "doc_id n_words word_chars n_symbols n_dup_lines n_repeat_words base_failed kept",
         "op6": "doc_id n_words n_base first_word last_word base_labels labels score", "op7": "doc_id size source_size target taken", "op8": "doc_id size text_crc32 law shard slot grown_shard",
         "op9": "doc_id n_email n_ip n_card n_phone base_sha256 spans", "op10": "doc_id keep_id group_size kept text_sha256",
+        "op11": "doc_id n_runs start length period exponent_milli runs_sha256 collapsed_sha256",
     }
     for name, query in llm_queries.queries().items():
         op = name.split("_")[0]
