@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from ..functions.picks import best_definition, best_importance, first_by
 from ..functions.text import direction_reversed, importance_rank, is_noise, normalize_name, normalize_type
+from .iteration import cut
 
 UNIT = ["video_id", "seg_no"]
 ORDER = ["video_id", "seg_no", "pos"]
@@ -26,55 +27,66 @@ def normalize_types(mentions: DataFrame) -> DataFrame:
     return mentions.withColumn("type", normalize_type(F.col("type")))
 
 
+ENTRIES = "video_id string, seg_no int, pos int, name string, aliases array<string>, type string, definition string, key string, alias_keys array<string>, entry int"
+
+
 def registry(mentions: DataFrame) -> DataFrame:
-    """Entry of each mention within its video: (video_id, seg_no, pos, name, aliases, definition, entry).
+    """Mentions with the entry of their video that each one joins, as ENTRIES.
 
-    A mention joins the entry that has its key, or else the first of its aliases' keys that is
-    an entry, or else the first entry one of whose aliases it shares; otherwise it opens one.
-    This depends on the order of mentions, so each video is folded in Python.
+    A mention joins the entry that it would open by its key, or else the first of its aliases' keys
+    that opened one, or else the first entry that holds its key or one of its aliases'; otherwise it opens one.
+    The entry then holds all of these keys. This depends on the order of mentions, so a video's are
+    folded in Python; two indexes, of the keys that opened an entry and of the first entry that holds a key,
+    make a mention cost what its own keys cost, however many entries there are.
     """
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        entries, known, out = [], {}, []
+        pdf = pdf.sort_values(["seg_no", "pos"])
+        opened, holder, out = {}, {}, []
         for key, aliases in zip(pdf["key"], pdf["alias_keys"]):
-            at = known.get(key)
+            at = opened.get(key)
             if at is None:
-                at = next((known[a] for a in aliases if a in known), None)
+                at = next((opened[a] for a in aliases if a in opened), None)
             if at is None:
-                mine = {key, *aliases}
-                at = next((i for i, seen in enumerate(entries) if key in seen or mine & seen), None)
+                at = min((holder[k] for k in (key, *aliases) if k in holder), default=None)
             if at is None:
-                at = len(entries)
-                entries.append(set())
-                known[key] = at
-            entries[at].update(aliases, [key])
+                at = opened[key] = len(opened)
+            for k in (key, *aliases):
+                holder[k] = min(at, holder.get(k, at))
             out.append(at)
-        return pdf.drop(columns=["key", "alias_keys"]).assign(entry=out)
+        return pdf.assign(entry=out)
 
-    keyed = mentions.select(*ORDER, "name", "aliases", "definition", normalize_name(F.col("name")).alias("key"), F.transform("aliases", normalize_name).alias("alias_keys"))
-    return keyed.groupBy("video_id").applyInPandas(lambda p: fold(p.sort_values(["seg_no", "pos"])), "video_id string, seg_no int, pos int, name string, aliases array<string>, definition string, entry int")
+    given = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull())
+    keyed = mentions.select(*ORDER, "name", given.alias("aliases"), "type", "definition", normalize_name(F.col("name")).alias("key")).withColumn("alias_keys", F.transform("aliases", normalize_name))
+    return keyed.groupBy("video_id").applyInPandas(fold, ENTRIES)
 
 
 def canonical_concepts(entries: DataFrame) -> DataFrame:
-    """(video_id, entry, name, aliases, definition): the first name, the other names and aliases in order, the best definition."""
+    """(video_id, entry, name, aliases, type, definition): the first name and type, the other names and aliases in order, the best definition."""
     order = F.struct("seg_no", "pos")
-    names = F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), F.coalesce("aliases", F.array().cast("array<string>"))))))
-    merged = entries.groupBy("video_id", "entry").agg(first_by(F.col("name"), order).alias("name"), names.alias("names"), best_definition(F.col("definition"), order).alias("definition"))
-    return merged.select("video_id", "entry", "name", F.array_sort(F.array_except("names", F.array("name"))).alias("aliases"), "definition")
+    names = F.array_distinct(F.flatten(F.collect_list(F.concat(F.array("name"), "aliases"))))
+    merged = entries.groupBy("video_id", "entry").agg(
+        first_by(F.col("name"), order).alias("name"), names.alias("names"), first_by(F.col("type"), order).alias("type"), best_definition(F.col("definition"), order).alias("definition")
+    )
+    return merged.select("video_id", "entry", "name", F.array_sort(F.array_except("names", F.array("name"))).alias("aliases"), "type", "definition")
 
 
-def name_map(canonical: DataFrame) -> DataFrame:
-    """(video_id, key, canonical): which name a normalised name stands for; an entry's own name counts more than aliases, later entries more than earlier ones."""
-    own = canonical.select("video_id", normalize_name(F.col("name")).alias("key"), F.col("name").alias("canonical"), "entry", F.lit(1).alias("own"))
-    other = canonical.select("video_id", F.explode("aliases").alias("alias"), F.col("name").alias("canonical"), "entry").select("video_id", normalize_name(F.col("alias")).alias("key"), "canonical", "entry", F.lit(0).alias("own"))
-    return own.unionByName(other).groupBy("video_id", "key").agg(F.max_by("canonical", F.struct("entry", "own")).alias("canonical"))
+def name_map(entries: DataFrame, canonical: DataFrame) -> DataFrame:
+    """(video_id, key, entry, canonical): the entry, and its name, that a normalised name stands for: the last one that any mention joined with that key as its name's or an alias's."""
+    keys = entries.select("video_id", "entry", F.explode(F.concat(F.array("key"), "alias_keys")).alias("key")).groupBy("video_id", "key").agg(F.max("entry").alias("entry"))
+    return keys.join(canonical.select("video_id", "entry", F.col("name").alias("canonical")), ["video_id", "entry"])
 
 
-def rebuild_mentions(mentions: DataFrame, entries: DataFrame, canonical: DataFrame) -> DataFrame:
-    """Per unit the first mention of each canonical concept, with its merged aliases and definition; importance and range stay the mention's own."""
-    named = mentions.drop("definition", "aliases").join(entries.select(*ORDER, "entry"), ORDER).drop("name").join(canonical, ["video_id", "entry"])
+def rebuild_mentions(mentions: DataFrame, canonical: DataFrame, names: DataFrame) -> DataFrame:
+    """Per unit the first mention of each canonical concept, with that concept's name, type, aliases and definition; importance and range stay the mention's own.
+
+    A mention stands for the concept that the map gives for its name, which needn't be the entry it joined.
+    """
+    told = names.select("video_id", "key", "entry").join(canonical, ["video_id", "entry"]).select("video_id", "key", F.struct("name", "aliases", "type", "definition").alias("c"))
+    named = mentions.withColumn("key", normalize_name(F.col("name"))).join(told, ["video_id", "key"], "left")
+    own = {c: F.when(F.col("c").isNotNull(), F.col(f"c.{c}")).otherwise(F.col(c)) for c in ("name", "aliases", "type", "definition")}
     first = F.row_number().over(Window.partitionBy(*UNIT, "name").orderBy("pos"))
-    return named.withColumn("rank", first).filter("rank = 1").drop("rank", "entry")
+    return named.withColumns(own).withColumn("rank", first).filter("rank = 1").select(*mentions.columns)
 
 
 def canonical_relationships(relationships: DataFrame, names: DataFrame | None = None) -> DataFrame:
@@ -91,17 +103,19 @@ def canonical_relationships(relationships: DataFrame, names: DataFrame | None =
 
 
 def deduplicate(mentions: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
-    entries = registry(mentions)
+    """Mentions and relationships by canonical concepts; the registry is folded once and written, since both results read it."""
+    entries = cut(registry(mentions))
     canonical = canonical_concepts(entries)
-    return rebuild_mentions(mentions, entries, canonical), canonical_relationships(relationships, name_map(canonical))
+    names = name_map(entries, canonical)
+    return rebuild_mentions(mentions, canonical, names), canonical_relationships(relationships, names)
 
 
 def unique_concepts(mentions: DataFrame) -> DataFrame:
-    """One row per (video_id, name): best definition and importance, all aliases sorted, first type, first range. Ordered by rank and name where it is read."""
+    """One row per (video_id, name): best definition and importance, all aliases but the name sorted, first type, first range. Ordered by rank and name where it is read."""
     order = F.struct("seg_no", "pos")
     given = F.col("timestamp_range").isNotNull()
     return mentions.groupBy("video_id", "name").agg(
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("aliases")))).alias("aliases"), first_by(F.col("type"), order).alias("type"), best_definition(F.col("definition"), order).alias("definition"),
+        F.array_sort(F.array_except(F.flatten(F.collect_list("aliases")), F.array("name"))).alias("aliases"), first_by(F.col("type"), order).alias("type"), best_definition(F.col("definition"), order).alias("definition"),
         best_importance(F.col("importance"), order).alias("importance"), F.min_by("timestamp_range", F.when(given, order)).alias("timestamp_range"),
     )
 

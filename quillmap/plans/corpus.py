@@ -30,6 +30,10 @@ VIEWS = {
                CASE WHEN l_partkey % 50 = 7 THEN 'Please Subscribe to it' WHEN l_partkey % 50 = 8 THEN '' ELSE concat(p_brand, ' ', p_type, ' no ', p_partkey, repeat(' x', cast(p_partkey % 7 AS int))) END AS definition,
                CASE WHEN p_size < 17 THEN 'core' WHEN p_size < 34 THEN 'supporting' ELSE 'mentioned' END AS importance
         FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey""",
+    "crossing": """
+        SELECT video_id, seg_no, segment_id, pos, CASE WHEN (seg_no + pos) % 5 = 1 THEN concat('tag ', (seg_no * 3 + pos) % 9) ELSE name END AS name, alias AS alias1,
+               CASE WHEN pos % 2 = 0 THEN concat('Tag-', (seg_no + pos) % 9) WHEN pos % 3 = 0 THEN concat('tag ', (seg_no * 2 + pos) % 9, 's') END AS alias2, type, definition, importance
+        FROM {mentions}""",
     "relationships": """
         SELECT * FROM (
             SELECT video_id, seg_no, segment_id, pos, name AS from_concept, lead(name) OVER (PARTITION BY seg_no ORDER BY pos) AS to_concept,
@@ -107,6 +111,12 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "mentions").withColumns({"aliases": F.array("alias"), "timestamp_range": F.lit(None).cast("struct<start:double,end:double>")}).drop("alias")
 
 
+def crossing_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mentions some of whose names and aliases cross, so that the order of a video's mentions decides."""
+    c = view(spark, sf_dir, "crossing")
+    return c.withColumns({"aliases": F.array("alias1", "alias2"), "timestamp_range": F.lit(None).cast("struct<start:double,end:double>")}).drop("alias1", "alias2")
+
+
 def words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of documents, 0.4 s apart, with a pause after every 37."""
     split = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")

@@ -1,4 +1,4 @@
-"""DuckDB SQL for the registered queries. Left out are the folds that SQL can't express: merge_short and segment_pipeline, dedup_registry and dedup_relationships."""
+"""DuckDB SQL for the registered queries; folds are recursive CTEs. Left out are merge_short and segment_pipeline."""
 
 from __future__ import annotations
 
@@ -56,6 +56,22 @@ first_place AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY name OR
 DEPENDS = "dep AS (SELECT src, dst FROM concept_edges WHERE type = 'DEPENDS_ON')"
 
 
+#: The registry, mention by mention: each row has the entries so far, with the key that opened each and the keys it holds.
+REGISTRY = f"""m AS MATERIALIZED (SELECT * EXCLUDE (alias1, alias2), list_filter([alias1, alias2], lambda a: a IS NOT NULL) AS aliases, {norm("name")} AS key, list_filter([{norm("alias1")}, {norm("alias2")}], lambda a: a IS NOT NULL) AS aks,
+    row_number() OVER (PARTITION BY video_id ORDER BY seg_no, pos) AS k FROM crossing),
+fold AS (
+    SELECT video_id, 0::BIGINT AS k, []::STRUCT(key VARCHAR, ks VARCHAR[])[] AS entries, 0::BIGINT AS entry FROM m GROUP BY video_id
+    UNION ALL
+    SELECT f.video_id, m.k, CASE WHEN z.entry > len(f.entries) THEN list_append(f.entries, {{'key': m.key, 'ks': list_append(m.aks, m.key)}})
+           ELSE list_transform(f.entries, lambda e, i: CASE WHEN i = z.entry THEN {{'key': e.key, 'ks': list_distinct(list_concat(e.ks, m.aks, [m.key]))}} ELSE e END) END, z.entry
+    FROM fold f JOIN m ON m.video_id = f.video_id AND m.k = f.k + 1, LATERAL (SELECT list_transform(f.entries, lambda e: e.key) AS opened) o,
+         LATERAL (SELECT coalesce(nullif(list_position(opened, m.key), 0), list_filter(list_transform(m.aks, lambda a: list_position(opened, a)), lambda x: x > 0)[1],
+                                  nullif(list_position(list_transform(f.entries, lambda e: list_has_any(e.ks, list_append(m.aks, m.key))), true), 0), len(f.entries) + 1)::BIGINT AS entry) z),
+e AS MATERIALIZED (SELECT m.*, entry FROM m JOIN fold USING (video_id, k)),
+canon AS MATERIALIZED (SELECT video_id, entry, (list(name ORDER BY k))[1] AS cname, list_distinct(flatten(list(list_append(aliases, name)))) AS names, (list(type ORDER BY k))[1] AS ctype, {BEST_DEF.format(o="k")} AS cdef FROM e GROUP BY video_id, entry),
+nm AS MATERIALIZED (SELECT video_id, key, entry, cname, list_sort(list_filter(names, lambda x: x <> cname)) AS caliases, ctype, cdef FROM (SELECT video_id, key, max(entry) AS entry FROM (SELECT video_id, entry, unnest(list_append(aks, key)) AS key FROM e) GROUP BY video_id, key) JOIN canon USING (video_id, entry))"""
+
+
 #: The elements of each response that is a list, with their places.
 ANSWERED = "answered AS (SELECT video_id, segment_id, kind, unnest(range(len(a))) AS pos, unnest(a) AS c FROM (SELECT *, body::JSON::JSON[] AS a FROM responses WHERE kind <> 'metadata') r)"
 
@@ -157,6 +173,12 @@ def oracle_sql() -> dict[str, str]:
         "unique_concepts": _with("mentions") + f" SELECT video_id, name, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases, (list(type ORDER BY seg_no, pos))[1] AS type, {BEST_DEF.format(o='seg_no, pos')} AS definition, {BEST_IMP.format(o='seg_no, pos')} AS importance FROM mentions GROUP BY video_id, name",
         "relationship_dedup": _with("relationships") + f""", t AS (SELECT *, {TURNED} AS turned FROM relationships), d AS (SELECT video_id, seg_no, segment_id, pos, CASE WHEN turned THEN to_concept ELSE from_concept END AS from_concept, CASE WHEN turned THEN from_concept ELSE to_concept END AS to_concept, type, evidence FROM t)
             SELECT segment_id, pos, from_concept, to_concept, type, evidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg_no, from_concept, to_concept, type ORDER BY pos) AS nth FROM d) x WHERE nth = 1""",
+        "dedup_registry": _with("crossing", REGISTRY) + """ SELECT video_id, segment_id, pos, cname AS name, array_to_string(caliases, '|') AS aliases, ctype AS type, cdef AS definition, importance
+            FROM (SELECT e.*, cname, caliases, ctype, cdef, row_number() OVER (PARTITION BY e.video_id, seg_no, cname ORDER BY pos) AS nth FROM e JOIN nm ON nm.video_id = e.video_id AND nm.key = e.key) x WHERE nth = 1""",
+        "dedup_relationships": _with("crossing relationships", REGISTRY) + f""", named AS (SELECT r.video_id, seg_no, segment_id, pos, coalesce(f.cname, from_concept) AS from_concept, coalesce(t.cname, to_concept) AS to_concept, type, evidence
+                FROM (SELECT *, {norm("from_concept")} AS fk, {norm("to_concept")} AS tk FROM relationships) r LEFT JOIN nm f ON f.video_id = r.video_id AND f.key = fk LEFT JOIN nm t ON t.video_id = r.video_id AND t.key = tk),
+            t AS (SELECT *, {TURNED} AS turned FROM named), d AS (SELECT video_id, seg_no, segment_id, pos, CASE WHEN turned THEN to_concept ELSE from_concept END AS from_concept, CASE WHEN turned THEN from_concept ELSE to_concept END AS to_concept, type, evidence FROM t)
+            SELECT segment_id, pos, from_concept, to_concept, type, evidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg_no, from_concept, to_concept, type ORDER BY pos) AS nth FROM d) x WHERE nth = 1""",
         "concept_counts": _with("mentions") + f" SELECT video_id, count(*) AS mentions, count(DISTINCT name) AS names, count(DISTINCT key) AS names_after FROM (SELECT *, {norm('name')} AS key FROM mentions) m GROUP BY video_id",
         "concept_appearances": _with("mentions") + """ SELECT name, (list(type ORDER BY video_id, seg_no, pos))[1] AS type, (list(definition ORDER BY video_id, seg_no, pos))[1] AS definition, (list(importance ORDER BY video_id, seg_no, pos))[1] AS importance,
             count(DISTINCT concat(video_id, '/', segment_id)) AS appearances, count(DISTINCT video_id) AS videos FROM mentions GROUP BY name""",

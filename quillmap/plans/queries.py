@@ -12,7 +12,7 @@ from ..functions.picks import best_definition, best_importance
 from ..functions.vector import cosine
 from ..operators import extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse
 from ..sources import documents as sources
-from .corpus import mentions, view, words
+from .corpus import crossing_mentions, mentions, view, words
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
@@ -285,14 +285,14 @@ def relationship_dedup(spark, d):
 
 @query
 def dedup_registry(spark, d):
-    kept, _ = knowledge.deduplicate(mentions(spark, d), view(spark, d, "relationships"))
-    return kept.select("video_id", "segment_id", "pos", "name", F.array_join("aliases", "|").alias("aliases"), "definition", "importance")
+    kept, _ = knowledge.deduplicate(crossing_mentions(spark, d), view(spark, d, "relationships"))
+    return kept.select("video_id", "segment_id", "pos", "name", F.array_join("aliases", "|").alias("aliases"), "type", "definition", "importance")
 
 
 @query
 def dedup_relationships(spark, d):
-    _, left = knowledge.deduplicate(mentions(spark, d), view(spark, d, "relationships"))
-    return left.select("segment_id", "pos", "from_concept", "to_concept", "type")
+    _, left = knowledge.deduplicate(crossing_mentions(spark, d), view(spark, d, "relationships"))
+    return left.select("segment_id", "pos", "from_concept", "to_concept", "type", "evidence")
 
 
 @query
