@@ -67,6 +67,19 @@ VIEWS = {
         UNION ALL SELECT concat('v', o_custkey), concat('s', o_orderkey), 'relationships', concat('[{{"from_concept":"c', o_orderkey % 50, '","to_concept":"d', o_orderkey % 11, '"', CASE WHEN o_orderkey % 2 = 0 THEN ',"type":"extends"' ELSE '' END, '}}]') FROM {orders}
         UNION ALL SELECT concat('v', o_custkey), concat('s', o_orderkey), 'metadata', CASE WHEN o_orderkey % 3 = 0 THEN '{{"examples":[]}}' ELSE concat('{{"title":"About ', o_orderkey, '","examples":[{{"description":"e', o_orderkey % 5, '"}}]}}') END FROM {orders}
         UNION ALL SELECT concat('v', c_custkey), 'global', 'global', '[{{"from_concept":"c1","to_concept":"d1","evidence":"across"}}]' FROM {customer}""",
+    "attempts": """
+        SELECT video_id, seg_no, segment_id, kind, attempt, error, CASE WHEN error IS NULL THEN CASE WHEN h % 13 = 5 THEN 'none' ELSE body END END AS body FROM (
+            SELECT *, CASE WHEN h % 97 = 0 THEN CASE attempt WHEN 1 THEN '429 Retry after 2.5s' WHEN 2 THEN '400 insufficient_quota' END
+                           WHEN h % 20 < 14 THEN CASE WHEN attempt > 1 THEN '500 late' END
+                           WHEN h % 20 = 14 THEN CASE WHEN attempt = 1 THEN concat('429 retry after ', h % 50) END
+                           WHEN h % 20 = 15 THEN CASE WHEN attempt <= 2 THEN '429 busy' END
+                           WHEN h % 20 = 16 THEN '429 retry after 1'
+                           WHEN h % 20 = 17 THEN CASE WHEN attempt = 1 THEN '500 server error' END
+                           WHEN h % 20 = 18 THEN CASE WHEN attempt = 1 THEN '429 wait' END
+                           ELSE '429 wait' END AS error
+            FROM (SELECT r.video_id, seg_no, r.segment_id, kind, body, attempt, coalesce(seg_no, cast(substring(r.video_id, 2) AS int)) * 3 + length(kind) AS h
+                  FROM {responses} r LEFT JOIN {segments} s ON s.segment_id = r.segment_id, (SELECT 1 AS attempt UNION ALL SELECT 2 UNION ALL SELECT 3 UNION ALL SELECT 4) t) c
+            WHERE h % 20 <> 19 OR attempt = 1) e""",
     "sentence_vectors": """
         SELECT concat('v', label) AS video_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) - 1 AS sent_idx, vec_id, embedding FROM {embeddings}""",
     "sentences": """

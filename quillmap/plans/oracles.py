@@ -72,6 +72,29 @@ canon AS MATERIALIZED (SELECT video_id, entry, (list(name ORDER BY k))[1] AS cna
 nm AS MATERIALIZED (SELECT video_id, key, entry, cname, list_sort(list_filter(names, lambda x: x <> cname)) AS caliases, ctype, cdef FROM (SELECT video_id, key, max(entry) AS entry FROM (SELECT video_id, entry, unnest(list_append(aks, key)) AS key FROM e) GROUP BY video_id, key) JOIN canon USING (video_id, entry))"""
 
 
+#: Attempts to calls and segments.
+CALLS = r"""tried AS (SELECT *, error IS NOT NULL AND contains(error, '429') AND NOT contains(error, 'insufficient_quota') AS again,
+    least(coalesce(try_cast(nullif(regexp_extract(lower(error), 'retry after ([\d.]+)', 1), '') AS DOUBLE) + 2, 15.0), 30.0) AS delay FROM (SELECT *, row_number() OVER (PARTITION BY video_id, segment_id, kind ORDER BY attempt) AS t FROM attempts) x WHERE t <= 3),
+ends AS (SELECT video_id, segment_id, kind, count(*) AS seen, min(t) FILTER (NOT again) AS hit, max(t) AS latest FROM tried GROUP BY ALL),
+judged AS (SELECT e.*, x.error AS end_error, x.body, l.error AS last_error, CASE WHEN hit IS NULL THEN CASE WHEN seen < 3 THEN 'pending' ELSE 'exhausted' END WHEN contains(x.error, 'insufficient_quota') THEN 'quota' WHEN x.error IS NOT NULL THEN 'error'
+        WHEN json_valid(x.body) AND json_type(CASE WHEN json_valid(x.body) THEN x.body END) = CASE e.kind WHEN 'metadata' THEN 'OBJECT' ELSE 'ARRAY' END THEN 'answered' ELSE 'error' END AS outcome
+    FROM ends e LEFT JOIN tried x ON x.video_id = e.video_id AND x.segment_id = e.segment_id AND x.kind = e.kind AND x.t = e.hit JOIN tried l ON l.video_id = e.video_id AND l.segment_id = e.segment_id AND l.kind = e.kind AND l.t = e.latest),
+waits AS (SELECT e.video_id, e.segment_id, e.kind, coalesce(sum(delay) FILTER (again AND (hit IS NULL OR t < hit)), 0.0) AS waited FROM ends e JOIN tried USING (video_id, segment_id, kind) GROUP BY ALL),
+calls AS MATERIALIZED (SELECT video_id, segment_id, kind, outcome, coalesce(hit, seen)::INT AS tries, waited, CASE WHEN outcome = 'answered' THEN body END AS body,
+    CASE WHEN hit IS NULL THEN last_error ELSE coalesce(end_error, CASE WHEN outcome = 'error' THEN 'not an answer of its kind' END) END AS error FROM judged JOIN waits USING (video_id, segment_id, kind)),
+wide AS (SELECT s.video_id, s.seg_no, s.segment_id, coalesce(m.outcome, 'pending') AS m, m.error AS me, coalesce(c.outcome, 'pending') AS c, c.error AS ce, c.body, coalesce(r.outcome, 'pending') AS r, r.error AS re
+    FROM segments s LEFT JOIN calls m ON m.segment_id = s.segment_id AND m.kind = 'metadata' LEFT JOIN calls c ON c.segment_id = s.segment_id AND c.kind = 'concepts' LEFT JOIN calls r ON r.segment_id = s.segment_id AND r.kind = 'relationships'),
+own AS (SELECT video_id, seg_no, segment_id, CASE WHEN m <> 'answered' THEN m WHEN c <> 'answered' THEN c WHEN r <> 'answered' AND json_array_length(body) > 0 THEN r ELSE 'done' END AS outcome,
+    CASE WHEN m <> 'answered' THEN me WHEN c <> 'answered' THEN ce WHEN r <> 'answered' AND json_array_length(body) > 0 THEN re END AS reason FROM wide),
+outcomes AS MATERIALIZED (SELECT video_id, seg_no, segment_id, CASE WHEN late THEN 'cancelled' ELSE outcome END AS outcome, CASE WHEN NOT late THEN reason END AS reason
+    FROM (SELECT *, coalesce(seg_no > min(seg_no) FILTER (outcome = 'quota') OVER (PARTITION BY video_id), false) AS late FROM own) o),
+summary AS (SELECT * FROM (SELECT video_id, count(*) AS segments, count(*) FILTER (outcome = 'done') AS done, count(*) FILTER (outcome IN ('error', 'exhausted', 'quota')) AS failed, count(*) FILTER (outcome = 'cancelled') AS cancelled,
+    count(*) FILTER (outcome = 'pending') AS pending FROM outcomes GROUP BY video_id) o LEFT JOIN (SELECT video_id, sum(tries)::BIGINT AS tries, sum(waited) AS waited FROM calls GROUP BY video_id) c USING (video_id)),
+batch AS (SELECT substring(v.video_id, 2)::BIGINT AS ordinal, v.video_id, CASE WHEN done = 0 THEN concat(failed, ' of ', segments) END AS error FROM videos v LEFT JOIN summary s ON s.video_id = v.video_id)"""
+
+CALLS_ONLY = CALLS[: CALLS.index(",\nwide AS")]
+
+
 #: The elements of each response that is a list, with their places.
 ANSWERED = "answered AS (SELECT video_id, segment_id, kind, unnest(range(len(a))) AS pos, unnest(a) AS c FROM (SELECT *, body::JSON::JSON[] AS a FROM responses WHERE kind <> 'metadata') r)"
 
@@ -173,6 +196,15 @@ def oracle_sql() -> dict[str, str]:
         "unique_concepts": _with("mentions") + f" SELECT video_id, name, string_agg(DISTINCT alias, '|' ORDER BY alias) AS aliases, (list(type ORDER BY seg_no, pos))[1] AS type, {BEST_DEF.format(o='seg_no, pos')} AS definition, {BEST_IMP.format(o='seg_no, pos')} AS importance FROM mentions GROUP BY video_id, name",
         "relationship_dedup": _with("relationships") + f""", t AS (SELECT *, {TURNED} AS turned FROM relationships), d AS (SELECT video_id, seg_no, segment_id, pos, CASE WHEN turned THEN to_concept ELSE from_concept END AS from_concept, CASE WHEN turned THEN from_concept ELSE to_concept END AS to_concept, type, evidence FROM t)
             SELECT segment_id, pos, from_concept, to_concept, type, evidence FROM (SELECT *, row_number() OVER (PARTITION BY video_id, seg_no, from_concept, to_concept, type ORDER BY pos) AS nth FROM d) x WHERE nth = 1""",
+        "call_outcomes": _with("attempts", CALLS_ONLY) + " SELECT * FROM calls",
+        "segment_outcomes": _with("attempts segments", CALLS) + " SELECT * FROM outcomes",
+        "partial_results": _with("attempts segments", CALLS) + """ SELECT o.video_id, seg_no, o.segment_id, unnest(range(len(a)))::INT AS pos, json_extract_string(unnest(a), '$.name') AS name FROM (SELECT *, body::JSON::JSON[] AS a FROM calls WHERE kind = 'concepts' AND outcome = 'answered') c
+            JOIN outcomes o ON o.segment_id = c.segment_id WHERE o.outcome = 'done' UNION ALL
+            SELECT video_id, NULL, segment_id, NULL, body FROM calls WHERE kind = 'global' AND outcome = 'answered' AND video_id IN (SELECT video_id FROM outcomes GROUP BY video_id HAVING count(*) FILTER (outcome = 'done') > 0 AND count(*) FILTER (outcome = 'quota') = 0)""",
+        "extraction_summary": _with("attempts segments", CALLS) + " SELECT * FROM summary",
+        "batch_until_failure": _with("attempts segments videos", CALLS) + """ SELECT ordinal, video_id, CASE WHEN late THEN 'not run' WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, CASE WHEN NOT late THEN error END AS error
+            FROM (SELECT *, coalesce(ordinal > min(ordinal) FILTER (error IS NOT NULL) OVER (), false) AS late FROM batch) b""",
+        "batch_skipping_errors": _with("attempts segments videos", CALLS) + " SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed, 0 AS not_run FROM batch",
         "dedup_registry": _with("crossing", REGISTRY) + """ SELECT video_id, segment_id, pos, cname AS name, array_to_string(caliases, '|') AS aliases, ctype AS type, cdef AS definition, importance
             FROM (SELECT e.*, cname, caliases, ctype, cdef, row_number() OVER (PARTITION BY e.video_id, seg_no, cname ORDER BY pos) AS nth FROM e JOIN nm ON nm.video_id = e.video_id AND nm.key = e.key) x WHERE nth = 1""",
         "dedup_relationships": _with("crossing relationships", REGISTRY) + f""", named AS (SELECT r.video_id, seg_no, segment_id, pos, coalesce(f.cname, from_concept) AS from_concept, coalesce(t.cname, to_concept) AS to_concept, type, evidence

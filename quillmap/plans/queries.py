@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import responses, text
 from ..functions.picks import best_definition, best_importance
 from ..functions.vector import cosine
-from ..operators import extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse
+from ..operators import attempts, extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse
 from ..sources import documents as sources
 from .corpus import crossing_mentions, mentions, view, words
 
@@ -270,6 +270,54 @@ def global_relationships(spark, d):
     return extraction.global_relationships(r, extraction.extract_mentions(r, s)).select("video_id", "segment_id", "pos", "from_concept", "to_concept", "type", "evidence")
 
 
+# attempts
+
+
+def _calls(spark, d) -> tuple[DataFrame, DataFrame]:
+    calls = attempts.call_outcomes(view(spark, d, "attempts"))
+    return calls, attempts.segment_outcomes(calls, view(spark, d, "segments"))
+
+
+@query
+def call_outcomes(spark, d):
+    return _calls(spark, d)[0].select("video_id", "segment_id", "kind", "outcome", "tries", "waited", "body", "error")
+
+
+@query
+def segment_outcomes(spark, d):
+    return _calls(spark, d)[1].select("video_id", "seg_no", "segment_id", "outcome", "reason")
+
+
+@query
+def partial_results(spark, d):
+    """Concepts of what was answered, in order, though other segments failed or were cancelled."""
+    told = attempts.answered(*_calls(spark, d))
+    found = extraction.extract_mentions(told, view(spark, d, "segments")).select("video_id", "seg_no", "segment_id", "pos", "name")
+    return found.unionByName(told.filter("kind = 'global'").select("video_id", F.lit(None).cast("int").alias("seg_no"), "segment_id", F.lit(None).cast("int").alias("pos"), F.col("body").alias("name")))
+
+
+@query
+def extraction_summary(spark, d):
+    return attempts.video_summary(*_calls(spark, d))
+
+
+def _batch(spark, d, **how) -> DataFrame:
+    """A video fails if none of its segments is done."""
+    s = attempts.video_summary(*_calls(spark, d))
+    videos = view(spark, d, "videos").select("video_id", F.substring("video_id", 2, 20).cast("long").alias("ordinal")).join(s, "video_id", "left")
+    return attempts.run_batch(videos.select("ordinal", "video_id", F.when(F.col("done") == 0, F.concat("failed", F.lit(" of "), "segments")).alias("error")), **how)
+
+
+@query
+def batch_until_failure(spark, d):
+    return _batch(spark, d)
+
+
+@query
+def batch_skipping_errors(spark, d):
+    return attempts.batch_summary(_batch(spark, d, skip_errors=True))
+
+
 # knowledge
 
 
