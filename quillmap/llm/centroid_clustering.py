@@ -10,6 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iteration import Steps
 from .common import in_slices, stored
 
 #: Clusters, rounds, components of a vector, units that 1.0 has, and the salt of the hash that picks the first centroids.
@@ -116,13 +117,14 @@ def cluster_vectors(vectors: DataFrame, id_col: str = "vec_id", vector_col: str
     if not first:
         none = F.lit(None)
         return rows.select("vec_id", none.cast("int").alias("cluster"), *[none.cast("long").alias(c) for c in ("distance", "cluster_inertia", "inertia")], none.cast("string").alias("centroid_sha256"))
-    distinct = stored(rows.groupBy(key_of(F.col("vector")).alias("key")).agg(F.first("vector").alias("vector"), F.count("*").alias("n")), "distinct")
-    centroids = first
-    for _ in range(rounds):
-        before, centroids = centroids, moved(distinct, centroids, dims)
-        if before == centroids:
-            break
-    marked = stored(assigned(distinct, centroids, dims), "assigned")
+    with Steps(vectors.sparkSession) as steps:
+        distinct = steps.keep(rows.groupBy(key_of(F.col("vector")).alias("key")).agg(F.first("vector").alias("vector"), F.count("*").alias("n")))
+        centroids = first
+        for _ in range(rounds):
+            before, centroids = centroids, moved(distinct, centroids, dims)
+            if before == centroids:
+                break
+        marked = stored(assigned(distinct, centroids, dims), "assigned")
     weighed = F.col("distance").cast("decimal(38,0)") * F.col("n")
     told = F.when(F.count_if(F.col("distance").isNull()) == 0, F.sum(weighed)).alias("inertia")
     inertia = {r["cluster"]: r["inertia"] for r in marked.groupBy("cluster").agg(told).collect()}

@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import functools
 import uuid
+from contextvars import ContextVar
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,28 +30,45 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return cut(df)
 
 
-#: Folders that stored() wrote and nothing has removed.
-KEPT: list[tuple[SparkSession, str]] = []
+Folders = list[tuple[SparkSession, str]]
+
+#: Folders of callers that own none of their own; they go when the process ends.
+UNOWNED: Folders = []
+#: Where stored() notes its folders; each thread has its own.
+OWNER: ContextVar[Folders] = ContextVar("OWNER", default=UNOWNED)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:
-    """df written as Parquet in the shared folder and read again: smaller than a checkpoint, columns are read as needed, and the planner knows the real size. For what a returned frame still reads; removed by discard(), or when the process ends."""
+    """df written as Parquet in the shared folder and read again: smaller than a checkpoint, columns are read as needed, and the planner knows the real size. For what a returned frame still reads; it stays until the block of owned() ends in which it was written, or else the process. What no returned frame reads is kept by Steps."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
-    KEPT.append((spark, path))
+    OWNER.get().append((spark, path))
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-@atexit.register
-def discard(since: int = 0) -> None:
-    """Removes what was stored after the first `since` folders; no frame that reads them may be used any more."""
-    while len(KEPT) > since:
-        spark, path = KEPT.pop()
+def discard(folders: Folders) -> None:
+    while folders:
+        spark, path = folders.pop()
         if spark.sparkContext._jsc is not None:  # the session may have been stopped
             remove(spark, path)
 
 
+atexit.register(discard, UNOWNED)
+
+
+@contextlib.contextmanager
+def owned():
+    """What is stored within, in this thread, goes at the end of the block, when no frame that reads it may be used any more. Other threads and blocks keep theirs."""
+    mine: Folders = []
+    before = OWNER.set(mine)
+    try:
+        yield
+    finally:
+        OWNER.reset(before)
+        discard(mine)
+
+
 def in_slices(f=None, *, rows: int = 500):
     """Makes a function of Arrow batches see at most `rows` rows at a time, so what a worker holds stays small. Spark itself ends batches at 64 MB."""
     if f is None:

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.iteration import Steps
 from .common import as_rows, as_text, checkpoint, read_documents, squeeze, stored
 
 #: Characters of the normalised text that the second level hashes.
@@ -37,18 +38,20 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     number = F.monotonically_increasing_id()
     rows = checkpoint(base.select("doc_id", *measures, *([digest] if digest_all else [])).withColumn("row_id", number))
 
-    lengths = stored(rows.groupBy("n_chars").agg(F.count("*").alias("n")).filter("n > 1").select("n_chars"), "lengths")
-    prefixes = stored(rows.join(lengths, "n_chars", "left_semi").groupBy("n_chars", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("n_chars", "prefix"), "prefixes")
-    if digest_all:
-        suspects, known = rows.join(prefixes, ["n_chars", "prefix"], "left_semi"), rows
-    else:
-        suspects = checkpoint(base.select("doc_id", *measures, "norm").join(prefixes, ["n_chars", "prefix"], "left_semi").select("doc_id", "n_chars", "prefix", digest).withColumn("row_id", number))
-        known = rows.join(prefixes, ["n_chars", "prefix"], "left_anti").withColumn("text_sha256", F.lit(None).cast("string")).select(suspects.columns).unionByName(suspects)
-    groups = stored(
-        suspects.groupBy("n_chars", "text_sha256")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best"), F.count("*").alias("group_size"))
-        .filter("group_size > 1"), "groups"
-    )
+    with Steps(docs.sparkSession) as steps:
+        lengths = steps.keep(rows.groupBy("n_chars").agg(F.count("*").alias("n")).filter("n > 1").select("n_chars"))
+        prefixes = rows.join(lengths, "n_chars", "left_semi").groupBy("n_chars", "prefix").agg(F.count("*").alias("n")).filter("n > 1").select("n_chars", "prefix")
+        prefixes = steps.keep(prefixes) if digest_all else stored(prefixes, "prefixes")  # else the result reads them
+        if digest_all:
+            suspects, known = rows.join(prefixes, ["n_chars", "prefix"], "left_semi"), rows
+        else:
+            suspects = checkpoint(base.select("doc_id", *measures, "norm").join(prefixes, ["n_chars", "prefix"], "left_semi").select("doc_id", "n_chars", "prefix", digest).withColumn("row_id", number))
+            known = rows.join(prefixes, ["n_chars", "prefix"], "left_anti").withColumn("text_sha256", F.lit(None).cast("string")).select(suspects.columns).unionByName(suspects)
+        groups = stored(
+            suspects.groupBy("n_chars", "text_sha256")
+            .agg(F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_id")).alias("best"), F.count("*").alias("group_size"))
+            .filter("group_size > 1"), "groups"
+        )
     joined = known.join(groups, ["n_chars", "text_sha256"], "left")
     alone = F.col("group_size").isNull()
     return joined.select(

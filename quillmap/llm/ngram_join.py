@@ -139,7 +139,7 @@ def key_table(nodes: DataFrame, k: int, p: int) -> DataFrame:
     return nodes.mapInArrow(sign, "node long, key long")
 
 
-def buckets_of(keys: DataFrame) -> DataFrame:
+def buckets_of(keys: DataFrame, steps: Steps) -> DataFrame:
     """Rows (bucket, n, node) of keys that several nodes have. Keys that the same nodes have make one bucket; n is its size.
 
     Keys are counted first, by partial aggregation, and nearly all have one node; only the others'
@@ -147,8 +147,8 @@ def buckets_of(keys: DataFrame) -> DataFrame:
     before the shuffle, and rows find theirs by joins that AQE can split, or that are broadcast if
     the files are small.
     """
-    frequent = stored(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"), "keys")
-    rows = stored(keys.join(frequent, "key", "left_semi"), "key-rows")
+    frequent = steps.keep(keys.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1").select("key"))
+    rows = steps.keep(keys.join(frequent, "key", "left_semi"))
     sizes = rows.groupBy("key").agg(F.min("node").alias("pivot"), F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("members"))
     return rows.join(sizes, "key").select(F.xxhash64("pivot", "n", "members").alias("bucket"), "n", "node").distinct()
 
@@ -247,30 +247,31 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))
-    with_text = lambda df: source.withColumnRenamed("doc_id", "node").join(stored(df, "blocks"), "node")
     table = checkpoint(signature_table(hashed, k))
     usable = table.filter(F.col("doc_id").isNotNull() & F.col("set_hash").isNotNull())
-    names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
-    copies = stored(usable.select("doc_id", "text_hash", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "text_hash").distinct(), "copies")
-    first = hashed.filter("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
     with Steps(docs.sparkSession) as steps:
-        keys = steps.keep(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent))
-        buckets = stored(buckets_of(keys), "buckets")
-    signed = usable.select(F.col("doc_id").alias("node"), "n_shingles", "marks")
-    edges = stored(bucket_links(buckets, signed, percent), "edges")
-    clusters = components(edges)
-
-    sized = clusters.join(usable.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
-    weights = sized.groupBy("component").agg(F.sum("n").alias("n_all"), F.count("*").alias("docs"))
-    split = F.ceil(F.greatest(F.col("n_all") / BLOCK_SHINGLES, F.col("docs") / BLOCK_DOCS)).cast("long")
-    weights = stored(weights.select("component", split.alias("blocks"), F.ceil(F.col("docs") / PIVOTS).cast("long").alias("every")), "weights")
-    members = stored(clusters.join(weights, "component"), "members")
-    placed = members.select("node", F.col("component").alias("cluster"), F.explode(F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node"), F.col("every")) == 0), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))))).alias("block"))
-    links = stored(tree_links(with_text(placed.withColumn("label", F.col("node"))), k, percent), "links")
-    joined = components(links)
-    if not weights.filter("blocks > 1").isEmpty():
-        links = links.unionByName(across_blocks(members.filter("blocks > 1"), joined, with_text, k, percent))
+        with_text = lambda df: source.withColumnRenamed("doc_id", "node").join(steps.keep(df), "node")
+        names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
+        copies = steps.keep(usable.select("doc_id", "text_hash", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "text_hash").distinct())
+        first = hashed.filter("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
+        with Steps(docs.sparkSession) as before:
+            keys = before.keep(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent))
+            buckets = steps.keep(buckets_of(keys, before))
+        signed = usable.select(F.col("doc_id").alias("node"), "n_shingles", "marks")
+        edges = steps.keep(bucket_links(buckets, signed, percent))
+        clusters = components(edges)
+
+        sized = clusters.join(usable.select(F.col("doc_id").alias("node"), "n_shingles").groupBy("node").agg(F.sum("n_shingles").alias("n")), "node")
+        weights = sized.groupBy("component").agg(F.sum("n").alias("n_all"), F.count("*").alias("docs"))
+        split = F.ceil(F.greatest(F.col("n_all") / BLOCK_SHINGLES, F.col("docs") / BLOCK_DOCS)).cast("long")
+        weights = steps.keep(weights.select("component", split.alias("blocks"), F.ceil(F.col("docs") / PIVOTS).cast("long").alias("every")))
+        members = steps.keep(clusters.join(weights, "component"))
+        placed = members.select("node", F.col("component").alias("cluster"), F.explode(F.when((F.col("blocks") > 1) & (F.pmod(F.xxhash64("node"), F.col("every")) == 0), F.sequence(F.lit(0), F.col("blocks") - 1)).otherwise(F.array(F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))))).alias("block"))
+        links = steps.keep(tree_links(with_text(placed.withColumn("label", F.col("node"))), k, percent))
         joined = components(links)
+        if not weights.filter("blocks > 1").isEmpty():
+            links = links.unionByName(across_blocks(members.filter("blocks > 1"), joined, with_text, k, percent, steps))
+            joined = components(links)
 
     names = usable.groupBy("set_hash").agg(F.min("doc_id").alias("node"))
     named = names.join(joined, "node", "left").select(F.col("set_hash").alias("of"), F.coalesce("component", "node").alias("component_id"))
@@ -287,9 +288,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
 
 
-def across_blocks(members: DataFrame, joined: DataFrame, with_text, k: int, p: int) -> DataFrame:
+def across_blocks(members: DataFrame, joined: DataFrame, with_text, k: int, p: int, steps: Steps) -> DataFrame:
     """Further links in split clusters: what is outside of a cluster's largest component, in blocks of its own, against every block."""
-    state = stored(members.join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", F.col("component").alias("cluster"), "blocks", F.coalesce("label", "node").alias("label")), "state")
+    state = steps.keep(members.join(joined.withColumnRenamed("component", "label"), "node", "left").select("node", F.col("component").alias("cluster"), "blocks", F.coalesce("label", "node").alias("label")))
     largest = state.groupBy("cluster", "label").agg(F.count("*").alias("n")).groupBy("cluster").agg(F.max_by("label", F.struct("n", "label")).alias("largest"))
     state = state.join(largest, "cluster")
     rest = state.filter("label <> largest")
@@ -299,7 +300,7 @@ def across_blocks(members: DataFrame, joined: DataFrame, with_text, k: int, p: i
     asking = rest.join(parts, "cluster").select("cluster", "node", "label", part.alias("r"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("b"))
     asked = state.join(parts, "cluster").select("cluster", "node", "label", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("r"), F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")).alias("b"))
     blocks = asking.unionByName(asked).distinct().select("cluster", "node", "label", name("r", "b").alias("block"))
-    return stored(tree_links(with_text(blocks), k, p), "links")
+    return steps.keep(tree_links(with_text(blocks), k, p))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -102,13 +102,14 @@ def features(text: str, window: list[tuple[int, int]], i: int, j: int) -> np.nda
     numeric = len(parts) == 4 and all(p.isdigit() and p.isascii() for p in parts)
     name, _, domain = s.partition("@")
     plain = bool(s) and all(c in "0123456789 -().+" for c in s)
+    number = re.sub("[^0-9]", "", s) if 13 <= digits <= 19 and letters == 0 else ""
     one = j - i == 1 and s.isascii() and all(c.isalnum() or c in "-_+/.~" for c in s)
     mixed = sum(a.isupper() != b.isupper() for a, b in zip(s, s[1:]) if a.isalpha() and b.isalpha()) > 2
     return np.array([
         1.0, j - i == 1, j - i == 2, j - i == 3, j - i == 4, "@" in s, bool(name) and "." in domain.strip(".") and " " not in s, s.startswith("+"), s.startswith("+") and plain and 9 <= digits <= 15,
         digits == 0, 1 <= digits <= 4, 5 <= digits <= 8, 9 <= digits <= 12, 13 <= digits <= 19, digits > 19, plain, plain and not s.startswith("+") and "." not in s and 13 <= digits <= 19,
         letters == 0, letters > 0 and digits > 0, numeric, numeric and all(len(p) < 4 and int(p) < 256 for p in parts), one and len(s) >= 16 and digits > 2 and letters > 0, one and len(s) >= 24 and digits + mixed > 2,
-        given, named, given and named, given and named and one and len(s) >= 8, given and named and one and letters > 0 and digits > 0, one and len(s) < 8, mixed, "(" in s and ")" in s, not s, s.endswith(("=", ":")), plain and s.count(".") > 3, digits == 13 and s.startswith(("978", "979")),
+        given, named, given and named, given and named and one and len(s) >= 8, given and named and one and letters > 0 and digits > 0, one and len(s) < 8, mixed, "(" in s and ")" in s, not s, s.endswith(("=", ":")), plain and s.count(".") > 3, digits == 13 and s.startswith(("978", "979")), bool(number) and luhn(number), bool(number) and not luhn(number),
     ], float)
 
 
@@ -196,6 +197,8 @@ def _made_window(r: random.Random) -> tuple[str, list[tuple[int, int]], list[tup
     """A made-up window with the tokens and the spans in it, for training."""
     pick = lambda of, n: "".join(r.choice(of) for _ in range(n))
     digits = lambda n: pick("0123456789", n)
+    checked = lambda n, good: next(x for x in (f"{d}{k}" for d in [digits(n - 1)] for k in r.sample("0123456789", 10)) if luhn(x) == good)
+    parted = lambda x: r.choice([x, x, " ".join(re.findall(".{1,4}", x)), "-".join(re.findall(".{1,4}", x)), ".".join(re.findall(".{1,4}", x)), f"{x[:4]} {x[4:10]} {x[10:]}"])
     low, high = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
     word = lambda: pick("abcdefghilmnoprstu", r.randint(1, 9)) + r.choice(["", "", "", ",", "."])
     end = r.choice(["", "", ".", ",", "!!", "***", "|"])
@@ -207,7 +210,7 @@ def _made_window(r: random.Random) -> tuple[str, list[tuple[int, int]], list[tup
         if kind == "ip":
             return ".".join(str(r.randint(0, 255)) for _ in range(4)), None
         if kind == "card":
-            return r.choice([digits(r.choice([16, 16, 16, 15, 14])), " ".join(digits(4) for _ in range(4)), "-".join(digits(4) for _ in range(4)), f"{digits(4)} {digits(6)} {digits(5)}"]), None
+            return parted(checked(r.choice([16, 16, 16, 15, 14]), True)), None
         if kind == "phone":
             return r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(r.randint(5, 7))}", f"+{digits(11)}", f"+{digits(2)} {digits(2)} {digits(4)} {digits(4)}"]), None
         if kind == "secret":
@@ -218,6 +221,10 @@ def _made_window(r: random.Random) -> tuple[str, list[tuple[int, int]], list[tup
                 return f"{r.choice(['', 'bearer ', word() + ' '])}{value}", value
             q = r.choice(['"', "'", "", "", "`"])
             return f"{r.choice(['', '', chr(34)])}{named}{r.choice([' = ', '=', ': ', ':', ' := '])}{q}{value}{q}", value
+        if r.random() < 0.05:  # four numbers that are no address
+            return ".".join(r.sample([str(r.randint(256, 999)), *(str(r.randint(0, 999)) for _ in range(3))], 4)), ""
+        if r.random() < 0.2:  # long numbers that are no cards
+            return parted(checked(r.choice([16, 16, 16, 15, 14, 13, 19]), False)), ""
         named = r.choice(["token", "key", "secret", "password", "Token"])
         group = r.choice("- ")
         return r.choice([

@@ -97,12 +97,10 @@ class Text:
     """A text's chunks and words, and how it goes on beside a chunk pair.
 
     ways(k, left) are word starts before the pair's first chunk, from the nearest on, or word ends after
-    its second one, with hashes of the text between. They go REACH bytes: if two texts agree farther, a
-    whole stretch that they share has a boundary there, and the chunks up to it are repeated too. That
-    holds if the pair is as long as REACH. A shorter one leaves room for a stretch that spans it and begins
-    or ends where the texts differ, which may give one of them a boundary more beside the pair; then ways
-    go REACH bytes from the next boundary. They also do beside a chunk that was cut for its length, as in
-    monotonous text.
+    its second one, with hashes of the text between. They go REACH bytes from the next boundary: if two
+    texts agree farther, a whole stretch that they share has a boundary there, and the chunks up to it
+    are repeated too, unless that stretch begins where the texts differ and gives one of them a boundary
+    more beside the pair.
     """
 
     def __init__(self, text: str):
@@ -120,18 +118,15 @@ class Text:
         import xxhash
 
         digest = lambda a, b: xxhash.xxh3_64_intdigest(self.raw[a:b])
-        short = self.ends[k + 1] - self.begins[k] < REACH
         if left:
             b = int(self.begins[k])
-            beside = b - int(self.begins[max(0, k - 1)])
-            far = REACH + beside * (short or beside >= STRETCH)
-            words = np.arange(np.searchsorted(self.starts, b - far), np.searchsorted(self.starts, b))[::-1]
+            low = int(self.begins[max(0, k - 1)]) - REACH
+            words = np.arange(np.searchsorted(self.starts, low), np.searchsorted(self.starts, b))[::-1]
             hashes = [digest(a, b) for a in self.starts[words].tolist()]
         else:
             e = int(self.ends[k + 1])
-            beside = int(self.ends[min(len(self.ends) - 1, k + 2)]) - e
-            far = REACH + beside * (short or beside >= STRETCH)
-            words = np.arange(np.searchsorted(self.stops, e, side="right"), np.searchsorted(self.stops, e + far, side="right"))
+            high = int(self.ends[min(len(self.ends) - 1, k + 2)]) + REACH
+            words = np.arange(np.searchsorted(self.stops, e, side="right"), np.searchsorted(self.stops, high, side="right"))
             hashes = [digest(e, z) for z in self.stops[words].tolist()]
         return words, np.array(hashes, np.uint64).view(np.int64)
 
@@ -223,13 +218,13 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
         with Steps(docs.sparkSession) as before:
             table = before.keep(digest_table(source))
             shared = several(table.select("doc", "doc_id", F.explode("digests").alias("digest")), ["digest"], F.min("doc_id").alias("keep_id")).select("digest", "keep_id")
-            hits = steps.keep(table.select("doc", F.posexplode("digests").alias("k", "digest")).join(shared, "digest").distinct())
-        place = Window.partitionBy("doc").orderBy("k")  # of one text
-        edges = hits.withColumn("run", F.col("k") - F.row_number().over(place)).groupBy("doc", "run").agg(F.min_by("digest", "k").alias("first"), F.max_by("digest", "k").alias("last"))
+            hits = steps.keep(table.select("doc", F.posexplode("digests").alias("k", "digest")).join(shared, "digest"))
+        place = Window.partitionBy("doc").orderBy("k")  # of one text; its repeated rows count once
+        edges = hits.withColumn("run", F.col("k") - F.dense_rank().over(place)).groupBy("doc", "run").agg(F.min_by("digest", "k").alias("first"), F.max_by("digest", "k").alias("last"))
         anchors = lambda side: steps.keep(edges.select(F.col(side).alias("digest")).distinct())
         marked = hits.join(anchors("first").withColumn("l", F.lit(True)), "digest", "left").join(anchors("last").withColumn("r", F.lit(True)), "digest", "left")
-        per_doc = marked.groupBy("doc").agg(F.collect_list(F.struct("k", "keep_id", "l", "r")).alias("hits"))
-        runs = stored(run_table(source.join(per_doc, "doc"), run_words).dropDuplicates(["doc", "run"]), "runs")
+        per_doc = marked.groupBy("doc").agg(F.collect_set(F.struct("k", "keep_id", "l", "r")).alias("hits"))
+        runs = stored(run_table(source.join(per_doc, "doc"), run_words), "runs")
 
     ways = several(runs.select("doc", F.explode(F.arrays_zip("anchor", "way")).alias("z")).select("doc", "z.*"), ["anchor", "way"]).select("anchor", "way")
     side = lambda name, anchor: runs.select("doc", "run", F.lit(name).alias("side"), F.col(anchor).alias("anchor"), F.posexplode(f"{name}_hash").alias("j", "way"))
@@ -237,8 +232,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     reach = gone_on.agg(F.max(F.when(F.col("side") == "left", F.col("j"))).alias("l"), F.max(F.when(F.col("side") == "right", F.col("j"))).alias("r"))
     wide = runs.join(reach, ["doc", "run"], "left")
     end = lambda c, side, j: F.coalesce(F.get(side, F.col(j)), F.col(c)).alias(c)
-    wide = wide.select("doc_id", "keep_id", end("start", "left_at", "l"), end("from_word", "left_word", "l"), end("stop", "right_at", "r"), end("to_word", "right_word", "r"))
-    passages = wide.withColumn("n_words", F.col("to_word") - F.col("from_word")).filter(F.col("n_words") >= run_words)
+    wide = wide.select("doc", "run", "doc_id", "keep_id", end("start", "left_at", "l"), end("from_word", "left_word", "l"), end("stop", "right_at", "r"), end("to_word", "right_word", "r"))
+    passages = wide.withColumn("n_words", F.col("to_word") - F.col("from_word")).filter(F.col("n_words") >= run_words).dropDuplicates(["doc", "run"])
     return passages.select("doc_id", "start", (F.col("stop") - F.col("start")).alias("length"), "n_words", "keep_id", (~F.col("keep_id").eqNullSafe(F.col("doc_id"))).alias("is_copy"))
 
 

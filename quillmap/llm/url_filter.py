@@ -7,6 +7,7 @@ from string import ascii_lowercase, ascii_uppercase
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..operators.iteration import Steps
 from .common import stored
 
 #: (verdict, host, start of the path).
@@ -56,7 +57,7 @@ def unlike(good: Column, bad: Column, good2: Column, bad2: Column) -> Column:
     return F.abs((good + 1) / n - (good2 + 1) / n2) >= APART * F.sqrt(share * (1 - share) * (1 / n + 1 / n2))
 
 
-def template_tree(urls: DataFrame, labelled: DataFrame) -> DataFrame:
+def template_tree(urls: DataFrame, labelled: DataFrame, steps: Steps) -> DataFrame:
     """urls: (host, shape); labelled: (host, shape, good). (host, shape, template, purity), a row for each shape of a host.
 
     Urls and labels are counted by host and shape first, so that a host of any size is a few rows
@@ -69,7 +70,7 @@ def template_tree(urls: DataFrame, labelled: DataFrame) -> DataFrame:
     marks = labelled.groupBy("host", "shape").agg(F.count_if("good").alias("good"), F.count_if(~F.col("good")).alias("bad"))
     none = F.lit(0).cast("long")
     level = counted.join(marks, ["host", "shape"], "left").withColumns({"good": F.coalesce("good", none), "bad": F.coalesce("bad", none)})
-    level = stored(level, "shapes")
+    level = steps.keep(level)
     total = level.agg(F.sum("good").alias("good"), F.sum("bad").alias("bad")).first()
     prior = F.lit(((total["good"] or 0) + WEIGHT / 2) / ((total["good"] or 0) + (total["bad"] or 0) + WEIGHT))  # as much for as against without labels
     roots = level.groupBy("host").agg(F.sum("good").alias("g"), F.sum("bad").alias("b")).select("host", smoothed(F.col("g"), F.col("b"), prior).alias("purity"))
@@ -94,7 +95,7 @@ def template_tree(urls: DataFrame, labelled: DataFrame) -> DataFrame:
         ways = named.select("host", "node", "segment", "branch").join(groups, ["host", "node", "branch"]).drop("branch")
         level = level.join(ways, ["host", "node", "segment"], "left")
         level = level.withColumns({"node": F.coalesce("next", "node"), "purity": F.coalesce("next_purity", "purity")}).drop("segment", "next", "next_purity")
-        level = stored(level, "templates")
+        level = steps.keep(level)
     return level.select("host", "shape", F.col("node").alias("template"), "purity")
 
 
@@ -117,7 +118,8 @@ def judge_urls(pages: DataFrame, labelled: DataFrame, id_col: str = "page_id", u
     parsed = lambda df, *more: df.select(*more, host_of(F.col(url_col)).alias("host"), path_of(F.col(url_col)).alias("path"))
     rows = parsed(pages, F.col(id_col).alias("page_id")).withColumn("shape", shape_of(F.col("path")))
     known = labelled.filter("url IS NOT NULL AND good IS NOT NULL").select("good", host_of(F.col("url")).alias("host"), shape_of(path_of(F.col("url"))).alias("shape"))
-    tree = template_tree(rows.select("host", "shape"), known)
+    with Steps(pages.sparkSession) as steps:
+        tree = stored(template_tree(rows.select("host", "shape"), known, steps), "templates")
     judged = rows.join(tree, ["host", "shape"], "left").withColumn("told", longest_rule(F.col("host"), F.col("path"), rules))
     own = F.when(F.col("purity") < PURE, "block").otherwise("allow")
     return judged.select("page_id", "host", "path", F.col("told.rule").alias("rule"), F.coalesce("told.verdict", own).alias("verdict"), "template", "purity")

@@ -111,3 +111,34 @@ def test_op9_gives_the_digest_and_list_of_spans(spark, texts):
         base, spans = personal_data.all_spans(texts[r.doc_id], weights)
         assert r.base_sha256 == hashlib.sha256(told(base).encode()).hexdigest() and r.spans == told(spans) and r.n_spans == len(spans)
         assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [sum(x[0] == k for x in base) for k in personal_data.BASE_KINDS]
+
+
+def test_threads_keep_what_they_store(spark, small):
+    """What one thread's block removes leaves the frames of another alone, and folders of blocks within blocks go with their own."""
+    import threading
+
+    from quillmap.llm import common, exact_dedup
+
+    there = lambda: {p.name for p in pathlib.Path(common.shared_folder(spark).removeprefix("file://")).iterdir()}
+    out, ready, done = {}, threading.Event(), threading.Event()
+
+    def other():
+        with common.owned():
+            out["rows"] = exact_dedup.exact_dedup(small, digest_all=True)
+            ready.set()
+            done.wait(120)
+            out["n"] = out["rows"].count()
+
+    before = there()
+    thread = threading.Thread(target=other)
+    with common.owned():
+        mine = exact_dedup.exact_dedup(small)
+        thread.start()
+        assert ready.wait(120)
+        with common.owned():
+            exact_dedup.exact_dedup(small).count()
+        assert mine.count() == small.count()
+    done.set()
+    thread.join()
+    assert out["n"] == small.count()
+    assert {p for p in there() - before if p.startswith(("groups", "prefixes", "steps"))} == set()
