@@ -12,7 +12,7 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quillmap.llm.common import KEPT, discard
+from quillmap.llm.common import owned
 from quillmap.llm.exact_dedup import drop_copies
 from quillmap.llm.mixing import take_mix
 from quillmap.llm.ngram_join import keep_first
@@ -87,14 +87,13 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     at = f"{shared_folder(spark)}/corpus-{uuid.uuid4().hex}"
     docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
-    for name, stage in STAGES:
-        mark = len(KEPT)
-        out = stage(spark, docs, sf_dir)
-        if name != STAGES[-1][0]:
-            out.write.parquet(f"{at}/{name}")
-            discard(mark)
-            docs = spark.read.parquet(f"{at}/{name}")
+    for name, stage in STAGES[:-1]:
+        with owned():
+            stage(spark, docs, sf_dir).write.parquet(f"{at}/{name}")
+        docs = spark.read.parquet(f"{at}/{name}")
         if before:
             remove(spark, f"{at}/{before}")
         before = name
+    out = STAGES[-1][1](spark, docs, sf_dir)
+    remove(spark, f"{at}/{before}")
     return out
