@@ -6,7 +6,7 @@ import os
 import tempfile
 import uuid
 
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -57,6 +57,13 @@ class Steps:
         return self.spark.read.schema(df.schema).parquet(path)
 
 
+    def keep_counted(self, df: DataFrame) -> tuple[DataFrame, int]:
+        """Also the number of rows, which the write itself counts."""
+        seen = Observation()
+        kept = self.keep(df.observe(seen, F.count(F.lit(1)).alias("n")))
+        return kept, seen.get["n"]
+
+
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """Adds n, the place of each row in an order over all rows, from 0. Ranges are numbered by themselves, after the rows of the ranges before."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

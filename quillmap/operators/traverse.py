@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +10,8 @@ from .iteration import Steps, cut
 
 #: Rounds after which what was gathered so far is written, so plans don't grow without end.
 FLAT = 16
+#: Edges that one task joins to components at most.
+REST = 100_000
 
 
 def reach(edges: DataFrame, target: str, max_depth: int = 10, with_target: bool = False) -> DataFrame:
@@ -20,13 +23,14 @@ def reach(edges: DataFrame, target: str, max_depth: int = 10, with_target: bool
     with Steps(edges.sparkSession) as steps:
         ways = steps.keep(edges.select("src", "dst").distinct())
         if with_target:
-            new, depth = steps.keep(edges.sparkSession.createDataFrame([(target, 0)], "name string, depth int")), 0
+            first, depth = edges.sparkSession.createDataFrame([(target, 0)], "name string, depth int"), 0
         else:
-            new, depth = steps.keep(ways.filter(F.col("src") == target).select(F.col("dst").alias("name"), F.lit(1).alias("depth")).distinct()), 1
+            first, depth = ways.filter(F.col("src") == target).select(F.col("dst").alias("name"), F.lit(1).alias("depth")).distinct(), 1
+        new, n = steps.keep_counted(first)
         seen = new
-        while depth < max_depth and not new.isEmpty():
+        while depth < max_depth and n:
             depth += 1
-            new = steps.keep(ways.join(new, ways.src == new.name).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)))
+            new, n = steps.keep_counted(ways.join(new, ways.src == new.name).select(F.col("dst").alias("name")).distinct().join(seen, "name", "left_anti").withColumn("depth", F.lit(depth)))
             seen = seen.unionByName(new) if depth % FLAT else steps.keep(seen.unionByName(new))
         return cut(seen)
 
@@ -122,30 +126,57 @@ def connected(edges: DataFrame) -> DataFrame:
     the nodes themselves, which ends stars about their smallest node at once), so rounds grow with
     the logarithm of the nodes and all rounds together cost about as much as the first three. The
     ways of a node are then followed in one plan. Least hashes are partial aggregations and look-ups
-    are joins that AQE can split, so a hub never meets in one task.
+    are joins that AQE can split, so a hub never meets in one task. What is left is counted as it is written;
+    once it is REST edges at most, one task finishes it, as rounds over few edges cost their jobs only.
     """
     with Steps(edges.sparkSession) as steps:
-        left = steps.keep(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
+        left, n = steps.keep_counted(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
         rounds = []
-        while not left.isEmpty():
+        while n > REST:
             drawn = lambda c: F.struct((F.xxhash64(c, F.lit(len(rounds))) if rounds else F.lit(0).cast("long")).alias("h"), F.col(c).alias("to"))
             both = left.union(left.select("b", "a"))
             moves = steps.keep(both.groupBy("a").agg(F.min(drawn("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", drawn("a"))["to"].alias("to")))
-            left = steps.keep(
+            left, n = steps.keep_counted(
                 left.join(moves.toDF("a", "from"), "a").join(moves.toDF("b", "to"), "b").filter("from <> to")
                 .select(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).distinct()
             )
             rounds.append(moves)
+        if n:
+            rounds.append(steps.keep(united(left)))
         if not rounds:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
         found = rounds[0]
         for moves in rounds[1:]:
             found = found.join(moves.toDF("to", "then"), "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+        if len(rounds) == 1 and n:
+            return cut(found.toDF("node", "component"))
         found = steps.keep(found)
         names = found.groupBy("to").agg(F.min("node").alias("component"))
         return cut(found.join(names, "to").select("node", "component"))
 
 
+def united(edges: DataFrame) -> DataFrame:
+    """(node, to), to being the smallest connected node, of at most REST edges, in one task."""
+
+    def unite(frames):
+        up = {}
+
+        def top(x):
+            while (y := up.setdefault(x, x)) != x:
+                up[x] = x = up[y]
+            return x
+
+        for frame in frames:
+            for a, b in zip(frame["a"], frame["b"]):
+                a, b = top(a), top(b)
+                if a != b:
+                    up[max(a, b)] = min(a, b)
+        yield pd.DataFrame({"node": list(up), "to": [top(x) for x in up]})
+
+    kind = edges.schema["a"].dataType.simpleString()
+    return edges.coalesce(1).mapInPandas(unite, f"node {kind}, to {kind}")
+
+
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges: (a, b); nodes: (id). (id, component): the smallest id that is connected."""
     found = connected(edges.select("a", "b"))

@@ -303,7 +303,13 @@ def estimate_bits(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()
 
 
-def test_components_of_a_long_chain(spark):
+@pytest.fixture(params=[0, 40, 100_000])
+def rest(request, monkeypatch):
+    """Edges that one task finishes: none, some after rounds, and all."""
+    monkeypatch.setattr(traverse, "REST", request.param)
+
+
+def test_components_of_a_long_chain(spark, rest):
     n = 10_000
     chain = spark.range(n).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
     found = traverse.connected(chain)
@@ -311,7 +317,7 @@ def test_components_of_a_long_chain(spark):
     assert estimate_bits(found) < 200
 
 
-def test_components_agree_with_a_loop(spark):
+def test_components_agree_with_a_loop(spark, rest):
     r = random.Random(8)
     edges = [(r.randint(0, 300), r.randint(0, 300)) for _ in range(170)] + [(400, k) for k in range(401, 440)] + [(500, 500), (None, 3)]
     label = list(range(501))
