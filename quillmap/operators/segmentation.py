@@ -2,13 +2,11 @@
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.text import segment_id
 from ..functions.vector import cosine
-from ..schemas import SEGMENTS
 
 def by_video():
     return Window.partitionBy("video_id")
@@ -110,28 +108,57 @@ def build_segments(sentences: DataFrame, boundaries: DataFrame) -> DataFrame:
     return grouped.select(segment_id(F.col("video_id"), F.col("seg_no")).alias("segment_id"), "video_id", "seg_no", title.alias("title"), "start", "end", text.alias("transcript"), "sentences")
 
 
-def merge_short(segments: DataFrame, min_s: float = 30.0) -> DataFrame:
-    """Joins segments shorter than min_s to a neighbour, one after the other, and numbers what is left.
+#: A piece of a video: its times, and its first and last segment.
+PIECE = "struct<s:double,e:double,a:int,b:int>"
+
+
+def short_pieces(pieces: Column, min_s: float) -> Column:
+    """pieces: a video's segments in order, as an array of PIECE. Those that are left when short ones have joined their neighbours.
 
-    Each merge depends on the ones before it, so a video's segments (a few rows) are folded in
-    Python. The last one goes to the one before, the first to the next, others to the shorter side;
-    the earlier title stays.
+    The first piece shorter than min_s joins the one before if it is the last or that one is no longer than the
+    next, and else the next; and so on until none is short or one is left. So all before the first
+    short one are long, and one pass from the left does it: `done` are pieces that stay, `now` is the one in
+    hand, and each further piece settles it. A piece joined to the one before is settled at once unless
+    times run backwards; only then may several rounds be needed.
     """
+    span = lambda c: c["e"] - c["s"]
+    join = lambda l, r: F.struct(l["s"].alias("s"), r["e"].alias("e"), l["a"].alias("a"), r["b"].alias("b"))
+    state = lambda done, now, settled: F.struct(done.alias("done"), now.alias("now"), F.lit(settled).alias("settled"))
+    last, but_last = lambda done: F.element_at(done, -1), lambda done: F.slice(done, F.lit(1), F.size(done) - 1)
+    back = lambda st: state(but_last(st["done"]), join(last(st["done"]), st["now"]), False)
+    none = F.array().cast(f"array<{PIECE}>")
+    ordered = F.forall(F.sequence(F.lit(1), F.size(pieces)), lambda k: F.coalesce(F.get(pieces, k)["e"] >= F.get(pieces, k - 1)["e"], F.lit(True)))
+    times = lambda done: F.sequence(F.lit(0), F.when(ordered, F.lit(1)).otherwise(F.size(done) + 1))
+
+    def settle(st: Column, x: Column) -> Column:
+        long, alone = span(st["now"]) >= min_s, F.size(st["done"]) == 0
+        onward = alone | (span(F.get(st["done"], F.size(st["done"]) - 1)) > span(x))
+        return F.when(st["settled"], st).when(long, state(F.array_append(st["done"], st["now"]), x, True)).when(onward, state(st["done"], join(st["now"], x), True)).otherwise(back(st))
+
+    def take(acc: Column, x: Column) -> Column:
+        return F.aggregate(times(acc["done"]), state(acc["done"], acc["now"], False), lambda st, _: settle(st, x), lambda st: state(st["done"], st["now"], False))
+
+    def end(acc: Column) -> Column:
+        final = lambda st, _: F.when((F.size(st["done"]) > 0) & (span(st["now"]) < min_s), back(st)).otherwise(st)
+        return F.aggregate(times(acc["done"]), acc, final, lambda st: F.array_append(st["done"], st["now"]))
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows = pdf.sort_values("seg_no").to_dict("records")
-        span = lambda r: r["end"] - r["start"]
-        while len(rows) > 1 and (short := [i for i, r in enumerate(rows) if span(r) < min_s]):
-            i = short[0]
-            back = i == len(rows) - 1 or (i > 0 and span(rows[i - 1]) <= span(rows[i + 1]))
-            a, b = (i - 1, i) if back else (i, i + 1)
-            left, right = rows[a], rows[b]
-            rows[a : b + 1] = [{**left, "end": right["end"], "transcript": f"{left['transcript']} {right['transcript']}", "sentences": [*left["sentences"], *right["sentences"]]}]
-        for k, r in enumerate(rows, 1):
-            r["seg_no"], r["segment_id"] = k, f"{r['video_id']}_seg{k:03d}"
-        return pd.DataFrame(rows, columns=pdf.columns)
-
-    return segments.groupBy("video_id").applyInPandas(fold, SEGMENTS)
+    return F.aggregate(F.slice(pieces, F.lit(2), F.size(pieces)), state(none, F.get(pieces, F.lit(0)), False), take, end)
+
+
+def merge_short(segments: DataFrame, min_s: float = 30.0) -> DataFrame:
+    """Joins segments shorter than min_s to a neighbour, one after the other, and numbers what is left; see short_pieces(). The earlier title stays.
+
+    A video's segments (a few rows) meet in one row; the reduction looks at their times only, and
+    transcripts and sentences are put together once, from the first to the last segment of each piece.
+    """
+    parts = F.sort_array(F.collect_list(F.struct("seg_no", "start", "end", "title", "transcript", "sentences")))
+    pieces = F.transform("parts", lambda x, k: F.struct(x["start"].alias("s"), x["end"].alias("e"), k.alias("a"), k.alias("b")))
+    left = segments.groupBy("video_id").agg(parts.alias("parts")).select("video_id", "parts", short_pieces(pieces, min_s).alias("pieces")).select("video_id", "parts", F.posexplode("pieces").alias("k", "p"))
+    own = left.select("video_id", (F.col("k") + 1).alias("seg_no"), "p", F.slice("parts", F.col("p.a") + 1, F.col("p.b") - F.col("p.a") + 1).alias("own"))
+    return own.select(
+        segment_id(F.col("video_id"), F.col("seg_no")).alias("segment_id"), "video_id", "seg_no", F.get("own", F.lit(0))["title"].alias("title"), F.col("p.s").alias("start"), F.col("p.e").alias("end"),
+        F.array_join(F.transform("own", lambda x: x["transcript"]), " ").alias("transcript"), F.flatten(F.transform("own", lambda x: x["sentences"])).alias("sentences"),
+    )
 
 
 def segment(sentences: DataFrame, vectors: DataFrame, min_s: float = 30.0, max_s: float = 1200.0, window: int = 3) -> DataFrame:

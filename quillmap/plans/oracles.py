@@ -1,4 +1,4 @@
-"""DuckDB SQL for the registered queries; folds are recursive CTEs. Left out are merge_short and segment_pipeline."""
+"""DuckDB SQL for the registered queries; folds and loops are recursive CTEs."""
 
 from __future__ import annotations
 
@@ -39,6 +39,29 @@ fold AS (
 #: The whole-table boundary rule of the segment queries: every sentence with sent_idx % 13 = 5 ends a segment.
 SPLIT = """pts AS (SELECT video_id, sent_idx + 1 AS p FROM sentences WHERE sent_idx % 13 = 5 UNION SELECT video_id, 0 FROM sentences UNION SELECT video_id, count(*) FROM sentences GROUP BY video_id),
 gaps AS (SELECT * FROM (SELECT video_id, p, lead(p) OVER (PARTITION BY video_id ORDER BY p) AS q FROM pts) g WHERE q > p)"""
+#: All boundaries of the segmentation: the greedy ones and one in the middle of every stretch above 300 s.
+CUTS = """greedy AS (SELECT video_id, unnest(taken) AS idx FROM (SELECT video_id, arg_max(taken, k) AS taken FROM fold GROUP BY video_id) f),
+pts AS (SELECT video_id, idx + 1 AS p FROM greedy UNION SELECT video_id, 0 FROM sentences UNION SELECT video_id, count(*) FROM sentences GROUP BY video_id),
+gaps AS (SELECT * FROM (SELECT video_id, p, lead(p) OVER (PARTITION BY video_id ORDER BY p) AS q FROM pts) g WHERE q > p),
+cuts AS (SELECT video_id, idx FROM greedy UNION SELECT g.video_id, (p + q) // 2 - 1 FROM gaps g JOIN sentences a ON a.video_id = g.video_id AND a.sent_idx = p JOIN sentences b ON b.video_id = g.video_id AND b.sent_idx = q - 1 WHERE b.t1 - a.t0 > 300.0 AND (p + q) // 2 > p),
+grp AS (SELECT *, coalesce(sum(mark) OVER (PARTITION BY video_id ORDER BY sent_idx ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0)::INT + 1 AS seg_no FROM (SELECT s.*, (c.idx IS NOT NULL)::INT AS mark FROM sentences s LEFT JOIN cuts c ON c.video_id = s.video_id AND c.idx = s.sent_idx) z)"""
+
+
+def merged(min_s: float) -> str:
+    """Segments of the numbered sentences grp, and the first short one after the other joined to a neighbour."""
+    return f"""segs AS MATERIALIZED (SELECT video_id, seg_no, arg_min(t0, sent_idx) AS s, arg_max(t1, sent_idx) AS e, string_agg(text, ' ' ORDER BY sent_idx) AS transcript, count(*) AS n,
+    CASE WHEN count(*) OVER (PARTITION BY video_id) = 1 THEN 'Full transcript' ELSE concat('Segment ', seg_no) END AS title FROM grp GROUP BY video_id, seg_no),
+joined AS (
+    SELECT video_id, 0 AS k, list({{'s': s, 'e': e, 'a': seg_no, 'b': seg_no}} ORDER BY seg_no) AS g FROM segs GROUP BY video_id
+    UNION ALL
+    SELECT video_id, k + 1, list_concat(list_concat(g[:a - 1], [{{'s': g[a].s, 'e': g[a + 1].e, 'a': g[a].a, 'b': g[a + 1].b}}]), g[a + 2:])
+    FROM (SELECT *, CASE WHEN i = len(g) THEN i - 1 WHEN i = 1 THEN 1 WHEN g[i - 1].e - g[i - 1].s <= g[i + 1].e - g[i + 1].s THEN i - 1 ELSE i END AS a
+          FROM (SELECT *, list_position(list_transform(g, lambda x: x.e - x.s < {min_s}), true) AS i FROM joined WHERE len(g) > 1) x WHERE i > 0) y),
+pieces AS (SELECT video_id, unnest(range(1, len(g) + 1))::INT AS seg_no, unnest(g) AS p FROM (SELECT video_id, arg_max(g, k) AS g FROM joined GROUP BY video_id))
+SELECT format('{{}}_seg{{:03d}}', p.video_id, p.seg_no) AS segment_id, p.video_id, p.seg_no, arg_min(title, x.seg_no) AS title, any_value(p.p.s) AS start_s, any_value(p.p.e) AS end_s, string_agg(transcript, ' ' ORDER BY x.seg_no) AS transcript, sum(n)::INT AS n_sentences
+FROM pieces p JOIN segs x ON x.video_id = p.video_id AND x.seg_no BETWEEN p.p.a AND p.p.b GROUP BY p.video_id, p.seg_no"""
+
+
 ALIASES = "array_to_string({x}, '|')"
 REGISTERED = f"""ids AS (SELECT p_partkey AS idx, {PART_NAME} AS name, p_brand AS alias, p_type AS type, concat(p_brand, ' ', repeat('x', cast(p_partkey % 5 AS INT))) AS definition,
     CASE WHEN p_size < 17 THEN 'core' WHEN p_size < 34 THEN 'supporting' ELSE 'mentioned' END AS importance FROM part),
@@ -156,6 +179,8 @@ def oracle_sql() -> dict[str, str]:
             SELECT g.video_id, (p + q) // 2 - 1 FROM gaps g JOIN sentences a ON a.video_id = g.video_id AND a.sent_idx = p JOIN sentences b ON b.video_id = g.video_id AND b.sent_idx = q - 1 WHERE b.t1 - a.t0 > 200.0 AND (p + q) // 2 > p""",
         "segment_build": _with("sentences", group) + """ SELECT format('{}_seg{:03d}', video_id, seg_no) AS segment_id, video_id, seg_no, CASE WHEN (SELECT count(*) FROM grp x WHERE x.video_id = grp.video_id) <= 1 THEN 'Full transcript' ELSE concat('Segment ', seg_no) END AS title,
             arg_min(t0, sent_idx) AS start_s, arg_max(t1, sent_idx) AS end_s, string_agg(text, ' ' ORDER BY sent_idx) AS transcript, count(*)::INT AS n_sentences FROM grp GROUP BY video_id, seg_no""",
+        "merge_short": _with("sentences", group + ", " + merged(250.0)),
+        "segment_pipeline": _with("sentences", CURVE, DEPTH, MINIMA, GREEDY.replace("65.0", "60.0"), CUTS + ", " + merged(60.0)),
         "sentence_grouping": "WITH " + WORDS_SQL + r""", w AS (SELECT *, round("end", 3) AS e, round(start, 3) AS s FROM words),
             b AS (SELECT *, (right(text, 1) IN ('.', '?', '!', '。', '？', '！') OR coalesce(lead(s) OVER (PARTITION BY video_id ORDER BY pos) - e > 1.0, false))::INT AS brk FROM w),
             r AS (SELECT *, coalesce(sum(brk) OVER (PARTITION BY video_id ORDER BY pos ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS run FROM b),

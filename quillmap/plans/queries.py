@@ -139,13 +139,13 @@ def segment_build(spark, d):
 
 @query
 def merge_short(spark, d):
-    return segmentation.merge_short(_segments(spark, d), 250.0).select("segment_id", "video_id", "seg_no", "title", F.col("start").alias("start_s"), F.col("end").alias("end_s"), F.size("sentences").alias("n_sentences"))
+    return segmentation.merge_short(_segments(spark, d), 250.0).select("segment_id", "video_id", "seg_no", "title", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "transcript", F.size("sentences").alias("n_sentences"))
 
 
 @query
 def segment_pipeline(spark, d):
     out = segmentation.segment(view(spark, d, "sentences"), view(spark, d, "sentence_vectors").select("video_id", "sent_idx", "embedding"), 60.0, 300.0)
-    return out.select("segment_id", "video_id", "seg_no", "title", F.col("start").alias("start_s"), F.col("end").alias("end_s"), F.size("sentences").alias("n_sentences"))
+    return out.select("segment_id", "video_id", "seg_no", "title", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "transcript", F.size("sentences").alias("n_sentences"))
 
 
 @query

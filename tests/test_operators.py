@@ -82,6 +82,37 @@ def test_short_segments_merge(spark, spans, want):
     assert got == [(f"v_seg{k:03d}", float(a), float(b)) for k, (a, b) in enumerate(want, 1)]
 
 
+def merge_by_restarting(spans, min_s):
+    spans = list(spans)
+    while len(spans) > 1 and (short := [i for i, (a, b) in enumerate(spans) if b - a < min_s]):
+        i = short[0]
+        length = lambda k: spans[k][1] - spans[k][0]
+        first = i - 1 if i == len(spans) - 1 else 0 if i == 0 else i - 1 if length(i - 1) <= length(i + 1) else i
+        spans[first : first + 2] = [(spans[first][0], spans[first + 1][1])]
+    return spans
+
+
+@pytest.mark.parametrize("ordered", [True, False])
+def test_short_segments_merge_as_if_restarted(spark, ordered):
+    """Also where a video's times run backwards."""
+    from quillmap.schemas import SEGMENTS
+
+    r, made, want = random.Random(3), [], {}
+    for v in range(150):
+        at, spans = 0.0, []
+        for _ in range(r.randint(1, 14)):
+            at = at + r.randint(0, 30) if ordered else r.randint(0, 300)
+            spans.append((float(at), float(at + r.choice([1, 5, 20, 29, 30, 31, 60]))))
+            at = spans[-1][1]
+        made += [(f"v{v}_seg{k:03d}", f"v{v}", k, f"T{k}", a, b, f"t{k}", [(f"x{k}", a, b, 1.0)]) for k, (a, b) in enumerate(spans, 1)]
+        want[f"v{v}"] = merge_by_restarting(spans, 30)
+    got = {}
+    for x in sorted(segmentation.merge_short(spark.createDataFrame(made, SEGMENTS).repartition(4)).collect(), key=lambda x: (x.video_id, x.seg_no)):
+        got.setdefault(x.video_id, []).append((x.start, x.end))
+        assert x.segment_id == f"{x.video_id}_seg{len(got[x.video_id]):03d}" and x.transcript.split() == ["t" + s.text[1:] for s in x.sentences] and x.title[1:] == x.transcript.split()[0][1:]
+    assert got == want
+
+
 def test_one_sentence_is_one_segment(spark):
     vectors = spark.createDataFrame([("v", 0, [1.0])], "video_id string, sent_idx long, embedding array<float>")
     assert rows(segmentation.segment(sentences_of(spark, 1, 60.0), vectors).select("segment_id", "title")) == [("v_seg001", "Full transcript")]
