@@ -6,33 +6,69 @@ import math
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.picks import best_definition, best_importance, first_by
 from ..functions.text import normalize_name
 from ..functions.vector import FLOOR
-from .iteration import numbered
+from .iteration import cut, numbered
 from .traverse import components
+from .vector_index import LOOSE, MOST_CELLS, SLACK, celled, sample_pivots
 
-#: Vectors in a block; two blocks meet in a task.
+#: Vectors in a block at most, on average; two blocks meet in a task.
 BLOCK_ROWS = 2048
 
 
-def similar_pairs(vectors: DataFrame, threshold: float = 0.75, blocks: int = 0) -> DataFrame:
-    """vectors: (idx, embedding). (idx_a, idx_b, sim) of all pairs idx_a < idx_b with cosine >= threshold, exactly.
+def block_partners(blocks: DataFrame, pivots: np.ndarray, threshold: float) -> DataFrame:
+    """blocks: (block, cell, radius), radius being the largest angle to the cell's pivot. (block, partners): those from itself on, by number, that can hold a vector with cosine >= threshold to one of its own.
 
-    Every pair is looked at, as the definition asks. Rows are dealt into blocks of BLOCK_ROWS at
-    most on average, as many at least as keep all cores busy, and each pair of blocks meets in one
-    group, where the vectors, brought to length 1, are multiplied as matrices. No side is
-    broadcast whatever its size. Rows without a vector have no pairs.
+    Two blocks have nothing nearer than the angle between their pivots less both radii. The list of blocks, a row for
+    each BLOCK_ROWS vectors, goes to the tasks; blocks of vectors without direction meet all.
     """
+    every = sorted((r["block"], r["cell"], r["radius"]) for r in blocks.collect())
+    number, cell, radius = (np.array([e[k] for e in every]) for k in range(3))
+    reach = math.acos(max(-1.0, min(1.0, threshold))) + SLACK
+    apart = np.arccos(np.clip(pivots @ pivots.T, -1, 1)) if len(pivots) else np.zeros((1, 1))
+
+    def pair(batches):
+        for batch in batches:
+            out = []
+            for b, c, r in zip(*(batch.column(n).to_pylist() for n in ("block", "cell", "radius"))):
+                near = (number >= b) & ((c == LOOSE) | (cell == LOOSE) | (apart[c, cell] - r - radius <= reach))
+                out.append(number[near].tolist())
+            yield pa.RecordBatch.from_arrays([batch.column("block"), pa.array(out, pa.list_(pa.int64()))], names=["block", "partners"])
+
+    return blocks.select("block", "cell", "radius").mapInArrow(pair, "block long, partners array<bigint>")
+
+
+def in_blocks(vectors: DataFrame, cells: int = 0) -> tuple[DataFrame, DataFrame, np.ndarray]:
+    """(idx, embedding, block) of rows with a vector, (block, cell, radius) of the blocks, and the cells' pivots. A cell of more than BLOCK_ROWS rows is dealt into several blocks."""
     spark = vectors.sparkSession
     rows = vectors.filter("embedding IS NOT NULL").select("idx", "embedding")
-    n = blocks or max(-(-rows.count() // BLOCK_ROWS), math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
-    block = F.pmod(F.xxhash64("idx"), F.lit(n)).cast("int")
-    dealt = rows.withColumn("block", block).withColumn("other", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
-    dealt = dealt.select(F.least("block", "other").alias("p"), F.greatest("block", "other").alias("q"), "block", "idx", "embedding")
+    wanted = cells or max(-(-rows.count() // BLOCK_ROWS), math.ceil(math.sqrt(2 * spark.sparkContext.defaultParallelism)))
+    pivots = sample_pivots(rows, min(MOST_CELLS, wanted))
+    placed = cut(celled(rows, pivots))
+    parts = placed.groupBy("cell").agg(F.ceil(F.count("*") / BLOCK_ROWS).cast("long").alias("parts"))  # MOST_CELLS and one at most
+    block = (F.col("cell") + 1).cast("long") * F.lit(1 << 32) + F.pmod(F.xxhash64("idx"), F.col("parts"))
+    dealt = placed.join(F.broadcast(parts), "cell").withColumn("block", block)
+    return dealt.select("idx", "embedding", "block"), dealt.groupBy("block", "cell").agg(F.max("angle").alias("radius")), pivots
+
+
+def similar_pairs(vectors: DataFrame, threshold: float = 0.75, blocks: int = 0) -> DataFrame:
+    """vectors: (idx, embedding). (idx_a, idx_b, sim) of all pairs idx_a < idx_b with cosine >= threshold, exactly.
+
+    Rows are dealt by their nearest pivot into blocks of BLOCK_ROWS on average at most, from as many cells at
+    least as keep all cores busy. The triangle inequality of angles rules out most pairs of blocks where vectors
+    lie in clusters; each pair that is left meets in one group, where the vectors, brought to length 1, are
+    multiplied as matrices. No side is broadcast whatever its size. Where vectors have no clusters nothing
+    can be ruled out, and all pairs of blocks meet. Rows without a vector have no pairs.
+    """
+    rows, found, pivots = in_blocks(vectors, blocks)
+    partners = block_partners(found, pivots, threshold).select(F.col("block").alias("p"), F.explode("partners").alias("q"))
+    meets = partners.withColumn("block", F.explode(F.array_distinct(F.array("p", "q")))).groupBy("block").agg(F.collect_list(F.struct("p", "q")).alias("pairs"))
+    dealt = rows.join(meets, "block").select("block", "idx", "embedding", F.explode("pairs").alias("pair")).select("pair.p", "pair.q", "block", "idx", "embedding")
     kind = dealt.schema["idx"].dataType.simpleString()
 
     def compare(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:

@@ -8,8 +8,11 @@ from pyspark.sql import functions as F
 from ..functions.text import concept_id, excerpt
 from ..functions.vector import score
 from .graph import upsert
+from .iteration import cut
 
 NOT_RELATED = ["DEPENDS_ON", "EXPLAINED_IN"]
+#: Rows that a side has at most to be broadcast.
+FEW = 10_000
 
 
 def index_segments(existing: DataFrame, segments: DataFrame, vectors: DataFrame) -> DataFrame:
@@ -32,22 +35,29 @@ def vector_search(vectors: DataFrame, query: list[float], where=None, k: int = 1
 
 
 def enrich(hits: DataFrame, explained_in: DataFrame, concept_edges: DataFrame, illustrates: DataFrame, examples: DataFrame) -> DataFrame:
-    """Adds to each hit (segment_id) its concepts, their prerequisites, related concepts and examples, all hits in one plan."""
-    here = explained_in.join(F.broadcast(hits.select("segment_id").distinct()), "segment_id").select("segment_id", "concept")
-    out = here.withColumnRenamed("concept", "src").join(concept_edges.select("src", "dst", "type"), "src")
-    told = here.join(illustrates, "concept").join(examples.select("example_id", "description"), "example_id")
-    lists = [
-        here.groupBy("segment_id").agg(F.array_sort(F.collect_list("concept")).alias("concepts")),
-        out.filter("type = 'DEPENDS_ON'").groupBy("segment_id").agg(F.array_sort(F.collect_set("dst")).alias("prerequisites")),
-        out.filter(~F.col("type").isin(NOT_RELATED)).groupBy("segment_id").agg(F.array_sort(F.collect_set("dst")).alias("related")),
-        told.groupBy("segment_id").agg(F.array_sort(F.collect_set("description")).alias("examples")),
-    ]
-    for x in lists:
-        hits = hits.join(x, "segment_id", "left")
-    return hits.withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("concepts", "prerequisites", "related", "examples")})
+    """Adds to each hit (segment_id) its concepts, their prerequisites, related concepts and examples.
+
+    What the graph says of a concept is one list of facts, of three kinds, so each table is read once. The
+    concepts of the hits are written and counted; few of them are broadcast to the facts, many are joined
+    with these by shuffles. One aggregation for each segment then sorts the facts by kind.
+    """
+    here = cut(explained_in.select("segment_id", "concept").join(few(hits.select("segment_id").distinct()), "segment_id"))
+    out = concept_edges.withColumn("kind", F.when(F.col("type") == "DEPENDS_ON", "prerequisites").when(~F.col("type").isin(NOT_RELATED), "related")).filter("kind IS NOT NULL").select(F.col("src").alias("concept"), "kind", F.col("dst").alias("fact"))
+    known = few(here)
+    mine = known.select("concept").distinct()
+    told = illustrates.join(mine, "concept", "left_semi").join(examples.select("example_id", "description"), "example_id").select("concept", F.lit("examples").alias("kind"), F.col("description").alias("fact"))
+    facts = out.unionByName(told).join(known, "concept").select("segment_id", "kind", "fact").unionByName(here.select("segment_id", F.lit("concepts").alias("kind"), F.col("concept").alias("fact")))
+    of_kind = lambda kind: F.when(F.col("kind") == kind, F.col("fact"))
+    lists = facts.groupBy("segment_id").agg(F.array_sort(F.collect_list(of_kind("concepts"))).alias("concepts"), *[F.array_sort(F.collect_set(of_kind(k))).alias(k) for k in ("prerequisites", "related", "examples")])
+    return hits.join(lists, "segment_id", "left").withColumns({c: F.coalesce(c, F.array().cast("array<string>")) for c in ("concepts", "prerequisites", "related", "examples")})
+
+
+def few(df: DataFrame) -> DataFrame:
+    """df, to be broadcast if it was counted to have FEW rows at most."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
 def search(vec_segments: DataFrame, query: list[float], graph: dict[str, DataFrame], video_id: str | None = None, k: int = 10) -> DataFrame:
-    hits = vector_search(vec_segments, query, None if video_id is None else F.col("video_id") == video_id, k, "segment_id")
+    hits = cut(vector_search(vec_segments, query, None if video_id is None else F.col("video_id") == video_id, k, "segment_id"))
     found = enrich(hits.withColumn("excerpt", excerpt(F.col("document"))).drop("document"), graph["explained_in"], graph["concept_edges"], graph["illustrates"], graph["examples"])
     return found.orderBy(F.col("score").desc(), "segment_id")

@@ -25,6 +25,9 @@ TURNED = f"""(type = 'is_part_of' AND ((len(list_filter({WORDS_OF.format(x="from
 COSINE = "list_cosine_similarity({a}::DOUBLE[], {b}::DOUBLE[])"
 HITS = f"""hits AS (SELECT concat('s', vec_id) AS segment_id, concat('v', label) AS video_id, concat('text of ', vec_id) AS document,
     greatest(0.0, {COSINE.format(a="embedding", b="(SELECT embedding FROM embeddings WHERE vec_id = 0)")}) AS score FROM embeddings"""
+#: Vectors drawn towards the axis of their label, and of the label `turn` farther on.
+TOPICS = "SELECT vec_id AS id, label, list_transform(embedding, lambda x, i: x::DOUBLE + CASE WHEN i - 1 = (label + {turn}) % 10 THEN 2.0 ELSE 0.0 END) AS v FROM embeddings"
+INDEXED = "WITH topics AS ({t}), q AS (SELECT v AS w FROM ({q}) WHERE id = 0) SELECT id, label, round(greatest(0.0, list_cosine_similarity(v, w)), 6) AS score FROM topics, q {where} ORDER BY greatest(0.0, list_cosine_similarity(v, w)) DESC, id LIMIT {k}"
 CURVE = f"""curve AS (SELECT *, CASE WHEN count(*) OVER (PARTITION BY video_id) > 3 THEN (coalesce(lag(sim) OVER w, sim) + sim + coalesce(lead(sim) OVER w, sim)) / 3 ELSE sim END AS smoothed FROM (
     SELECT video_id, sent_idx AS idx, {COSINE.format(a="embedding", b="lead(embedding) OVER (PARTITION BY video_id ORDER BY sent_idx)")} AS sim FROM sentence_vectors) s WHERE sim IS NOT NULL WINDOW w AS (PARTITION BY video_id ORDER BY idx))"""
 DEPTH = """deep AS (SELECT *, (max(smoothed) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN 5 PRECEDING AND CURRENT ROW) - smoothed + max(smoothed) OVER (PARTITION BY video_id ORDER BY idx ROWS BETWEEN CURRENT ROW AND 5 FOLLOWING) - smoothed) / 2 AS depth FROM curve)"""
@@ -230,6 +233,10 @@ def oracle_sql() -> dict[str, str]:
         "batch_until_failure": _with("attempts segments videos", CALLS) + """ SELECT ordinal, video_id, CASE WHEN late THEN 'not run' WHEN error IS NULL THEN 'success' ELSE 'failed' END AS status, CASE WHEN NOT late THEN error END AS error
             FROM (SELECT *, coalesce(ordinal > min(ordinal) FILTER (error IS NOT NULL) OVER (), false) AS late FROM batch) b""",
         "batch_skipping_errors": _with("attempts segments videos", CALLS) + " SELECT count(*) AS total, count(*) FILTER (error IS NULL) AS succeeded, count(*) FILTER (error IS NOT NULL) AS failed, 0 AS not_run FROM batch",
+        "vec_index_topk": INDEXED.format(t=TOPICS.format(turn=0), q=TOPICS.format(turn=0), where="", k=10),
+        "vec_index_filtered": INDEXED.format(t=TOPICS.format(turn=0), q=TOPICS.format(turn=0), where="WHERE label = 3", k=25),
+        "vec_index_upserted": INDEXED.format(t=f"{TOPICS.format(turn=0)} WHERE id % 3 <> 1 UNION ALL {TOPICS.format(turn=1)} WHERE id % 3 = 1 UNION ALL SELECT -id - 1, label, v FROM ({TOPICS.format(turn=0)}) WHERE id % 50 = 0", q=TOPICS.format(turn=0), where="", k=40),
+        "topic_pairs": f"SELECT a.id AS idx_a, b.id AS idx_b, round(list_cosine_similarity(a.v, b.v), 4) AS sim FROM ({TOPICS.format(turn=0)}) a JOIN ({TOPICS.format(turn=0)}) b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.88",
         "dedup_registry": _with("crossing", REGISTRY) + """ SELECT video_id, segment_id, pos, cname AS name, array_to_string(caliases, '|') AS aliases, ctype AS type, cdef AS definition, importance
             FROM (SELECT e.*, cname, caliases, ctype, cdef, row_number() OVER (PARTITION BY e.video_id, seg_no, cname ORDER BY pos) AS nth FROM e JOIN nm ON nm.video_id = e.video_id AND nm.key = e.key) x WHERE nth = 1""",
         "dedup_relationships": _with("crossing relationships", REGISTRY) + f""", named AS (SELECT r.video_id, seg_no, segment_id, pos, coalesce(f.cname, from_concept) AS from_concept, coalesce(t.cname, to_concept) AS to_concept, type, evidence

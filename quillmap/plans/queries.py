@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from ..functions import responses, text
 from ..functions.picks import best_definition, best_importance
 from ..functions.vector import cosine
-from ..operators import attempts, extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse
+from ..operators import attempts, extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse, vector_index
+from ..operators.iteration import Steps, cut
 from ..sources import documents as sources
 from .corpus import crossing_mentions, mentions, view, words
 
@@ -78,6 +79,46 @@ def index_concepts(spark, d):
     return search.index_concepts(empty, c, c.select("name"))
 
 
+def _topics(spark, d, turn: int = 0) -> DataFrame:
+    """Vectors in clusters: each is drawn towards the axis of its label, or of the label `turn` farther on."""
+    drawn = F.transform("embedding", lambda x, i: x.cast("double") + F.when(i == (F.col("label") + turn) % 10, 2.0).otherwise(0.0))
+    return view(spark, d, "embeddings").select(F.col("vec_id").alias("id"), "label", drawn.alias("embedding"))
+
+
+def _index_search(spark, d, where=None, k: int = 10, put: DataFrame | None = None) -> DataFrame:
+    topics = _topics(spark, d)
+    query = list(topics.filter("id = 0").select("embedding").first()[0])
+    with Steps(spark) as steps:
+        index = vector_index.open_or_build(topics, f"{steps.at}/index", cells=16)
+        if put is not None:
+            index.upsert(put)
+        return cut(index.search(query, where, k)).select("id", "label", F.round("score", 6).alias("score"))
+
+
+@query
+def vec_index_topk(spark, d):
+    return _index_search(spark, d)
+
+
+@query
+def vec_index_filtered(spark, d):
+    return _index_search(spark, d, F.col("label") == 3, 25)
+
+
+@query
+def vec_index_upserted(spark, d):
+    """A third of the rows are put in anew with other vectors, and a few more with new ids."""
+    moved = _topics(spark, d, 1)
+    return _index_search(spark, d, None, 40, moved.filter("id % 3 = 1").unionByName(_topics(spark, d).filter("id % 50 = 0").withColumn("id", -F.col("id") - 1)))
+
+
+@query
+def topic_pairs(spark, d):
+    """Pairs of vectors in clusters, where most pairs of blocks are ruled out."""
+    pairs = resolve.similar_pairs(_topics(spark, d).select(F.col("id").alias("idx"), "embedding"), 0.88)
+    return pairs.select("idx_a", "idx_b", F.round("sim", 4).alias("sim"))
+
+
 @query
 def candidate_pairs(spark, d):
     pairs = resolve.similar_pairs(view(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), "embedding"), 0.4)
