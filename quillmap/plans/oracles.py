@@ -158,7 +158,7 @@ def oracle_sql() -> dict[str, str]:
     kind = f"CASE WHEN regexp_matches(source, '^(https?://)?(www\\.)?(youtube\\.com/(watch\\?v=|embed/)|youtu\\.be/)') THEN 'url' WHEN {suffix} IN ('.wav', '.mp3', '.m4a', '.flac', '.ogg') THEN 'audio' WHEN {suffix} <> '' THEN 'video' ELSE 'missing' END"
     body = """concat('[{"name":"', p_name, '"', CASE WHEN p_partkey % 2 = 0 THEN concat(',"type":"', p_type, '","aliases":["', p_brand, '"]') ELSE '' END, '},{"name":"other","importance":"core"}]')"""
     vec = "SELECT segment_id, video_id, round(score, 6) AS score FROM hits {w} ORDER BY hits.score DESC, segment_id LIMIT 10"
-    return {
+    found = {
         "vec_topk": f"WITH {HITS}) " + vec.format(w=""),
         "vec_topk_filtered": f"WITH {HITS}) " + vec.format(w="WHERE video_id = 'v3'"),
         "search_enriched": _with("explained_in concept_edges illustrates examples", HITS + ")", "top AS (SELECT * FROM hits ORDER BY score DESC, segment_id LIMIT 10)", "here AS (SELECT DISTINCT segment_id, concept FROM explained_in WHERE segment_id IN (SELECT segment_id FROM top))") + """
@@ -282,3 +282,4 @@ def oracle_sql() -> dict[str, str]:
         "resolved_concepts": f"WITH {REGISTERED}, {MERGED} SELECT idx, name, {ALIASES.format(x='aliases')} AS aliases, type, definition, importance, members FROM merged",
         "cross_links": _with("mentions", REGISTERED, MERGED) + " SELECT DISTINCT c.name AS concept, segment_id, video_id FROM (SELECT name, unnest(list_concat([name], aliases)) AS called FROM merged) c JOIN mentions m ON m.name = c.called",
     }
+    return found | {"streamed_sentences": found["sentence_grouping"]}

@@ -13,6 +13,7 @@ from ..functions.vector import cosine
 from ..operators import attempts, extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse, vector_index
 from ..operators.iteration import Steps, cut
 from ..sources import documents as sources
+from ..streaming import ingest
 from .corpus import crossing_mentions, mentions, view, words
 
 REGISTRY: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -195,6 +196,18 @@ def sentence_grouping(spark, d):
     return out.select("video_id", "sent_idx", "text", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "confidence")
 
 
+@query
+def streamed_sentences(spark, d):
+    """The sentences of words that arrive in three batches, in which videos stop within a sentence, overlap, and come out of order."""
+    w = sentences.scan_words(words(spark, d))
+    parts = [(F.col("pos") < 30) | F.col("pos").between(400, 700), F.col("pos").between(25, 430), F.col("pos") > 700]
+    with Steps(spark) as steps:
+        for part in parts:
+            w.filter(part).write.mode("append").parquet(f"{steps.at}/words")
+            ingest.ingest(ingest.stream_words(spark, f"{steps.at}/words"), f"{steps.at}/table", f"{steps.at}/marks").awaitTermination()
+        return cut(ingest.read_sentences(spark, f"{steps.at}/table")).select("video_id", "sent_idx", "text", F.col("start").alias("start_s"), F.col("end").alias("end_s"), "confidence")
+
+
 # scalar functions
 
 

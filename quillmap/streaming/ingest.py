@@ -2,46 +2,81 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+import json
+
+import pandas as pd
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.sentences import group_sentences
+from ..operators.sentences import ENDINGS
 from ..schemas import SENTENCES, WORDS
 
-#: Folders that the videos are dealt over, by hash.
-PARTS = 64
+#: Sentences as the stream tells them: n_words, and whether words may still be added.
+TOLD = f"{SENTENCES}, n_words int, open boolean"
 
 
-def stream_words(spark: SparkSession, path: str) -> DataFrame:
-    return spark.readStream.schema(WORDS).parquet(path)
+def stream_words(spark: SparkSession, path: str, files_at_once: int | None = None) -> DataFrame:
+    reader = spark.readStream.schema(WORDS)
+    return (reader if files_at_once is None else reader.option("maxFilesPerTrigger", files_at_once)).parquet(path)
 
 
-def ingest(words: DataFrame, table: str, checkpoint: str) -> StreamingQuery:
-    """Keeps words and sentences of what arrives under `table`; read_sentences() gives the sentences.
+def stream_sentences(words: DataFrame, max_words: int = 50, pause: float = 1.0) -> DataFrame:
+    """words: a stream, whose pos numbers a video's words from 0. A stream of TOLD, for writing in append mode.
 
-    A batch adds its words, and the sentences anew of those videos that it touches, from all of their
-    words so far; of a word that comes again, the later one holds. Both go to folders of the batch's
-    own, so a repeated batch overwrites itself, and nothing of other videos is written again. Words
-    are dealt by video over PARTS folders, of which a batch reads those of its videos.
+    The state of a video is where it stands: the next pos and sent_idx, the words of the sentence that is
+    open, max_words - 1 at most, and words that came too early, which wait for those before them. A word
+    that comes again is left out, so batches may be repeated or overlap. Each batch tells the
+    sentences that it closes, and the open one anew; no earlier word is read again.
     """
-    spark = words.sparkSession
-    part = F.pmod(F.xxhash64("video_id"), F.lit(PARTS)).cast("int")
+
+    def follow(key: tuple, frames, state: GroupState):
+        at = json.loads(state.get[0]) if state.exists else {"pos": 0, "idx": 0, "open": [], "early": {}}
+        early = {int(p): w for p, w in at["early"].items()}
+        for frame in frames:
+            for pos, *word in zip(frame["pos"].tolist(), frame["text"].tolist(), frame["start"].tolist(), frame["end"].tolist(), frame["confidence"].tolist()):
+                if pos >= at["pos"]:
+                    early.setdefault(pos, word)
+        out, now = [], at["open"]
+
+        def tell(still: bool) -> None:
+            out.append((key[0], at["idx"], " ".join(w[0] for w in now if w[0] is not None), now[0][1], now[-1][2], sum(w[3] for w in now) / len(now), len(now), still))
+
+        def close() -> None:
+            tell(False)
+            at["idx"] += 1
+            now.clear()
+
+        while (word := early.pop(at["pos"], None)) is not None:
+            if now and word[1] - now[-1][2] > pause:
+                close()
+            now.append(word)
+            at["pos"] += 1
+            if (word[0] or "")[-1:] in ENDINGS or len(now) == max_words:
+                close()
+        if now:
+            tell(True)
+        state.update((json.dumps({"pos": at["pos"], "idx": at["idx"], "open": now, "early": early}),))
+        if out:
+            yield pd.DataFrame(out, columns=["video_id", "sent_idx", "text", "start", "end", "confidence", "n_words", "open"])
+
+    told = words.groupBy("video_id").applyInPandasWithState(follow, TOLD, "state string", "append", GroupStateTimeout.NoTimeout)
+    return told.withColumns({c: F.round(c, 3) for c in ("start", "end", "confidence")})
+
+
+def ingest(words: DataFrame, table: str, checkpoint: str, max_words: int = 50, pause: float = 1.0) -> StreamingQuery:
+    """Writes the sentences of what arrives under `table`; read_sentences() reads them. Each batch has a folder of its own, so a repeated one overwrites itself, and nothing else is written again."""
 
     def one(batch: DataFrame, number: int) -> None:
-        batch.withColumn("part", part).write.mode("overwrite").partitionBy("part").parquet(f"{table}/words/batch={number}")
-        parts = [r[0] for r in batch.select(part).distinct().collect()]  # PARTS at most
-        kept = spark.read.option("basePath", f"{table}/words").schema(f"{WORDS}, batch long, part int").parquet(f"{table}/words").filter((F.col("batch") <= number) & F.col("part").isin(parts))
-        mine = kept.join(batch.select("video_id").distinct(), "video_id", "left_semi")
-        last = F.row_number().over(Window.partitionBy("video_id", "pos").orderBy(F.col("batch").desc()))
-        whole = mine.withColumn("last", last).filter("last = 1").select(*batch.columns)
-        group_sentences(whole).write.mode("overwrite").parquet(f"{table}/sentences/batch={number}")
+        batch.write.mode("overwrite").parquet(f"{table}/sentences/batch={number}")
 
-    return words.writeStream.foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+    return stream_sentences(words, max_words, pause).writeStream.outputMode("append").foreachBatch(one).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
 def read_sentences(spark: SparkSession, table: str) -> DataFrame:
-    """The sentences of each video from the last batch that touched it."""
-    every = spark.read.option("basePath", f"{table}/sentences").schema(f"{SENTENCES}, batch long").parquet(f"{table}/sentences")
-    last = every.groupBy("video_id").agg(F.max("batch").alias("batch"))
-    return every.join(last, ["video_id", "batch"], "left_semi").drop("batch")
+    """Every sentence as it was told last: the closed one, or the open one with most words."""
+    every = spark.read.schema(TOLD).parquet(f"{table}/sentences")
+    last = F.max_by(F.struct("text", "start", "end", "confidence"), F.struct("n_words", ~F.col("open"))).alias("s")
+    return every.groupBy("video_id", "sent_idx").agg(last).select("video_id", "sent_idx", "s.*")
+

@@ -330,6 +330,33 @@ def test_stream_gives_the_sentences_of_one_batch(spark, tmp_path):
     assert stream_in(spark, tmp_path, batches)[-1] == want and len(want) > 60
 
 
+def test_streamed_words_may_overlap_repeat_and_come_early(spark, tmp_path):
+    r = random.Random(4)
+    words, at = [], 0.0
+    for pos in range(230):
+        at += r.choice([0.3, 0.3, 0.3, 2.0])
+        words.append(("v", pos, r.choice(["one", "two", "three", "four?"]) if pos < 150 else "on", round(at, 1), round(at + 0.2, 1), 0.5))
+    batches = [words[:20], words[60:90], words[15:70], words[100:101], [w for w in words if r.random() < 0.5], words]
+    seen = stream_in(spark, tmp_path, batches)
+    whole = lambda n: rows(sentences.group_sentences(spark.createDataFrame(words[:n], WORDS)), "sent_idx")
+    assert seen[0] == seen[1] == whole(20) and seen[2] == seen[3] == whole(90) and seen[5] == whole(230)
+
+
+def test_a_stream_reads_no_word_again(spark, tmp_path):
+    """The words of earlier batches are gone when later ones come."""
+    from quillmap.streaming.ingest import ingest, read_sentences, stream_words
+
+    made = [("v", k, "w", 0.3 * k, 0.3 * k + 0.1, 1.0) for k in range(130)]
+    for n in range(0, 130, 26):
+        at = tmp_path / "in" / f"part={n}"
+        spark.createDataFrame(made[n : n + 26], WORDS).coalesce(1).write.parquet(str(at))
+        ingest(stream_words(spark, str(tmp_path / "in" / "*")), str(tmp_path / "table"), str(tmp_path / "marks")).awaitTermination()
+        for f in at.iterdir():
+            f.unlink()
+    got = rows(read_sentences(spark, str(tmp_path / "table")), "sent_idx")
+    assert [len(x[2].split()) for x in got] == [50, 50, 30] and [x[3] for x in got] == [0.0, 15.0, 30.0]
+
+
 def estimate_bits(df):
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())).bit_length()
 
