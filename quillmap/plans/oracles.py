@@ -237,6 +237,9 @@ def oracle_sql() -> dict[str, str]:
         "vec_index_filtered": INDEXED.format(t=TOPICS.format(turn=0), q=TOPICS.format(turn=0), where="WHERE label = 3", k=25),
         "vec_index_upserted": INDEXED.format(t=f"{TOPICS.format(turn=0)} WHERE id % 3 <> 1 UNION ALL {TOPICS.format(turn=1)} WHERE id % 3 = 1 UNION ALL SELECT -id - 1, label, v FROM ({TOPICS.format(turn=0)}) WHERE id % 50 = 0", q=TOPICS.format(turn=0), where="", k=40),
         "topic_pairs": f"SELECT a.id AS idx_a, b.id AS idx_b, round(list_cosine_similarity(a.v, b.v), 4) AS sim FROM ({TOPICS.format(turn=0)}) a JOIN ({TOPICS.format(turn=0)}) b ON a.id < b.id WHERE list_cosine_similarity(a.v, b.v) >= 0.88",
+        "graph_rebuilt_edges": _with("mentions relationships", KNOWN, EDGES) + " SELECT * FROM made",
+        "graph_rebuilt_nodes": _with("mentions") + f""" SELECT * FROM (SELECT name, video_id, (list(type ORDER BY seg_no, pos))[1] AS type, {BEST_DEF.format(o='seg_no, pos')} AS definition, {BEST_IMP.format(o='seg_no, pos')} AS importance
+            FROM mentions WHERE name NOT LIKE 'old%' GROUP BY video_id, name) x QUALIFY row_number() OVER (PARTITION BY name ORDER BY video_id DESC) = 1""",
         "dedup_registry": _with("crossing", REGISTRY) + """ SELECT video_id, segment_id, pos, cname AS name, array_to_string(caliases, '|') AS aliases, ctype AS type, cdef AS definition, importance
             FROM (SELECT e.*, cname, caliases, ctype, cdef, row_number() OVER (PARTITION BY e.video_id, seg_no, cname ORDER BY pos) AS nth FROM e JOIN nm ON nm.video_id = e.video_id AND nm.key = e.key) x WHERE nth = 1""",
         "dedup_relationships": _with("crossing relationships", REGISTRY) + f""", named AS (SELECT r.video_id, seg_no, segment_id, pos, coalesce(f.cname, from_concept) AS from_concept, coalesce(t.cname, to_concept) AS to_concept, type, evidence
@@ -282,4 +285,4 @@ def oracle_sql() -> dict[str, str]:
         "resolved_concepts": f"WITH {REGISTERED}, {MERGED} SELECT idx, name, {ALIASES.format(x='aliases')} AS aliases, type, definition, importance, members FROM merged",
         "cross_links": _with("mentions", REGISTERED, MERGED) + " SELECT DISTINCT c.name AS concept, segment_id, video_id FROM (SELECT name, unnest(list_concat([name], aliases)) AS called FROM merged) c JOIN mentions m ON m.name = c.called",
     }
-    return found | {"streamed_sentences": found["sentence_grouping"]}
+    return found | {"streamed_sentences": found["sentence_grouping"], "components_followed": found["components"]}

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from ..functions import responses, text
 from ..functions.picks import best_definition, best_importance
 from ..functions.vector import cosine
-from ..operators import attempts, extraction, graph, knowledge, read_api, resolve, search, segmentation, sentences, traverse, vector_index
+from ..operators import attempts, extraction, graph, graph_store, knowledge, read_api, resolve, search, segmentation, sentences, traverse, vector_index
 from ..operators.iteration import Steps, cut
 from ..sources import documents as sources
 from ..streaming import ingest
@@ -457,6 +457,36 @@ def constraint_check(spark, d):
     return graph.duplicate_keys(view(spark, d, "lineitem"), "l_orderkey", "l_linenumber")
 
 
+def _batch_of(spark, d, which: str, evidence: str = "") -> dict[str, DataFrame]:
+    """The tables of some videos; evidence marks what another build wrote."""
+    mine = lambda t: t.filter(which)
+    c = knowledge.unique_concepts(mine(mentions(spark, d))).select("video_id", "name", "type", "definition", "importance").filter(~F.col("name").startswith("old"))
+    examples = mine(view(spark, d, "segments")).select("segment_id", F.lit(1).alias("pos"), "video_id", F.concat(F.lit("on "), "title").alias("description"), F.col("title").alias("illustrates"), F.lit(None).cast("double").alias("timestamp"))
+    r = mine(view(spark, d, "relationships")).withColumn("evidence", F.concat("evidence", F.lit(evidence)))
+    return {"videos": mine(view(spark, d, "videos")), "segments": mine(view(spark, d, "segments")), "concepts": c, "mentions": mine(mentions(spark, d)), "relationships": r, "examples": examples}
+
+
+def _rebuilt(spark, d, read: Callable) -> DataFrame:
+    """The graph after two batches of videos, some of which come again."""
+    number = "cast(substring(video_id, 2) AS int)"
+    with Steps(spark) as steps:
+        store = graph_store.GraphStore(spark, f"{steps.at}/graph", parts=8)
+        store.write(_batch_of(spark, d, f"{number} % 3 <> 0", " before"))
+        store.write(_batch_of(spark, d, f"{number} % 3 = 0 OR {number} % 2 = 0"))
+        store.write(_batch_of(spark, d, f"{number} % 6 IN (1, 5)"))
+        return cut(read(store))
+
+
+@query
+def graph_rebuilt_edges(spark, d):
+    return _rebuilt(spark, d, lambda store: store.read()["concept_edges"])
+
+
+@query
+def graph_rebuilt_nodes(spark, d):
+    return _rebuilt(spark, d, lambda store: store.concepts().select("name", "video_id", "type", "definition", "importance"))
+
+
 # read functions
 
 
@@ -633,6 +663,18 @@ def components(spark, d):
     return traverse.components(edges, view(spark, d, "part").select(F.col("p_partkey").alias("id"))).select("id", "component")
 
 
+@query
+def components_followed(spark, d):
+    """The components of three batches of edges, each followed as it came."""
+    edges = view(spark, d, "part").filter("p_partkey % 7 <> 0").select(F.col("p_partkey").alias("a"), F.floor(F.col("p_partkey") * 2 / 3).cast("long").alias("b"))
+    with Steps(spark) as steps:
+        store = graph_store.ComponentStore(spark, f"{steps.at}/labels")
+        for k in (2, 0, 1):
+            store.add(edges.filter(F.col("a") % 3 == k))
+        known = store.labels
+        return cut(view(spark, d, "part").select(F.col("p_partkey").alias("id")).join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
+
+
 @query
 def resolved_concepts(spark, d):
     out = resolve.apply_merges(_concepts(spark, d), _verdicts(spark, d))

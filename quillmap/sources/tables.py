@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-import uuid
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from ..operators.iteration import remove
 
-from ..operators.iteration import remove, shared_folder
+
+#: Folders that the rows of a table are dealt over, by a hash of their owner.
+PARTS = 64
+
+
+def part_of(owner: str, parts: int = PARTS) -> Column:
+    return F.pmod(F.xxhash64(owner), F.lit(parts)).cast("int")
 
 
 def exists(spark: SparkSession, path: str) -> bool:
@@ -17,26 +24,38 @@ def exists(spark: SparkSession, path: str) -> bool:
 def replace_partitions(rows: DataFrame, path: str, by: str, values: list | None = None) -> list:
     """Writes the rows' partitions anew and leaves all others; the values of `by` that were written.
 
-    rows may read the table itself: they are written beside it first, so a failure leaves it as it was.
-    values, if given, names the partitions to replace; those without rows are emptied then. No rows
-    and no values write nothing.
+    rows may read the table itself, as the files take their places when all are written. values, if given,
+    names the partitions to replace; those without rows are removed then.
     """
-    spark = rows.sparkSession
-    beside = f"{shared_folder(spark)}/beside-{uuid.uuid4().hex}"
-    try:
-        rows.write.parquet(beside)
-        kept = spark.read.schema(rows.schema).parquet(beside)
-        present = [r[0] for r in kept.select(by).distinct().collect()]  # folders of a table
-        if present:
-            kept.hint("rebalance", by).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
-        gone = [] if values is None else [v for v in values if v not in present]
-        for v in gone:
-            remove(spark, f"{path}/{by}={v}")
-        return sorted({*present, *gone}, key=str)
-    finally:
-        remove(spark, beside)
+    spark, seen = rows.sparkSession, Observation()
+    rows.hint("rebalance", by).observe(seen, F.collect_set(by).alias("values")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    present = list(seen.get["values"])
+    gone = [v for v in values or [] if v not in present]
+    for v in gone:
+        remove(spark, f"{path}/{by}={v}")
+    return sorted([*present, *gone])
 
 
 def rows_of(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """The table, or no rows where none was written yet."""
     return spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+
+
+def folders_of(owners: DataFrame, owner: str, parts: int = PARTS) -> list[int]:
+    """The numbers of the owners' folders, `parts` at most."""
+    return sorted(r[0] for r in owners.select(part_of(owner, parts)).distinct().collect())
+
+
+def replace_rows(rows: DataFrame, path: str, owner: str, owners: DataFrame, touched: list[int], parts: int = PARTS) -> list[int]:
+    """Puts rows in, in place of all that the owners had. owners: (owner), touched: their folders_of().
+
+    Rows lie in folders by a hash of their owner; only folders of those owners are written again, with what
+    else is in them, and the numbers of these are returned. No owners write nothing.
+    """
+    if not touched:
+        return []
+    new = rows.withColumn("part", part_of(owner, parts))
+    if exists(rows.sparkSession, path):
+        old = rows.sparkSession.read.schema(new.schema).parquet(path).filter(F.col("part").isin(touched))
+        new = old.join(owners, owner, "left_anti").select(new.columns).unionByName(new)
+    return replace_partitions(new, path, "part", touched)

@@ -1,0 +1,116 @@
+import os
+import random
+
+import pytest
+from pyspark.sql import functions as F
+
+from quillmap.operators import graph, graph_store
+from quillmap.operators.graph_store import ComponentStore, GraphStore
+from quillmap.schemas import MENTIONS, RELATIONSHIPS
+from quillmap.sources.tables import replace_partitions
+
+SCHEMAS = {
+    "videos": "video_id string, title string", "segments": "video_id string, segment_id string, start double, end double", "concepts": "video_id string, name string, definition string",
+    "mentions": MENTIONS, "relationships": RELATIONSHIPS, "examples": "video_id string, segment_id string, pos int, description string, illustrates string, timestamp double",
+}
+
+
+def tables_of(r, video, mark=""):
+    names = [f"c{k}" for k in range(8)]
+    mine = sorted(r.sample(names, r.randint(1, 5)))
+    m = [(video, k // 2, f"{video}_s{k // 2}", k % 2, r.choice(mine), [], "t", "d", "core", None) for k in range(8)]
+    rel = [(video, k, f"{video}_s{k}", 0, r.choice(names), r.choice(names), r.choice(["depends_on", "extends"]), f"e{k}{mark}") for k in range(4)]
+    return {
+        "videos": [(video, f"title {video}{mark}")], "segments": [(video, f"{video}_s{k}", float(k), k + 1.0) for k in range(4)], "concepts": [(video, n, f"{n} in {video}{mark}") for n in mine],
+        "mentions": m, "relationships": rel, "examples": [(video, f"{video}_s{k}", 1, f"x{mark}", r.choice(names), None) for k in range(2)],
+    }
+
+
+def frames(spark, *videos):
+    return {name: spark.createDataFrame([row for v in videos for row in v[name]], s) for name, s in SCHEMAS.items()}
+
+
+def plain(tables):
+    return {name: sorted((str(tuple(r[c] for c in sorted(t.columns))) for r in t.collect())) for name, t in tables.items() if name != "stats"} | {"stats": str(tables["stats"].first())}
+
+
+def whole(spark, videos):
+    """The graph of all videos, built at once."""
+    f = frames(spark, *videos.values())
+    last = {}
+    for v in sorted(videos):
+        last |= {n: (n, v, d) for _, n, d in videos[v]["concepts"]}
+    concepts = spark.createDataFrame([*last.values()], "name string, video_id string, definition string")
+    return plain(graph.build_graph(f["videos"], f["segments"], concepts, f["mentions"], f["relationships"], f["examples"].drop("video_id")))
+
+
+def stamps(at):
+    return {os.path.join(d, f): os.stat(os.path.join(d, f)).st_mtime_ns for d, _, names in os.walk(at) for f in names if f.endswith(".parquet")}
+
+
+def test_a_graph_built_in_batches_is_that_of_all_videos(spark, tmp_path):
+    r, store = random.Random(2), GraphStore(spark, str(tmp_path / "g"), parts=5)
+    videos = {f"v{k}": tables_of(r, f"v{k}") for k in range(9)}
+    store.write(frames(spark, *[videos[f"v{k}"] for k in range(6)]))
+    store.write(frames(spark, *[videos[f"v{k}"] for k in range(6, 9)]))
+    assert plain(store.read()) == whole(spark, videos)
+
+    videos["v3"], before = tables_of(r, "v3", " anew"), stamps(tmp_path / "g")
+    written = store.write(frames(spark, videos["v3"]))
+    assert plain(store.read()) == whole(spark, videos)
+    kept = {p for p, t in stamps(tmp_path / "g").items() if before.get(p) == t}
+    mine = {f"part={n}" for n in written["videos"]}
+    assert len(mine) == 1 and {p.split(os.sep)[-2] for p in kept} == {p.split(os.sep)[-2] for p in before} - mine and kept == {p for p in before if p.split(os.sep)[-2] not in mine}
+
+    again = plain(store.read())
+    store.write(frames(spark, videos["v3"]))
+    assert plain(store.read()) == again
+    before = stamps(tmp_path / "g")
+    assert store.write({n: t.limit(0) for n, t in frames(spark, videos["v3"]).items()}) == {n: [] for n in SCHEMAS} and stamps(tmp_path / "g") == before
+    store.remove(spark.createDataFrame([("v3",), ("v8",), ("none",)], "video_id string"))
+    assert plain(store.read()) == whole(spark, {v: t for v, t in videos.items() if v not in ("v3", "v8")})
+
+
+def test_keys_are_checked_before_anything_is_written(spark, tmp_path):
+    r, store = random.Random(3), GraphStore(spark, str(tmp_path / "g"), parts=3)
+    store.write(frames(spark, tables_of(r, "a")))
+    before = stamps(tmp_path / "g")
+    b = tables_of(r, "b")
+    for name in ("videos", "concepts", "segments"):
+        with pytest.raises(graph_store.DuplicateKeys, match=name):
+            store.write(frames(spark, b | {name: b[name] + b[name][:1]}))
+    with pytest.raises(graph_store.DuplicateKeys, match="other videos: a_s0"):
+        store.write(frames(spark, b | {"segments": [("b", "a_s0", 0.0, 1.0)]}))
+    assert stamps(tmp_path / "g") == before
+
+
+def test_partitions_that_lose_all_rows_go(spark, tmp_path):
+    path, df = str(tmp_path / "t"), spark.range(10).withColumn("part", (F.col("id") % 3).cast("int"))
+    assert replace_partitions(df, path, "part") == [0, 1, 2]
+    own = spark.read.parquet(path)
+    assert replace_partitions(own.filter("part = 1 AND id > 4"), path, "part", [1, 2]) == [1, 2]
+    assert sorted((r.id, r.part) for r in spark.read.parquet(path).collect()) == [(0, 0), (3, 0), (6, 0), (7, 1), (9, 0)]
+
+
+def test_components_follow_edges_as_they_come(spark, tmp_path):
+    r, store, label = random.Random(6), ComponentStore(spark, str(tmp_path / "c")), {}
+    for n in (12, 1, 25, 0, 30, 6):
+        edges = [(r.randint(0, 60), r.randint(0, 60)) for _ in range(n)]
+        store.add(spark.createDataFrame([*edges, (None, 3)], "a long, b long"))
+        for a, b in edges:
+            label.setdefault(a, a), label.setdefault(b, b)
+            low, high = sorted((label[a], label[b]))
+            label = {k: low if v == high else v for k, v in label.items()}
+        assert {(x.id, x.component) for x in store.labels.collect()} == {*label.items()}
+        assert store.labels.count() == len(label)
+
+
+def test_components_that_new_edges_dont_touch_stay_as_written(spark, tmp_path):
+    store = ComponentStore(spark, str(tmp_path / "c"))
+    store.add(spark.range(0, 400, 2).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b")))
+    before = stamps(tmp_path / "c")
+    written = store.add(spark.createDataFrame([(1, 2), (0, 1)], "a long, b long"))
+    after = stamps(tmp_path / "c")
+    changed = {p.split(os.sep)[-2] for p in {*before} ^ {*after}}
+    assert len(written) <= 2 and changed <= {f"part={n}" for n in written}
+    assert store.add(spark.createDataFrame([(0, 3), (5, 4)], "a long, b long")) == [] and stamps(tmp_path / "c") == after
