@@ -221,7 +221,7 @@ def tree_links(blocks: DataFrame, k: int, p: int) -> DataFrame:
     return placed.mapInPandas(links, "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
+def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80, keep_keys: bool = True) -> DataFrame:
     """One row per input row: doc_id, text_hash, n_shingles, component_id (the smallest doc_id that links reach).
 
     Documents link when 100 * overlap >= percent * union of their sets of k-word shingles (ASCII
@@ -240,6 +240,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
        What isn't joined to its largest component after that is compared with every block. So
        a large group of near copies costs as its size, and only what stays apart costs more.
 
+    keep_keys writes the segment keys, which are read twice; without it they are made twice, which takes
+    more time and less disk. They are the more, the smaller percent is.
+
     Sets are of 64-bit hashes. Defined cases: null and empty texts have no shingles and link with
     nothing; with fewer than k words the whole sequence is one shingle; rows without doc_id link
     with nothing and have a null component; rows with one doc_id are judged by their own texts;
@@ -255,7 +258,8 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         copies = steps.keep(usable.select("doc_id", "text_hash", "set_hash").join(names, "set_hash").filter("doc_id <> node").select("doc_id", "text_hash").distinct())
         first = hashed.filter("doc_id IS NOT NULL").join(copies, ["doc_id", "text_hash"], "left_anti")
         with Steps(docs.sparkSession) as before:
-            keys = before.keep(key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent))
+            keys = key_table(first.select(F.col("doc_id").alias("node"), "text"), k, percent)
+            keys = before.keep(keys) if keep_keys else keys
             buckets = steps.keep(buckets_of(keys, before))
         signed = usable.select(F.col("doc_id").alias("node"), "n_shingles", "marks")
         edges = steps.keep(bucket_links(buckets, signed, percent))
@@ -282,7 +286,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs, with all their columns, that are the smallest doc_id of their group. Groups are those of near_duplicates, for the defined cases too: texts without words and rows without doc_id stay, and so do repeated rows of a doc_id that stays. Any names of further columns may be given."""
-    found = near_duplicates(docs, id_col, text_col, k, percent)
+    found = near_duplicates(docs, id_col, text_col, k, percent, keep_keys=False)
     gone = stored(found.filter("component_id <> doc_id").select("doc_id", "text_hash").distinct(), "near-copies")
     rows = as_rows(docs).withColumns({"doc_id": F.col("row")[id_col].cast("long"), "text_hash": F.xxhash64(as_text(F.col("row")[text_col]))})
     return rows.join(gone, ["doc_id", "text_hash"], "left_anti").select("row.*")
