@@ -1,4 +1,4 @@
-"""Engine settings, with defaults that environment variables of the same upper-case name override."""
+"""Engine settings, with defaults that environment variables of the same upper-case name, or a file of them, override."""
 
 from __future__ import annotations
 
@@ -18,8 +18,17 @@ class EngineConf:
     verify_batch: int = 10
     top_k: int = 10
     max_depth: int = 10
+    attempts: int = 3
 
     @classmethod
     def from_env(cls, env=os.environ) -> EngineConf:
         kinds = {"int": int, "float": float}
         return cls(**{f.name: kinds[f.type](env[f.name.upper()]) for f in fields(cls) if f.name.upper() in env})
+
+    @classmethod
+    def from_file(cls, path: str, env=os.environ) -> EngineConf:
+        """Lines NAME=value; what the environment has counts more, other names, blank lines and # comments nothing."""
+        with open(path, encoding="utf-8") as f:
+            lines = [line.strip() for line in f]
+        told = dict(line.split("=", 1) for line in lines if "=" in line and not line.startswith("#"))
+        return cls.from_env({k.strip().upper(): v.strip().strip("'\"") for k, v in told.items()} | dict(env))

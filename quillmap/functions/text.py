@@ -19,6 +19,9 @@ IMPORTANCE_ICON = {"core": "*", "supporting": "o", "mentioned": "-"}
 AUDIO_SUFFIXES = [".wav", ".mp3", ".m4a", ".flac", ".ogg"]
 #: Addresses of hosted videos, matched from the start. Fixed value.
 VIDEO_URL = r"^(https?://)?(www\.)?(youtube\.com/(watch\?v=|embed/)|youtu\.be/)"
+#: Colours of importances and of kinds of concepts, as a page shows them. Fixed values.
+IMPORTANCE_COLOUR = {"high": "#f87171", "medium": "#fbbf24", "low": "#34d399"}
+TYPE_COLOUR = {"theory": "#a78bfa", "technique": "#60a5fa", "tool": "#34d399", "application": "#fbbf24"}
 SPACE = r"(?U)\s"
 
 
@@ -129,6 +132,19 @@ def icon(importance: Column) -> Column:
     return lookup(IMPORTANCE_ICON, importance, ".")
 
 
+def importance_colour(importance: Column) -> Column:
+    return lookup(IMPORTANCE_COLOUR, F.lower(importance), "#94a3b8")
+
+
+def type_colour(kind: Column) -> Column:
+    return lookup(TYPE_COLOUR, F.lower(kind), "#818cf8")
+
+
+def progress(done: Column, steps: Column) -> Column:
+    """Done steps as a percentage of all, 0 where there are none."""
+    return F.when(steps > 0, done / steps * 100).otherwise(0.0)
+
+
 def label(kind: Column) -> Column:
     return F.lower(F.replace(kind, F.lit("_"), F.lit(" ")))
 

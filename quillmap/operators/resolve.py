@@ -124,9 +124,17 @@ def apply_merges(concepts: DataFrame, verdicts: DataFrame) -> DataFrame:
     return merged.select(F.col("component").alias("idx"), "name", F.array_sort(F.array_except("names", F.array("name"))).alias("aliases"), "type", "definition", "importance", "members")
 
 
-def resolve(concepts: DataFrame, vectors: DataFrame, verifier, threshold: float = 0.75) -> DataFrame:
-    """verifier: a function from (idx_a, idx_b) pairs to verdicts. Without candidates every concept stays as it is."""
-    return apply_merges(concepts, verifier(candidate_pairs(concepts, vectors, threshold)))
+def resolve(concepts: DataFrame, vectors: DataFrame, verifier, threshold: float = 0.75, batch: int = 10) -> DataFrame:
+    """Candidates, questions about `batch` of them each, verdicts, and merged concepts.
+
+    verifier: a function from (idx_a, idx_b, batch_no, pair_index) to answers (batch_no, pair_index, verdict,
+    reason). Answers that name no pair are dropped; without candidates every concept stays as it is. Candidates are
+    written, since questions and verdicts must number the same ones.
+    """
+    questions = cut(batched(cut(candidate_pairs(concepts, vectors, threshold)), batch))
+    answers = verifier(questions)
+    reason = F.col("reason") if "reason" in answers.columns else F.lit(None).cast("string").alias("reason")
+    return apply_merges(concepts, with_verdicts(questions, answers.select("batch_no", "pair_index", "verdict", reason)))
 
 
 def concept_appearances(mentions: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -27,6 +27,12 @@ def index_concepts(existing: DataFrame, concepts: DataFrame, vectors: DataFrame)
     return upsert(existing, new, ["id"], [c for c in existing.columns if c != "id"], order="name")
 
 
+def index_result(segments: DataFrame, segment_vectors: DataFrame, concepts: DataFrame, concept_vectors: DataFrame, old_segments: DataFrame, old_concepts: DataFrame) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Both tables with a result's rows put in, and a row of counts (segments, concepts): how many of the result were indexed."""
+    counts = segments.join(segment_vectors, "segment_id").agg(F.count("*").alias("segments")).crossJoin(concepts.join(concept_vectors, "name").agg(F.count("*").alias("concepts")))  # one row each
+    return index_segments(old_segments, segments, segment_vectors), index_concepts(old_concepts, concepts, concept_vectors), counts
+
+
 def vector_search(vectors: DataFrame, query: list[float], where=None, k: int = 10, id_col: str = "id") -> DataFrame:
     """The k rows nearest to the query by max(0, cosine), exactly. The filter and the columns reach the scan; each partition keeps k rows."""
     rows = vectors if where is None else vectors.filter(where)
@@ -57,7 +63,7 @@ def few(df: DataFrame) -> DataFrame:
     return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
 
 
-def search(vec_segments: DataFrame, query: list[float], graph: dict[str, DataFrame], video_id: str | None = None, k: int = 10) -> DataFrame:
+def search(vec_segments: DataFrame, query: list[float], graph: dict[str, DataFrame], video_id: str | None = None, k: int = 10, chars: int = 500) -> DataFrame:
     hits = cut(vector_search(vec_segments, query, None if video_id is None else F.col("video_id") == video_id, k, "segment_id"))
-    found = enrich(hits.withColumn("excerpt", excerpt(F.col("document"))).drop("document"), graph["explained_in"], graph["concept_edges"], graph["illustrates"], graph["examples"])
+    found = enrich(hits.withColumn("excerpt", excerpt(F.col("document"), chars)).drop("document"), graph["explained_in"], graph["concept_edges"], graph["illustrates"], graph["examples"])
     return found.orderBy(F.col("score").desc(), "segment_id")

@@ -240,6 +240,22 @@ def oracle_sql() -> dict[str, str]:
         "graph_rebuilt_edges": _with("mentions relationships", KNOWN, EDGES) + " SELECT * FROM made",
         "graph_rebuilt_nodes": _with("mentions") + f""" SELECT * FROM (SELECT name, video_id, (list(type ORDER BY seg_no, pos))[1] AS type, {BEST_DEF.format(o='seg_no, pos')} AS definition, {BEST_IMP.format(o='seg_no, pos')} AS importance
             FROM mentions WHERE name NOT LIKE 'old%' GROUP BY video_id, name) x QUALIFY row_number() OVER (PARTITION BY name ORDER BY video_id DESC) = 1""",
+        "display_values": """SELECT p_partkey, CASE p_size % 4 WHEN 0 THEN '#f87171' WHEN 1 THEN '#fbbf24' WHEN 2 THEN '#34d399' ELSE '#94a3b8' END AS importance_colour,
+            CASE p_partkey % 5 WHEN 0 THEN '#a78bfa' WHEN 1 THEN '#60a5fa' WHEN 2 THEN '#34d399' WHEN 3 THEN '#fbbf24' ELSE '#818cf8' END AS type_colour, round(CASE WHEN p_size % 3 > 0 THEN (p_partkey % 7) / (p_size % 3) * 100 ELSE 0 END, 6) AS progress FROM part""",
+        "documents_checked": _with("videos segments") + """ SELECT video_id, CASE WHEN n % 7 = 0 THEN 'not a document of the schema' WHEN n % 11 = 0 THEN 'title is absent' ELSE '' END AS problem,
+            CASE WHEN n % 7 <> 0 AND n % 11 <> 0 THEN (SELECT count(*) FROM segments s WHERE s.video_id = v.video_id)::INT END AS n_segments, CASE WHEN n % 7 <> 0 AND n % 11 <> 0 THEN duration END AS duration FROM (SELECT *, substring(video_id, 2)::BIGINT AS n FROM videos) v""",
+        "concepts_ranked": _with("mentions") + f" SELECT name, importance, count(*) AS videos FROM (SELECT name, importance FROM (SELECT video_id, name, {BEST_IMP.format(o='seg_no, pos')} AS importance FROM mentions GROUP BY video_id, name) u ORDER BY {RANK} DESC, name LIMIT 50) x GROUP BY name, importance",
+        "sources_gathered": _with("videos") + """ SELECT part, source, count(*) AS times, min(ordinal) AS first FROM (SELECT * FROM (SELECT 0 AS part, substring(video_id, 2)::BIGINT AS ordinal, source FROM videos UNION ALL SELECT 1, page_id, url FROM pages) s
+            ORDER BY part, ordinal LIMIT (SELECT count(*) + 20 FROM videos)) t GROUP BY part, source""",
+        "index_counts": f"""SELECT (SELECT count(*) FROM embeddings WHERE label <> 3) AS segments, (SELECT count(*) FROM (SELECT DISTINCT {PART_NAME} AS name, p_type FROM part)) AS concepts""",
+        "resolved_end_to_end": f"""WITH RECURSIVE c AS (SELECT p_partkey AS idx, {PART_NAME} AS name, concat('part ', p_partkey) AS alias, p_type AS type, concat(p_brand, ' ', repeat('x', cast(p_partkey % 5 AS INT))) AS definition,
+                CASE WHEN p_size < 17 THEN 'core' WHEN p_size < 34 THEN 'supporting' ELSE 'mentioned' END AS importance FROM part),
+            v AS (SELECT vec_id AS idx, embedding AS e FROM embeddings WHERE vec_id IN (SELECT idx FROM c)), k AS (SELECT idx, {norm("name")} AS key FROM c UNION SELECT idx, {norm("alias")} FROM c),
+            pairs AS (SELECT a.idx AS a, b.idx AS b FROM v a JOIN v b ON a.idx < b.idx WHERE list_cosine_similarity(a.e::DOUBLE[], b.e::DOUBLE[]) >= 0.4 UNION SELECT a.idx, b.idx FROM k a JOIN k b ON a.key = b.key AND a.idx < b.idx),
+            same AS (SELECT a, b FROM pairs WHERE (b - a) % 2 = 0 UNION SELECT b, a FROM pairs WHERE (b - a) % 2 = 0),
+            near AS (SELECT idx, idx AS low FROM c UNION SELECT n.idx, s.b FROM near n JOIN same s ON s.a = n.low),
+            grouped AS (SELECT c.*, component FROM c JOIN (SELECT idx, min(low) AS component FROM near GROUP BY idx) USING (idx)), {MERGED}
+            SELECT idx, name, {ALIASES.format(x="aliases")} AS aliases, type, definition, importance, members FROM merged""",
         "dedup_registry": _with("crossing", REGISTRY) + """ SELECT video_id, segment_id, pos, cname AS name, array_to_string(caliases, '|') AS aliases, ctype AS type, cdef AS definition, importance
             FROM (SELECT e.*, cname, caliases, ctype, cdef, row_number() OVER (PARTITION BY e.video_id, seg_no, cname ORDER BY pos) AS nth FROM e JOIN nm ON nm.video_id = e.video_id AND nm.key = e.key) x WHERE nth = 1""",
         "dedup_relationships": _with("crossing relationships", REGISTRY) + f""", named AS (SELECT r.video_id, seg_no, segment_id, pos, coalesce(f.cname, from_concept) AS from_concept, coalesce(t.cname, to_concept) AS to_concept, type, evidence
@@ -271,6 +287,7 @@ def oracle_sql() -> dict[str, str]:
         "edge_merge": _with("concept_edges", "few AS (SELECT name FROM concepts WHERE importance <> 'core')") + " SELECT DISTINCT src, dst, type FROM concept_edges WHERE src IN (SELECT name FROM few) AND dst IN (SELECT name FROM few)",
         "status_summary": _with("videos") + " SELECT count(*) AS total, count(*) FILTER (status <> 'failed') AS succeeded, count(*) FILTER (status = 'failed') AS failed FROM videos",
         "prerequisites": _with("concept_edges explained_in segments videos", DEPENDS, PLACES, reach(10)) + " SELECT n.name, n.depth, c.definition, p.segment_id, p.video_id, p.t0 AS start_s FROM near n JOIN concepts c ON c.name = n.name LEFT JOIN first_place p ON p.name = n.name",
+        "prerequisites_nearest": _with("concept_edges", DEPENDS, reach(10)) + " SELECT name, depth, row_number() OVER (ORDER BY depth, name) AS place FROM near ORDER BY depth, name LIMIT 40",
         "prerequisites_bounded": _with("concept_edges", DEPENDS, reach(4)) + " SELECT name, depth FROM near",
         "prereq_cyclic": _with("cyclic_edges", reach(20, "cyclic_edges", 100)) + " SELECT name, depth FROM near",
         "topo_levels": _with("concept_edges", DEPENDS, reach(20, first=0), "sub AS (SELECT src, dst FROM dep WHERE src IN (SELECT name FROM near) AND dst IN (SELECT name FROM near))", "climb AS (SELECT name, 0 AS level FROM near WHERE name NOT IN (SELECT src FROM sub) UNION SELECT s.src, c.level + 1 FROM climb c JOIN sub s ON s.dst = c.name)") + " SELECT name, max(level) AS level FROM climb GROUP BY name",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import responses, text
@@ -12,6 +12,7 @@ from ..functions.picks import best_definition, best_importance
 from ..functions.vector import cosine
 from ..operators import attempts, extraction, graph, graph_store, knowledge, read_api, resolve, search, segmentation, sentences, traverse, vector_index
 from ..operators.iteration import Steps, cut
+from ..schemas import RESULT
 from ..sources import documents as sources
 from ..streaming import ingest
 from .corpus import crossing_mentions, mentions, view, words
@@ -542,6 +543,35 @@ def concept_defaults(spark, d):
     return read_api.concept_defaults(c).select("name", "type", "definition", "importance", F.size("aliases").alias("n_aliases"))
 
 
+@query
+def display_values(spark, d):
+    """Colours and progress as pages show them."""
+    p = view(spark, d, "part")
+    level = F.when(F.col("p_size") % 4 == 0, "HIGH").when(F.col("p_size") % 4 == 1, "medium").when(F.col("p_size") % 4 == 2, "Low")
+    kind = F.when(F.col("p_partkey") % 5 == 0, "Theory").when(F.col("p_partkey") % 5 == 1, "technique").when(F.col("p_partkey") % 5 == 2, "TOOL").when(F.col("p_partkey") % 5 == 3, "application").otherwise("other")
+    return p.select("p_partkey", text.importance_colour(level).alias("importance_colour"), text.type_colour(kind).alias("type_colour"), F.round(text.progress(F.col("p_partkey") % 7, F.col("p_size") % 3), 6).alias("progress"))
+
+
+@query
+def documents_checked(spark, d):
+    """Documents written and read again, some of which were cut off or lack a field; those are listed with what is wrong."""
+    segs = view(spark, d, "segments").groupBy("video_id").agg(F.sort_array(F.collect_list(F.struct(F.col("segment_id").alias("id"), "video_id", "title", "start", "end", F.lit("words").alias("transcript")))).alias("segments"))
+    kinds = dict(f.simpleString().split(":", 1) for f in spark.createDataFrame([], RESULT).schema)
+    none = lambda c: F.array().cast(kinds[c]).alias(c)
+    docs = view(spark, d, "videos").join(segs, "video_id", "left").select("video_id", "title", "source", "duration", F.coalesce("segments", F.array().cast(kinds["segments"])).alias("segments"), none("knowledge_units"), none("concepts"))
+    n = F.substring("video_id", 2, 20).cast("long")
+    body = F.to_json(F.struct(*docs.columns))
+    broken = F.when(n % 7 == 0, F.expr("substring(b, 1, length(b) - 9)")).otherwise(F.regexp_replace("b", '"title":"C', '"titel":"C'))
+    spoilt = docs.withColumn("b", body).filter((n % 7 == 0) | (n % 11 == 0)).select(F.col("video_id").alias("video"), broken.alias("value"))
+    with Steps(spark) as steps:
+        at = f"{steps.at}/documents"
+        sources.write_results(docs.filter((n % 7 != 0) & (n % 11 != 0)), at)
+        spoilt.write.mode("append").partitionBy("video").text(at)
+        good, bad = sources.read_checked(spark, at)
+        told = good.select("video_id", F.lit("").alias("problem"), F.size("segments").alias("n_segments"), "duration")
+        return cut(told.unionByName(bad.select(F.regexp_extract("file", "video=([^/]+)/", 1).alias("video_id"), F.array_join("problems", "; ").alias("problem"), F.lit(None).cast("int").alias("n_segments"), F.lit(None).cast("double").alias("duration"))))
+
+
 @query
 def segment_defaults(spark, d):
     s = view(spark, d, "segments")
@@ -590,6 +620,13 @@ def prerequisites(spark, d):
     return out.select("name", "depth", "definition", "segment_id", "video_id", F.col("start").alias("start_s"))
 
 
+@query
+def prerequisites_nearest(spark, d):
+    """The nearest forty, in order, numbered."""
+    found = traverse.by_depth(traverse.prerequisites(_depends(spark, d), _target(spark, d), 10)).limit(40)
+    return found.select("name", "depth", F.row_number().over(Window.orderBy("depth", "name")).alias("place"))
+
+
 @query
 def prerequisites_bounded(spark, d):
     return traverse.prerequisites(_depends(spark, d), _target(spark, d), 4).select("name", "depth")
@@ -675,6 +712,40 @@ def components_followed(spark, d):
         return cut(view(spark, d, "part").select(F.col("p_partkey").alias("id")).join(known, "id", "left").select("id", F.coalesce("component", "id").alias("component")))
 
 
+@query
+def concepts_ranked(spark, d):
+    """The fifty concepts that come first, by importance and name."""
+    return knowledge.ranked(knowledge.unique_concepts(mentions(spark, d))).limit(50).groupBy("name", "importance").agg(F.count("*").alias("videos"))
+
+
+@query
+def sources_gathered(spark, d):
+    """Given sources, then those of a list, without removing repeats, up to a number of them."""
+    given = view(spark, d, "videos").select(F.substring("video_id", 2, 20).cast("long").alias("ordinal"), "source")
+    listed = view(spark, d, "pages").select(F.col("page_id").alias("ordinal"), F.col("url").alias("source"))
+    n = view(spark, d, "videos").count()
+    return sources.gather_sources(given, listed, most=n + 20).groupBy("part", "source").agg(F.count("*").alias("times"), F.min("ordinal").alias("first"))
+
+
+@query
+def resolved_end_to_end(spark, d):
+    """Candidates by vectors and names, questions in batches, verdicts, and merged concepts: pairs whose ids differ by an even number are the same."""
+    vectors = view(spark, d, "embeddings").select(F.col("vec_id").alias("idx"), "embedding")
+    c = _concepts(spark, d).withColumn("aliases", F.array(F.concat(F.lit("part "), "idx")))
+    verdict = F.when((F.col("idx_b") - F.col("idx_a")) % 2 == 0, "SAME").otherwise("DIFFERENT")
+    out = resolve.resolve(c, vectors.join(c, "idx", "left_semi"), lambda q: q.select("batch_no", "pair_index", verdict.alias("verdict")), 0.4)
+    return out.select("idx", "name", F.array_join("aliases", "|").alias("aliases"), "type", "definition", "importance", "members")
+
+
+@query
+def index_counts(spark, d):
+    s = _vec_segments(spark, d).withColumns({"id": F.col("segment_id"), "title": F.lit("t"), "transcript": F.col("document")})
+    c = view(spark, d, "part").select(_part_name().alias("name"), "p_type").distinct().select("name", F.col("p_type").alias("definition"), F.array("p_type").alias("aliases"))
+    none = spark.createDataFrame([], "id string, document string, name string, aliases string")
+    *_, counts = search.index_result(s.drop("embedding"), s.select("segment_id", "embedding").filter("video_id <> 'v3'"), c, c.select("name").distinct(), s.limit(0).select("id", "segment_id", "video_id", "document", "title", "embedding"), none)
+    return counts
+
+
 @query
 def resolved_concepts(spark, d):
     out = resolve.apply_merges(_concepts(spark, d), _verdicts(spark, d))

@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import source_kind, stem, video_id
 from ..schemas import RESULT, WORDS
+from .tables import exists
 
 
 def write_results(results: DataFrame, path: str) -> None:
@@ -16,13 +17,59 @@ def write_results(results: DataFrame, path: str) -> None:
 
 def read_results(spark: SparkSession, path: str) -> DataFrame:
     """Documents of the fixed schema; a malformed one fails the read, a missing path gives no rows."""
-    jvm = spark.sparkContext._jvm
-    at = jvm.org.apache.hadoop.fs.Path(path)
-    if not at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at):
+    if not exists(spark, path):
         return spark.createDataFrame([], RESULT)
     return spark.read.schema(RESULT).option("multiLine", True).option("mode", "FAILFAST").option("recursiveFileLookup", True).json(path)
 
 
+#: What a document must tell: fields of its own, and of the elements of its lists.
+REQUIRED = {"": ["video_id", "title", "source", "duration"], "segments": ["id", "title", "start", "end", "transcript"], "knowledge_units": ["segment_id", "segment_title"], "concepts": ["name", "type", "definition", "importance"]}
+
+
+def problems_of(doc: Column) -> Column:
+    """What is wrong with a document of the schema RESULT, as texts: absent fields, and times that run backwards."""
+    absent = [F.when(doc[c].isNull(), f"{c} is absent") for c in [*REQUIRED[""], *[k for k in REQUIRED if k]]]
+    at = lambda name, k, told: F.concat(F.lit(f"{name}["), k, F.lit(f"]{told}"))
+    each = lambda name, c: F.transform(F.coalesce(doc[name], F.array()), lambda x, k: F.when(x[c].isNull(), at(name, k, f".{c} is absent")))
+    inside = [each(name, c) for name, fields in REQUIRED.items() if name for c in fields]
+    turned = F.transform(F.coalesce(doc["segments"], F.array()), lambda x, k: F.when(x["start"] > x["end"], at("segments", k, " ends before it starts")))
+    return F.filter(F.concat(F.array(*absent), *inside, turned), lambda p: p.isNotNull())
+
+
+def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sound documents, of the schema RESULT, and the others: (file, problems, body).
+
+    Each file is one document. One that isn't JSON, or whose fields have other types, is set aside with the
+    rest of those with problems, so it stops nobody else's. A missing path gives no rows.
+    """
+    if not exists(spark, path):
+        return spark.createDataFrame([], RESULT), spark.createDataFrame([], "file string, problems array<string>, body string")
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)  # empty ones too
+    raw = files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("body"))
+    read = F.from_json("body", f"{RESULT}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
+    found = raw.withColumn("doc", read)
+    broken = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
+    found = found.withColumn("problems", F.when(broken, F.array(F.lit("not a document of the schema"))).otherwise(problems_of(F.col("doc"))))
+    bad = F.size("problems") > 0
+    return found.filter(~bad).select("doc.*").drop("_corrupt"), found.filter(bad).select("file", "problems", "body")
+
+
+class Templates:
+    """Prompt templates of a folder, each read once, as name.txt, from wherever Spark can read."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder, self.read = spark, folder, {}
+
+    def __getitem__(self, name: str) -> str:
+        if name not in self.read:
+            path = f"{self.folder}/{name}.txt"
+            if not exists(self.spark, path):
+                raise KeyError(name)
+            found = self.spark.read.text(path, wholetext=True).first()
+            self.read[name] = found[0] if found else ""
+        return self.read[name]
+
+
 def parse_source_list(lines: DataFrame) -> DataFrame:
     """lines: (value). Trimmed lines that aren't blank or comments."""
     t = F.trim("value")
