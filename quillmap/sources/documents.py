@@ -40,11 +40,12 @@ def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Sound documents, of the schema RESULT, and the others: (file, problems, body).
 
     Each file is one document. One that isn't JSON, or whose fields have other types, is set aside with the
-    rest of those with problems, so it stops nobody else's. A missing path gives no rows.
+    rest of those with problems, so it stops nobody else's. An empty file holds no document; a missing path
+    gives no rows.
     """
     if not exists(spark, path):
         return spark.createDataFrame([], RESULT), spark.createDataFrame([], "file string, problems array<string>, body string")
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)  # empty ones too
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     raw = files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("body"))
     read = F.from_json("body", f"{RESULT}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     found = raw.withColumn("doc", read)

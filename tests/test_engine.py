@@ -126,7 +126,7 @@ def test_bad_documents_are_set_aside(spark, tmp_path):
     whole = json.loads(df.filter("video_id = 'v'").select(F.to_json(F.struct("*"))).first()[0])
     bad = {
         "cut": json.dumps(whole)[:-20], "kind": json.dumps(whole | {"duration": "long"}), "absent": json.dumps({k: v for k, v in whole.items() if k != "source"}), "empty": "", "list": "[1]",
-        "inside": json.dumps(whole | {"segments": [{"id": "s", "title": "x", "start": 5.0, "end": 1.0, "transcript": None}]}),
+        "blank": " ", "inside": json.dumps(whole | {"segments": [{"id": "s", "title": "x", "start": 5.0, "end": 1.0, "transcript": None}]}),
     }
     for name, body in bad.items():
         (at / f"{name}.json").write_text(body)
@@ -135,5 +135,5 @@ def test_bad_documents_are_set_aside(spark, tmp_path):
     assert sorted(r.video_id for r in good.collect()) == ["v", "w", "x"] and good.filter("video_id = 'v'").collect() == df.filter("video_id = 'v'").collect() and good.columns == df.columns
     told = {r.file.split("/")[-1].split(".")[0]: r.problems for r in aside.collect()}
     broken = ["not a document of the schema"]
-    assert told == {"cut": broken, "kind": broken, "empty": broken, "list": broken, "absent": ["source is absent"], "inside": ["segments[0].transcript is absent", "segments[0] ends before it starts"]}
+    assert told == {"cut": broken, "kind": broken, "list": broken, "blank": broken, "absent": ["source is absent"], "inside": ["segments[0].transcript is absent", "segments[0] ends before it starts"]}
     assert all(x.isEmpty() for x in sources.read_checked(spark, str(tmp_path / "none")))
