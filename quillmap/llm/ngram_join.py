@@ -245,8 +245,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Sets are of 64-bit hashes. Defined cases: null and empty texts have no shingles and link with
     nothing; with fewer than k words the whole sequence is one shingle; rows without doc_id link
-    with nothing and have a null component; rows with one doc_id are judged by their own texts;
-    an empty table gives no rows; further columns are ignored.
+    with nothing and have a null component; rows with one doc_id are judged by their own texts, and equal
+    sets link whatever the order of rows, so there are no ties; very long texts give whole sets; repeated rows
+    have one component; an empty table gives no rows; further columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     hashed = source.withColumn("text_hash", F.xxhash64("text"))

@@ -143,7 +143,8 @@ def quality_rules(docs: DataFrame, **columns: str) -> DataFrame:
 
     Defined cases: null text counts as empty and fails the base rule; null languages and
     sources are groups of their own; a group in which no row passes the base rule has no fence
-    and nothing to keep; repeated rows are judged alike; further columns are ignored.
+    and nothing to keep; very long texts are measured whole; a measure equal to its cutoff passes;
+    repeated rows are judged alike; an empty table gives no rows; further columns are ignored.
     """
     rows = checkpoint(measured(docs, **columns))
     passing = rows.filter(~F.col("base_failed"))

@@ -209,7 +209,8 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     Defined cases: null, empty and short texts have no chunks to compare; a document is a doc_id with a
     text, so rows repeated with both are one, other rows of one doc_id are further documents, and rows
     without doc_id are told apart by their texts, with keep_id null where no doc_id has the passage;
-    very long texts are read whole; an empty table gives no rows; further columns are ignored.
+    of runs that reach equally far the one way is reported, and of documents that have a passage the smallest
+    doc_id is its keep_id; very long texts are read whole; an empty table gives no rows; further columns are ignored.
     """
     source = docs.select(F.col(id_col).cast("long").alias("doc_id"), as_text(F.col(text_col)).alias("text"))
     source = source.select(F.xxhash64("doc_id", "text").alias("doc"), "doc_id", "text")
