@@ -49,6 +49,22 @@ WHOLE = [
     ("cc0", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work. This work is published from the public domain under the CC0 1.0 Universal dedication."),
 ]
 
+#: Passages by which the body of a license too long to be a template is known, where its notice is absent: the grant or the opening of the preamble.
+BODIES = [
+    ("apache", "Subject to the terms and conditions of this License, each Contributor hereby grants to You a perpetual, worldwide, non-exclusive, no-charge, royalty-free, irrevocable copyright license to reproduce, prepare Derivative Works of, "
+     "publicly display, publicly perform, sublicense, and distribute the Work and such Derivative Works in Source or Object form."),
+    ("gpl", "The licenses for most software are designed to take away your freedom to share and change it. By contrast, the GNU General Public License is intended to guarantee your freedom to share and change free software--to make sure the software "
+     "is free for all its users."),
+    ("gpl", "The GNU General Public License is a free, copyleft license for software and other kinds of works. The licenses for most software and other practical works are designed to take away your freedom to share and change the works. By contrast, the "
+     "GNU General Public License is intended to guarantee your freedom to share and change all versions of a program--to make sure it remains free software for all its users."),
+    ("lgpl", "This version of the GNU Lesser General Public License incorporates the terms and conditions of version 3 of the GNU General Public License, supplemented by the additional permissions listed below."),
+    ("lgpl", "This license, the Lesser General Public License, applies to some specially designated software packages--typically libraries--of the Free Software Foundation and other authors who decide to use it."),
+    ("agpl", "The GNU Affero General Public License is a free, copyleft license for software and other kinds of works, specifically designed to ensure cooperation with the community in the case of network server software."),
+    ("mpl", "Each Contributor hereby grants You a world-wide, royalty-free, non-exclusive license: (a) under intellectual property rights (other than patent or trademark) Licensable by such Contributor to use, reproduce, make available, modify, display, "
+     "perform, distribute, and otherwise exploit its Contributions, either on an unmodified basis, with Modifications, or as part of a Larger Work; and (b) under Patent Claims of such Contributor to make, use, sell, offer for sale, have made, import, "
+     "and otherwise transfer either its Contributions or its Contributor Version."),
+]
+
 #: Short notices, and the opening sentences that often stand alone.
 SHORT = [
     ("apache", "Licensed under the Apache License, Version 2.0"),
@@ -70,4 +86,4 @@ SHORT = [
     ("unlicense", "This is free and unencumbered software released into the public domain"),
 ]
 
-TEMPLATES = WHOLE + SHORT
+TEMPLATES = WHOLE + BODIES + SHORT

@@ -383,7 +383,7 @@ def license_documents():
     r = random.Random(31)
     prose = lambda n: [r.choice("this work is one of those that the people of our land have used and may copy in any way without permission or notice license software".split()) for _ in range(n)]
     rows, labels = [], {}
-    for label, text in license_templates.WHOLE:
+    for label, text in license_templates.WHOLE + license_templates.BODIES:
         for change in ("none", "cut", "reworded", "inserted"):
             w = text.split()
             if change == "cut":
@@ -409,6 +409,21 @@ def test_license_votes_agree_with_brute_force(spark):
         assert got[i].score == (1.0 if base else pytest.approx(best))
 
 
+def test_bodies_are_found_without_their_notice(spark):
+    """The grant or preamble of a long license among other sections of it, line by line, with a few words altered."""
+    r = random.Random(5)
+    section = lambda: " ".join(r.choice("you may not propagate or modify a covered work except as expressly provided under this section the conveying of source code must be under these terms".split()) for _ in range(400))
+    rows, labels = [], {}
+    for label, text in license_templates.BODIES * 3:
+        w = [x if r.random() > 0.02 else "altered" for x in text.split()]
+        lines = [" ".join(w[k : k + 11]) for k in range(0, len(w), 11)]
+        labels[len(rows)] = label
+        rows.append((len(rows), section() + "\n  " + "\n   ".join(lines) + "\n" + section()))
+    rows.append((99, section() + section()))
+    got = {x.doc_id: set(x.labels.split(",")) for x in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(label in got[i] for i, label in labels.items()) >= 0.9 * len(labels) and got[99] == {""}
+
+
 def test_whole_licenses_are_found_where_cut_or_reworded(spark):
     rows, labels = license_documents()
     got = {r.doc_id: set(r.labels.split(",")) for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
