@@ -5,12 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .text import let
+
 
 def strip_fence(body: Column) -> Column:
     """Text without white space around it, without a leading ``` line and a last line that is ```."""
-    t = F.regexp_replace(body, r"(?U)^\s+|\s+$", "")
-    inner = F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"(^|\n)```$", "")
-    return F.when(t.startswith("```"), inner).otherwise(t)
+    inner = lambda t: F.regexp_replace(F.regexp_replace(t, r"^```[^\n]*\n?", ""), r"(^|\n)```$", "")
+    return let(F.regexp_replace(body, r"(?U)^\s+|\s+$", ""), lambda t: F.when(t.startswith("```"), inner(t)).otherwise(t))
 
 
 def parse(body: Column, schema: str) -> Column:

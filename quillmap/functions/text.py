@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -33,17 +36,26 @@ def lookup(keys: dict[str, object], of: Column, default=None) -> Column:
     return out.otherwise(default if isinstance(default, Column) else F.lit(default))
 
 
+def let(value: Column, then) -> Column:
+    """then(value), value being worked out once, however often `then` names it; Spark would do it anew in branches and lambdas."""
+    return F.get(F.transform(F.array(value), then), F.lit(0))
+
+
 def normalize_name(name: Column) -> Column:
     """Lower case, hyphens and underscores as spaces, single spaces, then the first plural rule that holds."""
-    n = F.trim(F.regexp_replace(F.regexp_replace(F.lower(name), "[-_]", " "), SPACE + "+", " "))
-    size = F.length(n)
-    return (
-        F.when(n.endswith("ies") & (size > 4), F.concat(F.substring(n, 1, size - 3), F.lit("y")))
-        .when(n.rlike("(s|x|z|ch|sh)es$") & (size > 4), F.substring(n, 1, size - 2))
-        .when(n.endswith("es") & (size > 4), F.substring(n, 1, size - 2))
-        .when(n.endswith("s") & (size > 3) & ~n.endswith("ss") & ~n.rlike("[aeiou]s$"), F.substring(n, 1, size - 1))
-        .otherwise(n)
-    )
+    ends = lambda n, *of: functools.reduce(operator.or_, (n.endswith(x) for x in of))
+
+    def singular(n: Column) -> Column:
+        size = F.length(n)
+        return (
+            F.when(~n.endswith("s"), n)
+            .when(n.endswith("ies") & (size > 4), F.concat(F.substring(n, 1, size - 3), F.lit("y")))
+            .when(n.endswith("es") & (size > 4), F.substring(n, 1, size - 2))
+            .when((size > 3) & ~ends(n, "ss", "as", "es", "is", "os", "us"), F.substring(n, 1, size - 1))
+            .otherwise(n)
+        )
+
+    return let(F.trim(F.regexp_replace(F.translate(F.lower(name), "-_", "  "), SPACE + "+", " ")), singular)
 
 
 def normalize_type(kind: Column) -> Column:
@@ -53,7 +65,7 @@ def normalize_type(kind: Column) -> Column:
 
 def is_noise(name: Column, definition: Column) -> Column:
     text = F.concat(F.lower(name), F.lit(" "), F.lower(F.coalesce(definition, F.lit(""))))
-    return F.exists(F.array(*map(F.lit, NOISE)), lambda k: F.contains(text, k))
+    return let(text, lambda t: functools.reduce(operator.or_, (F.contains(t, F.lit(k)) for k in NOISE)))
 
 
 def importance_rank(importance: Column) -> Column:
@@ -64,8 +76,9 @@ def direction_reversed(from_: Column, to: Column, kind: Column) -> Column:
     """Whether an is_part_of names the whole first: related words (by their first four letters) and the longer name first, or the second name within the first."""
     f, t = F.lower(from_), F.lower(to)
     words = lambda c: F.filter(F.split(c, SPACE + "+"), lambda w: w != "")
-    related = F.exists(words(f), lambda a: F.exists(words(t), lambda b: a.startswith(F.substring(b, 1, 4)) | b.startswith(F.substring(a, 1, 4))))
-    return (kind == "is_part_of") & ((related & (F.length(f) > F.length(t))) | F.contains(f, t))
+    near = lambda these, those: F.exists(these, lambda a: F.exists(those, lambda b: a.startswith(F.substring(b, 1, 4)) | b.startswith(F.substring(a, 1, 4))))
+    related = let(F.struct(words(f).alias("f"), words(t).alias("t")), lambda w: near(w["f"], w["t"]))
+    return (kind == "is_part_of") & (F.contains(f, t) | ((F.length(f) > F.length(t)) & related))
 
 
 def is_video_url(source: Column) -> Column:

@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.responses import strip_fence
-from ..functions.text import classify_error, retry_delay
+from ..functions.text import classify_error, let, retry_delay
 from .extraction import GLOBAL
 
 #: Attempts that a call has.
@@ -24,8 +24,8 @@ KINDS = {"metadata": "OBJECT", "concepts": "ARRAY", "relationships": "ARRAY", GL
 
 def of_shape(body: Column, kind: Column) -> Column:
     """Whether a body is JSON of the kind's shape."""
-    shape = F.schema_of_variant(F.try_parse_json(strip_fence(body)))
-    return F.coalesce(F.when(kind == "metadata", shape.startswith("OBJECT")).otherwise(shape.startswith("ARRAY")), F.lit(False))
+    fits = lambda shape: F.when(kind == "metadata", shape.startswith("OBJECT")).otherwise(shape.startswith("ARRAY"))
+    return F.coalesce(let(F.schema_of_variant(F.try_parse_json(strip_fence(body))), fits), F.lit(False))
 
 
 def call_outcomes(attempts: DataFrame, most: int = MOST) -> DataFrame:
@@ -52,8 +52,9 @@ def call_outcomes(attempts: DataFrame, most: int = MOST) -> DataFrame:
     )
     before = F.filter("delays", lambda d: ~ended | (d["try"] < F.col("end.try")))
     waited = F.aggregate(before, F.lit(0.0), lambda s, d: s + d["delay"])
-    told = F.when(~ended, F.col("last")).otherwise(F.coalesce(error, F.when(outcome == "error", "not an answer of its kind")))
-    return steps.select(*CALL, "seg_no", outcome.alias("outcome"), F.when(ended, F.col("end.try")).otherwise(F.col("seen")).cast("int").alias("tries"), waited.alias("waited"), F.when(outcome == "answered", F.col("end.body")).alias("body"), told.alias("error"))
+    judged = steps.withColumn("outcome", outcome)
+    told = F.when(~ended, F.col("last")).otherwise(F.coalesce(error, F.when(F.col("outcome") == "error", "not an answer of its kind")))
+    return judged.select(*CALL, "seg_no", "outcome", F.when(ended, F.col("end.try")).otherwise(F.col("seen")).cast("int").alias("tries"), waited.alias("waited"), F.when(F.col("outcome") == "answered", F.col("end.body")).alias("body"), told.alias("error"))
 
 
 def segment_outcomes(calls: DataFrame, segments: DataFrame) -> DataFrame:

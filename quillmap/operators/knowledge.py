@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -35,30 +35,33 @@ def registry(mentions: DataFrame) -> DataFrame:
 
     A mention joins the entry that it would open by its key, or else the first of its aliases' keys
     that opened one, or else the first entry that holds its key or one of its aliases'; otherwise it opens one.
-    The entry then holds all of these keys. This depends on the order of mentions, so a video's are
-    folded in Python; two indexes, of the keys that opened an entry and of the first entry that holds a key,
-    make a mention cost what its own keys cost, however many entries there are.
+    The entry then holds all of these keys. This depends on the order of mentions, so they are folded in
+    Python as they come, sorted by video: no group is made for a video. Two indexes, of the keys that opened an entry and of the
+    first entry that holds a key, make a mention cost what its own keys cost, however many entries there are.
     """
 
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["seg_no", "pos"])
-        opened, holder, out = {}, {}, []
-        for key, aliases in zip(pdf["key"], pdf["alias_keys"]):
-            at = opened.get(key)
-            if at is None:
-                at = next((opened[a] for a in aliases if a in opened), None)
-            if at is None:
-                at = min((holder[k] for k in (key, *aliases) if k in holder), default=None)
-            if at is None:
-                at = opened[key] = len(opened)
-            for k in (key, *aliases):
-                holder[k] = min(at, holder.get(k, at))
-            out.append(at)
-        return pdf.assign(entry=out)
+    def fold(batches):
+        video, opened, holder = None, {}, {}
+        for batch in batches:
+            out = []
+            for of, key, aliases in zip(*(batch.column(c).to_pylist() for c in ("video_id", "key", "alias_keys"))):
+                if of != video:
+                    video, opened, holder = of, {}, {}
+                at = opened.get(key)
+                if at is None:
+                    at = next((opened[a] for a in aliases if a in opened), None)
+                if at is None:
+                    at = min((holder[k] for k in (key, *aliases) if k in holder), default=None)
+                if at is None:
+                    at = opened[key] = len(opened)
+                for k in (key, *aliases):
+                    holder[k] = min(at, holder.get(k, at))
+                out.append(at)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(out, pa.int32())], names=[*batch.schema.names, "entry"])
 
     given = F.filter(F.coalesce("aliases", F.array().cast("array<string>")), lambda a: a.isNotNull())
     keyed = mentions.select(*ORDER, "name", given.alias("aliases"), "type", "definition", normalize_name(F.col("name")).alias("key")).withColumn("alias_keys", F.transform("aliases", normalize_name))
-    return keyed.groupBy("video_id").applyInPandas(fold, ENTRIES)
+    return keyed.repartition("video_id").sortWithinPartitions(*ORDER).mapInArrow(fold, ENTRIES)
 
 
 def canonical_concepts(entries: DataFrame) -> DataFrame:
@@ -95,7 +98,7 @@ def canonical_relationships(relationships: DataFrame, names: DataFrame | None =
     if names is not None:
         for c in ("from_concept", "to_concept"):
             m = names.select(F.col("video_id").alias("of_video"), F.col("key").alias("of_key"), F.col("canonical").alias("of_name"))
-            df = df.join(m, (F.col("video_id") == F.col("of_video")) & (normalize_name(F.col(c)) == F.col("of_key")), "left").withColumn(c, F.coalesce("of_name", c)).drop("of_video", "of_key", "of_name")
+            df = df.withColumn("own_key", normalize_name(F.col(c))).join(m, (F.col("video_id") == F.col("of_video")) & (F.col("own_key") == F.col("of_key")), "left").withColumn(c, F.coalesce("of_name", c)).drop("own_key", "of_video", "of_key", "of_name")
     df = df.withColumn("turn", direction_reversed(F.col("from_concept"), F.col("to_concept"), F.col("type")))
     df = df.withColumns({"from_concept": F.when(F.col("turn"), F.col("to_concept")).otherwise(F.col("from_concept")), "to_concept": F.when(F.col("turn"), F.col("from_concept")).otherwise(F.col("to_concept"))}).drop("turn")
     first = F.row_number().over(Window.partitionBy(*UNIT, "from_concept", "to_concept", "type").orderBy("pos"))
