@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import itertools
 import os
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -64,6 +66,26 @@ class Steps:
         return kept, seen.get["n"]
 
 
+def runs(batches):
+    """The rows, as tuples, of each run of one value in the first column, of Arrow batches of sorted rows; a run may span batches."""
+    rows = []
+    for batch in batches:
+        for row in zip(*(c.to_pylist() for c in batch.columns)):
+            if rows and row[0] != rows[0][0]:
+                yield rows
+                rows = []
+            rows.append(row)
+    if rows:
+        yield rows
+
+
+def told(rows, schema: pa.Schema, size: int = 10_000):
+    """Arrow batches of `size` tuples."""
+    rows = iter(rows)
+    while part := list(itertools.islice(rows, size)):
+        yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*part), schema)], schema=schema)
+
+
 def numbered(df: DataFrame, *order: Column | str) -> DataFrame:
     """Adds n, the place of each row in an order over all rows, from 0. Ranges are numbered by themselves, after the rows of the ranges before."""
     parts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -26,3 +26,40 @@ def test_many_videos_of_the_registry_make_no_groups(spark):
     began = time.time()
     assert knowledge.registry(m).agg(F.max("entry"), F.count("*")).first() == (0, 200_000)
     assert time.time() - began < 60
+
+
+def test_a_long_video_merges_in_linear_time(spark):
+    """20,000 segments of one video, whose texts together are 20 MB."""
+    one = spark.range(20_000).select(
+        F.lit("s").alias("segment_id"), F.lit("v").alias("video_id"), (F.col("id") + 1).cast("int").alias("seg_no"), F.lit("t").alias("title"), (F.col("id") * 10.0).alias("start"), (F.col("id") * 10.0 + 10).alias("end"),
+        F.repeat(F.lit("x"), 1000).alias("transcript"), F.array(F.struct(F.lit("x").alias("text"), (F.col("id") * 10.0).alias("start"), F.lit(0.0).alias("end"), F.lit(1.0).alias("confidence"))).alias("sentences"),
+    )
+    began = time.time()
+    got = segmentation.merge_short(one, 25.0).select("seg_no", "start", "end", F.size("sentences").alias("n"), F.length("transcript").alias("l"))
+    sizes = got.agg(F.count("*"), F.sum("n"), F.sum("l")).first()
+    assert time.time() - began < 40 and sizes[1] == 20_000 and sizes[2] == 20_000 * 1001 - sizes[0] and got.filter("end - start < 25").isEmpty()
+
+
+def test_a_long_video_takes_boundaries_in_linear_time(spark):
+    times = spark.range(30_000).select(F.lit("v").alias("video_id"), F.col("id").alias("sent_idx"), (F.col("id") * 10.0).alias("start"))
+    low = times.select("video_id", F.col("sent_idx").alias("idx"), F.pmod(F.hash("sent_idx"), F.lit(997)).cast("double").alias("depth"))
+    began = time.time()
+    got = sorted(r.idx for r in segmentation.greedy_boundaries(low, times, 25.0).collect())
+    assert time.time() - began < 40 and len(got) > 6000 and min(b - a for a, b in zip(got, got[1:])) >= 3
+
+
+def plain_merge(times, min_s):
+    """Joins the first short piece, again and again."""
+    p = [(s, e, [k]) for k, (s, e) in enumerate(times)]
+    while len(p) > 1 and (k := next((k for k, x in enumerate(p) if x[1] - x[0] < min_s), None)) is not None:
+        back = k > 0 and (k == len(p) - 1 or not p[k - 1][1] - p[k - 1][0] > p[k + 1][1] - p[k + 1][0])
+        a = k - 1 if back else k
+        p[a : a + 2] = [(p[a][0], p[a + 1][1], p[a][2] + p[a + 1][2])]
+    return [(x[2][0], x[2][-1]) for x in p]
+
+
+def test_merging_agrees_with_a_loop_whatever_the_times():
+    r = random.Random(3)
+    for _ in range(500):
+        times = [(r.randint(0, 40) * 1.0, r.randint(0, 80) * 1.0) for _ in range(r.randint(1, 9))]
+        assert segmentation.short_joined(times, 15.0) == plain_merge(times, 15.0)
