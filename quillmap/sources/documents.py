@@ -7,11 +7,11 @@ from pyspark.sql import functions as F
 
 from ..functions.text import source_kind, stem, video_id
 from ..schemas import RESULT, WORDS
-from .tables import exists
+from .tables import PARTS, exists, replace_rows, rows_of
 
 
 def write_results(results: DataFrame, path: str) -> None:
-    """One folder per video, overwritten."""
+    """One folder per video, overwritten. A folder costs much, so many documents go by write_documents()."""
     results.withColumn("video", F.col("video_id")).write.mode("overwrite").partitionBy("video").json(path)
 
 
@@ -47,12 +47,30 @@ def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
         return spark.createDataFrame([], RESULT), spark.createDataFrame([], "file string, problems array<string>, body string")
     files = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(path)
     raw = files.select(F.col("path").alias("file"), F.col("content").cast("string").alias("body"))
+    good, bad = _checked(raw)
+    return good.drop("file"), bad.select("file", "problems", "body")
+
+
+def _checked(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """raw: rows with body. The fields of the sound ones, with raw's other columns, and the rest with problems."""
     read = F.from_json("body", f"{RESULT}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
     found = raw.withColumn("doc", read)
     broken = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
     found = found.withColumn("problems", F.when(broken, F.array(F.lit("not a document of the schema"))).otherwise(problems_of(F.col("doc"))))
     bad = F.size("problems") > 0
-    return found.filter(~bad).select("doc.*").drop("_corrupt"), found.filter(bad).select("file", "problems", "body")
+    return found.filter(~bad).select(*[c for c in raw.columns if c not in ("body", "video_id")], "doc.*").drop("_corrupt"), found.filter(bad).drop("doc")
+
+
+def write_documents(documents: DataFrame, path: str, parts: int = PARTS) -> None:
+    """documents: (video_id, body). A row for each, in `parts` folders by a hash of the video, which take the place of what the videos had: files don't grow in number with videos."""
+    owners = documents.select("video_id")
+    replace_rows(documents.select("video_id", "body"), path, "video_id", owners, list(range(parts)), parts)
+
+
+def read_documents(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
+    """Sound documents of a table of write_documents(), of the schema RESULT, and the others: (video_id, problems, body)."""
+    good, bad = _checked(rows_of(spark, path, "video_id string, body string, part int").select("video_id", "body"))
+    return good, bad.select("video_id", "problems", "body")
 
 
 class Templates:

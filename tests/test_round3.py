@@ -63,3 +63,13 @@ def test_merging_agrees_with_a_loop_whatever_the_times():
     for _ in range(500):
         times = [(r.randint(0, 40) * 1.0, r.randint(0, 80) * 1.0) for _ in range(r.randint(1, 9))]
         assert segmentation.short_joined(times, 15.0) == plain_merge(times, 15.0)
+
+
+def test_documents_lie_in_few_files(spark, tmp_path):
+    at = str(tmp_path / "docs")
+    body = F.concat(F.lit('{"video_id":"v'), "id", F.lit('","title":"t","source":"s","duration":1.5,"segments":[],"knowledge_units":[],"concepts":[]'), F.when(F.col("id") % 7 == 0, "").otherwise("}"))
+    sources.write_documents(spark.range(3000).select(F.concat(F.lit("v"), "id").alias("video_id"), body.alias("body")), at, parts=4)
+    sources.write_documents(spark.range(2).select(F.concat(F.lit("v"), F.col("id") + 1).alias("video_id"), F.lit("[").alias("body")), at, parts=4)
+    good, bad = sources.read_documents(spark, at)
+    assert good.count() == 3000 - 429 - 2 and {r.video_id for r in bad.collect()} == {f"v{k}" for k in range(0, 3000, 7)} | {"v1", "v2"}
+    assert sum(f.endswith(".parquet") for _, _, files in os.walk(at) for f in files) <= 16
