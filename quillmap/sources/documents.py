@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import source_kind, stem, video_id
+from ..functions.text import let, source_kind, stem, video_id
 from ..schemas import RESULT, WORDS
 from .tables import PARTS, exists, replace_rows, rows_of
 
@@ -54,9 +54,9 @@ def read_checked(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
 def _checked(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """raw: rows with body. The fields of the sound ones, with raw's other columns, and the rest with problems."""
     read = F.from_json("body", f"{RESULT}, _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"})
-    found = raw.withColumn("doc", read)
-    broken = F.col("doc").isNull() | F.col("doc._corrupt").isNotNull()
-    found = found.withColumn("problems", F.when(broken, F.array(F.lit("not a document of the schema"))).otherwise(problems_of(F.col("doc"))))
+    broken = lambda doc: doc.isNull() | doc["_corrupt"].isNotNull()
+    judged = lambda doc: F.struct(doc.alias("doc"), F.when(broken(doc), F.array(F.lit("not a document of the schema"))).otherwise(problems_of(doc)).alias("problems"))
+    found = raw.withColumn("read", let(read, judged)).select(*raw.columns, "read.doc", "read.problems")  # a body is parsed once for all that is asked of it
     bad = F.size("problems") > 0
     return found.filter(~bad).select(*[c for c in raw.columns if c not in ("body", "video_id")], "doc.*").drop("_corrupt"), found.filter(bad).drop("doc")
 
