@@ -38,11 +38,13 @@ def call_outcomes(attempts: DataFrame, most: int = MOST) -> DataFrame:
     pending (429 so far, with tries left). tries counts the attempts looked at, waited the seconds between them.
     """
     own = Window.partitionBy(*CALL).orderBy("attempt")
-    first = attempts.withColumn("try", F.row_number().over(own)).filter(F.col("try") <= most)
     again = F.col("error").isNotNull() & (classify_error(F.col("error")) == "retry")
-    steps = first.withColumn("again", again).groupBy(*CALL).agg(
-        F.min("seg_no").alias("seg_no"), F.count("*").alias("seen"), F.min(F.when(~F.col("again"), F.struct("try", "error", "body"))).alias("end"),
-        F.collect_list(F.when(F.col("again"), F.struct("try", retry_delay(F.col("error")).alias("delay")))).alias("delays"), F.max_by("error", "try").alias("last"),
+    before = F.max(~F.col("again")).over(own.rowsBetween(Window.unboundedPreceding, -1))
+    looked = attempts.withColumn("again", again).withColumns({"try": F.row_number().over(own), "over": F.coalesce(before, F.lit(False))}).filter((F.col("try") <= most) & ~F.col("over"))
+    # rows come sorted by call and attempt from the window, so this needs neither a sort nor a list
+    steps = looked.groupBy(*CALL).agg(
+        F.min("seg_no").alias("seg_no"), F.count("*").alias("seen"), F.max_by(F.struct("error", "body"), F.when(~F.col("again"), F.col("try"))).alias("end"),
+        F.coalesce(F.sum(F.when(F.col("again"), retry_delay(F.col("error")))), F.lit(0.0)).alias("waited"), F.max_by("error", "try").alias("last"),
     )
     ended, error = F.col("end").isNotNull(), F.col("end.error")
     outcome = (
@@ -50,11 +52,9 @@ def call_outcomes(attempts: DataFrame, most: int = MOST) -> DataFrame:
         .when(error.isNotNull(), F.when(classify_error(error) == "quota", "quota").otherwise("error"))
         .when(of_shape(F.col("end.body"), F.col("kind")), "answered").otherwise("error")
     )
-    before = F.filter("delays", lambda d: ~ended | (d["try"] < F.col("end.try")))
-    waited = F.aggregate(before, F.lit(0.0), lambda s, d: s + d["delay"])
     judged = steps.withColumn("outcome", outcome)
     told = F.when(~ended, F.col("last")).otherwise(F.coalesce(error, F.when(F.col("outcome") == "error", "not an answer of its kind")))
-    return judged.select(*CALL, "seg_no", "outcome", F.when(ended, F.col("end.try")).otherwise(F.col("seen")).cast("int").alias("tries"), waited.alias("waited"), F.when(F.col("outcome") == "answered", F.col("end.body")).alias("body"), told.alias("error"))
+    return judged.select(*CALL, "seg_no", "outcome", F.col("seen").cast("int").alias("tries"), "waited", F.when(F.col("outcome") == "answered", F.col("end.body")).alias("body"), told.alias("error"))
 
 
 def segment_outcomes(calls: DataFrame, segments: DataFrame) -> DataFrame:

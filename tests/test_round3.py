@@ -92,3 +92,17 @@ def test_documents_lie_in_few_files(spark, tmp_path):
     good, bad = sources.read_documents(spark, at)
     assert good.count() == 3000 - 429 - 2 and {r.video_id for r in bad.collect()} == {f"v{k}" for k in range(0, 3000, 7)} | {"v1", "v2"}
     assert sum(f.endswith(".parquet") for _, _, files in os.walk(at) for f in files) <= 16
+
+
+def test_distinct_counts_copy_no_rows(spark):
+    assert "Expand" not in queries.concept_counts(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_calls_are_judged_without_lists(spark):
+    assert "collect_list" not in queries.call_outcomes(spark, SMALL)._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_a_body_is_parsed_once_for_its_problems(spark, tmp_path):
+    sources.write_documents(spark.createDataFrame([("v", "[")], "video_id string, body string"), str(tmp_path / "d"), parts=2)
+    _, bad = sources.read_documents(spark, str(tmp_path / "d"))
+    assert bad._jdf.queryExecution().optimizedPlan().toString().count("from_json") <= 3
