@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import itertools
+import math
 import os
 import tempfile
 import uuid
@@ -36,6 +37,21 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+#: Rows of a task where rows are dealt by number: a few hundred bytes each, they sort in memory.
+ROWS = 250_000
+
+
+def dealt(df: DataFrame, rows: int, *keys: str) -> DataFrame:
+    """df, whose rows are counted, by a hash of keys in partitions of ROWS or so; as it is if one would do.
+
+    Otherwise AQE joins partitions by their bytes in the shuffle, and a task's rows, once joined with wide ones, outgrow its memory.
+    Spark deals anew what has fewer partitions than spark.sql.shuffle.partitions, so there are that many at least.
+    """
+    if rows <= ROWS:
+        return df
+    return df.repartition(max(math.ceil(rows / ROWS), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), *keys)
+
+
 class Steps:
     """States of a loop, each written as Parquet in the shared folder and read again; all are removed at the end of the block.
 

@@ -12,6 +12,12 @@ from functools import cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.iteration import dealt
+
+#: The order of an order's lines, and the name that a line gives its part.
+LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity"
+LINE_NAME = "CASE l_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') ELSE concat(p_name, 's') END"
+
 VIEWS = {
     "videos": """
         SELECT concat('v', c_custkey) AS video_id, c_name AS title, concat('media/', c_name, CASE c_custkey % 3 WHEN 0 THEN '.mp4' WHEN 1 THEN '.wav' ELSE '.MP3' END) AS source,
@@ -21,15 +27,15 @@ VIEWS = {
         SELECT concat('s', o_orderkey) AS segment_id, concat('v', o_custkey) AS video_id, cast(o_orderkey AS int) AS seg_no, concat('Segment ', o_orderkey) AS title,
                cast((o_orderkey % 997) * 10 AS double) AS t0, cast((o_orderkey % 997) * 10 + 5 + floor(o_totalprice / 10000) AS double) AS t1
         FROM {orders}""",
-    "mentions": """
+    "mentions": f"""
         SELECT concat('v', o_custkey) AS video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id,
-               cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity) AS int) AS pos,
-               CASE l_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') ELSE concat(p_name, 's') END AS name,
+               cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos,
+               {LINE_NAME} AS name,
                concat(p_name, ' ', p_brand) AS alias,
                CASE l_suppkey % 6 WHEN 0 THEN 'Concept' WHEN 1 THEN ' method' WHEN 2 THEN 'Layer' WHEN 3 THEN 'theorem' WHEN 4 THEN 'gadget' ELSE 'METRIC ' END AS type,
                CASE WHEN l_partkey % 50 = 7 THEN 'Please Subscribe to it' WHEN l_partkey % 50 = 8 THEN '' ELSE concat(p_brand, ' ', p_type, ' no ', p_partkey, repeat(' x', cast(p_partkey % 7 AS int))) END AS definition,
                CASE WHEN p_size < 17 THEN 'core' WHEN p_size < 34 THEN 'supporting' ELSE 'mentioned' END AS importance
-        FROM {lineitem} JOIN {orders} ON l_orderkey = o_orderkey JOIN {part} ON l_partkey = p_partkey""",
+        FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey""",
     "crossing": """
         SELECT video_id, seg_no, segment_id, pos, CASE WHEN (seg_no + pos) % 5 = 1 THEN concat('tag ', (seg_no * 3 + pos) % 9) ELSE name END AS name, alias AS alias1,
                CASE WHEN pos % 2 = 0 THEN concat('Tag-', (seg_no + pos) % 9) WHEN pos % 3 = 0 THEN concat('tag ', (seg_no * 2 + pos) % 9, 's') END AS alias2, type, definition, importance
@@ -87,9 +93,23 @@ VIEWS = {
         FROM {sentence_vectors}""",
 }
 
+#: Views that Spark makes from other text with the same rows. A line's place and the name that follows come of one
+#: window by l_orderkey, of which seg_no is the number; relationships over mentions would shuffle and sort all lines again.
+MADE = {
+    "relationships": f"""
+        SELECT concat('v', o_custkey) AS video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, from_concept, to_concept,
+               CASE pos % 3 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'is_part_of' ELSE 'applies_to' END AS type, concat('line ', pos) AS evidence
+        FROM (SELECT l_orderkey, o_custkey, from_concept, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos, lead(from_concept) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS to_concept
+              FROM (SELECT l_orderkey, o_custkey, {LINE_ORDER}, {LINE_NAME} AS from_concept
+                    FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey) l) m
+        WHERE to_concept IS NOT NULL""",
+}
+#: Views whose windows go by a key of a table: that table's rows are dealt by it, so that a task sorts so many rows whatever the input.
+DEALT = {"mentions": ("lineitem", "l_orderkey"), "relationships": ("lineitem", "l_orderkey")}
+
 
-def _reads(name: str) -> list[str]:
-    return re.findall(r"\{(\w+)\}", VIEWS[name])
+def _reads(name: str, texts: dict[str, str] = VIEWS) -> list[str]:
+    return re.findall(r"\{(\w+)\}", texts[name])
 
 
 @cache
@@ -112,7 +132,12 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or one of the driver's tables, as a frame; t0 and t1 are its start and end."""
     if name not in VIEWS:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
-    raw = spark.sql(VIEWS[name], **{r: _raw(spark, sf_dir, r) for r in set(_reads(name))})
+    texts = MADE if name in MADE else VIEWS
+    tables = {r: _raw(spark, sf_dir, r) for r in set(_reads(name, texts))}
+    if name in DEALT:
+        table, key = DEALT[name]
+        tables[table] = dealt(tables[table], tables[table].count(), key)
+    raw = spark.sql(texts[name], **tables)
     return raw.withColumnsRenamed({"t0": "start", "t1": "end"})
 
 
@@ -124,6 +149,11 @@ def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view(spark, sf_dir, "mentions").withColumns({"aliases": F.array("alias"), "timestamp_range": F.lit(None).cast("struct<start:double,end:double>")}).drop("alias")
 
 
+def mentions_at_most(spark: SparkSession, sf_dir: str) -> int:
+    """The number of lines, each of which is a mention if its order and part are there."""
+    return view(spark, sf_dir, "lineitem").count()
+
+
 def crossing_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Mentions some of whose names and aliases cross, so that the order of a video's mentions decides."""
     c = view(spark, sf_dir, "crossing")
