@@ -39,12 +39,16 @@ def explained_in(mentions: DataFrame, concepts: DataFrame, segments: DataFrame)
 
 
 def concept_edges(relationships: DataFrame, concepts: DataFrame) -> DataFrame:
-    """(src, dst, type, evidence, video_id): per video the first evidence, over videos the last, where both ends exist."""
+    """(src, dst, type, evidence, video_id): per video the first evidence, over videos the last, where both ends exist.
+
+    That is one choice by (last video, first place, nulls being first), made before ends are looked up, so what is shuffled are edges and not all that names them.
+    """
     r = relationships.select(F.col("from_concept").alias("src"), F.col("to_concept").alias("dst"), F.upper("type").alias("type"), "evidence", "video_id", "seg_no", "pos")
+    early = [x for c in ("seg_no", "pos") for x in (F.col(c).isNull().alias(f"no_{c}"), (-F.col(c).cast("long")).alias(c))]
+    last = F.max_by(F.struct("evidence", "video_id"), F.when(F.col("video_id").isNotNull(), F.struct("video_id", *early)))
+    edges = r.groupBy("src", "dst", "type").agg(last.alias("last")).select("src", "dst", "type", "last.evidence", "last.video_id")
     names = concepts.select("name").distinct()
-    known = r.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi")
-    first = known.groupBy("src", "dst", "type", "video_id").agg(F.min_by("evidence", F.struct("seg_no", "pos")).alias("evidence"))
-    return first.groupBy("src", "dst", "type").agg(F.max_by(F.struct("evidence", "video_id"), "video_id").alias("last")).select("src", "dst", "type", "last.evidence", "last.video_id")
+    return edges.join(names.withColumnRenamed("name", "src"), "src", "left_semi").join(names.withColumnRenamed("name", "dst"), "dst", "left_semi").select("src", "dst", "type", "evidence", "video_id")
 
 
 def example_nodes(examples: DataFrame) -> DataFrame:

@@ -10,6 +10,8 @@ from ..operators.iteration import remove
 
 #: Folders that the rows of a table are dealt over, by a hash of their owner.
 PARTS = 64
+#: Folders up to which rows read from files are written without a shuffle.
+FEW = 16
 
 
 def part_of(owner: str, parts: int = PARTS) -> Column:
@@ -21,14 +23,15 @@ def exists(spark: SparkSession, path: str) -> bool:
     return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)
 
 
-def replace_partitions(rows: DataFrame, path: str, by: str, values: list | None = None) -> list:
+def replace_partitions(rows: DataFrame, path: str, by: str, values: list | None = None, shuffle: bool = True) -> list:
     """Writes the rows' partitions anew and leaves all others; the values of `by` that were written.
 
     rows may read the table itself, as the files take their places when all are written. values, if given,
-    names the partitions to replace; those without rows are removed then.
+    names the partitions to replace; those without rows are removed then. Rows that are in few tasks, and go to few
+    partitions, needn't be shuffled: each task writes a file in each partition.
     """
     spark, seen = rows.sparkSession, Observation()
-    rows.hint("rebalance", by).observe(seen, F.collect_set(by).alias("values")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    (rows.hint("rebalance", by) if shuffle else rows).observe(seen, F.collect_set(by).alias("values")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
     present = list(seen.get["values"])
     gone = [v for v in values or [] if v not in present]
     for v in gone:
@@ -58,4 +61,4 @@ def replace_rows(rows: DataFrame, path: str, owner: str, owners: DataFrame, touc
     if exists(rows.sparkSession, path):
         old = rows.sparkSession.read.schema(new.schema).parquet(path).filter(F.col("part").isin(touched))
         new = old.join(owners, owner, "left_anti").select(new.columns).unionByName(new)
-    return replace_partitions(new, path, "part", touched)
+    return replace_partitions(new, path, "part", touched, parts > FEW)

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from quillmap.operators import iteration, resolve
+from quillmap.operators import graph, iteration, resolve
 from quillmap.plans import corpus, queries
 
 from .conftest import SMALL
@@ -48,3 +48,12 @@ def test_appearances_are_shuffled_once_for_all_counts(spark, monkeypatch):
     dealt, plain = count(resolve.concept_appearances(m, 3000)[1]), count(resolve.concept_appearances(m)[1])
     assert "REPARTITION_BY_NUM" in planned(dealt) and planned(dealt).count("Exchange") == 2
     assert rows(dealt) == rows(plain)
+
+
+def test_edges_are_chosen_before_their_ends_are_looked_up(spark):
+    said = [("a", "b", "x", f"e{v}{n}{p}", v, n, p) for v in ("v1", "v2") for n in (None, 1, 2) for p in (None, 4, 3)] + [("a", "c", "x", "e", "v1", 1, 1), ("b", "a", "x", "first", "v9", 2, 7), ("b", "a", "x", "later", "v9", 2, 8)]
+    r = spark.createDataFrame(said, "from_concept string, to_concept string, type string, evidence string, video_id string, seg_no int, pos int")
+    got = graph.concept_edges(r, spark.createDataFrame([("a",), ("b",)], "name string"))
+    top = got._jdf.queryExecution().optimizedPlan().toString()
+    assert top.index("LeftSemi") < top.index("Aggregate") and top.count("max_by") == 1
+    assert sorted(map(tuple, got.collect())) == [("a", "b", "X", "ev2NoneNone", "v2"), ("b", "a", "X", "first", "v9")]
