@@ -108,17 +108,17 @@ class ComponentStore:
         ends = edges.select("a", "b").filter("a IS NOT NULL AND b IS NOT NULL")
         known = self.labels
         with Steps(self.spark) as steps:
-            ids = steps.keep(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().join(known, "id", "left").withColumn("new", F.col("component").isNull()).withColumn("component", F.coalesce("component", "id")))
-            of = lambda c: ids.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of"))
+            ids = steps.keep(ends.select(F.col("a").alias("id")).union(ends.select("b")).distinct().join(known.hint("merge"), "id", "left").withColumn("new", F.col("component").isNull()).withColumn("component", F.coalesce("component", "id")))
+            of = lambda c: ids.select(F.col("id").alias(c), F.col("component").alias(f"{c}_of")).hint("merge")
             between = steps.keep(ends.join(of("a"), "a").join(of("b"), "b").select(F.col("a_of").alias("a"), F.col("b_of").alias("b")).filter("a <> b").distinct())
             moved = steps.keep(connected(between).select(F.col("node").alias("component"), F.col("component").alias("to")))
-            fresh = ids.filter("new").select("id", "component").join(moved, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+            fresh = ids.filter("new").select("id", "component").join(moved.hint("merge"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
             changed = moved.filter("component <> to")
             folders = moved.select("component").union(moved.select("to")).union(fresh.select("component")).select(part_of("component").alias("part")).distinct()
             touched = [r[0] for r in folders.collect()]  # PARTS at most
             if not touched:
                 return []
             old = rows_of(self.spark, self.path, f"id {self.kind}, component {self.kind}, part int").filter(F.col("part").isin(touched)).drop("part")
-            kept = old.join(changed, "component", "left").select("id", F.coalesce("to", "component").alias("component"))
+            kept = old.join(changed.hint("merge"), "component", "left").select("id", F.coalesce("to", "component").alias("component"))
             rows = kept.unionByName(fresh).withColumn("part", part_of("component"))
             return replace_partitions(rows, self.path, "part", touched)

@@ -128,6 +128,7 @@ def connected(edges: DataFrame) -> DataFrame:
     ways of a node are then followed in one plan. Least hashes are partial aggregations and look-ups
     are joins that AQE can split, so a hub never meets in one task. What is left is counted as it is written;
     once it is REST edges at most, one task finishes it, as rounds over few edges cost their jobs only.
+    No side of a join is broadcast: a round's sides are small one by one, but all of them would go through the driver.
     """
     with Steps(edges.sparkSession) as steps:
         left, n = steps.keep_counted(edges.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct())
@@ -137,7 +138,7 @@ def connected(edges: DataFrame) -> DataFrame:
             both = left.union(left.select("b", "a"))
             moves = steps.keep(both.groupBy("a").agg(F.min(drawn("b")).alias("near")).select(F.col("a").alias("node"), F.least("near", drawn("a"))["to"].alias("to")))
             left, n = steps.keep_counted(
-                left.join(moves.toDF("a", "from"), "a").join(moves.toDF("b", "to"), "b").filter("from <> to")
+                left.join(moves.toDF("a", "from").hint("merge"), "a").join(moves.toDF("b", "to").hint("merge"), "b").filter("from <> to")
                 .select(F.least("from", "to").alias("a"), F.greatest("from", "to").alias("b")).distinct()
             )
             rounds.append(moves)
@@ -147,12 +148,12 @@ def connected(edges: DataFrame) -> DataFrame:
             return edges.select(F.col("a").alias("node"), F.col("b").alias("component")).limit(0)
         found = rounds[0]
         for moves in rounds[1:]:
-            found = found.join(moves.toDF("to", "then"), "to", "left").select("node", F.coalesce("then", "to").alias("to"))
+            found = found.join(moves.toDF("to", "then").hint("merge"), "to", "left").select("node", F.coalesce("then", "to").alias("to"))
         if len(rounds) == 1 and n:
             return cut(found.toDF("node", "component"))
         found = steps.keep(found)
         names = found.groupBy("to").agg(F.min("node").alias("component"))
-        return cut(found.join(names, "to").select("node", "component"))
+        return cut(found.join(names.hint("merge"), "to").select("node", "component"))
 
 
 def united(edges: DataFrame) -> DataFrame:
@@ -180,4 +181,4 @@ def united(edges: DataFrame) -> DataFrame:
 def components(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     """edges: (a, b); nodes: (id). (id, component): the smallest id that is connected."""
     found = connected(edges.select("a", "b"))
-    return nodes.select("id").distinct().join(found.withColumnRenamed("node", "id"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))
+    return nodes.select("id").distinct().join(found.withColumnRenamed("node", "id").hint("merge"), "id", "left").select("id", F.coalesce("component", "id").alias("component"))

@@ -5,7 +5,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from quillmap.operators import knowledge, resolve, segmentation
+from quillmap.operators import graph_store, knowledge, resolve, segmentation, traverse
 from quillmap.plans import oracles, queries
 from quillmap.sources import documents as sources
 
@@ -133,3 +133,15 @@ def test_resolution_asks_once_and_not_within_a_group_and_agrees_with_all_pairs(s
     got = resolve.resolve(c, spark.createDataFrame([], "idx long, embedding array<float>"), lambda q: q.mapInPandas(told, q.select("*", F.lit("").alias("verdict")).schema))
     assert sorted((x.idx, x.members) for x in got.collect()) == sorted((k, up.count(k)) for k in set(up))
     assert asked.value < len(pairs)
+
+
+def test_components_broadcast_nothing(spark, tmp_path, monkeypatch):
+    plans, keep = [], traverse.Steps.keep
+    monkeypatch.setattr(traverse, "REST", 0)
+    monkeypatch.setattr(traverse.Steps, "keep", lambda self, df: (plans.append(df._jdf.queryExecution().executedPlan().toString()), keep(self, df))[1])
+    store = graph_store.ComponentStore(spark, str(tmp_path / "labels"))
+    edges = spark.range(20).select(F.col("id").alias("a"), (F.col("id") + 1).alias("b"))
+    for k in (0, 1):
+        store.add(edges.filter(F.col("a") % 2 == k))
+    assert store.labels.count() == 21 and store.labels.filter("component <> 0").isEmpty()
+    assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
