@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -15,12 +18,18 @@ ORDER = ["video_id", "seg_no", "pos"]
 
 
 def filter_noise(mentions: DataFrame, relationships: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Drops concepts about channels and sponsors: every mention of such a name within its unit, and the unit's relationships that touch it."""
-    noisy = mentions.filter(is_noise(F.col("name"), F.col("definition"))).select(*UNIT, F.col("name").alias("noisy")).distinct()
-    at = lambda c: [F.col(f"r.{k}") == F.col(f"n.{k}") for k in UNIT] + [F.col(f"r.{c}") == F.col("n.noisy")]
-    kept = mentions.alias("r").join(noisy.alias("n"), at("name"), "left_anti")
-    left = relationships.alias("r").join(noisy.alias("n"), at("from_concept"), "left_anti").alias("r").join(noisy.alias("n"), at("to_concept"), "left_anti")
-    return kept, left
+    """Drops concepts about channels and sponsors: every mention of such a name within its unit, and the unit's relationships that touch it.
+
+    A unit's noisy names meet its rows as one list, so rows are shuffled once however many names they have.
+    """
+    noisy = mentions.filter(is_noise(F.col("name"), F.col("definition"))).groupBy(*[F.col(k).alias(f"of_{k}") for k in UNIT]).agg(F.collect_set("name").alias("noisy"))
+
+    def without(rows: DataFrame, *names: str) -> DataFrame:
+        free = [~F.coalesce(F.array_contains("noisy", F.col(c)), F.lit(False)) for c in names]
+        at = [F.col(k) == F.col(f"of_{k}") for k in UNIT]
+        return rows.join(noisy, at, "left").filter(functools.reduce(operator.and_, free)).select(rows.columns)
+
+    return without(mentions, "name"), without(relationships, "from_concept", "to_concept")
 
 
 def normalize_types(mentions: DataFrame) -> DataFrame:

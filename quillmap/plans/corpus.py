@@ -17,6 +17,10 @@ from ..operators.iteration import dealt
 #: The order of an order's lines, and the name that a line gives its part.
 LINE_ORDER = "l_linenumber, l_partkey, l_suppkey, l_extendedprice, l_shipdate, l_quantity"
 LINE_NAME = "CASE l_partkey % 4 WHEN 0 THEN p_name WHEN 1 THEN upper(p_name) WHEN 2 THEN replace(p_name, ' ', '-') ELSE concat(p_name, 's') END"
+LINE_REST = """concat(p_name, ' ', p_brand) AS alias,
+               CASE l_suppkey % 6 WHEN 0 THEN 'Concept' WHEN 1 THEN ' method' WHEN 2 THEN 'Layer' WHEN 3 THEN 'theorem' WHEN 4 THEN 'gadget' ELSE 'METRIC ' END AS type,
+               CASE WHEN l_partkey % 50 = 7 THEN 'Please Subscribe to it' WHEN l_partkey % 50 = 8 THEN '' ELSE concat(p_brand, ' ', p_type, ' no ', p_partkey, repeat(' x', cast(p_partkey % 7 AS int))) END AS definition,
+               CASE WHEN p_size < 17 THEN 'core' WHEN p_size < 34 THEN 'supporting' ELSE 'mentioned' END AS importance"""
 
 VIEWS = {
     "videos": """
@@ -31,10 +35,7 @@ VIEWS = {
         SELECT concat('v', o_custkey) AS video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id,
                cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos,
                {LINE_NAME} AS name,
-               concat(p_name, ' ', p_brand) AS alias,
-               CASE l_suppkey % 6 WHEN 0 THEN 'Concept' WHEN 1 THEN ' method' WHEN 2 THEN 'Layer' WHEN 3 THEN 'theorem' WHEN 4 THEN 'gadget' ELSE 'METRIC ' END AS type,
-               CASE WHEN l_partkey % 50 = 7 THEN 'Please Subscribe to it' WHEN l_partkey % 50 = 8 THEN '' ELSE concat(p_brand, ' ', p_type, ' no ', p_partkey, repeat(' x', cast(p_partkey % 7 AS int))) END AS definition,
-               CASE WHEN p_size < 17 THEN 'core' WHEN p_size < 34 THEN 'supporting' ELSE 'mentioned' END AS importance
+               {LINE_REST}
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey""",
     "crossing": """
         SELECT video_id, seg_no, segment_id, pos, CASE WHEN (seg_no + pos) % 5 = 1 THEN concat('tag ', (seg_no * 3 + pos) % 9) ELSE name END AS name, alias AS alias1,
@@ -93,19 +94,25 @@ VIEWS = {
         FROM {sentence_vectors}""",
 }
 
-#: Views that Spark makes from other text with the same rows. A line's place and the name that follows come of one
-#: window by l_orderkey, of which seg_no is the number; relationships over mentions would shuffle and sort all lines again.
+#: Views that Spark makes from other text with the same rows. Lines get their parts first, so that one shuffle by l_orderkey, of
+#: which seg_no is the number, serves the join with orders and the windows; texts are made after it. Both views shuffle the same columns, unless more are read, so a
+#: query of both does so once.
 MADE = {
+    "named": "SELECT * FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
+    "mentions": f"""
+        SELECT concat('v', o_custkey) AS video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, {LINE_NAME} AS name, {LINE_REST}
+        FROM (SELECT *, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos FROM {{named}} JOIN {{orders}} ON l_orderkey = o_orderkey) m""",
     "relationships": f"""
-        SELECT concat('v', o_custkey) AS video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, from_concept, to_concept,
+        SELECT concat('v', o_custkey) AS video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, {LINE_NAME} AS from_concept,
+               {LINE_NAME.replace("l_partkey", "next_partkey").replace("p_name", "next_name")} AS to_concept,
                CASE pos % 3 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'is_part_of' ELSE 'applies_to' END AS type, concat('line ', pos) AS evidence
-        FROM (SELECT l_orderkey, o_custkey, from_concept, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos, lead(from_concept) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS to_concept
-              FROM (SELECT l_orderkey, o_custkey, {LINE_ORDER}, {LINE_NAME} AS from_concept
-                    FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey) l) m
-        WHERE to_concept IS NOT NULL""",
+        FROM (SELECT *, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS next_partkey,
+                     lead(p_name) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS next_name
+              FROM {{named}} JOIN {{orders}} ON l_orderkey = o_orderkey) m
+        WHERE next_name IS NOT NULL""",
 }
-#: Views whose windows go by a key of a table: that table's rows are dealt by it, so that a task sorts so many rows whatever the input.
-DEALT = {"mentions": ("lineitem", "l_orderkey"), "relationships": ("lineitem", "l_orderkey")}
+#: Views whose windows go by a key: these rows are dealt by it, so that a task sorts so many whatever the input.
+DEALT = {"mentions": ("named", "l_orderkey"), "relationships": ("named", "l_orderkey")}
 
 
 def _reads(name: str, texts: dict[str, str] = VIEWS) -> list[str]:
@@ -130,13 +137,13 @@ def ctes(*names: str) -> str:
 
 def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A view, or one of the driver's tables, as a frame; t0 and t1 are its start and end."""
-    if name not in VIEWS:
+    if name not in VIEWS and name not in MADE:
         return spark.read.parquet(f"{sf_dir}/{name}.parquet")
     texts = MADE if name in MADE else VIEWS
     tables = {r: _raw(spark, sf_dir, r) for r in set(_reads(name, texts))}
     if name in DEALT:
         table, key = DEALT[name]
-        tables[table] = dealt(tables[table], tables[table].count(), key)
+        tables[table] = dealt(tables[table], mentions_at_most(spark, sf_dir), key)
     raw = spark.sql(texts[name], **tables)
     return raw.withColumnsRenamed({"t0": "start", "t1": "end"})
 

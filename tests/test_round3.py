@@ -145,3 +145,12 @@ def test_components_broadcast_nothing(spark, tmp_path, monkeypatch):
         store.add(edges.filter(F.col("a") % 2 == k))
     assert store.labels.count() == 21 and store.labels.filter("component <> 0").isEmpty()
     assert any("SortMergeJoin" in p for p in plans) and not any("Broadcast" in p for p in plans)
+
+
+def test_noise_joins_relationships_once(spark):
+    m = spark.createDataFrame([("v", 1, 1, "Patreon", "d"), ("v", 1, 2, "b", "d"), ("v", 2, 1, "Patreon page", "d"), ("v", 2, 2, None, "sponsor")], "video_id string, seg_no int, pos int, name string, definition string")
+    r = spark.createDataFrame([("v", 1, "b", "Patreon"), ("v", 1, "Patreon", "b"), ("v", 2, "b", "Patreon"), ("v", None, "Patreon", "b"), ("v", 1, None, "b")], "video_id string, seg_no int, from_concept string, to_concept string")
+    kept, left = knowledge.filter_noise(m, r)
+    assert [tuple(x)[1:4] for x in kept.orderBy("seg_no").collect()] == [(1, 2, "b"), (2, 2, None)]
+    assert sorted(map(str, left.collect())) == sorted(map(str, r.collect()[2:]))
+    assert left._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
