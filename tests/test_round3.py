@@ -5,7 +5,7 @@ import time
 import duckdb
 from pyspark.sql import functions as F
 
-from quillmap.operators import graph_store, knowledge, resolve, segmentation, traverse
+from quillmap.operators import graph_store, knowledge, resolve, segmentation, sentences, traverse
 from quillmap.plans import oracles, queries
 from quillmap.sources import documents as sources
 
@@ -154,3 +154,15 @@ def test_noise_joins_relationships_once(spark):
     assert [tuple(x)[1:4] for x in kept.orderBy("seg_no").collect()] == [(1, 2, "b"), (2, 2, None)]
     assert sorted(map(str, left.collect())) == sorted(map(str, r.collect()[2:]))
     assert left._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 1
+
+
+def test_sentences_of_a_long_video_are_cut_without_windows(spark):
+    """Of 25,000 words, more than a batch has; a missing text, time or confidence counts as before."""
+    n = F.col("id")
+    made = spark.range(25_000).select(F.lit("v").alias("video_id"), n.alias("pos"), F.when(n != 3, F.lit("w")).alias("text"), n.cast("double").alias("start"), F.when(n != 60, n + 0.5).alias("end"), F.when(n > 49, 0.25).alias("confidence"))
+    more = made.filter("pos < 4").withColumns({"video_id": F.lit("u"), "text": F.concat("text", F.lit(".")), "start": F.col("start") * 9})
+    out = sentences.group_sentences(made.unionByName(more))
+    got = sorted(map(tuple, out.collect()))
+    assert got[:4] == [("u", k, "" if k == 3 else "w.", 9.0 * k, k + 0.5, None) for k in range(4)]
+    assert [x[1] for x in got[4:]] == list(range(500)) and got[4][2:] == (" ".join(["w"] * 49), 0.0, 49.5, None) and got[5][3:] == (50.0, 99.5, 0.25)
+    assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
