@@ -41,6 +41,12 @@ def let(value: Column, then) -> Column:
     return F.get(F.transform(F.array(value), then), F.lit(0))
 
 
+def thousandths(number: str) -> Column:
+    """round(number, 3) of doubles, which takes decimals to do so; a number that is the nearest one to some thousandths stays as it is without."""
+    x = F.col(number)
+    return F.when(F.rint(x * 1000.0) / 1000.0 == x, x + 0.0).otherwise(F.round(x, 3))
+
+
 def normalize_name(name: Column) -> Column:
     """Lower case, hyphens and underscores as spaces, single spaces, then the first plural rule that holds."""
     ends = lambda n, *of: functools.reduce(operator.or_, (n.endswith(x) for x in of))

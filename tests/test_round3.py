@@ -7,9 +7,11 @@ from pyspark.sql import functions as F
 
 from quillmap.operators import graph_store, knowledge, resolve, segmentation, sentences, traverse
 from quillmap.plans import oracles, queries
+from quillmap.schemas import WORDS
 from quillmap.sources import documents as sources
 
 from .conftest import SMALL
+from .test_operators import rows
 
 
 def against_oracle(spark, folder, name):
@@ -166,3 +168,60 @@ def test_sentences_of_a_long_video_are_cut_without_windows(spark):
     assert got[:4] == [("u", k, "" if k == 3 else "w.", 9.0 * k, k + 0.5, None) for k in range(4)]
     assert [x[1] for x in got[4:]] == list(range(500)) and got[4][2:] == (" ".join(["w"] * 49), 0.0, 49.5, None) and got[5][3:] == (50.0, 99.5, 0.25)
     assert "Window" not in out._jdf.queryExecution().optimizedPlan().toString()
+
+
+def _stream(spark, at, batches):
+    from quillmap.streaming.ingest import ingest, read_sentences, stream_words
+
+    for words in batches:
+        spark.createDataFrame(words, WORDS).coalesce(1).write.mode("append").parquet(str(at / "in"))
+        query = ingest(stream_words(spark, str(at / "in")), str(at / "table"), str(at / "marks"))
+        query.awaitTermination()
+    return query, rows(read_sentences(spark, str(at / "table")), "video_id", "sent_idx")
+
+
+def test_a_stream_keeps_a_state_for_a_group_of_videos_and_not_for_each(spark, tmp_path, monkeypatch):
+    from quillmap.streaming import ingest
+
+    monkeypatch.setattr(ingest.stream_sentences, "__defaults__", (50, 1.0, 7))
+    r = random.Random(5)
+    words = [(f"v{v}", p, r.choice(["one", "two", "three."]), 0.5 * p, 0.5 * p + 0.3, 0.5) for v in range(300) for p in range(r.randint(1, 90))]
+    batches = [[w for w in words if w[1] < 20 and w[0] < "v2"], [w for w in words if w[1] > 40], r.sample(words, len(words) // 2), words]
+    query, got = _stream(spark, tmp_path, batches)
+    assert query.lastProgress["stateOperators"][0]["numRowsTotal"] == 7
+    assert got == rows(sentences.group_sentences(spark.createDataFrame(words, WORDS)), "video_id", "sent_idx")
+
+
+def test_streamed_words_may_lack_times_and_confidences(spark, tmp_path):
+    words = [("v", 0, "a", 0.0, 0.1, None), ("v", 1, None, None, None, 0.5), ("v", 2, "b", float("nan"), 0.9, 1.0), ("v", 3, "c.", 1.0, 1.1, None), (None, 0, "d", 0.0, 0.1, 1.0)]
+    _, got = _stream(spark, tmp_path, [words[:1], words[1:2] + words[4:], words[3:4] + [("v", None, "x", 0.0, 0.0, 0.0)], words[2:3]])
+    want = rows(sentences.group_sentences(spark.createDataFrame(words, WORDS)), "video_id", "sent_idx")
+    assert repr(got) == repr(want) and len(want) > 1
+
+
+def test_a_stream_leaves_the_session_s_settings(spark, tmp_path):
+    from quillmap.streaming.ingest import BYTES_CHECK
+
+    before = spark.conf.get(BYTES_CHECK)
+    _stream(spark, tmp_path, [[("v", 0, "a.", 0.0, 0.1, 1.0)]])
+    assert spark.conf.get(BYTES_CHECK) == before
+
+
+def test_thousandths_are_those_of_round(spark):
+    from quillmap.functions.text import thousandths
+
+    r = random.Random(6)
+    made = [r.choice([1, -1]) * r.random() * 10 ** r.randint(-6, 18) for _ in range(20_000)] + [k / 1000 for k in range(-5000, 5000)] + [k / 10_000 + 0.00005 for k in range(20_000)]
+    made += [0.0, -0.0, 0.0005, 2.0005, 1e300, 1.7e308, float("nan"), float("inf"), -float("inf"), None]
+    got = spark.createDataFrame([(x,) for x in made], "x double").select("x", thousandths("x").alias("a"), F.round("x", 3).alias("b")).collect()
+    assert [repr(g.a) for g in got] == [repr(g.b) for g in got]
+
+
+def test_words_from_a_place_up_to_another(spark, tmp_path):
+    from quillmap.plans.corpus import words
+
+    texts = ["", None, " a b  c d", "a b c d e ", "\n\ta", "a b c", "  a\x0bb c d e f g h", "x" * 40, "ä ö ü ß é"]
+    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    for first, up_to in ((0, 3), (2, 4), (3, None), (0, None), (1, 2)):
+        want = words(spark, str(tmp_path)).filter((F.col("pos") >= first) & (F.col("pos") < (up_to or 99)))
+        assert rows(words(spark, str(tmp_path), first, up_to), "video_id", "pos") == rows(want, "video_id", "pos")
