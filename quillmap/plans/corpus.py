@@ -167,22 +167,23 @@ def crossing_mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.withColumns({"aliases": F.array("alias1", "alias2"), "timestamp_range": F.lit(None).cast("struct<start:double,end:double>")}).drop("alias1", "alias2")
 
 
-def words(spark: SparkSession, sf_dir: str, first: int = 0, up_to: int | None = None) -> DataFrame:
-    """Words of documents, 0.4 s apart, with a pause after every 37. first, up_to: those from place first on, and before place up_to, if no others are wanted.
-
-    Texts are split as far as is needed (an empty text may come before the first word, and the rest after the last one); one that has a word at place n has more than 2 * n characters.
-    """
-    docs = view(spark, sf_dir, "documents").select("doc_id", "text")
-    if first:
-        docs = docs.filter(F.length("text") > 2 * first)
-    split = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+", -1 if up_to is None else up_to + 2), "")
-    w = docs.select(F.concat(F.lit("d"), "doc_id").alias("video_id"), split.alias("w")).select("video_id", F.posexplode("w").alias("pos", "text"))
-    if first or up_to is not None:
-        w = w.filter((F.col("pos") >= first) & (F.lit(True) if up_to is None else F.col("pos") < up_to))
+def split_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(video_id, w): the words of each document."""
+    split = F.array_remove(F.split("text", r"[\x20\x09-\x0D]+"), "")
+    return view(spark, sf_dir, "documents").select(F.concat(F.lit("d"), "doc_id").alias("video_id"), split.alias("w"))
+
+
+def placed_words(split: DataFrame) -> DataFrame:
+    """Words of split_texts, 0.4 s apart, with a pause after every 37."""
+    w = split.select("video_id", F.posexplode("w").alias("pos", "text"))
     tenths = F.col("pos") * 4 + F.floor(F.col("pos") / 37) * 20
     return w.select("video_id", F.col("pos").cast("long").alias("pos"), "text", (tenths / 10).alias("start"), ((tenths + 3) / 10).alias("end"), (F.lit(1.0) / (F.col("pos") % 4 + 1)).alias("confidence"))
 
 
+def words(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return placed_words(split_texts(spark, sf_dir))
+
+
 WORDS_SQL = r"""words AS (
   SELECT video_id, pos, text, (pos * 4 + (pos // 37) * 20) / 10 AS start, (pos * 4 + (pos // 37) * 20 + 3) / 10 AS "end", 1.0::DOUBLE / (pos % 4 + 1) AS confidence
   FROM (SELECT concat('d', doc_id) AS video_id, unnest(w) AS text, unnest(range(len(w))) AS pos

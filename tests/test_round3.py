@@ -217,11 +217,9 @@ def test_thousandths_are_those_of_round(spark):
     assert [repr(g.a) for g in got] == [repr(g.b) for g in got]
 
 
-def test_words_from_a_place_up_to_another(spark, tmp_path):
-    from quillmap.plans.corpus import words
-
-    texts = ["", None, " a b  c d", "a b c d e ", "\n\ta", "a b c", "  a\x0bb c d e f g h", "x" * 40, "ä ö ü ß é"]
-    spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
-    for first, up_to in ((0, 3), (2, 4), (3, None), (0, None), (1, 2)):
-        want = words(spark, str(tmp_path)).filter((F.col("pos") >= first) & (F.col("pos") < (up_to or 99)))
-        assert rows(words(spark, str(tmp_path), first, up_to), "video_id", "pos") == rows(want, "video_id", "pos")
+def test_streamed_sentences_splits_texts_once(spark, monkeypatch):
+    seen = []
+    split = queries.split_texts
+    monkeypatch.setattr(queries, "split_texts", lambda *a: seen.append(a) or split(*a))
+    got, want = against_oracle(spark, SMALL, "streamed_sentences")
+    assert len(seen) == 1 and sorted(got) == sorted(want)
