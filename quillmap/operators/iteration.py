@@ -95,6 +95,17 @@ def runs(batches):
         yield rows
 
 
+def values(column: pa.Array) -> list:
+    """As to_pylist(), which makes an object of Arrow's for each value first, of strings, lists of strings and numbers."""
+    if pa.types.is_list(column.type):
+        flat, ends = values(column.values), column.offsets.to_numpy().tolist()
+        lists = [flat[a:b] for a, b in itertools.pairwise(ends)]
+        return [x if given else None for x, given in zip(lists, column.is_valid().to_numpy(False).tolist())] if column.null_count else lists
+    if column.null_count and not pa.types.is_string(column.type):
+        return column.to_pylist()
+    return column.to_numpy(zero_copy_only=False).tolist()
+
+
 def told(rows, schema: pa.Schema, size: int = 10_000):
     """Arrow batches of `size` tuples."""
     rows = iter(rows)

@@ -21,6 +21,10 @@ LINE_REST = """concat(p_name, ' ', p_brand) AS alias,
                CASE l_suppkey % 6 WHEN 0 THEN 'Concept' WHEN 1 THEN ' method' WHEN 2 THEN 'Layer' WHEN 3 THEN 'theorem' WHEN 4 THEN 'gadget' ELSE 'METRIC ' END AS type,
                CASE WHEN l_partkey % 50 = 7 THEN 'Please Subscribe to it' WHEN l_partkey % 50 = 8 THEN '' ELSE concat(p_brand, ' ', p_type, ' no ', p_partkey, repeat(' x', cast(p_partkey % 7 AS int))) END AS definition,
                CASE WHEN p_size < 17 THEN 'core' WHEN p_size < 34 THEN 'supporting' ELSE 'mentioned' END AS importance"""
+#: Names that several videos' mentions share, and aliases that cross.
+CROSSING_NAME = "CASE WHEN (seg_no + pos) % 5 = 1 THEN concat('tag ', (seg_no * 3 + pos) % 9) ELSE name END"
+CROSSING_ALIAS = "CASE WHEN pos % 2 = 0 THEN concat('Tag-', (seg_no + pos) % 9) WHEN pos % 3 = 0 THEN concat('tag ', (seg_no * 2 + pos) % 9, 's') END"
+RELATION = "CASE pos % 3 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'is_part_of' ELSE 'applies_to' END AS type, concat('line ', pos) AS evidence"
 
 VIEWS = {
     "videos": """
@@ -37,15 +41,15 @@ VIEWS = {
                {LINE_NAME} AS name,
                {LINE_REST}
         FROM {{lineitem}} JOIN {{orders}} ON l_orderkey = o_orderkey JOIN {{part}} ON l_partkey = p_partkey""",
-    "crossing": """
-        SELECT video_id, seg_no, segment_id, pos, CASE WHEN (seg_no + pos) % 5 = 1 THEN concat('tag ', (seg_no * 3 + pos) % 9) ELSE name END AS name, alias AS alias1,
-               CASE WHEN pos % 2 = 0 THEN concat('Tag-', (seg_no + pos) % 9) WHEN pos % 3 = 0 THEN concat('tag ', (seg_no * 2 + pos) % 9, 's') END AS alias2, type, definition, importance
-        FROM {mentions}""",
-    "relationships": """
+    "crossing": f"""
+        SELECT video_id, seg_no, segment_id, pos, {CROSSING_NAME} AS name, alias AS alias1,
+               {CROSSING_ALIAS} AS alias2, type, definition, importance
+        FROM {{mentions}}""",
+    "relationships": f"""
         SELECT * FROM (
             SELECT video_id, seg_no, segment_id, pos, name AS from_concept, lead(name) OVER (PARTITION BY seg_no ORDER BY pos) AS to_concept,
-                   CASE pos % 3 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'is_part_of' ELSE 'applies_to' END AS type, concat('line ', pos) AS evidence
-            FROM {mentions}) m
+                   {RELATION}
+            FROM {{mentions}}) m
         WHERE to_concept IS NOT NULL""",
     "concepts": """
         SELECT concat(p_name, ' #', p_partkey) AS name, p_partkey AS id, p_type AS type, concat(p_brand, ' ', p_type) AS definition,
@@ -94,9 +98,12 @@ VIEWS = {
         FROM {sentence_vectors}""",
 }
 
+NEXT_NAME = LINE_NAME.replace("l_partkey", "next_partkey").replace("p_name", "next_name")
+
 #: Views that Spark makes from other text with the same rows. Lines get their parts first, so that one shuffle by l_orderkey, of
 #: which seg_no is the number, serves the join with orders and the windows; texts are made after it. Both views shuffle the same columns, unless more are read, so a
-#: query of both does so once.
+#: query of both does so once. spoken has crossing mentions and the relationships that begin at them; its texts are made after lines are dealt by
+#: their video, so that what is shuffled are numbers and names of parts.
 MADE = {
     "named": "SELECT * FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
     "mentions": f"""
@@ -104,15 +111,23 @@ MADE = {
         FROM (SELECT *, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos FROM {{named}} JOIN {{orders}} ON l_orderkey = o_orderkey) m""",
     "relationships": f"""
         SELECT concat('v', o_custkey) AS video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, {LINE_NAME} AS from_concept,
-               {LINE_NAME.replace("l_partkey", "next_partkey").replace("p_name", "next_name")} AS to_concept,
-               CASE pos % 3 WHEN 0 THEN 'depends_on' WHEN 1 THEN 'is_part_of' ELSE 'applies_to' END AS type, concat('line ', pos) AS evidence
+               {NEXT_NAME} AS to_concept,
+               {RELATION}
         FROM (SELECT *, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos, lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS next_partkey,
                      lead(p_name) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS next_name
               FROM {{named}} JOIN {{orders}} ON l_orderkey = o_orderkey) m
         WHERE next_name IS NOT NULL""",
+    "placed": f"""
+        SELECT concat('v', o_custkey) AS video_id, l_orderkey, l_partkey, l_suppkey % 6 AS l_suppkey, p_name, p_brand, p_type, p_size, cast(row_number() OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS int) AS pos,
+               lead(l_partkey) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS next_partkey, lead(p_name) OVER (PARTITION BY l_orderkey ORDER BY {LINE_ORDER}) AS next_name
+        FROM {{named}} JOIN {{orders}} ON l_orderkey = o_orderkey""",
+    "spoken": f"""
+        SELECT video_id, seg_no, pos, struct({CROSSING_NAME} AS name, array(alias, {CROSSING_ALIAS}) AS aliases, type, definition, segment_id, importance) AS m,
+               CASE WHEN to_concept IS NOT NULL THEN struct(segment_id, name AS from_concept, to_concept, {RELATION}) END AS r
+        FROM (SELECT video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, {LINE_NAME} AS name, {LINE_REST}, CASE WHEN next_name IS NOT NULL THEN {NEXT_NAME} END AS to_concept FROM (SELECT *, l_partkey AS p_partkey FROM {{placed}}) l) t""",
 }
 #: Views whose windows go by a key: these rows are dealt by it, so that a task sorts so many whatever the input.
-DEALT = {"mentions": ("named", "l_orderkey"), "relationships": ("named", "l_orderkey")}
+DEALT = {"mentions": ("named", "l_orderkey"), "relationships": ("named", "l_orderkey"), "placed": ("named", "l_orderkey"), "spoken": ("placed", "video_id")}
 
 
 def _reads(name: str, texts: dict[str, str] = VIEWS) -> list[str]:
