@@ -25,7 +25,11 @@ def upsert(existing: DataFrame, incoming: DataFrame, keys: list[str], set_cols:
 
 def duplicate_keys(table: DataFrame, *keys: str) -> DataFrame:
     """Keys that occur more than once; a sound table has none."""
-    return table.groupBy(*keys).agg(F.count("*").alias("n")).filter("n > 1")
+    return key_counts(table, *keys).filter("n > 1")
+
+
+def key_counts(table: DataFrame, *keys: str) -> DataFrame:
+    return table.groupBy(*keys).agg(F.count("*").alias("n"))
 
 
 def belongs_to(segments: DataFrame, videos: DataFrame) -> DataFrame:

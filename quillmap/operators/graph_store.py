@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
@@ -33,21 +34,25 @@ class GraphStore:
     path: str
     parts: int = PARTS
 
-    def write(self, batch: dict[str, DataFrame]) -> dict[str, list[int]]:
+    def write(self, batch: dict[str, DataFrame], lasting: tuple[str, ...] = ()) -> dict[str, list[int]]:
         """Puts in the tables of some videos, in place of all that these had; the folders written, by table.
 
-        batch has the tables of TABLES, each with video_id; those of its videos table are rebuilt. It is made
-        once, and keys are checked, before anything is written. A batch without videos writes nothing; one that
-        is repeated writes the same again.
+        batch has the tables of TABLES, each with video_id; those of its videos table are rebuilt, and rows of others left out. It is made
+        once, and keys are checked, before anything is written; tables named in lasting come of files that stay as they are, and are read twice
+        instead. A batch without videos writes nothing; one that is repeated writes the same again.
         """
         with Steps(self.spark) as steps:
             owners = steps.keep(batch["videos"].select("video_id").distinct())
             touched = folders_of(owners, "video_id", self.parts)
             if not touched:
                 return {name: [] for name in TABLES}
-            made = {name: steps.keep(batch[name].join(owners, "video_id", "left_semi")) for name in TABLES}
-            self.check(made, owners)
-            return {name: replace_rows(made[name], f"{self.path}/{name}", "video_id", owners, touched, self.parts) for name in TABLES}
+            made = {name: batch[name] if name in lasting else steps.keep(batch[name]) for name in TABLES}
+            strangers = self.check(made, owners, steps)
+            if strangers is not None:
+                made = {name: t.filter("video_id IS NOT NULL").join(strangers, "video_id", "left_anti") for name, t in made.items()}
+            known = owners.join(self.table("videos").select("video_id"), "video_id", "left_semi") if self._has("videos") else owners.limit(0)
+            gone, n = steps.keep_counted(known)
+            return {name: replace_rows(made[name], f"{self.path}/{name}", "video_id", gone, touched, self.parts, n) for name in TABLES}
 
     def remove(self, videos: DataFrame) -> None:
         """Takes out all that the videos own. videos: (video_id)."""
@@ -56,18 +61,30 @@ class GraphStore:
             if self._has(name):
                 replace_rows(self.table(name).limit(0), f"{self.path}/{name}", "video_id", videos, touched, self.parts)
 
-    def check(self, batch: dict[str, DataFrame], owners: DataFrame) -> None:
-        """All checks are one query; a sound batch has no row in it."""
-        key = lambda df, name, keys: df.select(F.lit(name).alias("table"), F.concat_ws(", ", *keys).alias("key")).limit(5)
-        found = None
+    def check(self, batch: dict[str, DataFrame], owners: DataFrame, steps: Steps) -> DataFrame | None:
+        """Raises where a key is there twice; the videos that tables name and owners doesn't, or None. All checks are one query, of keys alone; a sound batch has no row in it.
+
+        Keys are dealt by video, where they meet owners, so that rows themselves needn't.
+        """
+        mine = owners.withColumn("mine", F.lit(True))
+        told = lambda df, name, keys: df.select(F.lit(name).alias("table"), F.concat_ws(", ", *keys).alias("key"), "video_id", "mine")
+        found = []
         for name, keys in TABLES.items():
-            twice = key(graph.duplicate_keys(batch[name], *keys), name, keys)
-            found = twice if found is None else found.unionByName(twice)
+            rows = batch[name].select(*dict.fromkeys(["video_id", *keys]))
+            if "video_id" in keys:
+                found.append(told(graph.key_counts(rows.repartition("video_id"), *keys).join(mine, "video_id", "left").filter("n > 1 OR mine IS NULL"), name, keys))
+            else:
+                held = rows.join(mine, "video_id", "left")
+                twice = graph.duplicate_keys(held.filter("mine"), *keys).withColumns({"video_id": F.lit(None).cast("string"), "mine": F.lit(True)})
+                found += [told(held.filter("mine IS NULL"), name, keys), told(twice, name, keys)]
         if self._has("segments"):
             others = self.table("segments").join(owners, "video_id", "left_anti").select("segment_id")
-            found = found.unionByName(key(batch["segments"].select("segment_id").join(others, "segment_id", "left_semi"), "segments of other videos", ["segment_id"]))
-        if rows := found.collect():
+            held = batch["segments"].select("segment_id", "video_id").join(mine, "video_id").join(others, "segment_id", "left_semi")
+            found.append(told(held, "segments of other videos", ["segment_id"]))
+        found, n = steps.keep_counted(functools.reduce(DataFrame.unionByName, found))
+        if n and (rows := found.filter("mine").limit(30).collect()):
             raise DuplicateKeys("; ".join(f"{r['table']}: {r['key']}" for r in rows))
+        return found.filter("video_id IS NOT NULL").select("video_id").distinct() if n else None
 
     def _has(self, name: str) -> bool:
         return exists(self.spark, f"{self.path}/{name}")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import contextlib
 import itertools
 import math
 import os
@@ -37,6 +38,17 @@ def remove(spark: SparkSession, path: str) -> None:
     at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)
 
 
+@contextlib.contextmanager
+def setting(spark: SparkSession, name: str, value):
+    """A setting of the session for what is run in the block."""
+    before = spark.conf.get(name)
+    spark.conf.set(name, value)
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 #: Rows of a task where rows are dealt by number: a few hundred bytes each, they sort in memory.
 ROWS = 250_000
 
@@ -71,7 +83,8 @@ class Steps:
     def keep(self, df: DataFrame) -> DataFrame:
         self.n += 1
         path = f"{self.at}/{self.n}"
-        df.write.parquet(path)
+        with setting(self.spark, "spark.sql.classic.shuffleDependency.fileCleanup.enabled", True):  # what was shuffled for it goes once it is written, and not when the driver's memory is cleared
+            df.write.parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
 

@@ -99,10 +99,12 @@ VIEWS = {
 }
 
 NEXT_NAME = LINE_NAME.replace("l_partkey", "next_partkey").replace("p_name", "next_name")
+LINED = f"""SELECT video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, {LINE_NAME} AS name, {LINE_REST}, CASE WHEN next_name IS NOT NULL THEN {NEXT_NAME} END AS to_concept
+             FROM (SELECT *, l_partkey AS p_partkey FROM {{placed}}) l"""
 
 #: Views that Spark makes from other text with the same rows. Lines get their parts first, so that one shuffle by l_orderkey, of
 #: which seg_no is the number, serves the join with orders and the windows; texts are made after it. Both views shuffle the same columns, unless more are read, so a
-#: query of both does so once. spoken has crossing mentions and the relationships that begin at them; its texts are made after lines are dealt by
+#: query of both does so once. lined has both, a relationship in the row of the mention at which it begins. spoken has crossing mentions and the relationships that begin at them; its texts are made after lines are dealt by
 #: their video, so that what is shuffled are numbers and names of parts.
 MADE = {
     "named": "SELECT * FROM {lineitem} JOIN {part} ON l_partkey = p_partkey",
@@ -124,7 +126,8 @@ MADE = {
     "spoken": f"""
         SELECT video_id, seg_no, pos, struct({CROSSING_NAME} AS name, array(alias, {CROSSING_ALIAS}) AS aliases, type, definition, segment_id, importance) AS m,
                CASE WHEN to_concept IS NOT NULL THEN struct(segment_id, name AS from_concept, to_concept, {RELATION}) END AS r
-        FROM (SELECT video_id, cast(l_orderkey AS int) AS seg_no, concat('s', l_orderkey) AS segment_id, pos, {LINE_NAME} AS name, {LINE_REST}, CASE WHEN next_name IS NOT NULL THEN {NEXT_NAME} END AS to_concept FROM (SELECT *, l_partkey AS p_partkey FROM {{placed}}) l) t""",
+        FROM ({LINED}) t""",
+    "lined": LINED,
 }
 #: Views whose windows go by a key: these rows are dealt by it, so that a task sorts so many whatever the input.
 DEALT = {"mentions": ("named", "l_orderkey"), "relationships": ("named", "l_orderkey"), "placed": ("named", "l_orderkey"), "spoken": ("placed", "video_id")}
@@ -168,7 +171,16 @@ def _raw(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def mentions(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view(spark, sf_dir, "mentions").withColumns({"aliases": F.array("alias"), "timestamp_range": F.lit(None).cast("struct<start:double,end:double>")}).drop("alias")
+    return with_aliases(view(spark, sf_dir, "mentions"))
+
+
+def with_aliases(mentions: DataFrame) -> DataFrame:
+    return mentions.withColumns({"aliases": F.array("alias"), "timestamp_range": F.lit(None).cast("struct<start:double,end:double>")}).drop("alias")
+
+
+def relationships_of(lined: DataFrame) -> DataFrame:
+    """The rows of the view relationships, each of which begins at a line."""
+    return lined.sparkSession.sql(f"SELECT video_id, seg_no, segment_id, pos, name AS from_concept, to_concept, {RELATION} FROM {{lined}} WHERE to_concept IS NOT NULL", lined=lined)
 
 
 def mentions_at_most(spark: SparkSession, sf_dir: str) -> int:

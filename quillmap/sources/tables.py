@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
+import functools
+
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
-from ..operators.iteration import remove
+from ..operators.iteration import remove, setting
 
 
 #: Folders that the rows of a table are dealt over, by a hash of their owner.
 PARTS = 64
 #: Folders up to which rows read from files are written without a shuffle.
 FEW = 16
+#: Owners of a folder up to which they go beside its rows.
+BESIDE = 500_000
 
 
 def part_of(owner: str, parts: int = PARTS) -> Column:
@@ -31,7 +35,9 @@ def replace_partitions(rows: DataFrame, path: str, by: str, values: list | None
     partitions, needn't be shuffled: each task writes a file in each partition.
     """
     spark, seen = rows.sparkSession, Observation()
-    (rows.hint("rebalance", by) if shuffle else rows).observe(seen, F.collect_set(by).alias("values")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by).parquet(path)
+    out = (rows.hint("rebalance", by) if shuffle else rows).observe(seen, F.collect_set(by).alias("values")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(by)
+    with setting(spark, "spark.sql.maxConcurrentOutputFileWriters", 0 if shuffle else FEW):  # so many files are open at once in a task, or else its rows are sorted
+        out.parquet(path)
     present = list(seen.get["values"])
     gone = [v for v in values or [] if v not in present]
     for v in gone:
@@ -49,8 +55,19 @@ def folders_of(owners: DataFrame, owner: str, parts: int = PARTS) -> list[int]:
     return sorted(r[0] for r in owners.select(part_of(owner, parts)).distinct().collect())
 
 
-def replace_rows(rows: DataFrame, path: str, owner: str, owners: DataFrame, touched: list[int], parts: int = PARTS) -> list[int]:
-    """Puts rows in, in place of all that the owners had. owners: (owner), touched: their folders_of().
+def without(rows: DataFrame, owner: str, owners: DataFrame, touched: list[int], parts: int, n: int | None) -> DataFrame:
+    """Rows, with their part, of none of the owners. Where their number is known, those of a folder go beside its rows, BESIDE at most on average, and rows aren't shuffled."""
+    if n == 0:
+        return rows
+    if n is None or n > BESIDE * len(touched):
+        return rows.join(owners, owner, "left_anti")
+    placed = owners.withColumn("part", part_of(owner, parts))
+    each = [rows.filter(F.col("part") == k).join(F.broadcast(placed.filter(F.col("part") == k).select(owner)), owner, "left_anti") for k in touched]
+    return functools.reduce(DataFrame.unionByName, each)
+
+
+def replace_rows(rows: DataFrame, path: str, owner: str, owners: DataFrame, touched: list[int], parts: int = PARTS, n: int | None = None) -> list[int]:
+    """Puts rows in, in place of all that the owners had. owners: (owner), touched: the folders_of() these and of the rows, n: how many owners there are, if that was counted.
 
     Rows lie in folders by a hash of their owner; only folders of those owners are written again, with what
     else is in them, and the numbers of these are returned. No owners write nothing.
@@ -60,5 +77,5 @@ def replace_rows(rows: DataFrame, path: str, owner: str, owners: DataFrame, touc
     new = rows.withColumn("part", part_of(owner, parts))
     if exists(rows.sparkSession, path):
         old = rows.sparkSession.read.schema(new.schema).parquet(path).filter(F.col("part").isin(touched))
-        new = old.join(owners, owner, "left_anti").select(new.columns).unionByName(new)
+        new = without(old, owner, owners, touched, parts, n).select(new.columns).unionByName(new)
     return replace_partitions(new, path, "part", touched, parts > FEW)

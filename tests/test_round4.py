@@ -1,14 +1,18 @@
 import datetime
+import os
 import random
+import time
 
 import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from quillmap.operators import iteration, knowledge, resolve
+from quillmap.operators import graph_store, iteration, knowledge, resolve
 from quillmap.plans import corpus, queries
+from quillmap.sources import tables
 
 from .conftest import SMALL
+from .test_graph_store import frames, plain, tables_of, whole
 from .test_sizes import planned, rows, some_tables
 
 
@@ -70,3 +74,54 @@ def test_pairs_within_a_group_arent_looked_at(spark):
     assert rows.filter(f"`group` = {resolve.GROUPS} OR NOT plain").isEmpty() and {r.group for r in rows.select("group").distinct().collect()} == {1, 2}
     lists = resolve._pairs_of_lists(rows)
     assert "component_a" not in planned(lists) and lists.count() == 2000 * 2000
+
+
+def test_lines_give_mentions_and_relationships(spark, tmp_path):
+    at = some_tables(spark, tmp_path)
+    lined = corpus.view(spark, at, "lined")
+    for got, want in ((corpus.with_aliases(lined.drop("to_concept")), corpus.mentions(spark, at)), (corpus.relationships_of(lined), corpus.view(spark, at, "relationships"))):
+        assert got.schema.simpleString() == want.schema.simpleString() and rows(got) == rows(want)
+
+
+@pytest.mark.parametrize("lasting", [(), tuple(graph_store.TABLES)])
+def test_rows_of_videos_that_a_batch_lacks_are_left_out(spark, tmp_path, lasting):
+    r, store = random.Random(5), graph_store.GraphStore(spark, str(tmp_path / "g"), parts=3)
+    videos = {v: tables_of(r, v) for v in "abcd"}
+    store.write(frames(spark, videos["a"], videos["b"]), lasting)
+    store.write(frames(spark, videos["b"], videos["c"], videos["d"] | {"videos": []}), lasting)
+    nameless = {name: t.withColumn("video_id", F.lit(None).cast("string")) for name, t in frames(spark, videos["d"]).items() if name != "videos"}
+    store.write({name: t.unionByName(nameless[name]) if name in nameless else t for name, t in frames(spark, videos["c"]).items()}, lasting)
+    assert plain(store.read()) == whole(spark, {v: videos[v] for v in "abc"})
+
+
+def test_rows_meet_the_videos_of_their_folder_and_are_not_shuffled(spark, tmp_path, monkeypatch):
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        old = spark.range(900).select(F.concat(F.lit("v"), F.col("id") % 90).alias("video_id"), "id").withColumn("part", tables.part_of("video_id", 4))
+        gone = spark.range(30).select(F.concat(F.lit("v"), "id").alias("video_id"))
+        for most, shuffles in ((8, 0), (7, 2)):
+            monkeypatch.setattr(tables, "BESIDE", most)
+            left = tables.without(old, "video_id", gone, [0, 1, 2, 3], 4, 30)
+            assert left.count() == 600 and planned(left).count("Exchange hashpartitioning") == shuffles
+        assert tables.without(old, "video_id", gone.limit(0), [0], 4, 0) is old
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+
+
+def test_what_was_shuffled_for_a_state_goes_once_it_is_written(spark):
+    name, at = "spark.sql.classic.shuffleDependency.fileCleanup.enabled", spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirsString()[0]
+    files = lambda: {f for _, _, found in os.walk(at) for f in found if f.startswith("shuffle_") and f.endswith(".data")}
+    before, had = spark.conf.get(name), files()
+    with iteration.Steps(spark) as steps:
+        kept = steps.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).agg(F.count("*").alias("n")))
+        until = time.time() + 10
+        while files() - had and time.time() < until:
+            time.sleep(0.1)
+        assert not files() - had and spark.conf.get(name) == before and len(kept.collect()) == 7
+
+
+def test_few_folders_are_written_without_a_sort(spark, tmp_path):
+    before = spark.conf.get("spark.sql.maxConcurrentOutputFileWriters")
+    df = spark.range(300).withColumn("part", (F.col("id") % 5).cast("int"))
+    assert tables.replace_partitions(df, str(tmp_path / "t"), "part", [0, 1, 2, 3, 4, 5], shuffle=False) == [0, 1, 2, 3, 4, 5]
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 300 and spark.conf.get("spark.sql.maxConcurrentOutputFileWriters") == before
